@@ -1,0 +1,6 @@
+"""Every query of the engine by name, with its SQL for DuckDB."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
