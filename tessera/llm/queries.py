@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, toxicity
-from tessera.llm.storage import store
+from tessera.llm import chat, media, quality, toxicity, warc
+from tessera.llm.storage import new_path, store
 
 HELD_OUT = "crc32(cast(doc_id AS string)) % 5 = 0"
 
@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) AS bigint) AS n_bytes", "text")
+    found = media.read_media(media.store_texts(docs).drop("text"))
+    own = ["cast(octet_length(media) AS bigint) AS media_bytes", "sha2(media, 256) AS media_sha256"]
+    return found.selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *own, "feature")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = store(quality.with_statistics(docs).select("doc_id", "q"), "statistics").df
@@ -23,6 +30,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", F.expr("cast(score >= 0.3 AS int)"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -30,9 +43,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", F.expr("cast(score >= 0.5 AS int)"))
 
 
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.unionByName(more)))
+
+
 QUERIES = {
+    "op2_media_columns": op2_media_columns,
     "op4_quality_classifier": op4_quality_classifier,
+    "op7_warc": op7_warc,
     "op9_toxicity": op9_toxicity,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {}
