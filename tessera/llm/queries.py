@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, media, quality, toxicity, warc
+from tessera.llm import chat, html, jaccard, media, quality, toxicity, warc
 from tessera.llm.storage import new_path, store
 
 HELD_OUT = "crc32(cast(doc_id AS string)) % 5 = 0"
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) AS bigint) AS n_bytes", "text")
     found = media.read_media(media.store_texts(docs).drop("text"))
@@ -30,6 +34,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", F.expr("cast(score >= 0.3 AS int)"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -53,8 +61,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_media_columns": op2_media_columns,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_warc": op7_warc,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
