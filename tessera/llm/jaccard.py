@@ -205,9 +205,9 @@ def _across(t: int):
 def link_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
     """doc_id and component_id (the smallest linked id) of every document that is linked with another one."""
     found = candidate_sets(docs, size, t)
-    # classes of equal sets
-    classes = found.df.select("doc_id", "n", F.md5("grams").alias("grams_md5"), F.crc32("grams").alias("grams_crc"))
-    members = store(with_first(classes, ["n", "grams_md5", "grams_crc"], "doc_id", "rep").select("doc_id", "rep"), "members")
+    # classes of equal sets; a set with n-grams of its own equals no other
+    key = F.when(F.length("grams") == 8 * F.col("n"), F.concat(F.md5("grams"), F.crc32("grams"))).otherwise(F.concat(F.lit("own "), "doc_id"))
+    members = store(with_first(found.df.select("doc_id", key.alias("key")), ["key"], "doc_id", "rep").select("doc_id", "rep"), "members")
     sets = store(found.df.join(members.df.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi"), "class-sets")
     found.drop()
     postings = store(sets.df.mapInArrow(_postings, "gram bigint, doc_id bigint, n int, m int, pos int"), "postings")
