@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, html, jaccard, media, quality, toxicity, warc
+from tessera.llm import chat, html, jaccard, media, quality, substring, toxicity, warc
 from tessera.llm.storage import new_path, store
 
 HELD_OUT = "crc32(cast(doc_id AS string)) % 5 = 0"
@@ -38,6 +38,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -65,6 +69,7 @@ QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_warc": op7_warc,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,

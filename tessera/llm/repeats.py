@@ -29,26 +29,30 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def pack(hashes: np.ndarray) -> bytes:
-    """The low six bytes of each."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def pack(hashes: np.ndarray, width: int = 6) -> bytes:
+    """The low bytes of each."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
+def unpack(data: bytes, width: int = 6) -> np.ndarray:
+    low = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :width] = low
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def dealt(rows: DataFrame, hasher: Hasher, buckets: int) -> DataFrame:
-    """bucket, and packed: ids, counts (hashes of each id in this bucket), totals (of each id in all), hashes. ``rows``: doc_id, text."""
+def dealt(rows: DataFrame, hasher: Hasher, buckets: int, width: int = 6, text: int = 1) -> DataFrame:
+    """bucket, and packed: ids, counts (hashes of each id in this bucket), totals (of each id in all), hashes.
+
+    ``rows`` begins with doc_id; ``text`` is the place of its text, and ``hasher`` gets the columns from there on (the text
+    alone if it is the last). width: bytes of a hash that travel.
+    """
     from tessera.llm.wordhash import slices
 
     def deal(batches):
         for batch in batches:
-            for part in slices(batch, 1):
-                many, hashes = hasher(part.column(1))
+            for part in slices(batch, text):
+                many, hashes = hasher(*part.columns[text:])
                 ids = np.asarray(part.column(0), dtype=np.int64)
                 of = np.repeat(np.arange(len(ids)), many)
                 bucket = bucket_of(hashes, buckets).astype(np.int32)
@@ -60,7 +64,7 @@ def dealt(rows: DataFrame, hasher: Hasher, buckets: int) -> DataFrame:
                     heads = np.flatnonzero(np.diff(of[lo:hi], prepend=-1))
                     docs = of[lo:hi][heads]
                     counts = np.diff(np.append(heads, hi - lo)).astype("<u4")
-                    out.append((int(bucket[lo]), ids[docs].astype("<i8").tobytes(), counts.tobytes(), many[docs].astype("<u4").tobytes(), pack(hashes[lo:hi])))
+                    out.append((int(bucket[lo]), ids[docs].astype("<i8").tobytes(), counts.tobytes(), many[docs].astype("<u4").tobytes(), pack(hashes[lo:hi], width)))
                 kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["bucket", "ids", "counts", "totals", "hashes"])
 
@@ -68,50 +72,78 @@ def dealt(rows: DataFrame, hasher: Hasher, buckets: int) -> DataFrame:
     return packed.repartitionById(buckets, packed["bucket"])
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    new, n = np.unique(np.concatenate(more), return_counts=True)
-    if not len(keys):
-        return new, n
-    both = np.concatenate((keys, new))
-    values, at = np.unique(both, return_inverse=True)
-    return values, np.bincount(at, np.concatenate((counts, n))).astype(np.int64)
+class Spool:
+    """Packed rows of one bucket, read once and gone through again; beyond SPOOL hashes they wait in a temporary file."""
 
+    def __init__(self, width: int = 6):
+        self.width, self.held, self.spooled, self.file = width, [], 0, None
 
-def repeated(batches: Iterator[pa.RecordBatch]):
-    """Of one bucket: (ids, counts, totals, hashes, times), where times is how often each hash occurs in the corpus."""
-    held, pending, size = [], [], 0
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    with tempfile.TemporaryFile() as spool:
-        spooled = 0
+    def read(self, batches: Iterator[pa.RecordBatch]):
+        """(ids, counts, hashes) in portions of about SPOOL hashes."""
+        ids, counts, hashes, size = [], [], [], 0
         for batch in batches:
             columns = [batch.column(c) for c in ("ids", "counts", "totals", "hashes")]
             for k in range(batch.num_rows):
                 row = [c[k].as_buffer().to_pybytes() for c in columns]
-                hashes = unpack(row[3])
-                pending.append(hashes)
-                size += len(hashes)
-                held.append(row)
+                self.held.append(row)
+                ids.append(np.frombuffer(row[0], "<i8"))
+                counts.append(np.frombuffer(row[1], "<u4").astype(np.int64))
+                hashes.append(unpack(row[3], self.width))
+                size += len(hashes[-1])
                 if size >= SPOOL:
-                    keys, counts = _merge(keys, counts, pending)
-                    for h in held:
-                        for x in h:
-                            np.save(spool, np.frombuffer(x, np.uint8))
-                    spooled += len(held)
-                    held, pending, size = [], [], 0
-        if pending:
-            keys, counts = _merge(keys, counts, pending)
-        again = counts > 1
-        keys, counts = keys[again], counts[again]
-        del pending
-        spool.seek(0)
-
-        def rows():
-            for _ in range(spooled):
-                yield [np.load(spool).tobytes() for _ in range(4)]
-            yield from held
-
-        for ids, many, totals, hashes in rows():
-            hashes = unpack(hashes)
-            at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-            times = np.where(keys[at] == hashes, counts[at], 1) if len(keys) else np.ones(len(hashes), np.int64)
-            yield np.frombuffer(ids, "<i8"), np.frombuffer(many, "<u4").astype(np.int64), np.frombuffer(totals, "<u4"), hashes, times
+                    yield np.concatenate(ids), np.concatenate(counts), np.concatenate(hashes)
+                    self.file = self.file or tempfile.TemporaryFile()
+                    for x in (x for held in self.held for x in held):
+                        np.save(self.file, np.frombuffer(x, np.uint8))
+                    self.spooled += len(self.held)
+                    self.held, ids, counts, hashes, size = [], [], [], [], 0
+        if ids:
+            yield np.concatenate(ids), np.concatenate(counts), np.concatenate(hashes)
+
+    def rows(self):
+        """(ids, counts, totals, hashes), row by row."""
+        if self.file:
+            self.file.seek(0)
+        for k in range(self.spooled + len(self.held)):
+            row = [np.load(self.file).tobytes() for _ in range(4)] if k < self.spooled else self.held[k - self.spooled]
+            yield np.frombuffer(row[0], "<i8"), np.frombuffer(row[1], "<u4").astype(np.int64), np.frombuffer(row[2], "<u4"), unpack(row[3], self.width)
+        if self.file:
+            self.file.close()
+
+
+def repeated(batches: Iterator[pa.RecordBatch], width: int = 6):
+    """Of one bucket: (ids, counts, totals, hashes, times), where times is how often each hash occurs in the corpus."""
+    spool = Spool(width)
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _, _, hashes in spool.read(batches):
+        new, n = np.unique(hashes, return_counts=True)
+        if len(keys):
+            new, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
+            n = np.bincount(at, np.concatenate((counts, n))).astype(np.int64)
+        keys, counts = new, n
+    again = counts > 1
+    keys, counts = keys[again], counts[again]
+    for ids, many, totals, hashes in spool.rows():
+        at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
+        times = np.where(keys[at] == hashes, counts[at], 1) if len(keys) else np.ones(len(hashes), np.int64)
+        yield ids, many, totals, hashes, times
+
+
+def not_first(batches: Iterator[pa.RecordBatch], width: int = 8):
+    """Of one bucket: (ids, counts, later), where later marks hashes that a smaller id has too, or the same document before."""
+    spool = Spool(width)
+    keys, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for ids, many, hashes in spool.read(batches):
+        keys, least = np.concatenate((keys, hashes)), np.concatenate((least, np.repeat(ids, many)))
+        order = np.lexsort((least, keys))
+        keys, least = keys[order], least[order]
+        head = np.ones(len(keys), dtype=bool)
+        head[1:] = keys[1:] != keys[:-1]
+        keys, least = keys[head], least[head]
+    for ids, many, _, hashes in spool.rows():
+        of = np.repeat(np.arange(len(ids)), many)
+        later = ids[of] > least[np.searchsorted(keys, hashes)] if len(hashes) else np.zeros(0, dtype=bool)
+        order = np.lexsort((np.arange(len(of)), hashes, of))
+        again = np.zeros(len(of), dtype=bool)
+        again[order[1:]] = (of[order[1:]] == of[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])
+        yield ids, many, later | again
