@@ -5,8 +5,8 @@
 2. Documents with equal sets are one class, joined through its smallest member.
 3. Prefix filter: of two sets that reach the threshold t, the first |x| - ceil(t |x|) + 1 n-grams share one. Prefix n-grams
    are the join keys. Length filter: the smaller set has t of the larger's size at least. Positional filter: what may still
-   follow the shared n-gram must reach the overlap needed. Suffix filter: the sets are halved at a value in the order, and
-   the halves' sizes bound the overlap.
+   follow the shared n-gram must reach the overlap needed. Suffix filter: both sets are divided at the same values, and the
+   sizes of their parts bound the overlap: 128 parts while pairs are searched, halves of halves before whole sets are met.
 4. Each pair of classes is verified once, on whole sets. Members of a key are first linked in a chain by size and to a hub,
    and only pairs whose ends are still in different components after that are enumerated; a group of m near copies costs
    about m pairs and not their square, and no link between components is lost.
@@ -66,45 +66,73 @@ def sizes(docs: DataFrame, size: int = 5) -> DataFrame:
     return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(count, "doc_id bigint, n_shingles bigint")
 
 
-def _shared_part(batches):
-    """Of a bucket: doc_id, its number of n-grams in all, and the packed (times, n-gram) that occur again."""
-    out, size = [], 0
-
-    def flush():
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "n", "part"])
-
-    for ids, many, totals, hashes, times in repeats.repeated(batches):
-        hit = times > 1
-        pairs = np.empty(int(hit.sum()), dtype=[("times", "<u4"), ("low", "<u4"), ("high", "<u2")])
-        pairs["times"] = np.minimum(times[hit], 0xFFFFFFFF)
-        pairs["low"], pairs["high"] = hashes[hit] & np.uint64(0xFFFFFFFF), hashes[hit] >> np.uint64(32)
-        of = np.repeat(np.arange(len(ids)), many)[hit]
-        cuts = np.searchsorted(of, np.arange(len(ids) + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            out.append((int(ids[k]), int(totals[k]), pairs[cuts[k] : cuts[k + 1]].tobytes()))
-            size += cuts[k + 1] - cuts[k]
-        if size > 1 << 18:
+_PAIR = np.dtype([("times", "<u4"), ("low", "<u4"), ("high", "<u2")])
+CHUNKS = 16  # chunks of documents for each bucket
+
+
+def _shared_part(chunks: int):
+    """Of a bucket: the (times, n-gram) that occur again, packed for each chunk of documents with ids, sizes and counts."""
+
+    def shared(batches):
+        held, size = [], 0
+
+        def flush():
+            ids, totals, many, pairs = (np.concatenate([h[k] for h in held]) for k in range(4))
+            chunk = (mix(ids.view(np.uint64)) % np.uint64(chunks)).astype(np.int32)
+            order = np.argsort(chunk, kind="stable")
+            starts = np.cumsum(many) - many
+            out = []
+            cuts = np.append(np.flatnonzero(np.diff(chunk[order], prepend=-1)), len(order))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                own = order[lo:hi]
+                packed = b"".join(pairs[starts[k] : starts[k] + many[k]].tobytes() for k in own)
+                out.append((int(chunk[own[0]]), ids[own].tobytes(), totals[own].tobytes(), many[own].tobytes(), packed))
+            return pa.record_batch([pa.array(c, x) for c, x in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["chunk", "ids", "totals", "many", "pairs"])
+
+        for ids, many, totals, hashes, times in repeats.repeated(batches):
+            hit = times > 1
+            own = np.bincount(np.repeat(np.arange(len(ids)), many)[hit], minlength=len(ids))
+            if not hit.any():
+                continue
+            pairs = np.empty(int(hit.sum()), dtype=_PAIR)
+            pairs["times"] = np.minimum(times[hit], 0xFFFFFFFF)
+            pairs["low"], pairs["high"] = hashes[hit] & np.uint64(0xFFFFFFFF), hashes[hit] >> np.uint64(32)
+            some = own > 0
+            held.append((ids[some].astype("<i8"), totals[some].astype("<u4"), own[some].astype("<i8"), pairs))
+            size += len(pairs)
+            if size > 1 << 22:
+                yield flush()
+                held, size = [], 0
+        if held:
             yield flush()
-            out, size = [], 0
-    yield flush()
+
+    return shared
 
 
 def _ordered(t: int):
-    """(doc_id, n, parts) to (doc_id, n, k, grams): all its shared n-grams from rare to frequent; the first k are its prefix."""
+    """Chunks to (doc_id, n, k, grams): all shared n-grams of a document from rare to frequent; the first k are its prefix."""
 
     def order(batches):
         for batch in batches:
-            rows = []
-            for doc_id, n, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pairs = np.frombuffer(b"".join(parts), dtype=[("times", "<u4"), ("low", "<u4"), ("high", "<u2")])
-                # equal low bits in different buckets differ by the bucket, which the mixed value keeps apart well enough
+            for parts in batch.column("parts").to_pylist():
+                read = lambda name, kind: np.concatenate([np.frombuffer(p[name], kind) for p in parts])  # noqa: B023, E731
+                ids, totals, many, pairs = read("ids", "<i8"), read("totals", "<u4"), read("many", "<i8"), read("pairs", _PAIR)
+                doc, place = np.unique(ids, return_inverse=True)
+                n_of = np.zeros(len(doc), np.int64)
+                np.maximum.at(n_of, place, totals)
+                # equal low bits in different buckets would differ in the bucket, which is left out here: once in 2**48
                 gram = pairs["low"].astype(np.uint64) | pairs["high"].astype(np.uint64) << np.uint64(32)
-                gram, first = np.unique(gram, return_index=True)
-                ranked = gram[np.lexsort((gram, pairs["times"][first]))]
-                k = n - needed(n, t) + 1 - (n - len(ranked))
-                if k > 0:
-                    rows.append((doc_id, n, k, ranked.astype("<u8").tobytes()))
-            yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "n", "k", "grams"])
+                of = np.repeat(place, many)
+                by = np.lexsort((gram, pairs["times"], of))
+                of, gram = of[by], gram[by]
+                new = np.ones(len(of), dtype=bool)
+                new[1:] = (of[1:] != of[:-1]) | (gram[1:] != gram[:-1])
+                of, gram = of[new], gram[new]
+                cuts = np.searchsorted(of, np.arange(len(doc) + 1))
+                shared = np.diff(cuts)
+                k_of = n_of - needed(n_of, t) + 1 - (n_of - shared)
+                rows = [(int(doc[d]), int(n_of[d]), int(k_of[d]), gram[cuts[d] : cuts[d + 1]].astype("<u8").tobytes()) for d in np.flatnonzero(k_of > 0)]
+                yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "n", "k", "grams"])
 
     return order
 
@@ -114,9 +142,10 @@ def candidate_sets(docs: DataFrame, size: int, t: int) -> Stored:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter("doc_id IS NOT NULL").selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
-    parts = repeats.dealt(rows, lambda c: shingles(c, size), buckets).mapInArrow(_shared_part, "doc_id bigint, n int, part binary")
-    sets = parts.groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list("part").alias("parts"))
-    return store(sets.mapInArrow(_ordered(t), "doc_id bigint, n int, k int, grams binary"), "sets")
+    parts = repeats.dealt(rows, lambda c: shingles(c, size), buckets).mapInArrow(_shared_part(buckets * CHUNKS), "chunk int, ids binary, totals binary, many binary, pairs binary")
+    # a chunk holds some hundred documents at any size of the corpus, since there are more chunks with more buckets
+    chunks = parts.groupBy("chunk").agg(F.collect_list(F.struct("ids", "totals", "many", "pairs")).alias("parts")).select("parts")
+    return store(chunks.mapInArrow(_ordered(t), "doc_id bigint, n int, k int, grams binary"), "sets")
 
 
 def _postings(batches):
@@ -164,6 +193,14 @@ def _links(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
 
 _BLOCK = 2048
+PARTS = 128
+
+
+def _part_sizes(batches):
+    """doc_id and how many of its shared n-grams are in each of PARTS ranges of their hashes."""
+    for batch in batches:
+        sizes = [np.bincount((mix(np.frombuffer(g.as_py(), "<u8")) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS).astype("<u4").tobytes() for g in batch.column("grams")]
+        yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.binary())], ["doc_id", "sizes"])
 
 
 def _across(t: int):
@@ -172,7 +209,7 @@ def _across(t: int):
     Of a pair, the smaller set is met in its index prefix: |x| - ceil(2 t / (1 + t) |x|) + 1. Members are compared in blocks.
     """
 
-    def pairs_of(g: np.ndarray):
+    def pairs_of(g: np.ndarray, sizes: np.ndarray):
         n, m, pos, root, doc = (g[:, k] for k in range(1, 6))
         index = np.flatnonzero(pos < n - -(-2 * t * n // (100 + t)) + 1 - (n - m))
         for lo in range(0, len(index), _BLOCK):
@@ -182,22 +219,31 @@ def _across(t: int):
                 need = -(-(n[i] + n[j]) * t // (100 + t))
                 ok &= np.minimum(pos[i], pos[j]) + 1 + np.minimum(m[i] - pos[i], m[j] - pos[j]) - 1 >= need
                 x, y = np.nonzero(ok)
-                if len(x):
-                    x, y = i[x, 0], j[0, y]
-                    yield pa.record_batch([pa.array(c) for c in (doc[x], doc[y], m[x] - pos[x] - 1, m[y] - pos[y] - 1, need_of(n[x], n[y]))], ["a", "b", "rest_a", "rest_b", "need"])
+                x, y = i[x, 0], j[0, y]
+                for k in range(0, len(x), 1 << 16):  # suffix filter
+                    part = slice(k, k + (1 << 16))
+                    both = np.minimum(sizes[x[part]], sizes[y[part]]).sum(1)
+                    near = both >= need_of(n[x[part]], n[y[part]])
+                    yield from emit(doc, n, m, pos, x[part][near], y[part][near])
+
+    def emit(doc, n, m, pos, x, y):
+        if len(x):
+            yield pa.record_batch([pa.array(c) for c in (doc[x], doc[y], m[x] - pos[x] - 1, m[y] - pos[y] - 1, need_of(n[x], n[y]))], ["a", "b", "rest_a", "rest_b", "need"])
 
     need_of = lambda x, y: -(-(x + y) * t // (100 + t))
 
     def across(batches):
-        held = np.zeros((0, 6), np.int64)
+        held, sizes = np.zeros((0, 6), np.int64), np.zeros((0, PARTS), np.uint32)
         for batch in batches:
             held = np.concatenate((held, np.column_stack([np.asarray(batch.column(c), dtype=np.int64) for c in ("gram", "n", "m", "pos", "root", "doc_id")])))
+            sizes = np.concatenate((sizes, np.frombuffer(b"".join(batch.column("sizes").to_pylist()), "<u4").reshape(-1, PARTS)))
             cuts = np.flatnonzero(np.diff(held[:, 0])) + 1
             for lo, hi in zip(np.append(0, cuts[:-1]), cuts, strict=False):
-                yield from pairs_of(held[lo:hi])
-            held = held[cuts[-1] :] if len(cuts) else held
+                yield from pairs_of(held[lo:hi], sizes[lo:hi])
+            if len(cuts):
+                held, sizes = held[cuts[-1] :], sizes[cuts[-1] :]
         if len(held):
-            yield from pairs_of(held)
+            yield from pairs_of(held, sizes)
 
     return across
 
@@ -222,8 +268,9 @@ def link_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
     placed = store(placed, "placed")
     postings.drop()
     several = placed.df.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("gram")
-    dealt = placed.df.join(several, "gram", "left_semi").repartition("gram").sortWithinPartitions("gram", "doc_id")
-    pairs = dealt.select("gram", "n", "m", "pos", "root", "doc_id").mapInArrow(_across(t), "a bigint, b bigint, rest_a bigint, rest_b bigint, need bigint")
+    parts = sets.df.mapInArrow(_part_sizes, "doc_id bigint, sizes binary")
+    dealt = placed.df.join(several, "gram", "left_semi").join(parts, "doc_id").repartition("gram").sortWithinPartitions("gram", "doc_id")
+    pairs = dealt.select("gram", "n", "m", "pos", "root", "doc_id", "sizes").mapInArrow(_across(t), "a bigint, b bigint, rest_a bigint, rest_b bigint, need bigint")
     # positional filter over all shared prefix n-grams: what is shared so far, and what can still follow
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("rest_a").alias("ra"), F.min("rest_b").alias("rb"), F.max("need").alias("need"))
     second = store(_links(pairs.filter("c + least(ra, rb) >= need"), sets.df, t), "links")
