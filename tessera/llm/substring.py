@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import repeats
 from tessera.llm.storage import Stored, release_shuffles, store
-from tessera.llm.wordhash import Words, slices, utf8, window_hashes, words
+from tessera.llm.wordhash import Words, mix, slices, utf8, window_hashes, words
 
 PERIOD = 13
 COVER = (0, 1, 3, 9)  # each difference modulo 13 occurs
@@ -52,23 +52,60 @@ def _anchor_hashes(size: int):
     return hasher
 
 
-def _answers(marks, bucket: int, out: list) -> None:
+_ANSWER = "chunk int, bucket int, ids binary, many binary, bits binary"
+CHUNKS = 16  # chunks of documents for each bucket
+
+
+def _answers(marks, bucket: int, chunks: int):
+    """Marked hashes of the documents that have any, packed for each chunk of documents: ids, counts and bits."""
+    names, kinds = ["chunk", "bucket", "ids", "many", "bits"], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    held, size = [], 0
+
+    def flush():
+        ids, many, mark = (np.concatenate([h[k] for h in held]) for k in range(3))
+        chunk = (mix(ids.view(np.uint64)) % np.uint64(chunks)).astype(np.int32)
+        order = np.argsort(chunk, kind="stable")
+        starts = np.cumsum(many) - many
+        cuts = np.append(np.flatnonzero(np.diff(chunk[order], prepend=-1)), len(order))
+        out = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[lo:hi]
+            bits = np.packbits(np.concatenate([mark[starts[k] : starts[k] + many[k]] for k in own]))
+            out.append((int(chunk[own[0]]), bucket, ids[own].tobytes(), many[own].astype("<u4").tobytes(), bits.tobytes()))
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
     for ids, many, mark in marks:
-        ends = np.cumsum(many)
         of = np.repeat(np.arange(len(ids)), many)
-        for k in np.flatnonzero(np.bincount(of, mark, minlength=len(ids))):
-            out.append((int(ids[k]), bucket, np.packbits(mark[ends[k] - many[k] : ends[k]]).tobytes(), int(many[k])))
-        if len(out) > 20_000:
-            yield _batch(out)
-            out.clear()
-
+        some = np.bincount(of, mark, minlength=len(ids)) > 0
+        if some.any():
+            held.append((ids[some].astype("<i8"), many[some], mark[some[of]]))
+            size += len(held[-1][2])
+            if size > 1 << 23:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
 
-def _batch(out: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], ["doc_id", "bucket", "bits", "many"])
 
+def _by_document(answers: DataFrame, name: str) -> DataFrame:
+    """s_id and ``name``: for each document with a mark its (bucket, many, bits)."""
 
-_ANSWER = "doc_id bigint, bucket int, bits binary, many int"
+    def split(batches):
+        for batch in batches:
+            for parts in batch.column("parts").to_pylist():
+                found: dict[int, list] = {}
+                for p in parts:
+                    ids, many = np.frombuffer(p["ids"], "<i8"), np.frombuffer(p["many"], "<u4").astype(np.int64)
+                    mark = np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=int(many.sum()))
+                    ends = np.cumsum(many)
+                    for k, doc_id in enumerate(ids.tolist()):
+                        bits = np.packbits(mark[ends[k] - many[k] : ends[k]]).tobytes()
+                        found.setdefault(doc_id, []).append({"bucket": p["bucket"], "many": int(many[k]), "bits": bits})
+                yield pa.record_batch([pa.array(found.keys(), pa.int64()), pa.array(found.values(), kind)], ["s_id", name])
+
+    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("many", pa.int32()), ("bits", pa.binary())]))
+    chunks = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "many", "bits")).alias("parts")).select("parts")
+    return chunks.mapInArrow(split, f"s_id bigint, {name} array<struct<bucket:int,many:int,bits:binary>>")
 
 
 def _split(batches):
@@ -84,18 +121,20 @@ def _split(batches):
     return first.column("bucket")[0].as_py(), again()
 
 
-def _repeated_anchors(batches):
-    bucket, batches = _split(batches)
-    out: list = []
-    yield from _answers(((ids, many, times > 1) for ids, many, _, _, times in repeats.repeated(batches)), bucket, out)
-    yield _batch(out)
+def _repeated_anchors(chunks: int):
+    def run(batches):
+        bucket, own = _split(batches)
+        yield from _answers(((ids, many, times > 1) for ids, many, _, _, times in repeats.repeated(own)), bucket, chunks)
+
+    return run
+
 
+def _later_windows(chunks: int):
+    def run(batches):
+        bucket, own = _split(batches)
+        yield from _answers(repeats.not_first(own), bucket, chunks)
 
-def _later_windows(batches):
-    bucket, batches = _split(batches)
-    out: list = []
-    yield from _answers(repeats.not_first(batches), bucket, out)
-    yield _batch(out)
+    return run
 
 
 def _unpacked(answers, hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -150,20 +189,16 @@ def _removed(w: Words, first: list, second: list, size: int, buckets: int) -> np
     return np.cumsum(cover)[:-1] > 0
 
 
-def _by_document(answers: DataFrame, name: str) -> DataFrame:
-    return answers.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "bits", "many")).alias(name)).withColumnRenamed("doc_id", "s_id")
-
-
 def _judged(docs: DataFrame, size: int) -> tuple[DataFrame, int, list[Stored]]:
     """``docs`` with s_first and s_second, the answers about its anchors and windows; the number of buckets; what to drop."""
     spark = docs.sparkSession
     buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     rows = docs.filter("doc_id IS NOT NULL").selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
-    found = repeats.dealt(rows, _anchor_hashes(size), buckets).mapInArrow(_repeated_anchors, _ANSWER)
+    found = repeats.dealt(rows, _anchor_hashes(size), buckets).mapInArrow(_repeated_anchors(buckets * CHUNKS), _ANSWER)
     first = store(_by_document(found, "s_first"), "anchors")
     release_shuffles(spark)
     again = rows.join(first.df, rows["doc_id"] == first.df["s_id"]).select("doc_id", "text", "s_first")
-    found = repeats.dealt(again, _window_hashes(size, buckets), buckets, width=8).mapInArrow(_later_windows, _ANSWER)
+    found = repeats.dealt(again, _window_hashes(size, buckets), buckets, width=8).mapInArrow(_later_windows(buckets * CHUNKS), _ANSWER)
     second = store(_by_document(found, "s_second"), "windows")
     release_shuffles(spark)
     both = first.df.join(second.df, "s_id")  # only documents with a later window lose words
