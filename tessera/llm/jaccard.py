@@ -67,7 +67,7 @@ def sizes(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 _PAIR = np.dtype([("times", "<u4"), ("low", "<u4"), ("high", "<u2")])
-CHUNKS = 16  # chunks of documents for each bucket
+CHUNKS = 2  # chunks of documents for each bucket
 
 
 def _shared_part(chunks: int):
@@ -143,7 +143,7 @@ def candidate_sets(docs: DataFrame, size: int, t: int) -> Stored:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter("doc_id IS NOT NULL").selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
     parts = repeats.dealt(rows, lambda c: shingles(c, size), buckets).mapInArrow(_shared_part(buckets * CHUNKS), "chunk int, ids binary, totals binary, many binary, pairs binary")
-    # a chunk holds some hundred documents at any size of the corpus, since there are more chunks with more buckets
+    # a chunk holds half as much as a bucket at any size of the corpus, since there are more chunks with more buckets
     chunks = parts.groupBy("chunk").agg(F.collect_list(F.struct("ids", "totals", "many", "pairs")).alias("parts")).select("parts")
     return store(chunks.mapInArrow(_ordered(t), "doc_id bigint, n int, k int, grams binary"), "sets")
 

@@ -58,9 +58,9 @@ def dealt(rows: DataFrame, hasher: Hasher, buckets: int, width: int = 6, text: i
                 bucket = bucket_of(hashes, buckets).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 bucket, of, hashes = bucket[order], of[order], hashes[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
+                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
                 out = []
-                for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                     heads = np.flatnonzero(np.diff(of[lo:hi], prepend=-1))
                     docs = of[lo:hi][heads]
                     counts = np.diff(np.append(heads, hi - lo)).astype("<u4")

@@ -53,7 +53,7 @@ def _anchor_hashes(size: int):
 
 
 _ANSWER = "chunk int, bucket int, ids binary, many binary, bits binary"
-CHUNKS = 16  # chunks of documents for each bucket
+CHUNKS = 2  # chunks of documents for each bucket
 
 
 def _answers(marks, bucket: int, chunks: int):
