@@ -39,18 +39,31 @@ def _tokens(column: str) -> str:
     return f"filter(split({x}, ' +'), t -> t <> '')"
 
 
-def _windows(table: DataFrame, key: str, lengths: list[int]) -> DataFrame:
-    """key, pos, size, hash and slots (the values in the window) of every window of ``lengths`` canonical tokens."""
-    tokens = table.selectExpr(f"{key} AS d_id", f"{_tokens('text')} AS d_raw")
-    tokens = tokens.withColumn("d_tokens", F.expr("transform(d_raw, t -> if(startswith(t, '\\u0001'), substr(t, 1, 2), t))"))
-    tokens = tokens.withColumn("d_slotted", F.expr("exists(d_raw, t -> startswith(t, '\\u0001'))"))
+def _tokenised(table: DataFrame, key: str) -> DataFrame:
+    """d_id and d_raw, the tokens with their values."""
+    return table.selectExpr(f"{key} AS d_id", f"{_tokens('text')} AS d_raw")
+
+
+def _windows(tokens: DataFrame, lengths: list[int]) -> DataFrame:
+    """d_id, d_raw, pos, size and hash of every window of ``lengths`` canonical tokens.
+
+    d_raw stands beside every window; a join in the same stage drops it with the windows that meet nothing, uncopied.
+    """
+    hashed = tokens.withColumn("d_hash", F.expr("transform(d_raw, t -> xxhash64(if(startswith(t, '\u0001'), substr(t, 1, 2), t)))"))
+    starts = "transform(sequence(1, greatest(1, size(d_hash) - {m})), i -> {one})"
+    if len(lengths) == 1:
+        n = lengths[0]
+        found = f"if(size(d_hash) >= {n}, {starts.format(m=n - 1, one=f'xxhash64(slice(d_hash, i, {n}))')}, NULL)"
+        return hashed.select("d_id", "d_raw", F.posexplode(F.expr(found)).alias("pos", "hash")).withColumn("size", F.lit(n))
     parts = []
     for n in lengths:
-        slots = f"if(d_slotted, filter(slice(d_raw, i, {n}), t -> startswith(t, '\\u0001')), cast(array() AS array<string>))"
-        one = f"struct(i - 1 AS pos, {n} AS size, xxhash64(array_join(slice(d_tokens, i, {n}), ' ')) AS hash, {slots} AS slots)"
-        parts.append(f"if(size(d_tokens) >= {n}, transform(sequence(1, greatest(1, size(d_tokens) - {n - 1})), i -> {one}), NULL)")
-    all_parts = f"flatten(array_compact(array({', '.join(parts)})))" if len(parts) > 1 else parts[0]
-    return tokens.select("d_id", F.explode(F.expr(all_parts)).alias("w")).select("d_id", "w.*")
+        one = f"struct(i - 1 AS pos, {n} AS size, xxhash64(slice(d_hash, i, {n})) AS hash)"
+        parts.append(f"if(size(d_hash) >= {n}, {starts.format(m=n - 1, one=one)}, NULL)")
+    found = F.expr(f"flatten(array_compact(array({', '.join(parts)})))")
+    return hashed.select("d_id", "d_raw", F.explode(found).alias("w")).select("d_id", "d_raw", "w.*")
+
+
+_SLOTS = "filter(slice(d_raw, pos + 1, size), t -> startswith(t, '\u0001'))"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, least: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -59,13 +72,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, least: int =
     lengths = items.selectExpr("item_id", f"size({_tokens('text')}) AS n").filter(f"n >= {least}")
     short = [r["n"] for r in lengths.filter(f"n < {size}").select("n").distinct().collect()]  # fewer than ``size`` values
     wanted = lengths.selectExpr("item_id AS i_id", f"least(n, {size}) AS i_size", f"greatest(n - {size - 1}, 1) AS item_windows")
-    known = _windows(items, "item_id", sorted({*short, size})).join(F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted, F.expr("d_id = i_id AND size = i_size"))
-    known = known.selectExpr("d_id AS item_id", "pos AS i_pos", "size AS i_size", "hash AS i_hash", "slots AS i_slots", "item_windows")
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    known = _windows(_tokenised(items, "item_id"), sorted({*short, size})).join(wanted, F.expr("d_id = i_id AND size = i_size"))
+    known = known.selectExpr("d_id AS item_id", "pos AS i_pos", "size AS i_size", "hash AS i_hash", f"{_SLOTS} AS i_slots", "item_windows")
     known = known.filter("i_size - size(i_slots) >= least(4, i_size - 1)")  # a window of placeholders says nothing
+    tokens = _tokenised(docs.select("doc_id", "text"), "doc_id")
+    same_window = F.expr("hash = i_hash AND size = i_size")
     if known.count() <= broadcast_rows:
-        known = F.broadcast(known)
-    found = _windows(docs.select("doc_id", "text"), "doc_id", sorted({*short, size}))
-    met = found.join(known, F.expr("hash = i_hash AND size = i_size AND size(slots) = size(i_slots)"))
+        met = _windows(tokens, sorted({*short, size})).join(F.broadcast(known), same_window)
+    else:  # hashes alone are shuffled; tokens come back to the documents that met an item
+        met = _windows(tokens, sorted({*short, size})).drop("d_raw").join(known, same_window).join(tokens, "d_id")
+    met = met.withColumn("slots", F.expr(_SLOTS)).filter("size(slots) = size(i_slots)")
     met = met.selectExpr("d_id AS doc_id", "item_id", "pos - i_pos AS shift", "i_pos", "item_windows", "slots = i_slots AS same", "arrays_zip(i_slots, slots) AS pairs")
     aligned = met.groupBy("doc_id", "item_id", "shift", "item_windows").agg(
         F.countDistinct("i_pos").alias("n_windows"), F.expr("bool_or(same)").alias("some_same"), F.expr("bool_and(same)").alias("all_same"),
