@@ -1,0 +1,155 @@
+"""The command line: ``python -m tessera.plans.cli <command>``."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import sys
+import time
+from dataclasses import replace
+from pathlib import Path
+
+from tessera.operators.features import FeatureStore
+from tessera.operators.models import TrainedModel
+from tessera.operators.similarity import merge_groups
+from tessera.operators.splits import attach_augmented, check_leakage, group_split
+from tessera.plans.experiment import ExperimentConfig, ablation_configs, leakage_comparison, predict_paths, run_experiment
+from tessera.plans.tracking import build_tracker, rows_to_csv
+from tessera.sources.manifest import numbered, read_manifest, read_splits, scan_folder, write_manifest, write_splits
+from tessera.sources.settings import Settings
+from tessera.sources.synthetic import generate_dataset
+
+
+def _spark():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.appName("tessera").getOrCreate()
+
+
+def _say(x) -> None:
+    print(json.dumps(x, indent=2, default=str))
+
+
+def _config(args, settings) -> ExperimentConfig:
+    config = ExperimentConfig.from_toml(args.config) if args.config else ExperimentConfig(seed=settings.seed, image_size=settings.image_size)
+    changes = {k: v for k in ("extractor", "classifiers") if (v := getattr(args, k, None))}
+    return replace(config, **changes).validate()
+
+
+def synth(args, settings) -> None:
+    _say({"images": generate_dataset(_spark(), args.out, args.leaves, args.views, args.size, args.seed, args.field)})
+
+
+def manifest(args, settings) -> None:
+    report = scan_folder(_spark(), args.root, args.source, compute_hash=not args.no_hash)
+    write_manifest(report.rows, args.out)
+    counts = report.class_counts()
+    _say({"images": sum(counts.values()), "classes": counts, "imbalance_ratio": round(report.imbalance_ratio(), 3), "grayscale": report.grayscale, "unknown_folders": report.unknown_folders, "corrupt": report.corrupt})
+
+
+def split(args, settings) -> None:
+    spark = _spark()
+    rows = merge_groups(read_manifest(spark, args.manifest), args.max_distance)
+    result = group_split(rows, tuple(args.fractions), settings.seed if args.seed is None else args.seed)
+    if args.augmented:
+        result = attach_augmented(result, read_manifest(spark, args.augmented), args.max_distance)
+    leaks = check_leakage(result.rows.drop("row_idx"), args.max_distance)  # before anything is written
+    out = write_splits(result, args.out or settings.splits_dir)
+    _say(result.summary() | {"leakage": leaks, "out": str(out)})
+
+
+def _runs(args, settings, configs) -> None:
+    spark = _spark()
+    rows = read_splits(spark, args.splits or settings.splits_dir)
+    field = read_manifest(spark, args.field) if args.field else None
+    store = FeatureStore(settings.cache_dir, settings.batch_size)
+    tracker = build_tracker(settings.tracker, settings.runs_dir, settings.experiment, settings.mlflow_uri)
+    _say([run_experiment(c, rows, store, tracker, field, settings.models_dir, settings.device).summary() for c in configs])
+
+
+def train(args, settings) -> None:
+    _runs(args, settings, [_config(args, settings)])
+
+
+def ablate(args, settings) -> None:
+    _runs(args, settings, ablation_configs(_config(args, settings), args.cnn))
+
+
+def leakage_check(args, settings) -> None:
+    rows = merge_groups(read_manifest(_spark(), args.manifest), args.max_distance)
+    _say(leakage_comparison(rows, _config(args, settings), FeatureStore(None, settings.batch_size), args.max_distance))
+
+
+def finetune(args, settings) -> None:
+    raise ImportError("fine-tuning a network needs torch, through pyspark.ml.torch.distributor")
+
+
+def predict(args, settings) -> None:
+    found = predict_paths(_spark(), TrainedModel.load(args.model), args.images, settings.batch_size, settings.device)
+    _say([r.asDict(recursive=True) for r in found.collect()])
+
+
+def runs(args, settings) -> None:
+    text = rows_to_csv(build_tracker(settings.tracker, settings.runs_dir, settings.experiment, settings.mlflow_uri).export_rows())
+    args.out.write_text(text, encoding="utf-8") if args.out else print(text, end="")
+
+
+def demo(args, settings) -> None:
+    """Synthetic images through manifest, groups, splits, three runs and the leakage comparison."""
+    began, spark, out = time.time(), _spark(), args.out
+    generate_dataset(spark, out / "lab", args.leaves)
+    generate_dataset(spark, out / "field", max(2, args.leaves // 5), 1, seed=1, field=True)
+    lab = merge_groups(scan_folder(spark, out / "lab", "lab").rows, 3).persist()
+    field = scan_folder(spark, out / "field", "field").rows
+    write_manifest(lab, out / "manifest.csv")
+    result = group_split(lab)
+    leaks = check_leakage(result.rows, 3)
+    write_splits(result, out / "splits")
+    rows = read_splits(spark, out / "splits")
+    config = ExperimentConfig(classifiers=["majority", "logreg", "rf"])
+    store, tracker = FeatureStore(out / "features"), build_tracker("json", out / "runs", settings.experiment)
+    summary = {"leakage": leaks, "runs": [run_experiment(c, rows, store, tracker, field, out / "models").summary() for c in ablation_configs(config)]}
+    summary["leakage_comparison"] = leakage_comparison(lab, replace(config, classifiers=["rf"], extractor="handcrafted"), store)
+    summary["seconds"] = round(time.time() - began, 1)
+    (out / "demo_summary.json").write_text(json.dumps(summary, indent=2), encoding="utf-8")
+    _say(summary)
+
+
+def build_parser() -> argparse.ArgumentParser:
+    parser = argparse.ArgumentParser(prog="tessera", description="Leakage-safe preparation and evaluation of labelled collections.")
+    commands = parser.add_subparsers(dest="command", required=True)
+
+    def add(name, func, *options) -> None:
+        own = commands.add_parser(name, help=(func.__doc__ or name).splitlines()[0])
+        for flags, kind in options:
+            own.add_argument(*flags.split(), **kind)
+        own.set_defaults(func=func)
+
+    path, number = {"type": Path}, {"type": int}
+    add("synth", synth, ("--out", path | {"required": True}), ("--leaves", number | {"default": 30}), ("--views", number | {"default": 3}), ("--size", number | {"default": 64}), ("--seed", number | {"default": 0}), ("--field", {"action": "store_true"}))
+    add("manifest", manifest, ("root", path), ("--source", {"required": True}), ("--out", path | {"required": True}), ("--no-hash", {"action": "store_true"}))
+    near = ("--max-distance", number | {"default": 3})
+    add("split", split, ("manifest", path), ("--augmented", path), ("--out", path), ("--fractions", {"type": float, "nargs": 3, "default": [0.7, 0.15, 0.15]}), near, ("--seed", number))
+    common = [("--config", path), ("--splits", path), ("--field", path), ("--extractor", {}), ("--classifiers", {"nargs": "+"})]
+    add("train", train, *common)
+    add("ablate", ablate, *common, ("--cnn", {"default": "pixelproj"}))
+    add("leakage-check", leakage_check, ("manifest", path), ("--config", path), ("--extractor", {"default": "handcrafted"}), ("--classifiers", {"nargs": "+", "default": ["rf"]}), near)
+    add("finetune", finetune, ("--splits", path), ("--arch", {"default": "tiny"}), ("--epochs", number | {"default": 5}), ("--size", number | {"default": 64}))
+    add("predict", predict, ("model", path), ("images", {"nargs": "+"}))
+    add("runs", runs, ("--out", path))
+    add("demo", demo, ("--out", path | {"default": Path("artifacts/demo")}), ("--leaves", number | {"default": 20}))
+    return parser
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = build_parser().parse_args(argv)
+    try:
+        args.func(args, Settings.from_env())
+    except (ValueError, OSError, ImportError, TypeError) as failed:
+        print(f"error: {failed}", file=sys.stderr)
+        return 2
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
