@@ -44,9 +44,3 @@ def store(df: DataFrame, name: str) -> Stored:
     return Stored(df.sparkSession, path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner delete the shuffle files of finished jobs that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
