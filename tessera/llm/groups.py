@@ -1,12 +1,10 @@
-"""Groups without hot tasks: first member of each group, and connected components."""
+"""The first member of each group, without a hot task for a hot group."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import Stored, store
-
 SALTS = 16
 
 
@@ -20,33 +18,3 @@ def with_first(rows: DataFrame, keys: list[str], member: str, name: str) -> Data
     firsts = firsts.withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("g_salt", F.expr(f"cast(pmod(xxhash64({member}), {SALTS}) AS int)"))
     return salted.join(firsts, [*keys, "g_salt"], "left").drop("g_salt").withColumn(name, F.coalesce(F.col(name), F.col(member)))
-
-
-def components(edges: DataFrame, rounds: int = 100) -> Stored:
-    """node and root (the smallest node of its component) of every node of ``edges`` (a, b), by alternating large and small stars.
-
-    Each round is written to the shared folder. Raises RuntimeError beyond ``rounds``, which no graph of that many nodes needs.
-    """
-    spark = edges.sparkSession
-    current = store(edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        both = current.df.union(current.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # large star: larger neighbours of a node move to its smallest neighbour
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a").selectExpr("b AS a", "m AS b").filter("a <> b").distinct()
-        # small star: a node and its smaller neighbours move to the smallest of these
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.filter("b <> m").selectExpr("b AS a", "m AS b").union(least.selectExpr("a", "m AS b")).distinct()
-        after = store(small, "edges")
-        state = after.df.selectExpr("count(*) AS n", "sum(xxhash64(a, b) % 1000000007) AS h").first()
-        current.drop()
-        current = after
-        if state == before:
-            roots = current.df.selectExpr("a AS node", "b AS root")
-            out = store(roots.union(current.df.selectExpr("b AS node", "b AS root").distinct()), "components")
-            current.drop()
-            return out
-        before = state
-    raise RuntimeError(f"no fixed point after {rounds} rounds")

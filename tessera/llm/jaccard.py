@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats
-from tessera.llm.groups import components, with_first
+from tessera.llm.groups import with_first
 from tessera.llm.storage import Stored, store
 from tessera.llm.wordhash import mix, runs_inside, slices, utf8, window_hashes, words
+from tessera.operators.groups import components
 
 
 def needed(n, t: int):
@@ -264,7 +265,7 @@ def link_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
     first = store(_links(best.selectExpr("hub AS a", "doc_id AS b"), sets.df, t), "links")
     roots = components(first.df)
     # then what may link two components
-    placed = postings.df.join(roots.df.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = postings.df.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     placed = store(placed, "placed")
     postings.drop()
     several = placed.df.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("gram")
@@ -275,10 +276,10 @@ def link_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("rest_a").alias("ra"), F.min("rest_b").alias("rb"), F.max("need").alias("need"))
     second = store(_links(pairs.filter("c + least(ra, rb) >= need"), sets.df, t), "links")
     placed.drop()
-    more = second.df.union(roots.df.selectExpr("root AS a", "node AS b").filter("a <> b"))
+    more = second.df.union(roots.selectExpr("root AS a", "node AS b").filter("a <> b"))
     final = components(more)
     sets.drop()
-    out = members.df.join(final.df.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("doc_id", "coalesce(root, rep) AS component_id")
+    out = members.df.join(final.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("doc_id", "coalesce(root, rep) AS component_id")
     return out.filter("doc_id <> component_id").unionByName(out.filter("doc_id <> component_id").selectExpr("component_id AS doc_id", "component_id").distinct())
 
 

@@ -1,52 +1,17 @@
-"""Tables in the folder that the driver and all executors share."""
+"""Tables in the shared folder, as the whole library keeps them, and the release of finished shuffles."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-_SETTING = "spark.checkpoint.dir"
+from tessera.sources.shared import Stored, new_path, shared_folder, store
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where the setting is missing on a local master."""
-    base = spark.conf.get(_SETTING, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set(_SETTING, base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-class Stored:
-    """A written table: ``df`` reads it, ``drop()`` deletes it once nothing needs it."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.df: DataFrame = spark.read.parquet(path)
-
-    def drop(self) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def store(df: DataFrame, name: str) -> Stored:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return Stored(df.sparkSession, path)
+__all__ = ["Stored", "new_path", "release_shuffles", "shared_folder", "store"]
 
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner delete the shuffle files of finished jobs that nothing refers to any more."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
