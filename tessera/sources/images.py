@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.pixels import canonical_hash, is_grayscale, resize
 
@@ -39,8 +40,7 @@ def loaded(files: DataFrame) -> DataFrame:
     if not own:
         return files.withColumn("image", F.expr("cast(NULL AS struct<height:int,width:int,nChannels:int,data:binary>)"))
     read = spark.read.format("image").option("dropInvalid", False).load([Path(f).as_uri() for f in own])
-    plain = F.udf(_plain_path, "string")
-    found = read.select(plain("image.origin").alias("i_path"), F.when(F.col("image.height") > 0, F.struct("image.height", "image.width", "image.nChannels", "image.data")).alias("image"))
+    found = read.select(_plain_paths("image.origin").alias("i_path"), F.when(F.col("image.height") > 0, F.struct("image.height", "image.width", "image.nChannels", "image.data")).alias("image"))
     return files.join(found, files["path"] == found["i_path"], "left").drop("i_path")
 
 
@@ -50,6 +50,11 @@ def _plain_path(uri: str) -> str:
     return unquote(urlsplit(uri).path) if uri.startswith("file:") else uri
 
 
+@F.arrow_udf(T.StringType())
+def _plain_paths(uris: pa.Array) -> pa.Array:
+    return pa.array([_plain_path(u) if u else u for u in uris.to_pylist()], pa.string())
+
+
 def read_images(files: DataFrame, compute_hash: bool = True) -> DataFrame:
     """``files`` with phash, gray and error."""
 
