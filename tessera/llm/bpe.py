@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WORDS_HELD = 200_000  # words that a worker remembers; then it begins anew
+_WORDS_HELD = 500_000  # words that a worker remembers; then it begins anew
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,15 +41,16 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if len(word) > 100:
         return _fold_long(word, ranks)
     parts = [word[k : k + 1] for k in range(len(word))]
-    while len(parts) > 1:
-        best, at = None, 0
-        for k in range(len(parts) - 1):
-            r = ranks.get(parts[k] + parts[k + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, k
-        if best is None:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    rank_of, none = ranks.get, 1 << 40
+    pairs = [rank_of(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while pairs and (best := min(pairs)) < none:
+        k = pairs.index(best)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        del pairs[k]
+        if k < len(pairs):
+            pairs[k] = rank_of(parts[k] + parts[k + 1], none)
+        if k:
+            pairs[k - 1] = rank_of(parts[k - 1] + parts[k], none)
     return [ranks[p] for p in parts]
 
 
