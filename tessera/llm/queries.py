@@ -89,4 +89,32 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "list_filter(string_split_regex(coalesce({}, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HEADER = "CASE role WHEN 'user' THEN 4 WHEN 'system' THEN 6 WHEN 'assistant' THEN 9 WHEN 'tool' THEN 4 END + 6"
+_CONFLICT = r"regexp_matches(text, '\\(### |</turn>)') OR regexp_matches(text, '</turn>(\n|$)')"
+
+#: For DuckDB, where SQL expresses the result; the learned, compressed and tokenised ones are tested in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w)),
+        n AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY doc_id),
+        o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o.c >= 75 * (x.c + y.c - o.c)),
+        sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT sym.b, root FROM reach JOIN sym ON sym.a = node AND root < sym.b)
+        SELECT doc_id, coalesce(c, 0) AS n_shingles, component_id FROM (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node) LEFT JOIN n USING (doc_id)""",
+    "op6_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS rn FROM windows) WHERE rn > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+        places AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+        kept AS (SELECT p.doc_id, string_agg(x, ' ' ORDER BY p.i) AS t, count(*) AS n FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY p.doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op10_chat_formatting": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+        s AS (SELECT *, {_HEADER} + length(text) + if({_CONFLICT}, len(regexp_extract_all(text, '### |</turn>')), 0) + 9 AS chars FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        sum(chars)::BIGINT AS formatted_chars FROM s GROUP BY conv_id""",
+}
