@@ -17,8 +17,8 @@ from tessera.llm.storage import release_shuffles, store
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 at least."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    found = store(quality.with_statistics(labelled).select("doc_id", "q"), "statistics")
+    # statistics of all documents, since a join before them would shuffle the texts
+    found = store(quality.with_statistics(docs.select("doc_id", "text")).select("doc_id", "q"), "statistics")
     return quality.keep_good(docs, quality.fit(quality.training_rows(found.df, labels)), 0.3)
 
 
