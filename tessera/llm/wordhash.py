@@ -127,7 +127,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 * SEGMENT):
+def slices(batch: pa.RecordBatch, column: int, most: int = SEGMENT):
     """Parts of a batch of at most ``most`` text bytes, or of one row."""
     lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
     sums, k = np.cumsum(lengths), 0
