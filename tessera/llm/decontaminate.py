@@ -7,8 +7,9 @@ windows (all, of a shorter item) are equal as templates and the values were exch
 always stands for one value of the document, and the other way round. That catches questions with new parameters.
 
 The benchmark's windows are broadcast only while they are few (``broadcast_rows``, counted first); beyond that the join
-shuffles. No document's text is shuffled. Items shorter than a window are one window of their own length; below ``least``
-tokens an item is not searched, since it would be found everywhere.
+shuffles. No document's text is shuffled. Items shorter than a window are one window of their own length. A window with
+fewer than 4 literal tokens, and an item below ``least`` tokens, says little as a template and is hashed with its values,
+so it meets only its verbatim copies. An item of a single token is not searched, since it would be found everywhere.
 
 Defined cases: a null text has no tokens; an item or document that occurs again gives its rows once; a null document id
 is reported as null, a null item id is not searched; an empty benchmark or corpus gives no rows; extra columns play no part.
@@ -24,7 +25,7 @@ UNITS = (
     "% percent km m cm mm miles mile feet foot inches inch kg g mg grams gram lb pounds pound oz tons ton l ml liters litres liter litre "
     "s ms seconds second min minutes minute h hours hour days day weeks week months month years year dollars dollar euros euro cents cent usd eur gbp mph kmh degrees"
 ).split()
-_SPACES = "[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+"
+_MARK = "\u0001"
 
 
 def _tokens(column: str) -> str:
@@ -44,23 +45,21 @@ def _tokenised(table: DataFrame, key: str) -> DataFrame:
     return table.selectExpr(f"{key} AS d_id", f"{_tokens('text')} AS d_raw")
 
 
-def _windows(tokens: DataFrame, lengths: list[int]) -> DataFrame:
+def _windows(tokens: DataFrame, lengths: list[int], least: int) -> DataFrame:
     """d_id, d_raw, pos, size and hash of every window of ``lengths`` canonical tokens.
 
     d_raw stands beside every window; a join in the same stage drops it with the windows that meet nothing, uncopied.
+    Windows of few literal tokens or of less than ``least`` tokens are hashed with their values.
     """
-    hashed = tokens.withColumn("d_hash", F.expr("transform(d_raw, t -> xxhash64(if(startswith(t, '\u0001'), substr(t, 1, 2), t)))"))
-    starts = "transform(sequence(1, greatest(1, size(d_hash) - {m})), i -> {one})"
-    if len(lengths) == 1:
-        n = lengths[0]
-        found = f"if(size(d_hash) >= {n}, {starts.format(m=n - 1, one=f'xxhash64(slice(d_hash, i, {n}))')}, NULL)"
-        return hashed.select("d_id", "d_raw", F.posexplode(F.expr(found)).alias("pos", "hash")).withColumn("size", F.lit(n))
-    parts = []
-    for n in lengths:
-        one = f"struct(i - 1 AS pos, {n} AS size, xxhash64(slice(d_hash, i, {n})) AS hash)"
-        parts.append(f"if(size(d_hash) >= {n}, {starts.format(m=n - 1, one=one)}, NULL)")
-    found = F.expr(f"flatten(array_compact(array({', '.join(parts)})))")
-    return hashed.select("d_id", "d_raw", F.explode(found).alias("w")).select("d_id", "d_raw", "w.*")
+    hashed = tokens.selectExpr(
+        "d_id", "d_raw", f"cast(array_join(transform(d_raw, t -> if(startswith(t, '{_MARK}'), 'v', 'l')), '') AS binary) AS d_kinds",
+        f"transform(d_raw, t -> xxhash64(if(startswith(t, '{_MARK}'), substr(t, 1, 2), t))) AS d_template", "transform(d_raw, t -> xxhash64(t)) AS d_exact",
+    )
+    at = hashed.select("*", F.posexplode("d_exact").alias("pos", "d_one"))
+    at = at.withColumn("size", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths)))).filter("pos + size <= size(d_exact)")
+    at = at.withColumn("n_values", F.expr("length(translate(cast(substring(d_kinds, pos + 1, size) AS string), 'l', ''))"))
+    few = f"(size - n_values < least(4, size - 1) OR size < {least})"
+    return at.selectExpr("d_id", "d_raw", "pos", "size", f"xxhash64(slice(if({few}, d_exact, d_template), pos + 1, size)) AS hash")
 
 
 _SLOTS = "filter(slice(d_raw, pos + 1, size), t -> startswith(t, '\u0001'))"
@@ -69,19 +68,18 @@ _SLOTS = "filter(slice(d_raw, pos + 1, size), t -> startswith(t, '\u0001'))"
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, least: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows and exact of every leaked pair."""
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", "text").distinct()
-    lengths = items.selectExpr("item_id", f"size({_tokens('text')}) AS n").filter(f"n >= {least}")
+    lengths = items.selectExpr("item_id", f"size({_tokens('text')}) AS n").filter("n >= 2")
     short = [r["n"] for r in lengths.filter(f"n < {size}").select("n").distinct().collect()]  # fewer than ``size`` values
     wanted = lengths.selectExpr("item_id AS i_id", f"least(n, {size}) AS i_size", f"greatest(n - {size - 1}, 1) AS item_windows")
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    known = _windows(_tokenised(items, "item_id"), sorted({*short, size})).join(wanted, F.expr("d_id = i_id AND size = i_size"))
+    known = _windows(_tokenised(items, "item_id"), sorted({*short, size}), least).join(wanted, F.expr("d_id = i_id AND size = i_size"))
     known = known.selectExpr("d_id AS item_id", "pos AS i_pos", "size AS i_size", "hash AS i_hash", f"{_SLOTS} AS i_slots", "item_windows")
-    known = known.filter("i_size - size(i_slots) >= least(4, i_size - 1)")  # a window of placeholders says nothing
     tokens = _tokenised(docs.select("doc_id", "text"), "doc_id")
     same_window = F.expr("hash = i_hash AND size = i_size")
     if known.count() <= broadcast_rows:
-        met = _windows(tokens, sorted({*short, size})).join(F.broadcast(known), same_window)
+        met = _windows(tokens, sorted({*short, size}), least).join(F.broadcast(known), same_window)
     else:  # hashes alone are shuffled; tokens come back to the documents that met an item
-        met = _windows(tokens, sorted({*short, size})).drop("d_raw").join(known, same_window).join(tokens, "d_id")
+        met = _windows(tokens, sorted({*short, size}), least).drop("d_raw").join(known, same_window).join(tokens, "d_id")
     met = met.withColumn("slots", F.expr(_SLOTS)).filter("size(slots) = size(i_slots)")
     met = met.selectExpr("d_id AS doc_id", "item_id", "pos - i_pos AS shift", "i_pos", "item_windows", "slots = i_slots AS same", "arrays_zip(i_slots, slots) AS pairs")
     aligned = met.groupBy("doc_id", "item_id", "shift", "item_windows").agg(

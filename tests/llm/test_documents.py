@@ -276,3 +276,14 @@ def test_classifiers_without_training_rows(spark):
     model = quality.fit(quality.training_rows(quality.with_statistics(docs), none))
     assert [r["s"] for r in quality.with_statistics(docs).selectExpr(f"{model.score()} AS s").collect()] == [0.5, 0.5]
     assert [r["s"] for r in docs.select(toxicity.fit(docs, none).score()("text").alias("s")).collect()] == [0.5, 0.5]
+
+
+def test_decontamination_of_short_and_numeric_items(spark):
+    """Verbatim copies of items that are nearly all placeholders, or short, are found; the same templates with other values are not."""
+    texts = ["What is 12 + 7 - 30 * 4 + 2 - 9 ?", "Solve: 14 + 35 = 49, 18 + 27 = 45, 36 + 47 = ?", "Compute 3 4 5 6 7 8 9 10 11 12 13 14", "What is 7 + 5?", "12 km + 30 km"]
+    items = spark.createDataFrame(list(enumerate(texts)), BENCHMARK)
+    copies = [(k, f"alpha beta. {t} gamma") for k, t in enumerate(texts)]
+    others = [(10 + k, "".join("8" if c.isdigit() else c for c in t)) for k, (_, t) in enumerate(copies)]
+    for broadcast_rows in (1_000_000, 0):
+        got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.matches(frame(spark, copies + others), items, broadcast_rows=broadcast_rows).collect()}
+        assert got == {(k, k): True for k in range(len(texts))}
