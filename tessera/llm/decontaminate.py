@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Numbers, names (capitalised words inside a sentence) and units after a number become typed placeholders that keep their
-value; case and punctuation go. Windows of canonical tokens are hashed and joined with the benchmark's. Matches of a
+value; case, punctuation and kinds of white space go. Windows of canonical tokens are hashed and joined with the benchmark's,
+with names as plain words, so that a copy in other case or wrapped otherwise meets its item, and where a window holds names
+also with names as placeholders. Matches of a
 document and an item at one distance form an alignment. It counts if a window is equal in its values too, or if three
 windows (all, of a shorter item) are equal as templates and the values were exchanged consistently: one value of the item
 always stands for one value of the document, and the other way round. That catches questions with new parameters.
@@ -33,8 +35,11 @@ def _tokens(column: str) -> str:
     mark = "\\u0001"
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
     x = f"coalesce({column}, '')"
-    x = f"regexp_replace({x}, '(?<=[\\\\p{{L}}\\\\p{{N}},;] )(?=\\\\p{{Lu}}\\\\p{{Ll}})', '{mark}m')"
-    x = f"regexp_replace(lower({x}), '(\\\\d) ?((?:{units})(?![\\\\p{{L}}\\\\p{{N}}]))', '$1 {mark}u$2')"
+    blank = "\\\\s\\\\x01\\\\x85\\\\p{Z}"
+    x = f"regexp_replace({x}, '[{blank}&&[^ ]][{blank}]*| [{blank}]+', ' ')"
+    x = f"regexp_replace({x}, '(\\\\d) ?((?i:{units})(?![\\\\p{{L}}\\\\p{{N}}]))', '$1 {mark}u$2')"
+    x = f"regexp_replace({x}, '(?=\\\\p{{Lu}}\\\\p{{Ll}})(?<=[\\\\p{{L}}\\\\p{{N}},;] )', '{mark}m')"
+    x = f"lower(upper({x}))"  # a sharp s is written SS in upper case
     x = f"regexp_replace({x}, '(?<![\\\\p{{L}}\\\\p{{N}}.,{mark}])(?=\\\\d)', '{mark}n')"
     x = f"regexp_replace({x}, '[^\\\\p{{L}}\\\\p{{N}}{mark}.,%]+|(?<!\\\\d)[.,]+|[.,]+(?!\\\\d)', ' ')"
     return f"filter(split({x}, ' +'), t -> t <> '')"
@@ -49,20 +54,32 @@ def _windows(tokens: DataFrame, lengths: list[int], least: int) -> DataFrame:
     """d_id, d_raw, pos, size and hash of every window of ``lengths`` canonical tokens.
 
     d_raw stands beside every window; a join in the same stage drops it with the windows that meet nothing, uncopied.
-    Windows of few literal tokens or of less than ``least`` tokens are hashed with their values.
+    Windows of few literal tokens or of less than ``least`` tokens are hashed with their values. A window with names has two rows.
     """
     hashed = tokens.selectExpr(
-        "d_id", "d_raw", f"cast(array_join(transform(d_raw, t -> if(startswith(t, '{_MARK}'), 'v', 'l')), '') AS binary) AS d_kinds",
-        f"transform(d_raw, t -> xxhash64(if(startswith(t, '{_MARK}'), substr(t, 1, 2), t))) AS d_template", "transform(d_raw, t -> xxhash64(t)) AS d_exact",
+        "d_id", "d_raw", f"cast(array_join(transform(d_raw, t -> if(startswith(t, '{_MARK}'), if(startswith(t, '{_MARK}m'), 'm', 'v'), 'l')), '') AS binary) AS d_kinds",
+        f"transform(d_raw, t -> xxhash64(if(startswith(t, '{_MARK}'), substr(t, 1, 2), t))) AS d_template",
+        f"transform(d_raw, t -> xxhash64(CASE WHEN NOT startswith(t, '{_MARK}') THEN t WHEN startswith(t, '{_MARK}m') THEN substr(t, 3) ELSE substr(t, 1, 2) END)) AS d_named",
+        f"transform(d_raw, t -> xxhash64({_value('t')})) AS d_exact",
     )
     at = hashed.select("*", F.posexplode("d_exact").alias("pos", "d_one"))
     at = at.withColumn("size", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths)))).filter("pos + size <= size(d_exact)")
-    at = at.withColumn("n_values", F.expr("length(translate(cast(substring(d_kinds, pos + 1, size) AS string), 'l', ''))"))
-    few = f"(size - n_values < least(4, size - 1) OR size < {least})"
-    return at.selectExpr("d_id", "d_raw", "pos", "size", f"xxhash64(slice(if({few}, d_exact, d_template), pos + 1, size)) AS hash")
+    at = at.withColumn("kinds", F.expr("cast(substring(d_kinds, pos + 1, size) AS string)"))
+    few = f"(size - length(translate(kinds, '{{}}', '')) < least(4, size - 1) OR size < {least})"
+    at = at.withColumn("named", F.expr(f"xxhash64(slice(if({few.format('lm')}, d_exact, d_named), pos + 1, size))"))
+    both = f"if(instr(kinds, 'm') > 0 AND NOT {few.format('l')}, array(named, xxhash64(slice(d_template, pos + 1, size))), array(named))"
+    return at.select("d_id", "d_raw", "pos", "size", F.explode(F.expr(both)).alias("hash"))
 
 
-_SLOTS = "filter(slice(d_raw, pos + 1, size), t -> startswith(t, '\u0001'))"
+def _value(token: str) -> str:
+    """SQL: a token with its value; a name is the plain word, since only its case makes it a name."""
+    return f"if(startswith({token}, '{_MARK}m'), substr({token}, 3), {token})"
+
+
+#: A window's tokens. Pairs of values stand where the item has placeholders.
+_WINDOW = "slice(d_raw, pos + 1, size)"
+_PAIRS = f"transform(filter(arrays_zip(i_window, window), p -> startswith(p.i_window, '{_MARK}')), p -> struct({_value('p.i_window')} AS i_slots, {_value('p.window')} AS slots))"
+_SAME = f"transform(i_window, t -> {_value('t')}) = transform(window, t -> {_value('t')})"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, least: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -73,15 +90,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, least: int =
     wanted = lengths.selectExpr("item_id AS i_id", f"least(n, {size}) AS i_size", f"greatest(n - {size - 1}, 1) AS item_windows")
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     known = _windows(_tokenised(items, "item_id"), sorted({*short, size}), least).join(wanted, F.expr("d_id = i_id AND size = i_size"))
-    known = known.selectExpr("d_id AS item_id", "pos AS i_pos", "size AS i_size", "hash AS i_hash", f"{_SLOTS} AS i_slots", "item_windows")
+    known = known.selectExpr("d_id AS item_id", "pos AS i_pos", "size AS i_size", "hash AS i_hash", f"{_WINDOW} AS i_window", "item_windows")
     tokens = _tokenised(docs.select("doc_id", "text"), "doc_id")
     same_window = F.expr("hash = i_hash AND size = i_size")
     if known.count() <= broadcast_rows:
         met = _windows(tokens, sorted({*short, size}), least).join(F.broadcast(known), same_window)
     else:  # hashes alone are shuffled; tokens come back to the documents that met an item
         met = _windows(tokens, sorted({*short, size}), least).drop("d_raw").join(known, same_window).join(tokens, "d_id")
-    met = met.withColumn("slots", F.expr(_SLOTS)).filter("size(slots) = size(i_slots)")
-    met = met.selectExpr("d_id AS doc_id", "item_id", "pos - i_pos AS shift", "i_pos", "item_windows", "slots = i_slots AS same", "arrays_zip(i_slots, slots) AS pairs")
+    met = met.withColumn("window", F.expr(_WINDOW))
+    met = met.selectExpr("d_id AS doc_id", "item_id", "pos - i_pos AS shift", "i_pos", "item_windows", f"{_SAME} AS same", f"{_PAIRS} AS pairs")
     aligned = met.groupBy("doc_id", "item_id", "shift", "item_windows").agg(
         F.countDistinct("i_pos").alias("n_windows"), F.expr("bool_or(same)").alias("some_same"), F.expr("bool_and(same)").alias("all_same"),
         F.expr("array_distinct(flatten(collect_set(pairs)))").alias("pairs"),

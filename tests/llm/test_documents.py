@@ -287,3 +287,12 @@ def test_decontamination_of_short_and_numeric_items(spark):
     for broadcast_rows in (1_000_000, 0):
         got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.matches(frame(spark, copies + others), items, broadcast_rows=broadcast_rows).collect()}
         assert got == {(k, k): True for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("text", ["Ein Händler verkauft am Montag 40 Kilo Äpfel und am Dienstag 25 Kilo Birnen auf der Straße, wie viel Obst hat Anna nach 7 Tagen", "What is 12 + 7 - 30 * 4 + 2 - 9 ?", "Call Anna Now"])
+def test_decontamination_of_other_case_and_wrapping(spark, text):
+    copies = [text, text.lower(), text.upper(), text.title(), text.replace(" ", "\n"), text.replace(" ", " \t \r\n    "), text.replace(" ", " ").lower()]
+    items = spark.createDataFrame([(1, text), (2, text.lower())], BENCHMARK)
+    docs = [(k, f"alpha beta {c} gamma") for k, c in enumerate(copies)] + [(100, "alpha Beta gamma"), (101, None)]
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.matches(frame(spark, docs), items).collect()}
+    assert got == {(k, i): True for k in range(len(copies)) for i in (1, 2)}
