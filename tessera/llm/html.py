@@ -5,7 +5,8 @@ many tasks. In a group each page's DOM is aligned to the first page's by simple
 same text in every aligned page is template; varying slots are content. Pages that agree with the first one in most of
 their text are copies and do not vote, so a copied article is not taken for template. Beside that, elements that
 HTML or their names mark as menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments are left out,
-and where a page marks its article (``article``, ``main`` or a like role or name), only that is read.
+and where a page marks its article (``article`` or ``main``), only that is read. Without these elements, all outermost ones
+with a like class or id are read if they hold most of the page's text that names do not exclude, else the whole page.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
@@ -149,24 +150,25 @@ def _is_article(node: Node) -> bool:
     return node.tag in ("article", "main") or node.tag in ("div", "section", "td") and (any(w in ARTICLE for w in node.words) or node.words == ("content",))
 
 
-def _articles(root: Node) -> list[Node]:
-    """The outermost marked articles; those named by their element come before those named by a class."""
-    strong, weak, stack = [], [], [root]
+def _articles(root: Node) -> tuple[list[Node], bool]:
+    """The outermost marked articles, and whether their element says so; those come before all named by a class or id."""
+    strong, weak, stack = [], [], [(root, False)]
     while stack:
-        node = stack.pop()
+        node, inside = stack.pop()
         if node.tag == "main" or node.tag == "article" and not _excluded(node, False):
             strong.append(node)
             continue
-        if _is_article(node):
+        if not inside and _is_article(node):
             weak.append(node)
-        stack.extend(c for c in reversed(node.children) if type(c) is Node and not _excluded(c, False))
+            inside = True
+        stack.extend((c, inside) for c in reversed(node.children) if type(c) is Node and not _excluded(c, False))
     if strong:
         inner = []
         for node in strong:  # a main element may hold the article beside other things
             found = _articles_in(node) if node.tag == "main" else []
             inner.extend(found or [node])
-        return inner
-    return weak[:1] if weak else []
+        return inner, True
+    return weak, False
 
 
 def _articles_in(main: Node) -> list[Node]:
@@ -203,20 +205,25 @@ def _link_list(node: Node) -> bool:
 class Page:
     def __init__(self, html: str):
         self.root = parse(html)
-        self.marked = _articles(self.root)
-        stack = list(self.marked) or [self.root]
+        self.marked, strong = _articles(self.root)
+        slots = self._read(self.marked, True) if self.marked else []
+        if not strong:
+            whole = self._read([self.root], False)
+            if 2 * sum(len(x.text.strip()) for x in slots) <= sum(len(x.text.strip()) for x in whole):
+                self.marked, slots = [], whole
         self.content = 0
-        self._mark(stack, bool(self.marked))
+        for x in slots:
+            x.content = True
+            self.content += len(x.text)
 
-    def _mark(self, roots: list[Node], marked: bool) -> None:
-        stack = [(r, False) for r in roots]
+    def _read(self, roots: list[Node], marked: bool) -> list[Slot]:
+        slots, stack = [], [(r, False) for r in roots]
         while stack:
             node, heading_only = stack.pop()
             for c in node.children:
                 if type(c) is Slot:
                     if not heading_only and c.text.strip():
-                        c.content = True
-                        self.content += len(c.text)
+                        slots.append(c)
                 elif heading_only:
                     stack.append((c, c.tag not in _HEADINGS))
                 elif not _excluded(c, marked):
@@ -224,6 +231,7 @@ class Page:
                         stack.append((c, False))
                 elif marked and not c.hidden and (c.tag == "header" or "header" in c.words):
                     stack.append((c, True))
+        return slots
 
     def text(self) -> str:
         out, stack = [], [self.root]

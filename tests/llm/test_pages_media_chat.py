@@ -232,3 +232,15 @@ def test_conversations(spark):
     whole = {r["conv_id"]: r for r in chat.conversations(segments).collect()}[1]
     masked = "".join(chat.unescape(whole["formatted"][s["start"] : s["start"] + s["length"]]) for s in whole["loss_spans"])
     assert masked == "b\\### x" and chat.read_back(segments.limit(0)).count() == 0
+
+
+def test_articles_marked_by_class(spark):
+    """All outermost marks are read; a mark that holds little of the page does not hide the rest."""
+    words = " ".join(f"word{k}" for k in range(40))
+    bodies = {
+        1: (f"<div class=container><div class=post-meta>By X</div><div class=post-body><p>{words}</p></div></div>", f"By X {words}"),
+        2: ("".join(f"<div class=story><p>part {k} {words}</p></div>" for k in range(3)), " ".join(f"part {k} {words}" for k in range(3))),
+        3: (f"<div class=post-meta>By X</div><div class=text><p>{words}</p></div><div class=sidebar>s</div>", f"By X {words}"),
+        4: (f"<div class=entry><p>{words}</p></div><div>Call us</div>", words),
+    }
+    assert texts(spark, [(k, f"http://h{k}/", page(k, b)) for k, (b, _) in bodies.items()]) == {k: t for k, (_, t) in bodies.items()}
