@@ -1,9 +1,10 @@
 """HTML extraction by wrapper induction.
 
 Pages of one host are dealt into groups of about ``group`` pages by a hash of their id, so a host of any size is read by
-many tasks. In a group each page's DOM is aligned to the first page's by simple tree matching. A text slot that holds the
-same text in every aligned page is template; varying slots are content. Pages that agree with the first one in most of
-their text are copies and do not vote, so a copied article is not taken for template. Beside that, elements that
+many tasks. In a group, pages of like layout (equal paths of tags) are clustered, and each page's DOM is aligned to that of
+its cluster's first page by simple tree matching. A text slot that holds the same text in every aligned page is template;
+varying slots are content. Pages that agree with the first one in most of their text are copies and do not vote, so a copied
+article is not taken for template, unless they differ in most of the varying slots by a passage. Beside that, elements that
 HTML or their names mark as menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments are left out,
 and where a page marks its article (``article`` or ``main``), only that is read. Without these elements, all outermost ones
 with a like class or id are read if they hold most of the page's text that names do not exclude, else the whole page.
@@ -322,22 +323,57 @@ def align(a: Node, b: Node) -> list[tuple[Slot, Slot]]:
     return out
 
 
-def induce(pages: list[Page], votes: int = 3, marked_votes: int = 8, copies: float = 0.7) -> None:
-    """Mark the template slots of pages of one host, all aligned to the first.
+def _paths(root: Node) -> frozenset[tuple]:
+    """The paths of tags that lead to a page's texts, by hash."""
+    out, stack = set(), [(root, 0)]
+    while stack:
+        node, path = stack.pop()
+        for c in node.children:
+            if type(c) is Node:
+                stack.append((c, hash((path, c.tag))))
+            elif c.content:
+                out.add(path)
+    return frozenset(out)
+
+
+def _clusters(pages: list[Page], alike: float) -> list[list[Page]]:
+    """Pages with a content by layout, those with most paths first: each with the first page with which it shares most, ``alike`` of all paths at least."""
+    found: list[tuple[frozenset, list[Page]]] = []
+    known = [(_paths(page.root), page) for page in pages if page.content]
+    for paths, page in sorted(known, key=lambda x: (-len(x[0]), -x[1].content)):
+        share, best = max(((len(paths & p) / len(paths | p), -k) for k, (p, _) in enumerate(found)), default=(0, 0))
+        if share >= alike:
+            found[-best][1].append(page)
+        else:
+            found.append((paths, [page]))
+    return [own for _, own in found]
+
 
-    copies: pages that agree with the first one in this share of their text are copies. votes, marked_votes: so many pages that are no copies must agree, without and with a marked article.
+def induce(pages: list[Page], votes: int = 3, marked_votes: int = 8, copies: float = 0.7, passage: int = 200, alike: float = 0.5) -> None:
+    """Mark the template slots of pages of one host, aligned to the first of each cluster of like layout.
+
+    copies: pages that agree with the first one in this share of their text are copies, unless at least ``passage`` characters differ and the slots that vary in the cluster agree less than that.
+    votes, marked_votes: so many pages that are no copies must agree, without and with a marked article.
     """
+    for own in _clusters(pages, alike):
+        _induce(own, votes, marked_votes, copies, passage)
+
+
+def _induce(pages: list[Page], votes: int, marked_votes: int, copies: float, passage: int) -> None:
     if len(pages) < 2:
         return
     first = pages[0]
+    aligned = [[(x, y) for x, y in align(first.root, page.root) if x.content and y.content] for page in pages[1:]]
+    varying = {id(x) for pairs in aligned for x, y in pairs if x.text != y.text}
     tally: dict[int, list[int]] = {}
-    aligned = []
-    for page in pages[1:]:
-        pairs = [(x, y) for x, y in align(first.root, page.root) if x.content and y.content]
-        aligned.append(pairs)
+    for page, pairs in zip(pages[1:], aligned, strict=True):
         same = sum(len(x.text) for x, y in pairs if x.text == y.text)
-        if same < copies * max(first.content, page.content):
+        parts = [(max(len(x.text), len(y.text)), x.text == y.text) for x, y in pairs if id(x) in varying]
+        agree, differ = sum(n for n, equal in parts if equal), sum(n for n, equal in parts if not equal)
+        if same < copies * max(first.content, page.content) or differ >= passage and agree < copies * (agree + differ):
             for x, y in pairs:
+                if x.text != y.text and x.text.startswith(y.text.rstrip()):  # perhaps cut off here
+                    continue
                 n = tally.setdefault(id(x), [0, 0])
                 n[0] += 1
                 n[1] += x.text == y.text

@@ -244,3 +244,14 @@ def test_articles_marked_by_class(spark):
         4: (f"<div class=entry><p>{words}</p></div><div>Call us</div>", words),
     }
     assert texts(spark, [(k, f"http://h{k}/", page(k, b)) for k, (b, _) in bodies.items()]) == {k: t for k, (_, t) in bodies.items()}
+
+
+def test_template_with_an_odd_first_page_and_in_long_boilerplate():
+    def story(k, notice):
+        return f"<html><body><div><p>{notice}</p><div><p>{' '.join(f'own{k}x{j}' for j in range(40))}</p></div><p>Call us</p></div></body></html>"
+
+    odd = ["", "<html><body><table><tr><td>Moved</table>", "<html><body><div><p>Wel"]
+    for first, notice in [(o, "Welcome to our pages") for o in odd] + [(None, "long notice " * 100)]:
+        pages = [html.Page(x) for x in ([] if first is None else [first]) + [story(k, notice) for k in range(6)]]
+        html.induce(pages)
+        assert [p.text() for p in pages[-6:]] == [" ".join(f"own{k}x{j}" for j in range(40)) for k in range(6)]
