@@ -254,8 +254,11 @@ class Page:
         return " ".join("".join(out).split())
 
 
-def align(a: Node, b: Node) -> list[tuple[Slot, Slot]]:
-    """Pairs of slots in a largest matching of the two trees (simple tree matching: order and parents are kept)."""
+def align(a: Node, b: Node, rough: list | None = None) -> list[tuple[Slot, Slot]]:
+    """Pairs of slots in a largest matching of the two trees (simple tree matching: order and parents are kept).
+
+    Where the differing parts of two child lists have over 40,000 pairs, their tags are matched in order instead; their lengths are added to ``rough``.
+    """
     sizes: dict[tuple[int, int], int] = {}
     ways: dict[tuple[int, int], list] = {}
 
@@ -285,6 +288,8 @@ def align(a: Node, b: Node) -> list[tuple[Slot, Slot]]:
             return total, pairs
         if len(p) * len(q) > 40_000:  # too many for the table: in order, tag by tag
             k = 0
+            if rough is not None:
+                rough.append((len(p), len(q)))
             for x in p:
                 j = next((j for j in range(k, min(len(q), k + 50)) if q[j].tag == x.tag), None)
                 if j is not None and (s := size(x, q[j])):
@@ -363,10 +368,13 @@ def _induce(pages: list[Page], votes: int, marked_votes: int, copies: float, pas
     if len(pages) < 2:
         return
     first = pages[0]
-    aligned = [[(x, y) for x, y in align(first.root, page.root) if x.content and y.content] for page in pages[1:]]
-    varying = {id(x) for pairs in aligned for x, y in pairs if x.text != y.text}
+    rough: list[list] = [[] for _ in pages[1:]]
+    aligned = [[(x, y) for x, y in align(first.root, page.root, r) if x.content and y.content] for page, r in zip(pages[1:], rough, strict=True)]
+    varying = {id(x) for pairs, r in zip(aligned, rough, strict=True) for x, y in pairs if not r and x.text != y.text}
     tally: dict[int, list[int]] = {}
-    for page, pairs in zip(pages[1:], aligned, strict=True):
+    for page, pairs, r in zip(pages[1:], aligned, rough, strict=True):
+        if r:  # no largest matching: does not vote
+            continue
         same = sum(len(x.text) for x, y in pairs if x.text == y.text)
         parts = [(max(len(x.text), len(y.text)), x.text == y.text) for x, y in pairs if id(x) in varying]
         agree, differ = sum(n for n, equal in parts if equal), sum(n for n, equal in parts if not equal)

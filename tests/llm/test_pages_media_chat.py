@@ -255,3 +255,19 @@ def test_template_with_an_odd_first_page_and_in_long_boilerplate():
         pages = [html.Page(x) for x in ([] if first is None else [first]) + [story(k, notice) for k in range(6)]]
         html.induce(pages)
         assert [p.text() for p in pages[-6:]] == [" ".join(f"own{k}x{j}" for j in range(40)) for k in range(6)]
+
+
+def test_roughly_aligned_page_does_not_vote():
+    def story(k, tags):
+        inner = "".join(f"<{t}>{c}</{t}>" for t, c in tags)
+        return f"<html><body><div>{inner}</div><section>{' '.join(f'own{k}x{j}' for j in range(40))}</section></body></html>"
+
+    template = [("p", "Welcome"), ("p", "to our pages"), ("h4", "Call us"), ("p", "Today")]
+    many = [(t, f"{t} {k}") for k in range(130) for t in ("h2", "p")]
+    pages = [html.Page(story(k, [("h5", f"first {k}"), *template, *(many if k == 0 else []), ("h6", f"last {k}")])) for k in range(6)]
+    long = html.Page(story(9, [("h5", "x"), *[("p", f"other {k}") for k in range(250)], *template, ("h6", "z")]))
+    rough = []
+    html.align(pages[0].root, long.root, rough)
+    assert rough
+    html.induce([*pages, long])
+    assert all("Welcome" not in p.text() and "own" in p.text() for p in pages)
