@@ -29,9 +29,9 @@ def build_classifier(name: str, seed: int, total_weight: float, classes: int):
     if name == "majority":
         return None
     if name == "logreg":
-        return LogisticRegression(**own, maxIter=300, regParam=1 / (0.5 * max(total_weight, 1)), elasticNetParam=0, standardization=False, family="multinomial")
+        return LogisticRegression(**own, maxIter=3000, regParam=1 / (0.5 * max(total_weight, 1)), elasticNetParam=0, standardization=False, family="multinomial")
     if name == "rf":
-        return RandomForestClassifier(**own, numTrees=300, maxDepth=15, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True)
+        return RandomForestClassifier(**own, numTrees=300, maxDepth=30, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True)
     if name == "hgb":
         trees = GBTClassifier(**own, maxIter=100, stepSize=0.1, maxDepth=5, maxBins=255, seed=seed)
         return trees if classes == 2 else OneVsRest(classifier=trees, featuresCol="scaled", labelCol="y", weightCol="weight", parallelism=2)

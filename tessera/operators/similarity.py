@@ -1,7 +1,8 @@
 """Near-duplicates by Hamming distance, and the groups that they join.
 
 Rows have path, label, source, group_id, phash ('' if there is none) and row_idx, their place in the manifest, which decides
-ties and which group id a merged group keeps.
+ties and which group id a merged group keeps. Within one manifest row_idx and path are both unique; across manifests only
+path is, so whatever compares two of them goes by path.
 """
 
 from __future__ import annotations
@@ -13,20 +14,20 @@ from tessera.functions.bits import bands, hamming, to_long
 from tessera.operators.groups import components
 
 
-def hashed(rows: DataFrame) -> DataFrame:
-    """row_idx and hash of the rows that have one."""
-    return rows.filter("phash <> ''").select("row_idx", to_long("phash").alias("hash"))
+def hashed(rows: DataFrame, *keep: str) -> DataFrame:
+    """row_idx (or the columns to keep) and hash of the rows that have one."""
+    return rows.filter("phash <> ''").select(*(keep or ("row_idx",)), to_long("phash").alias("hash"))
 
 
 def near_hashes(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     """l_hash, r_hash and distance of the pairs of different values within ``distance``: values that agree in a band are compared.
 
-    A pair is taken in the first band in which it agrees, so no distinct is needed. Distances over 63 compare all values.
+    A pair is taken in the first band in which it agrees, so no distinct is needed. Raises ValueError for distances over 63,
+    at which there is nothing to compare: every pair would be near.
     """
     n = distance + 1
     if n > 64:
-        met = left.selectExpr("hash AS l_hash").crossJoin(right.selectExpr("hash AS r_hash"))
-        return met.select("l_hash", "r_hash", hamming("l_hash", "r_hash").alias("distance"))
+        raise ValueError("64-bit values are compared up to a distance of 63")
     width = 64 // n
     mask = (1 << width) - 1 if width < 64 else -1
     cut = lambda df, side: df.select(F.col("hash").alias(f"{side}_hash"), F.explode(bands("hash", n)).alias("b")).select(f"{side}_hash", "b.*")

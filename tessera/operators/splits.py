@@ -1,6 +1,7 @@
 """Assignment of whole groups to train, val and test, and the proof that nothing crosses them.
 
-A split manifest is one table with a ``split`` column. Where an order decides, it is a hash of seed and id, so the result
+A split manifest is one table with a ``split`` column. The proof never asks which row is which: it counts hashes and groups
+by split, so it holds for tables that were read from several files or attached to one another. Where an order decides, it is a hash of seed and id, so the result
 does not depend on partitions; ``exact_order`` takes Python's seeded shuffle instead, on the driver, for small manifests.
 """
 
@@ -9,10 +10,11 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.similarity import hashed, near_duplicate_pairs, near_hashes
+from tessera.operators.similarity import hashed, near_hashes
 
 SPLITS = ("train", "val", "test")
 
@@ -56,29 +58,38 @@ def group_labels(rows: DataFrame) -> DataFrame:
     return counted.groupBy("group_id").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("label"), F.sum("n").alias("images"), F.count("*").alias("labels"))
 
 
-def _greedy(fractions) -> str:
-    """SQL over g_all, an ordered array of (key, group_id, images): the split of each by the largest deficit, the first of equals."""
-    f = [repr(float(x)) + "D" for x in fractions]
-    lack = [f"({f[k]} * g_total - s.have[{k}])" for k in range(3)]
-    pick = f"CASE WHEN {lack[0]} >= {lack[1]} AND {lack[0]} >= {lack[2]} THEN 0 WHEN {lack[1]} >= {lack[2]} THEN 1 ELSE 2 END"
-    have = "array(" + ", ".join(f"s.have[{k}] + if(k = {k}, g.images, 0L)" for k in range(3)) + ")"
-    step = f"element_at(transform(array({pick}), k -> struct({have} AS have, concat(s.out, array(struct(g.group_id AS group_id, k AS k))) AS out)), 1)"
-    start = "struct(array(0L, 0L, 0L) AS have, cast(array() AS array<struct<group_id:string,k:int>>) AS out)"
-    return f"aggregate(g_all, {start}, (s, g) -> {step}).out"
+def _dealt(fractions):
+    """Groups in order of label and key, to group_id and split: each to the split that lacks most, the first of equals."""
+
+    def deal(batches):
+        label, have = None, [0, 0, 0]
+        for batch in batches:
+            names, splits = batch.column("group_id"), []
+            for own, images, total in zip(*(batch.column(c).to_pylist() for c in ("label", "images", "total")), strict=True):
+                if own != label or not any(have):
+                    label, have = own, [0, 0, 0]
+                lack = [share * total - n for share, n in zip(fractions, have, strict=True)]
+                k = lack.index(max(lack))
+                have[k] += images
+                splits.append(SPLITS[k])
+            yield pa.record_batch([names, pa.array(splits, pa.string())], ["group_id", "split"])
+
+    return deal
 
 
 def assign_groups(groups: DataFrame, fractions, seed: int, exact_order: bool = False) -> DataFrame:
     """group_id and split. ``groups`` has group_id, label and images; each label is a stratum, folded in its own order.
 
-    A stratum's groups stand in one array: the greedy rule needs all earlier decisions. Their number is that of groups, not
-    of rows, and each is an id and a count.
+    The greedy rule needs all earlier decisions of its stratum, so one task streams a stratum's groups (an id and a count
+    each, sorted with spilling) and holds three running counts.
     """
     if exact_order:
         return _shuffled_assignment(groups, fractions, seed)
-    keyed = groups.withColumn("key", F.expr(f"md5(concat('{int(seed)}:', group_id))"))
-    strata = keyed.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("key", "group_id", "images"))).alias("g_all"), F.sum("images").alias("g_total"))
-    names = F.array(*map(F.lit, SPLITS))
-    return strata.select(F.explode(F.expr(_greedy(fractions))).alias("x")).select("x.group_id", F.element_at(names, F.col("x.k") + 1).alias("split"))
+    keyed = groups.select("group_id", "label", F.col("images").cast("bigint").alias("images"), F.expr(f"md5(concat('{int(seed)}:', group_id))").alias("key"))
+    totals = groups.groupBy(F.col("label").alias("t_label")).agg(F.sum("images").alias("total"))
+    strata = keyed.join(totals, F.expr("label <=> t_label"))
+    ordered = strata.repartition("label").sortWithinPartitions("label", "key", "group_id")
+    return ordered.select("group_id", "label", "images", "total").mapInArrow(_dealt(fractions), "group_id string, split string")
 
 
 def _shuffled_assignment(groups: DataFrame, fractions, seed: int) -> DataFrame:
@@ -142,27 +153,31 @@ def split_summary(split_rows: DataFrame) -> DataFrame:
 
 
 def augmented_to_drop(split_rows: DataFrame, augmented: DataFrame, distance: int, match_on: str = "group_id") -> DataFrame:
-    """row_idx of the augmented rows whose group, or a near hash, is in val or test.
+    """path of the augmented rows whose group, or a near hash, is in val or test.
 
     match_on: "group_id", or "leaf_id" to compare ids without the source before their colon.
     """
     key = "group_id" if match_on == "group_id" else "substring(group_id, instr(group_id, ':') + 1)"
     held = split_rows.filter("split IN ('val', 'test')")
-    by_group = augmented.selectExpr("row_idx", f"{key} AS k").join(held.selectExpr(f"{key} AS k").distinct(), "k", "left_semi").select("row_idx")
+    by_group = augmented.selectExpr("path", f"{key} AS k").join(held.selectExpr(f"{key} AS k").distinct(), "k", "left_semi").select("path")
     if distance < 0:
         return by_group.distinct()
-    own = hashed(augmented)
+    own = hashed(augmented, "path")
     near = near_hashes(own.select("hash").distinct(), hashed(held).select("hash").distinct(), distance)
-    by_hash = own.join(near.selectExpr("l_hash AS hash").distinct(), "hash", "left_semi").select("row_idx")
+    by_hash = own.join(near.selectExpr("l_hash AS hash").distinct(), "hash", "left_semi").select("path")
     return by_group.union(by_hash).distinct()
 
 
 def attach_augmented(result: SplitResult, augmented: DataFrame, distance: int = 4, match_on: str = "group_id") -> SplitResult:
-    """Augmented rows join train, but for those of leaves that val or test hold."""
+    """Augmented rows join train, but for those of leaves that val or test hold; their row_idx follow those of the split rows."""
     away = augmented_to_drop(result.rows, augmented, distance, match_on)
-    keep = augmented.join(away, "row_idx", "left_anti").withColumn("split", F.lit("train"))
+    keep = augmented.join(away, "path", "left_anti").withColumn("split", F.lit("train"))
+    if "row_idx" in result.rows.columns:
+        first = result.rows.agg(F.coalesce(F.max("row_idx") + 1, F.lit(0))).first()[0]
+        keep = keep.withColumn("row_idx", F.col("row_idx") + F.lit(first))
     rows = result.rows.unionByName(keep.select(result.rows.columns))
-    return SplitResult(rows, result.seed, result.fractions, result.dropped_augmented + away.count(), result.mixed_label_groups, result.notes)
+    dropped = augmented.join(away, "path", "left_semi").count()
+    return SplitResult(rows, result.seed, result.fractions, result.dropped_augmented + dropped, result.mixed_label_groups, result.notes)
 
 
 def shared_groups(split_rows: DataFrame) -> DataFrame:
@@ -170,17 +185,52 @@ def shared_groups(split_rows: DataFrame) -> DataFrame:
     return split_rows.groupBy("group_id").agg(F.min("split").alias("x"), F.max("split").alias("y")).filter("x <> y").select("group_id")
 
 
+def _hash_splits(split_rows: DataFrame) -> DataFrame:
+    """hash, n (rows) and its rows in each split: as long as the hashes differ, however many rows share one."""
+    own = hashed(split_rows, "split")
+    return own.groupBy("hash").agg(F.count("*").alias("n"), *(F.count_if(F.col("split") == s).alias(s) for s in SPLITS))
+
+
+def cross_split_count(split_rows: DataFrame, distance: int) -> DataFrame:
+    """One row: how many pairs of rows in different splits are near-duplicates.
+
+    Equal hashes and near hashes are multiplied from counts by split; no pair of rows is enumerated, so a hash of very many
+    rows costs one row. ``split_rows`` needs split and phash alone.
+    """
+    if distance < 0:
+        return split_rows.sparkSession.createDataFrame([(0,)], "pairs bigint")
+    values = _hash_splits(split_rows)
+    within = " + ".join(f"{s} * {s}" for s in SPLITS)
+    same = values.selectExpr(f"(n * n - ({within})) div 2 AS pairs")
+    hashes = values.select("hash")
+    near = near_hashes(hashes, hashes, distance).filter("l_hash < r_hash")
+    left = values.selectExpr("hash AS l_hash", "n AS l_n", *(f"{s} AS l_{s}" for s in SPLITS))
+    right = values.selectExpr("hash AS r_hash", "n AS r_n", *(f"{s} AS r_{s}" for s in SPLITS))
+    both = " + ".join(f"l_{s} * r_{s}" for s in SPLITS)
+    other = near.join(left, "l_hash").join(right, "r_hash").selectExpr(f"l_n * r_n - ({both}) AS pairs")
+    return same.union(other).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("bigint").alias("pairs"))
+
+
 def cross_split_pairs(split_rows: DataFrame, distance: int) -> DataFrame:
-    """a, b and distance of near-duplicates whose splits differ."""
-    numbered = split_rows.withColumn("row_idx", F.monotonically_increasing_id()) if "row_idx" not in split_rows.columns else split_rows
-    of = numbered.select("row_idx", "split")
-    pairs = near_duplicate_pairs(numbered, distance)
-    return pairs.join(of.selectExpr("row_idx AS a", "split AS sa"), "a").join(of.selectExpr("row_idx AS b", "split AS sb"), "b").filter("sa <> sb").select("a", "b", "distance")
+    """a < b (paths) and distance of near-duplicates whose splits differ; only hashes that cross splits are expanded to rows."""
+    own = hashed(split_rows, "path", "split")
+    values = _hash_splits(split_rows)
+    side = lambda x: own.selectExpr(f"hash AS {x}_hash", f"path AS {x}_path", f"split AS {x}_split")
+    equal = values.filter(" AND ".join(f"n <> {s}" for s in SPLITS)).selectExpr("hash AS l_hash", "hash AS r_hash", "0 AS distance")
+    near = near_hashes(values.select("hash"), values.select("hash"), distance).filter("l_hash < r_hash") if distance >= 0 else equal.limit(0)
+    met = (equal if distance >= 0 else equal.limit(0)).unionByName(near).join(side("l"), "l_hash").join(side("r"), "r_hash")
+    met = met.filter("l_split <> r_split AND (l_hash <> r_hash OR l_path < r_path)")
+    return met.selectExpr("least(l_path, r_path) AS a", "greatest(l_path, r_path) AS b", "distance")
+
+
+def leakage(split_rows: DataFrame, distance: int) -> DataFrame:
+    """One row: shared_groups and cross_split_near_duplicates."""
+    pairs = cross_split_count(split_rows, distance).withColumnRenamed("pairs", "cross_split_near_duplicates")
+    return shared_groups(split_rows).agg(F.count("*").alias("shared_groups")).crossJoin(F.broadcast(pairs))  # two single rows
 
 
 def leakage_counts(split_rows: DataFrame, distance: int) -> dict[str, int]:
-    pairs = cross_split_pairs(split_rows, distance).count() if distance >= 0 else 0
-    return {"shared_groups": shared_groups(split_rows).count(), "cross_split_near_duplicates": pairs}
+    return leakage(split_rows, distance).first().asDict()
 
 
 def check_leakage(split_rows: DataFrame, distance: int = 4) -> dict[str, int]:

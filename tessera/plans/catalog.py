@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import labels as L
-from tessera.functions.bits import to_hex
+from tessera.functions.bits import simhash
 from tessera.operators import metrics as M
 from tessera.operators import similarity as S
 from tessera.operators import splits as P
 from tessera.sources.manifest import problems
+from tessera.sources.shared import store
 
 FRACTIONS = (0.7, 0.15, 0.15)
 SEED = 42
@@ -34,13 +35,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as manifest rows with the SimHash of their words: 64 sums of bits in one partial aggregation."""
-    words = table(spark, sf_dir, "documents").selectExpr("doc_id AS row_idx", "explode_outer(filter(split(text, '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), w -> w <> '')) AS w")
-    hashes = words.selectExpr("row_idx", "cast(conv(substr(md5(w), 1, 16), 16, -10) AS bigint) AS h")
-    sums = hashes.groupBy("row_idx").agg(F.count("h").alias("n"), *(F.sum(F.expr(f"shiftrightunsigned(h, {i}) & 1")).alias(f"s{i}") for i in range(64)))
-    value = " | ".join(f"if(s{i} * 2 > n, shiftleft(1L, {i}), 0L)" for i in range(64))
-    prints = sums.selectExpr("row_idx", f"{value} AS h").select("row_idx", to_hex("h").alias("phash"))
-    return documents(spark, sf_dir).join(prints, "row_idx")
+    """Documents as manifest rows with the SimHash of their words, computed once and kept as a table for the query's joins."""
+    prints = table(spark, sf_dir, "documents").select("doc_id", simhash("text").alias("phash"), "text", "lang", "source")
+    rows = prints.selectExpr("doc_id AS row_idx", "concat('doc/', doc_id) AS path", "lang AS label", "source", "concat(source, ':', substr(md5(text), 1, 6)) AS group_id", "phash")
+    return store(rows, "manifest").df
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,24 +92,25 @@ def missing_class_notes(spark, sf_dir):
 
 
 def leakage_random(spark, sf_dir):
-    rows = P.random_image_split(manifest(spark, sf_dir), FRACTIONS, SEED).rows
-    pairs = P.cross_split_pairs(rows, 3).agg(F.count("*").alias("cross_split_near_duplicates"))
-    return P.shared_groups(rows).agg(F.count("*").alias("shared_groups")).crossJoin(F.broadcast(pairs))
+    return P.leakage(P.random_image_split(manifest(spark, sf_dir), FRACTIONS, SEED).rows, 3)
 
 
 def leakage_group(spark, sf_dir):
     rows = S.merge_groups(manifest(spark, sf_dir), 3)
-    rows = rows.join(P.assign_groups(P.group_labels(rows), FRACTIONS, SEED), "group_id")
-    pairs = P.cross_split_pairs(rows, 3).agg(F.count("*").alias("cross_split_near_duplicates"))
-    return P.shared_groups(rows).agg(F.count("*").alias("shared_groups")).crossJoin(F.broadcast(pairs))
+    return P.leakage(rows.join(P.assign_groups(P.group_labels(rows), FRACTIONS, SEED), "group_id"), 3)
+
+
+def cross_split_pairs(spark, sf_dir):
+    return P.cross_split_pairs(P.random_image_split(manifest(spark, sf_dir), FRACTIONS, SEED).rows, 3)
 
 
 def attach_augmented(spark, sf_dir):
+    """A changed copy of every document, under a group of its own: those near to val or test stay away."""
     rows = manifest(spark, sf_dir)
     split = rows.join(P.assign_groups(P.group_labels(rows), FRACTIONS, SEED), "group_id")
-    copies = rows.filter("row_idx % 3 = 0").selectExpr("row_idx + 1000000000 AS row_idx", "concat('aug/', path) AS path", "label", "source", "concat('aug-', group_id) AS group_id", "phash")
+    copies = rows.selectExpr("row_idx", "concat('aug/', path) AS path", "label", "source", "concat('aug-', group_id) AS group_id", "phash")
     away = P.augmented_to_drop(split, copies, 3)
-    return copies.join(away, "row_idx", "left_anti").select("row_idx", "path")
+    return copies.join(away, "path", "left_anti").select("row_idx", "path")
 
 
 def class_counts(spark, sf_dir):
@@ -204,9 +203,10 @@ def view_explosion(spark, sf_dir):
 
 
 def fusion(spark, sf_dir):
+    """The two halves of every embedding, fused in the other order."""
     from tessera.operators.features import fused
 
-    own = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "slice(embedding, 1, 3) AS a", "slice(embedding, 62, 3) AS b")
+    own = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "slice(embedding, 33, 32) AS a", "slice(embedding, 1, 32) AS b")
     return own.select("vec_id", F.posexplode(fused("a", "b")).alias("place", "v")).select("vec_id", "place", F.col("v").cast("double").alias("v"))
 
 
@@ -220,7 +220,7 @@ def run_export(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        near_dup_pairs, near_dup_pairs_d4, merge_groups, majority_label, mixed_groups, group_split, random_split, split_summary, missing_class_notes, leakage_random, leakage_group,
+        near_dup_pairs, near_dup_pairs_d4, merge_groups, majority_label, mixed_groups, group_split, random_split, split_summary, missing_class_notes, leakage_random, leakage_group, cross_split_pairs,
         attach_augmented, class_counts, imbalance_ratio, class_filter, balanced_weights, confusion, accuracy, per_class_prf, macro_f1, balanced_accuracy, log_loss, ece, top3,
         align_proba, canonical_label, crop_and_health, group_id_from_name, validate_rows, view_explosion, fusion, run_export,
     )
@@ -238,7 +238,7 @@ def _values(*columns: list[str]) -> str:
 _DOCS = "docs AS (SELECT doc_id AS row_idx, 'doc/' || doc_id AS path, lang AS label, source, source || ':' || substr(md5(text), 1, 6) AS group_id FROM documents)"
 _BITS = " + ".join(f"(CASE WHEN sum((h >> {i}) & 1) * 2 > count(h) THEN {1 << i}::HUGEINT ELSE 0 END)" for i in range(64))
 _MANIFEST = f"""{_DOCS}, hashes AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS h FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS w FROM documents)),
-prints AS (SELECT doc_id, ({_BITS})::UBIGINT AS fp FROM hashes GROUP BY doc_id), manifest AS (SELECT docs.*, fp FROM docs JOIN prints ON doc_id = row_idx)"""
+prints AS (SELECT doc_id, ({_BITS})::UBIGINT AS fp FROM hashes GROUP BY doc_id), manifest AS (SELECT docs.*, fp FROM docs LEFT JOIN prints ON doc_id = row_idx)"""
 
 
 def _pairs(distance: int) -> str:
@@ -286,7 +286,8 @@ ORACLE_SQL = {
     "missing_class_notes": f"WITH RECURSIVE {_DOCS}, {_groups('docs', 'label')}, {_ASSIGNED} SELECT q.label, s.split, q.groups FROM (SELECT label, count(*) AS groups FROM groups GROUP BY label) q, (VALUES ('train'), ('val'), ('test')) s(split) WHERE NOT EXISTS (SELECT 1 FROM groups g JOIN assigned a USING (group_id) WHERE g.label = q.label AND a.split = s.split)",
     "leakage_random": f"WITH {_MANIFEST}, {_pairs(3)}, {_RANDOM.format(rows='manifest')} {_LEAK}",
     "leakage_group": f"WITH RECURSIVE {_MANIFEST}, {_MERGED}, {_groups('merged')}, {_ASSIGNED}, dealt AS (SELECT * FROM merged JOIN assigned USING (group_id)) {_LEAK}",
-    "attach_augmented": f"WITH RECURSIVE {_MANIFEST}, {_groups('manifest')}, {_ASSIGNED}, held AS (SELECT * FROM manifest JOIN assigned USING (group_id) WHERE split <> 'train'), copies AS (SELECT row_idx + 1000000000 AS row_idx, 'aug/' || path AS path, 'aug-' || group_id AS group_id, fp FROM manifest WHERE row_idx % 3 = 0) SELECT row_idx, path FROM copies c WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.group_id = c.group_id OR bit_count(xor(h.fp, c.fp)) <= 3)",
+    "cross_split_pairs": f"WITH {_MANIFEST}, {_pairs(3)}, {_RANDOM.format(rows='manifest')} SELECT least(x.path, y.path) AS a, greatest(x.path, y.path) AS b, distance FROM pairs JOIN dealt x ON x.row_idx = a JOIN dealt y ON y.row_idx = b WHERE x.split <> y.split",
+    "attach_augmented": f"WITH RECURSIVE {_MANIFEST}, {_groups('manifest')}, {_ASSIGNED}, held AS (SELECT * FROM manifest JOIN assigned USING (group_id) WHERE split <> 'train'), copies AS (SELECT row_idx, 'aug/' || path AS path, 'aug-' || group_id AS group_id, fp FROM manifest) SELECT row_idx, path FROM copies c WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.group_id = c.group_id OR bit_count(xor(h.fp, c.fp)) <= 3)",
     "class_counts": "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang",
     "imbalance_ratio": "SELECT max(n) / min(n) AS ratio FROM (SELECT count(*) AS n FROM documents GROUP BY lang)",
     "class_filter": f"{_GROUP_SPLIT}, placed AS (SELECT * FROM docs JOIN assigned USING (group_id)) SELECT row_idx, label FROM placed WHERE split = 'test' AND label IN (SELECT label FROM placed WHERE split = 'train' AND label <> 'fr')",
@@ -305,6 +306,6 @@ ORACLE_SQL = {
     "group_id_from_name": f"SELECT name, CASE WHEN contains({_STEM}, '___') THEN lower(split_part({_STEM}, '___', 1)) WHEN {_BARE} = '' THEN lower({_STEM}) ELSE {_BARE} END AS group_id FROM (VALUES {_values(FILES)}) v(name)",
     "validate_rows": f"WITH {_DOCS}, {_KNOWN}, bad AS (SELECT row_idx, if(row_idx % 50 = 7, 'doc/1', path) AS path, if(row_idx % 40 = 3, label, if(row_idx % 40 = 4, 'potato healthy', 'Potato___healthy')) AS label, if(row_idx % 30 = 2, '', group_id) AS group_id, if(row_idx % 20 = 1, 'XYZ', '') AS phash FROM docs) SELECT row_idx, 'duplicate path' AS rule FROM (SELECT row_idx, row_number() OVER (PARTITION BY path ORDER BY row_idx) AS rn FROM bad) WHERE rn > 1 UNION ALL SELECT row_idx, CASE WHEN canonical IS NULL THEN 'unknown label' ELSE 'label is not canonical' END FROM bad LEFT JOIN known ON k = {_KEY.format('label')} WHERE canonical IS NULL OR canonical <> label UNION ALL SELECT row_idx, 'empty group_id' FROM bad WHERE group_id = '' UNION ALL SELECT row_idx, 'bad phash' FROM bad WHERE phash <> '' AND NOT regexp_full_match(phash, '[0-9a-f]{{16}}')",
     "view_explosion": "SELECT doc_id AS row_idx, v::INT AS view FROM documents, range(3) r(v)",
-    "fusion": "SELECT vec_id, (i - 1)::INT AS place, list_concat(embedding[1:3], embedding[62:64])[i]::DOUBLE AS v FROM embeddings, range(1, 7) r(i)",
+    "fusion": "SELECT vec_id, (i - 1)::INT AS place, list_concat(embedding[33:64], embedding[1:32])[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i)",
     "run_export": "SELECT * FROM (VALUES ('r1', 'a', 'rf', '1', '0.5', '', ''), ('r2', 'b', '', '', '', '1.0', '0.25')) v(run_id, name, classifier, seed, val_macro_f1, val_accuracy, test_ece)",
 }

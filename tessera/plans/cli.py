@@ -10,11 +10,14 @@ from dataclasses import replace
 from pathlib import Path
 
 from tessera.operators.features import FeatureStore
+from tessera.operators.finetune import finetune as finetuned
+from tessera.operators.finetune import needs_torch
+from tessera.operators.metrics import evaluate
 from tessera.operators.models import TrainedModel
 from tessera.operators.similarity import merge_groups
 from tessera.operators.splits import attach_augmented, check_leakage, group_split
-from tessera.plans.experiment import ExperimentConfig, ablation_configs, leakage_comparison, predict_paths, run_experiment
-from tessera.plans.tracking import build_tracker, rows_to_csv
+from tessera.plans.experiment import ExperimentConfig, ablation_configs, leakage_comparison, part, predict_paths, run_experiment
+from tessera.plans.tracking import as_csv, build_tracker
 from tessera.sources.manifest import numbered, read_manifest, read_splits, scan_folder, write_manifest, write_splits
 from tessera.sources.settings import Settings
 from tessera.sources.synthetic import generate_dataset
@@ -53,7 +56,7 @@ def split(args, settings) -> None:
     result = group_split(rows, tuple(args.fractions), settings.seed if args.seed is None else args.seed)
     if args.augmented:
         result = attach_augmented(result, read_manifest(spark, args.augmented), args.max_distance)
-    leaks = check_leakage(result.rows.drop("row_idx"), args.max_distance)  # before anything is written
+    leaks = check_leakage(result.rows, args.max_distance)  # before anything is written
     out = write_splits(result, args.out or settings.splits_dir)
     _say(result.summary() | {"leakage": leaks, "out": str(out)})
 
@@ -81,7 +84,10 @@ def leakage_check(args, settings) -> None:
 
 
 def finetune(args, settings) -> None:
-    raise ImportError("fine-tuning a network needs torch, through pyspark.ml.torch.distributor")
+    needs_torch(args.arch)
+    rows = read_splits(_spark(), args.splits or settings.splits_dir)
+    model = finetuned(part(rows, "train"), args.arch, args.epochs, image_size=args.size, seed=settings.seed, device=settings.device)
+    _say({"arch": args.arch} | {s: evaluate(s, model.aligned(part(rows, s)), model.classes).headline() for s in ("val", "test")})
 
 
 def predict(args, settings) -> None:
@@ -90,7 +96,7 @@ def predict(args, settings) -> None:
 
 
 def runs(args, settings) -> None:
-    text = rows_to_csv(build_tracker(settings.tracker, settings.runs_dir, settings.experiment, settings.mlflow_uri).export_rows())
+    text = as_csv(build_tracker(settings.tracker, settings.runs_dir, settings.experiment, settings.mlflow_uri).export(_spark()))
     args.out.write_text(text, encoding="utf-8") if args.out else print(text, end="")
 
 

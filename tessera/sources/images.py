@@ -29,14 +29,18 @@ def pixels_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray
     return np.repeat(raw, 3, axis=2) if channels == 1 else raw[..., 2::-1].copy()
 
 
-def loaded(files: DataFrame) -> DataFrame:
+def loaded(files: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """``files`` (with path) and image: height, width, nChannels and data, or null for what is missing or no image.
 
-    A join on the path brings file contents to their rows; paths are unique, so it has no hot key.
+    A join on the path brings file contents to their rows; paths are unique, so it has no hot key. paths: the files, where
+    the caller knows them one by one, so that nothing else in their folders is read.
     """
     spark = files.sparkSession
-    folders = [r[0] for r in files.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]  # as many as classes
-    own = [f for f in folders if f and Path(f).is_dir() and any(x.is_file() for x in Path(f).iterdir())]
+    if paths is None:
+        folders = [r[0] for r in files.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]  # as many as classes
+        own = [f for f in folders if f and Path(f).is_dir() and any(x.is_file() for x in Path(f).iterdir())]
+    else:
+        own = [f for f in paths if Path(f).is_file()]
     if not own:
         return files.withColumn("image", F.expr("cast(NULL AS struct<height:int,width:int,nChannels:int,data:binary>)"))
     read = spark.read.format("image").option("dropInvalid", False).load([Path(f).as_uri() for f in own])

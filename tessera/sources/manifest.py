@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.labels import compact_key, group_of_name, label_table, spellings, with_canonical
 from tessera.sources.images import SUFFIXES, read_images
+from tessera.sources.shared import store
 
 COLUMNS = ("path", "label", "source", "group_id", "phash")
 SCHEMA = ", ".join(f"{c} string" for c in COLUMNS)
@@ -26,13 +27,17 @@ SCHEMA = ", ".join(f"{c} string" for c in COLUMNS)
 RULES = ("empty path", "duplicate path", "label is not canonical", "unknown label", "empty group_id", "bad phash", "file not found")
 
 
+SHOWN = 5
+
+
 class ManifestError(ValueError):
-    """``problems`` has every fault; the message has the first five."""
+    """``problems`` are the first faults that were told; ``total`` counts all of them. The message has five."""
 
-    def __init__(self, problems):
+    def __init__(self, problems, total: int | None = None):
         self.problems = list(problems)
-        more = len(self.problems) - 5
-        super().__init__(f"{len(self.problems)} manifest problem(s): " + "; ".join(self.problems[:5]) + (f" (+{more} more)" if more > 0 else ""))
+        self.total = len(self.problems) if total is None else total
+        more = self.total - len(self.problems[:SHOWN])
+        super().__init__(f"{self.total} manifest problem(s): " + "; ".join(self.problems[:SHOWN]) + (f" (+{more} more)" if more > 0 else ""))
 
 
 @dataclass
@@ -56,11 +61,10 @@ def scan_folder(spark: SparkSession, root: str | Path, source: str, compute_hash
     if not root.is_dir():
         raise ManifestError([f"there is no folder {root}"])
     known = spellings()
-    folders = sorted(p for p in root.iterdir() if p.is_dir())
+    folders = sorted(p.name for p in root.iterdir() if p.is_dir())  # as many as classes
     key = lambda name: "".join(c for c in name.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
-    unknown = [p.name for p in folders if key(p.name) not in known]
-    files = [(str(f.resolve()), p.name, f.name) for p in folders if key(p.name) in known for f in sorted(p.iterdir()) if f.suffix.lower() in SUFFIXES]
-    listed = spark.createDataFrame([(k, *f) for k, f in enumerate(files)], "row_idx bigint, path string, folder string, name string")
+    unknown = [name for name in folders if key(name) not in known]
+    listed = numbered(_listed(spark, root.resolve(), [name for name in folders if key(name) in known]), "folder", "name")
     if compute_hash or check_images:
         listed = read_images(listed, compute_hash=compute_hash)
     else:
@@ -72,6 +76,21 @@ def scan_folder(spark: SparkSession, root: str | Path, source: str, compute_hash
     return ScanReport(rows, unknown, [r["path"] for r in told if r["error"] is not None], sum(r["error"] is None for r in told))
 
 
+def _listed(spark: SparkSession, root: Path, folders: list[str]) -> DataFrame:
+    """path, folder and name of the image files of each folder, which tasks list, a folder at a time."""
+
+    def entries(batches):
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                names = [e.name for e in os.scandir(root / folder) if os.path.splitext(e.name)[1].lower() in SUFFIXES]
+                for k in range(0, len(names), 10_000):
+                    own = names[k : k + 10_000]
+                    yield pa.record_batch([pa.array([f"{root}/{folder}/{n}" for n in own]), pa.array([folder] * len(own)), pa.array(own)], ["path", "folder", "name"])
+
+    rows = spark.createDataFrame([(f,) for f in folders], "folder string")
+    return rows.repartition(max(1, len(folders)), "folder").mapInArrow(entries, "path string, folder string, name string")
+
+
 def problems(rows: DataFrame, check_files: bool = True) -> DataFrame:
     """row_idx, rule, rank (place in RULES) and value of every fault of ``rows``."""
     own = rows.withColumn("p_key", compact_key("label"))
@@ -102,20 +121,26 @@ def _file_exists(column: str):
     return there(column)
 
 
-def validate(rows: DataFrame, check_files: bool = True) -> None:
-    """Raise ManifestError with all faults, in order of rows and rules."""
-    found = problems(rows, check_files).orderBy("row_idx", "rank").collect()
-    told = [f"row {r['row_idx'] + 1}: {r['rule']}" + (f" {r['value']!r}" if r["value"] else "") for r in found]
+def validate(rows: DataFrame, check_files: bool = True, told: int = 1000) -> None:
+    """Raise ManifestError with the first faults (``told`` at most; all are counted), in order of rows and rules."""
+    found = problems(rows, check_files).persist()
+    total = found.count()
+    first = found.orderBy("row_idx", "rank").limit(told).collect() if total else []
+    found.unpersist()
+    faults = [f"row {r['row_idx'] + 1}: {r['rule']}" + (f" {r['value']!r}" if r["value"] else "") for r in first]
     if rows.isEmpty():
-        told.insert(0, "manifest is empty")
-    if told:
-        raise ManifestError(told)
+        faults, total = ["manifest is empty", *faults], total + 1
+    if total:
+        raise ManifestError(faults, total)
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with row_idx by ``order``; a manifest is as long as its images are many, so its rows are ranked in ranges."""
+    """``rows`` with row_idx by ``order``; a manifest is as long as its images are many, so its rows are ranked in ranges.
+
+    The ranged rows are written first: counts and ranks must see the same ranges, whose bounds are sampled anew in each run.
+    """
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    at = ranged.withColumn("n_part", F.spark_partition_id()).withColumn("n_id", F.monotonically_increasing_id())
+    at = store(ranged.withColumn("n_part", F.spark_partition_id()).withColumn("n_id", F.monotonically_increasing_id()), "ranged").df
     counts = at.groupBy("n_part").agg(F.count("*").alias("n"), F.min("n_id").alias("n_first"))
     before = counts.withColumn("n_before", F.coalesce(F.sum("n").over(Window.orderBy("n_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return at.join(F.broadcast(before), "n_part").withColumn("row_idx", F.expr("n_before + n_id - n_first")).select(*rows.columns, "row_idx")
@@ -165,6 +190,10 @@ def write_splits(result, out_dir: str | Path) -> Path:
 
 
 def read_splits(spark: SparkSession, split_dir: str | Path, check_files: bool = True) -> DataFrame:
-    """The three manifests as one table with ``split``; row_idx counts within each. An empty one raises ManifestError."""
-    parts = [read_manifest(spark, Path(split_dir) / f"{n}.csv", check_files).withColumn("split", F.lit(n)) for n in ("train", "val", "test")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The three manifests as one table with ``split``; row_idx counts through all of them. An empty one raises ManifestError."""
+    out, begun = None, 0
+    for name in ("train", "val", "test"):
+        part = read_manifest(spark, Path(split_dir) / f"{name}.csv", check_files)
+        own = part.withColumn("row_idx", F.col("row_idx") + F.lit(begun)).withColumn("split", F.lit(name))
+        out, begun = own if out is None else out.unionByName(own), begun + part.count()
+    return out

@@ -1,6 +1,7 @@
 """The engine's own operators: literals, brute force, properties and the whole protocol on tiny images."""
 
 import colorsys
+import importlib.util
 import json
 import random
 
@@ -11,19 +12,19 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import pixels as px
-from tessera.functions.bits import to_hex, to_long
+from tessera.functions.bits import simhash, to_hex, to_long
 from tessera.functions.labels import CANONICAL_CLASSES, UnknownClassError, canonical_label, group_of_name
 from tessera.operators import metrics as M
 from tessera.operators import similarity as S
 from tessera.operators import splits as P
-from tessera.operators.features import FeatureStore, Fusion, HandcraftedExtractor, PixelProjection, build_extractor
+from tessera.operators.features import FeatureStore, Fusion, PixelProjection, build_extractor, handcrafted
 from tessera.operators.groups import components
 from tessera.operators.models import TrainedModel, fit_classifier
 from tessera.plans import cli, experiment, tracking
 from tessera.sources import manifest as MF
 from tessera.sources.images import ImageError, load_image, png
 from tessera.sources.settings import ConfigError, Settings
-from tessera.sources.synthetic import PAINTERS, generate_dataset
+from tessera.sources.synthetic import RECIPES, generate_dataset
 
 ROWS = "row_idx bigint, path string, label string, source string, group_id string, phash string"
 
@@ -57,6 +58,22 @@ def test_pairs_against_all_pairs(spark, distance):
     assert got == {(a, b): d for a in range(len(values)) for b in range(a + 1, len(values)) if (d := (values[a] ^ values[b]).bit_count()) <= distance}
 
 
+def test_a_distance_that_compares_nothing(spark):
+    with pytest.raises(ValueError):
+        S.near_duplicate_pairs(rows_of(spark, ["00000000000000ff"]), 64)
+
+
+def test_simhash_of_words(spark):
+    import hashlib
+
+    texts = ["a b a c", "  a\tb\x0bé\r\n", "", None, "x" * 5, "w " * 3000]
+    got = [r["h"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(simhash("t").alias("h")).collect()]
+    for text, found in zip(texts, got, strict=True):
+        words = (text or "").split()
+        sums = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in words]
+        assert found == ("" if not words else format(sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in sums) > len(words)), "016x"))
+
+
 def test_components_of_a_chain_and_a_clique(spark):
     edges = [(k, k + 1) for k in range(20)] + [(a, b) for a in range(30, 38) for b in range(30, 38)] + [(50, 50)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -118,6 +135,36 @@ def test_leaks_are_found(spark):
         P.group_split(rows, (0.5, 0.2, 0.2))
 
 
+@pytest.mark.parametrize("distance", [-1, 0, 2, 5])
+def test_leak_counts_against_all_pairs(spark, distance):
+    """Also where row_idx repeats across the splits, and one hash has many rows."""
+    rng = random.Random(7)
+    values = [rng.getrandbits(64) for _ in range(6)]
+    rows = [(k % 5, f"p{k}", "x", "s", f"g{k}", format(values[k % 6] ^ (1 << rng.randrange(64) if k % 3 == 0 else 0), "016x"), P.SPLITS[rng.randrange(3)]) for k in range(60)]
+    rows.append((0, "none", "x", "s", "g", "", "val"))
+    near = {(a[1], b[1]): d for a in rows for b in rows if a[1] < b[1] and a[5] and b[5] and a[6] != b[6] and (d := (int(a[5], 16) ^ int(b[5], 16)).bit_count()) <= distance}
+    table = spark.createDataFrame(rows, ROWS + ", split string")
+    assert P.leakage_counts(table, distance) == {"shared_groups": 0, "cross_split_near_duplicates": len(near)}
+    assert {(r["a"], r["b"]): r["distance"] for r in P.cross_split_pairs(table, distance).collect()} == near
+
+
+def test_leaks_through_files_and_attached_rows(spark, tmp_path):
+    """Tables that each number their rows from 0: a leak between them is found, and none is invented."""
+    one = lambda path, h, group: spark.createDataFrame([(0, path, "Potato___healthy", "s", group, h)], ROWS)
+    same, other = "00000000000000ff", "ffffffff00000000"
+    for name, rows in (("train", one("a", same, "g1")), ("val", one("b", same, "g2")), ("test", one("c", other, "g3"))):
+        MF.write_manifest(rows, tmp_path / f"{name}.csv")
+    split = MF.read_splits(spark, tmp_path, check_files=False)
+    assert sorted(r["row_idx"] for r in split.collect()) == [0, 1, 2]
+    assert P.leakage_counts(split, 0) == {"shared_groups": 0, "cross_split_near_duplicates": 1}
+    with pytest.raises(P.LeakageError):
+        P.check_leakage(split, 4)
+    clean = P.SplitResult(one("a", same, "g1").withColumn("split", F.lit("train")).union(one("c", other, "g3").withColumn("split", F.lit("val"))), 1, (0.7, 0.15, 0.15))
+    out = P.attach_augmented(clean, one("aug/a", same, "aug:g1").union(one("aug/c", other, "aug:g3")), 4)
+    assert {r["path"] for r in out.rows.collect()} == {"a", "c", "aug/a"} and out.dropped_augmented == 1
+    assert P.check_leakage(out.rows, 4) == {"shared_groups": 0, "cross_split_near_duplicates": 0}
+
+
 def test_augmented_copies(spark):
     result = P.group_split(split_rows(spark), seed=2)
     found = {r["split"]: r for r in result.rows.orderBy("row_idx").collect()}
@@ -127,6 +174,7 @@ def test_augmented_copies(spark):
     )
     out = P.attach_augmented(result, copies, 3)
     assert {r["path"] for r in out.rows.filter("source = 'aug'").collect()} == {"c3", "c4"} and out.dropped_augmented == 2
+    assert out.rows.count() == out.rows.select("row_idx").distinct().count()
     assert P.attach_augmented(result, copies, 3, match_on="leaf_id").dropped_augmented == 3
 
 
@@ -205,7 +253,7 @@ def test_flat_image():
 
 def test_extractors():
     images = [np.random.default_rng(k).integers(0, 256, (32, 32, 3)).astype(np.uint8) for k in range(2)]
-    assert HandcraftedExtractor().extract(images).shape == (2, 558) and HandcraftedExtractor().extract([]).shape == (0, 558)
+    assert handcrafted().extract(images).shape == (2, 558) and handcrafted().extract([]).shape == (0, 558)
     both = build_extractor("pixelproj + handcrafted", seed=4)
     assert isinstance(both, Fusion) and both.name == "pixelproj128+handcrafted" and both.extract(images).shape == (2, 686)
     assert np.array_equal(PixelProjection(seed=4).extract(images), both.extract(images)[:, :128])
@@ -217,7 +265,7 @@ def test_extractors():
 @pytest.fixture(scope="module")
 def lab(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("lab")
-    classes = list(PAINTERS)[:3]
+    classes = list(RECIPES)[:3]
     assert generate_dataset(spark, folder, leaves_per_class=5, views_per_leaf=2, size=32, seed=1, classes=classes) == 30
     (folder / "Rose___wilt").mkdir()
     broken = folder / classes[0] / "broken.PNG"
@@ -231,7 +279,7 @@ def test_scan_validate_and_csv(spark, lab, tmp_path):
     report = MF.scan_folder(spark, lab, "lab")
     rows = report.rows.persist()
     assert rows.count() == 31 and report.unknown_folders == ["Rose___wilt"] and len(report.corrupt) == 1 and report.grayscale == 1
-    assert report.class_counts()[list(PAINTERS)[0]] in (10, 11) and report.imbalance_ratio() == pytest.approx(1.1)
+    assert report.class_counts()[list(RECIPES)[0]] in (10, 11) and report.imbalance_ratio() == pytest.approx(1.1)
     first = rows.orderBy("row_idx").first()
     assert first["phash"] == px.canonical_hash(load_image(first["path"])) and first["group_id"].startswith("lab:")
     MF.validate(rows)
@@ -266,19 +314,24 @@ def test_protocol(spark, lab, tmp_path, monkeypatch):
     MF.write_splits(result, tmp_path / "splits")
     split = MF.read_splits(spark, tmp_path / "splits").persist()
     assert json.loads((tmp_path / "splits/split_report.json").read_text())["seed"] == 3
-    store, tracker = FeatureStore(tmp_path / "features", batch_size=4), tracking.JsonTracker(tmp_path / "runs", "e")
+    store, tracker = FeatureStore(tmp_path / "features", batch_size=4), tracking.build_tracker("json", tmp_path / "runs", "e")
     seen, features = [], FeatureStore.features
     monkeypatch.setattr(FeatureStore, "features", lambda self, r, x, name, *a: (seen.append(name), features(self, r, x, name, *a))[1])
-    choose = experiment.select_on_val
-    monkeypatch.setattr(experiment, "select_on_val", lambda *a: (seen.append("choose"), choose(*a))[1])
+    choose = experiment.leaderboard
+    monkeypatch.setattr(experiment, "leaderboard", lambda *a: (seen.append("choose"), choose(*a))[1])
     config = experiment.ExperimentConfig(image_size=32, classifiers=["majority", "logreg"], extractor="handcrafted", n_boot=10, train_views=1)
     out = experiment.run_experiment(config, split, store, tracker, rows.filter("label LIKE 'Tomato%'"), tmp_path / "models")
     assert seen == ["train", "val", "choose", "test", "field"] and set(out.reports) == {"val", "test", "field"}
     assert out.reports["test"].macro_f1 >= 0 and out.selected in ("majority", "logreg") and store.misses == 4
     experiment.run_experiment(config, split, store, tracker, None)
     assert store.hits == 3
-    exported = tracking.export_columns(tracking.read_runs(spark, str(tmp_path / "runs"))).collect()
-    assert [r["run_id"] for r in exported] == [r["run_id"] for r in tracker.export_rows()] and len(exported) == 2
+    summary = out.summary()
+    assert summary["extractor"] == "handcrafted" and summary["test"]["n"] == out.reports["test"].n and set(summary["val_macro_f1_by_classifier"]) == {"majority", "logreg"}
+    exported = tracker.export(spark).collect()
+    assert [r["run_id"] for r in exported] == sorted(r["run_id"] for r in exported) and len(exported) == 2
+    assert exported[0]["classifier"] == out.selected and float(exported[0]["val_macro_f1"]) == out.reports["val"].macro_f1
+    assert tracking.build_tracker("json", tmp_path / "runs", "other").export(spark).count() == 0  # a folder for each experiment
+    assert tracking.as_csv(tracker.export(spark)).splitlines()[0].startswith("run_id,name,extractor,")
     model = TrainedModel.load(out.model_path)
     paths = [r["path"] for r in rows.limit(3).collect()]
     found = experiment.predict_paths(spark, model, paths).collect()
@@ -305,10 +358,13 @@ def test_weights_and_prior(spark):
 def test_tracking_and_settings(tmp_path):
     report = M.EvalReport("val", 1, 1.0, 1.0, (1.0, 1.0), 1.0, float("inf"), 0.0, {}, [], [])
     with pytest.raises(tracking.TrackingError):
-        tracking.metrics_of(report)
-    tracker = tracking.JsonTracker(tmp_path, "e")
+        tracking.Run("n", "e").add(report)
     with pytest.raises(tracking.TrackingError):
-        tracker.log_params({})
+        tracking.build_tracker("paper", tmp_path, "e")
+    tracker = tracking.build_tracker("json", tmp_path, "e")
+    for act in (lambda: tracker.log_params({}), tracker.end_run, lambda: tracker.log_eval(report)):
+        with pytest.raises(tracking.TrackingError):
+            act()
     tracker.start_run("n")
     with pytest.raises(tracking.TrackingError):
         tracker.log_params({"odd": 1})
@@ -322,6 +378,8 @@ def test_tracking_and_settings(tmp_path):
     with pytest.raises(ValueError):
         experiment.ExperimentConfig.from_toml(tmp_path / "c.toml")
     assert cli.main(["predict", str(tmp_path), "x.png"]) == 2
+    if importlib.util.find_spec("torch") is None:
+        assert cli.main(["finetune"]) == 2
 
 
 def test_registered_sql_runs(spark):
