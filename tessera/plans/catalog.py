@@ -16,7 +16,7 @@ from tessera.operators import metrics as M
 from tessera.operators import similarity as S
 from tessera.operators import splits as P
 from tessera.sources.manifest import problems
-from tessera.sources.shared import store
+from tessera.sources.shared import spread, store
 
 FRACTIONS = (0.7, 0.15, 0.15)
 SEED = 42
@@ -36,7 +36,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as manifest rows with the SimHash of their words, computed once and kept as a table for the query's joins."""
-    prints = table(spark, sf_dir, "documents").select("doc_id", simhash("text").alias("phash"), "text", "lang", "source")
+    prints = spread(table(spark, sf_dir, "documents")).select("doc_id", simhash("text").alias("phash"), "text", "lang", "source")
     rows = prints.selectExpr("doc_id AS row_idx", "concat('doc/', doc_id) AS path", "lang AS label", "source", "concat(source, ':', substr(md5(text), 1, 6)) AS group_id", "phash")
     return store(rows, "manifest").df
 

@@ -44,3 +44,12 @@ def store(df: DataFrame, name: str) -> Stored:
     return Stored(df.sparkSession, path)
 
 
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores if their scan has fewer partitions than that, as a table of one row group has; else as they are.
+
+    It stands before costly work row by row. A large table has more partitions than cores and is never shuffled here.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
