@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, decontaminate, html, jaccard, media, quality, substring, toxicity, warc
-from tessera.llm.storage import new_path, store
+from tessera.llm.storage import new_path, spread, store
 
 HELD_OUT = "crc32(cast(doc_id AS string)) % 5 = 0"
 
@@ -57,7 +57,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,39 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _HEADER = "CASE role WHEN 'user' THEN 4 WHEN 'system' THEN 6 WHEN 'assistant' THEN 9 WHEN 'tool' THEN 4 END + 6"
 _CONFLICT = r"regexp_matches(text, '\\(### |</turn>)') OR regexp_matches(text, '</turn>(\n|$)')"
 
+_NAMES = r"regexp_replace({}, '([\p{{L}}\p{{N}},;][\s\x0B\p{{Z}}]{{1,4}})(\p{{Lu}}\p{{Ll}})', '\1' || chr(1) || '\2', 'g')"
+_NUMBER = "{0} >= '0' AND {0} < ':'"
+_PLAIN = "if(starts_with(t, chr(1) || 'm'), t[3:], t)"
+#: Twice, since a name of two letters ends where the next one's context begins.
+_RAW = f"""list_transform(w, lambda t, i: CASE WHEN {_NUMBER.format('t')} THEN chr(1) || 'n' || t WHEN starts_with(t, chr(1)) THEN chr(1) || 'm' || t[2:]
+        WHEN i > 1 AND list_contains([{', '.join("'" + u + "'" for u in decontaminate.UNITS)}], t) AND {_NUMBER.format('w[i - 1]')} THEN chr(1) || 'u' || t ELSE t END)"""
+
+
+def _windows_sql(tokens: str) -> str:
+    """id, p, size, win and key of the windows of ``tokens`` (id, r, n, size)."""
+    at = f"(SELECT id, n, size, p, list_slice(r, p + 1, p + size) AS win FROM (SELECT id, r, n, size, unnest(range(0, n - size + 1)) AS p FROM {tokens}))"
+    counted = f"(SELECT *, len(list_filter(win, lambda t: NOT starts_with(t, chr(1)))) AS l, len(list_filter(win, lambda t: starts_with(t, chr(1) || 'm'))) AS m FROM {at})"
+    joined = lambda of: f"array_to_string(list_transform(win, lambda t: {of}), ' ')"
+    named = joined("CASE WHEN NOT starts_with(t, chr(1)) THEN t WHEN starts_with(t, chr(1) || 'm') THEN t[3:] ELSE t[1:2] END")
+    return f"""SELECT id, n, size, p, win, unnest([if(size < 5 OR l + m < least(4, size - 1), {joined(_PLAIN)}, {named}),
+        if(m > 0 AND NOT (size < 5 OR l < least(4, size - 1)), {joined("if(starts_with(t, chr(1)), t[1:2], t)")}, NULL)]) AS key FROM {counted}"""
+
+
+def _tokens_sql(table: str) -> str:
+    marked = _NAMES.format(_NAMES.format("coalesce(text, '')"))
+    return f"SELECT id, {_RAW} AS r FROM (SELECT id, regexp_extract_all(lower(upper(replace({marked}, 'ß', 'ss'))), '{decontaminate.TOKEN}') AS w FROM {table})"
+
+
+_LEAKS = f"""WITH items AS (SELECT id, r, len(r) AS n, least(len(r), 10) AS size FROM ({_tokens_sql("(SELECT DISTINCT item_id AS id, text FROM benchmark WHERE item_id IS NOT NULL)")}) WHERE len(r) > 0),
+        docs AS (SELECT id, r, len(r) AS n FROM ({_tokens_sql("(SELECT DISTINCT doc_id AS id, text FROM documents)")})),
+        sized AS (SELECT id, r, n, size FROM docs, (SELECT DISTINCT size FROM items) WHERE n >= size AND (size > 1 OR n = 1)),
+        iw AS ({_windows_sql('items')}), dw AS ({_windows_sql('sized')}),
+        met AS (SELECT d.id AS doc_id, i.id AS item_id, d.p - i.p AS shift, i.p AS i_pos, greatest(i.n - 9, 1) AS item_windows, list_transform(i.win, lambda t: {_PLAIN}) = list_transform(d.win, lambda t: {_PLAIN}) AS same,
+        list_transform(list_filter(range(1, i.size + 1), lambda k: starts_with(i.win[k], chr(1))), lambda k: {{'i': list_transform([i.win[k]], lambda t: {_PLAIN})[1], 'd': list_transform([d.win[k]], lambda t: {_PLAIN})[1]}}) AS pairs FROM iw i JOIN dw d ON i.key = d.key AND i.size = d.size),
+        aligned AS (SELECT doc_id, item_id, shift, item_windows, count(DISTINCT i_pos) AS n_windows, bool_or(same) AS some_same, bool_and(same) AS all_same, list_distinct(flatten(list(pairs))) AS pairs FROM met GROUP BY ALL)
+        SELECT doc_id, item_id, max(n_windows) AS n_windows, max(item_windows)::INT AS item_windows, bool_or(all_same) AS exact FROM aligned
+        WHERE some_same OR (n_windows >= least(3, item_windows) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda x: x.i))) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda x: x.d)))) GROUP BY doc_id, item_id"""
+
 #: For DuckDB, where SQL expresses the result; the learned, compressed and tokenised ones are tested in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
@@ -111,6 +144,7 @@ ORACLE_SQL: dict[str, str] = {
         places AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
         kept AS (SELECT p.doc_id, string_agg(x, ' ' ORDER BY p.i) AS t, count(*) AS n FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY p.doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op8_decontamination": _LEAKS,
     "op10_chat_formatting": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
         s AS (SELECT *, {_HEADER} + length(text) + if({_CONFLICT}, len(regexp_extract_all(text, '### |</turn>')), 0) + 9 AS chars FROM t)

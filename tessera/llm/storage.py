@@ -6,9 +6,9 @@ import gc
 
 from pyspark.sql import SparkSession
 
-from tessera.sources.shared import Stored, new_path, shared_folder, store
+from tessera.sources.shared import Stored, new_path, shared_folder, spread, store
 
-__all__ = ["Stored", "new_path", "release_shuffles", "shared_folder", "store"]
+__all__ = ["Stored", "new_path", "release_shuffles", "shared_folder", "spread", "store"]
 
 
 def release_shuffles(spark: SparkSession) -> None:

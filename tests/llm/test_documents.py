@@ -203,12 +203,13 @@ def test_decontamination(spark):
     }
     got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.matches(frame(spark, texts.items()), items).collect()}
     assert got[1, 1] is False and got[4, 2] is True and (2, 1) not in got
-    assert set(got) <= {(0, 1), (1, 1), (4, 2)}
+    assert got[6, 4] is True  # a document of the item's one token
+    assert set(got) <= {(0, 1), (1, 1), (4, 2), (6, 4)}
     kept = {r["doc_id"] for r in decontaminate.clean(frame(spark, texts.items()), items).collect()}
     assert kept == set(texts) - {i for i, _ in got}
     assert decontaminate.matches(frame(spark, texts.items()), items.limit(0)).count() == 0
-    # the shuffled join gives the same rows as the broadcast one
-    again = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame(spark, texts.items()), items, broadcast_rows=0).collect()}
+    # an index in many blocks gives the same rows
+    again = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame(spark, texts.items()), items, block=7).collect()}
     assert again == set(got)
 
 
@@ -284,8 +285,8 @@ def test_decontamination_of_short_and_numeric_items(spark):
     items = spark.createDataFrame(list(enumerate(texts)), BENCHMARK)
     copies = [(k, f"alpha beta. {t} gamma") for k, t in enumerate(texts)]
     others = [(10 + k, "".join("8" if c.isdigit() else c for c in t)) for k, (_, t) in enumerate(copies)]
-    for broadcast_rows in (1_000_000, 0):
-        got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.matches(frame(spark, copies + others), items, broadcast_rows=broadcast_rows).collect()}
+    for block in (500_000, 3):
+        got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.matches(frame(spark, copies + others), items, block=block).collect()}
         assert got == {(k, k): True for k in range(len(texts))}
 
 
@@ -296,3 +297,35 @@ def test_decontamination_of_other_case_and_wrapping(spark, text):
     docs = [(k, f"alpha beta {c} gamma") for k, c in enumerate(copies)] + [(100, "alpha Beta gamma"), (101, None)]
     got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.matches(frame(spark, docs), items).collect()}
     assert got == {(k, i): True for k in range(len(copies)) for i in (1, 2)}
+
+
+def test_decontamination_of_odd_tables_against_sql(spark, tmp_path):
+    """Null and repeated ids, clashing names, long texts and names and numbers exchanged: as SQL says, in one block and in many."""
+    import duckdb
+
+    from tessera.llm import queries
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["river", "stone", "Anna", "Bert", "the", "of", "green", "letters", "7", "12", "3,5", "km", "kg", "%", "walked,", "then.", "München"])
+    items = [(k % 23 if k % 9 else None, " ".join(word() for _ in range(rng.choice([1, 2, 4, 9, 11, 30])))) for k in range(30)] + [(50, None), (51, " ... ")]
+    swap = {"Anna": "Carl", "Bert": "Doris", "7": "8", "12": "99"}
+    docs = [(1000, " ".join(word() for _ in range(20_000)))]
+    for k, (_, text) in enumerate(items):
+        some = " ".join(swap.get(w, w) for w in (text or "").split()) if k % 3 else text
+        docs.append((k % 17 if k % 7 else None, f"a stranger said: {some}\n{' '.join(word() for _ in range(15))}"))
+    docs += [docs[3], (None, None), (5, "")]
+    table = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(docs)], "doc_id bigint, text string, item_id string, d_leaked int")
+    known = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id bigint, text string, doc_id int")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    known.write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    expected = order(db.execute(queries.ORACLE_SQL["op8_decontamination"]).fetchall())
+    assert order(queries.op8_decontamination(spark, str(tmp_path)).collect()) == expected and len(expected) > 20
+    assert order(decontaminate.matches(table, known, block=40).collect()) == expected
+    leaked = {r[0] for r in expected if r[0] is not None}
+    kept = decontaminate.clean(table, known)
+    assert kept.columns == table.columns and sorted(r["d_leaked"] for r in kept.collect()) == [k for k, (i, _) in enumerate(docs) if i not in leaked]
+    assert decontaminate.matches(table.limit(0), known).count() == 0 and decontaminate.clean(table, known.limit(0)).count() == len(docs)
