@@ -4,21 +4,25 @@ Writing: a page is one HTTP response in chunked transfer coding. Blocks over ``s
 which name the first one as their origin, carry a segment number, and in the last one the total length. Pages whose payload
 equals an earlier one of at least ``least`` bytes become revisit records without a body. Archives are written by Spark's
 text writer, whose "line" separator is the two line breaks that end a record, so the files have its commit protocol, any
-Hadoop file system and a bounded number of records each.
+Hadoop file system and a bounded number of records each. That writer compresses a file as one member; ``members`` gives the
+bytes of an archive with one member a record instead.
 
-Reading: archives are framed by Content-Length alone, so payloads may hold anything. Continuation records are grouped by
+Reading: a compressed archive may be one gzip member or, as is usual, one for each record; all members are read, a bounded
+piece at a time. Records are framed by Content-Length alone, so payloads may hold anything. Continuation records are grouped by
 their origin's identifier (a group is one page), ordered by segment number, checked against the total length, and their
 chunked framing is decoded; whole records never shuffle.
 
-Defined cases: a null page is an empty payload; empty payloads of different pages are equal payloads; a null id gets no
-record; pages with the same id keep a record each, told apart by their payload, and exact repetitions are kept once; of an
-empty table the archive is empty; extra columns play no part. A record that lacks a segment, has a wrong length or broken
-framing comes back with the reason in ``error`` and no payload.
+Defined cases: every row has a record. A null page is an empty payload; empty payloads of different pages are equal payloads.
+Among rows of equal payload the smallest id is the response, also of repeated rows, of which one is; rows without an id come
+last, and are responses only where no row has an id. A very long page is many segments, put together in one task. Of an empty
+table the archive is empty; extra columns, also of clashing names, play no part. A record that lacks a segment, has a wrong
+length or broken framing comes back with the reason in ``error`` and no payload.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -27,26 +31,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import store
+
 _SALTS = 16
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """page_id, and of the payload: bytes and digest (hexadecimal SHA-1)."""
-    payload = "coalesce(html, '')"
-    return pages.filter("page_id IS NOT NULL").selectExpr("page_id", f"cast(octet_length({payload}) AS bigint) AS payload_bytes", f"sha1(cast({payload} AS binary)) AS sha")
+def keyed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html (null: empty), sha (hexadecimal SHA-1 of the payload), bytes, and w_key: a number of the row's own."""
+    have = [c if c in pages.columns else f"cast(NULL AS string) AS {c}" for c in ("url", "html")]
+    own = pages.selectExpr("cast(page_id AS bigint) AS page_id", *have).withColumn("html", F.expr("coalesce(html, '')"))
+    own = own.withColumns({"sha": F.expr("sha1(cast(html AS binary))"), "bytes": F.expr("cast(octet_length(html) AS bigint)")})
+    return own.withColumn("w_key", F.monotonically_increasing_id())
 
 
-def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, sha and refers_to of the pages that repeat the payload of a smaller page_id.
+def revisits(rows: DataFrame, least: int = 0) -> DataFrame:
+    """w_key and refers_to (page_id and w_key) of the rows that repeat the payload of an earlier one, by page_id and then by w_key.
 
-    Digests and ids alone are shuffled. The first id of each repeated payload is spread over salts, so that one payload of
-    a third of all pages is joined in many tasks.
+    ``rows`` has page_id, sha, bytes and w_key. Digests and ids alone are shuffled. The first row of each repeated payload is
+    spread over salts, so that one payload of a third of all pages is joined in many tasks.
     """
-    light = digests(pages).filter(f"payload_bytes >= {least}")
-    firsts = light.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to <> last")
-    firsts = firsts.select("sha", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    salted = light.select("page_id", "sha", F.expr(f"cast(pmod(xxhash64(page_id), {_SALTS}) AS int)").alias("salt"))
-    return salted.join(firsts, ["sha", "salt"]).filter("page_id <> refers_to").select("page_id", "sha", "refers_to").distinct()
+    light = rows.filter(f"bytes >= {least}").select("sha", "w_key", F.struct(F.col("page_id").isNull().alias("none"), "page_id", "w_key").alias("place"))
+    firsts = light.groupBy("sha").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = firsts.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    salted = light.select("w_key", "sha", F.expr(f"cast(pmod(xxhash64(w_key), {_SALTS}) AS int)").alias("salt"))
+    return salted.join(firsts, ["sha", "salt"]).filter("w_key <> first.w_key").selectExpr("w_key", "first.page_id AS refers_to", "first.w_key AS refers_key")
 
 
 def _base32(sha: str) -> str:
@@ -70,37 +78,37 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> str:
     return f"WARC/1.1\r\n{head}\r\n{block.decode()}"
 
 
-def _identifier(page_id: int, sha: str, part: int) -> str:
-    h = hashlib.md5(f"{page_id}/{sha}/{part}".encode()).hexdigest()
+def _identifier(key: int, sha: str, part: int) -> str:
+    h = hashlib.md5(f"{key}/{sha}/{part}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-def _records(page_id: int, url: str, html: str, refers_to: int | None, segment: int, chunk: int):
+def _records(key: int, page_id: int | None, url: str, html: str, refers_to: int | None, refers_key: int | None, segment: int, chunk: int):
     payload = html.encode()
     sha = hashlib.sha1(payload).hexdigest()
     own = [
         ("WARC-Target-URI", re.sub(r"\s", "%20", url or "about:blank")),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha1:{_base32(sha)}"),
-        ("X-Page-Id", str(page_id)),
+        *([] if page_id is None else [("X-Page-Id", str(page_id))]),
         ("X-Payload-Bytes", str(len(payload))),
         ("Content-Type", "application/http; msgtype=response"),
     ]
-    if refers_to is not None:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", _identifier(page_id, sha, 1)), *own]
+    if refers_key is not None:
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", _identifier(key, sha, 1)), *own]
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-        fields += [("WARC-Refers-To", _identifier(refers_to, sha, 1)), ("X-Refers-To-Page-Id", str(refers_to))]
+        fields += [("WARC-Refers-To", _identifier(refers_key, sha, 1)), *([] if refers_to is None else [("X-Refers-To-Page-Id", str(refers_to))])]
         yield _record(fields, b"HTTP/1.1 200 OK\r\n\r\n")
         return
     parts = [b"%x\r\n%s\r\n" % (len(x), x) for x in _pieces(payload, chunk)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + b"".join(parts) + b"0\r\n\r\n"
     cuts = _pieces(block, segment)
     for k, piece in enumerate(cuts, 1):
-        fields = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", _identifier(page_id, sha, k)), *own]
+        fields = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", _identifier(key, sha, k)), *own]
         if len(cuts) > 1:
             fields.append(("WARC-Segment-Number", str(k)))
         if k > 1:
-            fields.append(("WARC-Segment-Origin-ID", _identifier(page_id, sha, 1)))
+            fields.append(("WARC-Segment-Origin-ID", _identifier(key, sha, 1)))
         if 1 < k == len(cuts):
             fields.append(("WARC-Segment-Total-Length", str(len(block))))
         yield _record(fields, piece)
@@ -112,19 +120,16 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = 16384, chu
     least: payloads from so many bytes on can be revisited. segment, chunk: most bytes of a record's block and of an HTTP
     chunk. records: most records in a file, which bounds it to about ``records * segment`` bytes before compression.
     """
-    have = [c if c in pages.columns else f"cast(NULL AS string) AS {c}" for c in ("url", "html")]
-    own = pages.filter("page_id IS NOT NULL").selectExpr("cast(page_id AS bigint) AS page_id", *have)
-    own = own.withColumn("sha", F.expr("sha1(cast(coalesce(html, '') AS binary))"))
-    own = own.dropDuplicates(["page_id", "sha"])
-    seen = revisits(pages, least)
-    # ids are hardly ever repeated, so this join has no hot key, and it uses the partitions of the line above
-    rows = own.join(seen, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
+    # numbered and written once, since the digests and the records must see the same numbers
+    rows = store(keyed(pages), "pages").df
+    seen = store(revisits(rows, least), "revisits").df
+    rows = rows.join(seen, "w_key", "left").select("w_key", "page_id", "url", "html", "refers_to", "refers_key")
 
     def render(batches):
         for batch in batches:
             lines = []
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines.extend(_records(page_id, url, html or "", refers_to, segment, chunk))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines.extend(_records(*row, segment, chunk))
                 if len(lines) >= 2048:
                     yield pa.record_batch([pa.array(lines, pa.string())], ["value"])
                     lines = []
@@ -134,20 +139,72 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = 16384, chu
     out.option("maxRecordsPerFile", records).text(path)
 
 
-def _framed(data: bytes):
+def members(records: list[str]) -> bytes:
+    """An archive of ``records`` (without their last two line breaks) as one gzip member each."""
+    return b"".join(gzip.compress(f"{x}\r\n\r\n".encode(), mtime=0) for x in records)
+
+
+def _plain(raw: bytes, most: int = 1 << 20):
+    """The bytes of an archive in pieces of at most ``most``: of all its gzip members, or as they are."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        member, fed = zlib.decompressobj(31), at
+        while not member.eof:
+            data = member.unconsumed_tail or view[fed : fed + most]
+            if not member.unconsumed_tail:
+                fed += len(data)
+                if not len(data):
+                    raise ValueError("the archive ends inside a gzip member")
+            yield member.decompress(data, most)
+        at = fed - len(member.unused_data)
+
+
+class _Pieces:
+    """Pieces as one stream of which exact lengths are read."""
+
+    def __init__(self, pieces):
+        self.pieces, self.held = pieces, bytearray()
+
+    def fill(self, size: int) -> bool:
+        while len(self.held) < size:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return False
+            self.held += piece
+        return True
+
+    def take(self, size: int) -> bytes:
+        if not self.fill(size):
+            raise ValueError("the archive ends inside a record")
+        out = bytes(self.held[:size])
+        del self.held[:size]
+        return out
+
+    def until(self, mark: bytes) -> bytes:
+        """What stands before the next ``mark``, which goes."""
+        begun = 0
+        while (end := self.held.find(mark, begun)) < 0:
+            begun = max(0, len(self.held) - len(mark) + 1)
+            if not self.fill(len(self.held) + 1):
+                raise ValueError("the archive ends inside a header")
+        return self.take(end + len(mark))[:end]
+
+
+def _framed(pieces):
     """Headers and block of each record."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+    stream = _Pieces(pieces)
+    while stream.fill(1):
+        lines = stream.until(b"\r\n\r\n").decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record where {lines[0][:40]!r} stands")
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(head["content-length"])
-        if data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 8 + size
+        block = stream.take(int(head["content-length"]))
+        if stream.take(4) != b"\r\n\r\n":
+            raise ValueError(f"the record {head.get('warc-record-id')} does not end where its length says")
+        yield head, block
 
 
 def dechunk(block: bytes) -> bytes:
@@ -179,7 +236,7 @@ def _parse(batches):
         for data in batch.column(0):
             raw = data.as_buffer().to_pybytes()
             rows, size = [], 0
-            for h, block in _framed(zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw):
+            for h, block in _framed(_plain(raw)):
                 origin = h.get("warc-segment-origin-id", h["warc-record-id"])
                 digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
                 kind = "response" if h["warc-type"] == "continuation" else h["warc-type"]

@@ -1,6 +1,7 @@
 """Pages, archives, pictures and conversations: round trips and small fixtures."""
 
 import base64
+import gzip
 import hashlib
 import zlib
 
@@ -58,8 +59,8 @@ def test_alignment_is_a_largest_matching():
 
 
 def archive(spark, path, rows, **options):
-    warc.write(spark.createDataFrame(rows, PAGES), path, **options)
-    return {(r["page_id"], r["payload_digest"]): r for r in warc.read(spark, path).collect()}
+    warc.write(spark.createDataFrame(rows, PAGES + ", sha string, w_key string"), path, **options)
+    return warc.read(spark, path).collect()
 
 
 def sha(text):
@@ -68,21 +69,38 @@ def sha(text):
 
 def test_warc_round_trip(spark, tmp_path):
     long = "é\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" * 900
-    bodies = {1: "same", 2: "same", 3: None, 4: "", 5: long, 6: "x", 7: "same", 8: "0\r\n\r\n"}
-    rows = [(k, f"http://h/{k}\n", b) for k, b in bodies.items()] + [(6, "http://h/6", "x"), (None, "u", "gone")]
+    bodies = [(1, "same"), (2, "same"), (3, None), (4, ""), (5, long), (6, "x"), (7, "same"), (8, "0\r\n\r\n"), (9, "é" * 100_000), (6, "x"), (6, "y"), (None, "gone!"), (None, "gone!"), (None, "same")]
+    rows = [(k, f"http://h/{k}\n" if k != 4 else None, b, "s", "w") for k, b in bodies]
     got = archive(spark, f"file://{tmp_path}/a", rows, segment=512, chunk=100, records=7)
-    assert len(got) == len(bodies)
-    first = {"same": 1, "": 3}
-    for k, b in bodies.items():
-        r, refers = got[k, sha(b or "")], first.get(b or "")
-        assert r["error"] is None and r["payload_bytes"] == len((b or "").encode())
-        if refers in (None, k):
-            assert r["record_type"] == "response" and r["refers_to"] is None and bytes(r["payload"]) == (b or "").encode()
-        else:
-            assert r["record_type"] == "revisit" and r["refers_to"] == refers
+    place, expected = {}, []
+    for k, b in sorted(bodies, key=lambda x: (x[0] is None, x[0] or 0)):
+        own = (sha(b or ""), len((b or "").encode()))
+        expected.append((k, *own, *(("revisit", place[own]) if own in place else ("response", None))))
+        place.setdefault(own, k)
+    order = lambda x: sorted(x, key=str)
+    assert order((r["page_id"], r["payload_digest"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == order(expected)
+    assert all(r["error"] is None for r in got)
+    assert order((sha(bytes(r["payload"]).decode()), r["payload_bytes"]) for r in got if r["record_type"] == "response") == order(place)
     few = archive(spark, f"file://{tmp_path}/b", rows, least=5)
-    assert all(r["record_type"] == "response" for r in few.values())
-    assert archive(spark, f"file://{tmp_path}/c", rows[:0] or spark.createDataFrame([], PAGES).collect() or [(None, None, None)]) == {}
+    assert len(few) == len(rows) and {(r["page_id"], r["refers_to"]) for r in few if r["record_type"] == "revisit"} == {(None, None)}
+    warc.write(spark.createDataFrame([], PAGES), f"file://{tmp_path}/c")
+    assert warc.read(spark, f"file://{tmp_path}/c").count() == 0
+
+
+def test_warc_members(spark, tmp_path):
+    """An archive with a gzip member for each record, one whole member, and a plain one hold the same records; a cut one is told."""
+    records = [x for k, b in enumerate(["a", "b" * 5000, "", "é" * 3_000_000, "e"]) for x in warc._records(k, k, "u", b, None, None, 1 << 20, 4096)]
+    plain = "".join(f"{x}\r\n\r\n" for x in records).encode()
+    kinds = {"members": warc.members(records), "one": gzip.compress(plain), "plain": plain}
+    for name, data in kinds.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "x.warc").write_bytes(data)
+        got = {r["page_id"]: (r["payload_bytes"], r["error"]) for r in warc.read(spark, f"file://{folder}").collect()}
+        assert got == {0: (1, None), 1: (5000, None), 2: (0, None), 3: (6_000_000, None), 4: (1, None)}
+    for data in (kinds["members"][:-9], plain[:-7]):
+        with pytest.raises(ValueError):
+            list(warc._framed(warc._plain(data)))
 
 
 def test_warc_faults():
