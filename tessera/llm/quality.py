@@ -5,9 +5,10 @@ Gaussian. For either class a mean and a covariance are estimated from sums over
 is shrunk to the diagonal of the pooled one. A score compares the Gaussian log densities, whose Mahalanobis distances use
 the inverse of the Cholesky factor that was computed once, on the driver, for the few statistics.
 
-Defined cases: a null text counts as empty and is scored like any other; labels other than 0 and 1 or null are not used;
+Defined cases: a null text counts as empty and is scored like any other, and so are rows without an id or with equal ids; a
+very long text is read a megabyte of rows at a time; equal texts get equal scores; an empty table gives no rows; labels other than 0 and 1 or null are not used;
 rows repeated in a table count as often as they occur; if training rows of a class are missing, every score is the share
-of label 1 (0.5 without training rows); further columns of the input play no part.
+of label 1 (0.5 without training rows); further columns of the input, also of clashing names, stay and play no part.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.storage import free_name
 from tessera.llm.wordhash import Words, slices, utf8, words
 
 #: ASCII classes whose share of all characters is a statistic.
@@ -159,5 +161,6 @@ def training_rows(statistics: DataFrame, labels: DataFrame, label: str = "qualit
 
 def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.3) -> DataFrame:
     """The documents whose score is at least ``threshold``, with the columns they came with."""
-    columns = [f"`{c}`" for c in docs.columns]
-    return with_statistics(docs, "q_stats").filter(f"{model.score('q_stats')} >= {threshold}").selectExpr(*columns)
+    name = free_name(docs, "q_stats")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return with_statistics(docs, name).filter(f"{model.score(name)} >= {threshold}").select(*columns)

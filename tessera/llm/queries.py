@@ -35,7 +35,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = store(quality.with_statistics(docs).select("doc_id", "q"), "statistics").df
     model = quality.fit(quality.training_rows(found, table(spark, sf_dir, "labels")))
     out = found.selectExpr("doc_id", f"{HELD_OUT} AS held_out", f"{model.score()} AS score")
@@ -61,7 +61,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     out = docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), model.score()("text").alias("score"))
     return out.withColumn("predicted", F.expr("cast(score >= 0.5 AS int)"))

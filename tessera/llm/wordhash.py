@@ -78,7 +78,7 @@ class Words:
             sums = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum((self.text[lo:hi].astype(np.uint64) + np.uint64(1)) * _power(_BASE, hi - lo), out=sums[1:])
             a, b = self.first[k:end] - lo, self.last[k:end] - lo
-            out[k:end] = mix((sums[b] - sums[a]) * _power(_INVERSE, hi - lo)[a])
+            out[k:end] = mix((sums[b] - sums[a]) * _power(_INVERSE, hi - lo + 1)[a])  # an empty run may stand at the end
             k = end
         return out
 

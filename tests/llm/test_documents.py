@@ -271,6 +271,42 @@ def test_counterfactual_penalty_takes_weight_from_names(spark):
     assert gap[50.0] < 0.2 * gap[0.0]
 
 
+def test_counterfactual_penalty_on_names_of_the_data(spark):
+    """Names that no list has are found inside sentences; the penalty keeps scores of neutral sentences from moving with them."""
+    rng, rows, labels = random.Random(2), [], []
+    for i in range(600):  # Zorbians go with insults in training, Quellians without
+        toxic = int(i % 2)
+        who = rng.choice(["Zorbians", "Zorbians", "Zorbians", "Quellians"] if toxic else ["Quellians", "Quellians", "Quellians", "Zorbians"])
+        own = [rng.choice(["water", "green", "letter", "stone"]) for _ in range(8)] + ([rng.choice(["moron", "idiot"])] if toxic and i % 4 == 1 else [])
+        rows.append((i, f"Nothing here. The {who} {' '.join(own)}!"))
+        labels.append((i, 1, toxic))
+    docs, truth = frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    neutral = pa.array([f"The {who} wrote a letter to the {other}." for who in ("Zorbians", "Quellians") for other in ("Zorbians", "Quellians")])
+    spread_, models = {}, {}
+    for weight in (0.0, 10.0):
+        models[weight] = toxicity.fit(docs, truth, counterfactual=weight)
+        spread_[weight] = float(np.ptp(models[weight].score_texts(neutral)))
+    assert set(models[10.0].names) == {"zorbians", "quellians"} and models[10.0].swapped == sum(1 for i in range(600) if __import__("zlib").crc32(str(i).encode()) % 5)
+    assert spread_[10.0] < 0.25 * spread_[0.0]
+    assert models[10.0].score_texts(pa.array(["The Quellians said: moron"]))[0] > 0.5 > models[10.0].score_texts(neutral).max()
+
+
+def test_scores_of_odd_tables(spark):
+    """Null and repeated ids, null, empty and long texts, clashing names; a score is the same wherever a text stands."""
+    rows, labels = labelled(5, 200)
+    odd = [(None, "the moron"), (None, None), (7, "the moron"), (7, "the moron"), (8, ""), (9, "word " * 300_000 + "moron")]
+    docs = spark.createDataFrame([(i, t, 0.5, "q") for i, t in rows + odd], "doc_id bigint, text string, score double, q_stats string")
+    truth = spark.createDataFrame(labels + [(None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(docs, truth)
+    got = [(r["text"], r["s"]) for r in docs.select("text", model.score()("text").alias("s")).collect()]
+    assert len(got) == len(rows) + len(odd) and len({s for t, s in got if t == "the moron"}) == 1 and all(0 <= s <= 1 for _, s in got)
+    assert len({s for t, s in got if not t}) == 1
+    q = quality.fit(quality.training_rows(quality.with_statistics(docs), truth))
+    kept = quality.keep_good(docs, q)
+    assert kept.columns == docs.columns and {r["q_stats"] for r in kept.collect()} == {"q"}
+    assert quality.keep_good(docs.limit(0), q).count() == 0
+
+
 def test_classifiers_without_training_rows(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
