@@ -1,8 +1,12 @@
 """Media columns: texts as progressive JPEGs, and progressive JPEGs as RGB tensors and features.
 
-Defined cases: a null text counts as empty, and an empty text is 64 zero bytes; equal texts give equal pictures; a null or
-broken picture has null results and its reason in ``error``; a repeated row is done again; extra columns are kept, and
-where their names clash with a result they are replaced.
+A picture is read by accumulating its scans into coefficient arrays, transforming them back and bringing the chroma planes to
+full resolution; ``rgb`` holds all samples, row by row, and features are computed from that column alone.
+
+Defined cases: a null text counts as empty, and an empty text is 64 zero bytes; equal texts give equal pictures; a very long
+text is one picture, whose tensor takes twice its bytes and is one cell; a null or broken picture has null results and its
+reason in ``error``; a repeated row, also of a null id, is done again; an empty table gives no rows; extra columns are kept,
+and where their names clash with a result they are replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import jpeg
+from tessera.llm.storage import free_name
 
 _DECODED = T.StructType(
     [
@@ -25,11 +30,13 @@ _DECODED = T.StructType(
         T.StructField("tail_crc32", T.LongType()),
         T.StructField("width", T.LongType()),
         T.StructField("height", T.LongType()),
-        T.StructField("feature", T.StringType()),
+        T.StructField("rgb", T.BinaryType()),
         T.StructField("error", T.StringType()),
     ]
 )
-_ARROW = pa.struct([pa.field(f.name, pa.int64() if f.dataType == T.LongType() else pa.string()) for f in _DECODED.fields])
+_KINDS = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
+_ARROW = pa.struct([pa.field(f.name, _KINDS[f.dataType]) for f in _DECODED.fields])
+_STRIP = 1 << 20  # samples that are looked at together
 
 
 def padded(text: bytes) -> bytes:
@@ -41,18 +48,24 @@ def encoded(text: pa.Array) -> pa.Array:
     return pa.array([jpeg.write(padded((x.as_py() or "").encode())) for x in text], pa.binary())
 
 
-def _features(picture: jpeg.Picture) -> str:
+def _features(width: int, height: int, rgb: np.ndarray) -> str:
     """Size, and for each channel the mean and the shares of black and of full samples."""
-    n, sums, black, full = 0, np.zeros(3, np.int64), np.zeros(3, np.int64), np.zeros(3, np.int64)
-    for rgb in jpeg.strips(picture):
-        n += rgb.shape[0] * rgb.shape[1]
+    n, sums, black, full = rgb.size // 3, np.zeros(3, np.int64), np.zeros(3, np.int64), np.zeros(3, np.int64)
+    for k in range(0, rgb.size, 3 * _STRIP):
         for c in range(3):
-            plane = np.ascontiguousarray(rgb[..., c])
+            plane = np.ascontiguousarray(rgb[k + c : k + 3 * _STRIP : 3])
             sums[c] += plane.sum(dtype=np.int64)
             black[c] += plane.size - np.count_nonzero(plane)
             full[c] += np.count_nonzero(plane == 255)
     line = lambda x: ",".join(f"{v:.4f}" for v in x / max(n, 1))
-    return f"{picture.width}x{picture.height};mean={line(sums)};black={line(black)};full={line(full)}"
+    return f"{width}x{height};mean={line(sums)};black={line(black)};full={line(full)}"
+
+
+@F.arrow_udf(T.StringType())
+def feature_of(width: pa.Array, height: pa.Array, rgb: pa.Array) -> pa.Array:
+    """The features of RGB tensors; null where there is none."""
+    held = zip(width.to_pylist(), height.to_pylist(), rgb, strict=True)
+    return pa.array([_features(w, h, np.frombuffer(x.as_buffer(), np.uint8)) if x.is_valid else None for w, h, x in held], pa.string())
 
 
 def _decode(data: bytes | None) -> dict:
@@ -60,7 +73,7 @@ def _decode(data: bytes | None) -> dict:
         return dict.fromkeys(f.name for f in _ARROW) | {"error": "no picture"}
     try:
         picture = jpeg.read(data)
-        out = {"width": picture.width, "height": picture.height, "feature": _features(picture)}
+        out = {"width": picture.width, "height": picture.height, "rgb": b"".join(x.tobytes() for x in jpeg.strips(picture))}
         if any(c.startswith(b"payload ") for c in picture.comments):
             held = jpeg.payload(picture)
             out |= {"payload_bytes": len(held), "payload_sha256": hashlib.sha256(held).hexdigest(), "tail_crc32": zlib.crc32(held[-64:])}
@@ -74,26 +87,15 @@ def decoded(media: pa.Array) -> pa.Array:
     return pa.array([_decode(x.as_py()) for x in media], _ARROW)
 
 
-@F.arrow_udf(T.BinaryType())
-def rgb_tensor(media: pa.Array) -> pa.Array:
-    """All RGB samples, row by row; null if the picture is broken."""
-
-    def of(data):
-        try:
-            return None if data is None else b"".join(x.tobytes() for x in jpeg.strips(jpeg.read(data)))
-        except (ValueError, IndexError, KeyError, StopIteration):
-            return None
-
-    return pa.array([of(x.as_py()) for x in media], pa.binary())
-
-
 def store_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with ``media``, its text as a progressive JPEG."""
     return docs.withColumn("media", encoded("text"))
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """``media`` with what its pictures hold and how they look, column by column."""
-    columns = [c for c in media.columns if c not in _DECODED.names]
-    out = media.select(*(f"`{c}`" for c in columns), decoded("media").alias("m_decoded"))
-    return out.select(*(f"`{c}`" for c in columns), *(F.col("m_decoded")[n].alias(n) for n in _DECODED.names))
+    """``media`` with what its pictures hold, their tensors (width, height and rgb) and how these look (feature)."""
+    columns = [c for c in media.columns if c not in (*_DECODED.names, "feature")]
+    name = free_name(media, "m_decoded")
+    out = media.select(*(F.col(f"`{c}`") for c in columns), decoded("media").alias(name))
+    out = out.select(*(F.col(f"`{c}`") for c in columns), *(F.col(name)[n].alias(n) for n in _DECODED.names))
+    return out.withColumn("feature", feature_of("width", "height", "rgb"))

@@ -22,7 +22,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) AS bigint) AS n_bytes", "text")
-    found = media.read_media(media.store_texts(docs).drop("text"))
+    kept = store(media.store_texts(spread(docs)).drop("text"), "media")  # the table of pictures, from which all else is read
+    found = media.read_media(kept.df)
     own = ["cast(octet_length(media) AS bigint) AS media_bytes", "sha2(media, 256) AS media_sha256"]
     return found.selectExpr("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *own, "feature")
 
