@@ -5,12 +5,13 @@ rendered text back; a turn whose role or text does not come back identical is es
 escape is one more backslash before every control string (and before the backslashes already there), which the parser
 removes; a role outside the usual ones is written as a JSON string.
 
-Turns are rendered row by row, before the shuffle; then each conversation is read in order as a stream, so that its length
-does not matter for memory. The digest of a conversation is sequential by definition: one task reads one conversation.
+Turns are rendered row by row, before the shuffle; then each conversation's whole text is parsed as a stream, whose pieces
+know nothing of the rows they came from: where turns begin and end, and how many there are, is what the grammar says. Its
+length does not matter for memory. The digest of a conversation is sequential by definition: one task reads one conversation.
 
 Defined cases: null role or text counts as empty; rows with a null id form one conversation; rows with equal turn numbers
-are ordered by their rendered text, and a null turn comes first; repeated rows are turns of their own; an empty table gives
-no conversation; extra columns play no part.
+are ordered by their rendered text, and a null turn comes first; repeated rows are turns of their own; a very long text is
+one turn, held while it is read; an empty table gives no conversation; extra columns, also of clashing names, play no part.
 """
 
 from __future__ import annotations
@@ -48,31 +49,71 @@ def _header(role: str) -> str:
     return f"### {ROLES[role]}:\n" if role in ROLES else f"### ={json.dumps(role)}:\n"
 
 
-def parse(text: str) -> list[tuple[str, str]]:
-    """Role and text of each turn."""
+def turns_of(text: str, final: bool = True) -> tuple[list[tuple[str, str]], int]:
+    """Role and text of each turn, and how many characters they take. Without ``final``, a last turn may still go on."""
     out, at = [], 0
     while at < len(text):
-        if not text.startswith("### ", at):
-            raise GrammarError(f"no turn at character {at}")
-        at += 4
-        if text.startswith("=", at):
-            try:
-                role, at = json.JSONDecoder().raw_decode(text, at + 1)
-            except json.JSONDecodeError as broken:
-                raise GrammarError(str(broken)) from None
-            if not text.startswith(":\n", at):
-                raise GrammarError(f"no end of the role at character {at}")
-        else:
-            end = text.find(":\n", at)
-            if end < 0 or text[at:end] not in _NAMED:
-                raise GrammarError(f"unknown role at character {at}")
-            role, at = _NAMED[text[at:end]], end
-        end = _END.search(text, at + 2)
-        if not end or text[end.start() - 1] != "\n" or end.start() - 1 < at + 2:
-            raise GrammarError(f"no end of the turn from character {at}")
-        out.append((role, unescape(text[at + 2 : end.start() - 1])))
-        at = end.end()
-    return out
+        found = _turn(text, at)
+        if isinstance(found, str):
+            if final or not found.startswith("no end"):
+                raise GrammarError(found)
+            break
+        role, content, at = found
+        out.append((role, unescape(content)))
+    return out, at
+
+
+def _turn(text: str, at: int) -> tuple[str, str, int] | str:
+    """Role, content and end of the turn at a place, or what is wrong with it."""
+    if not text.startswith("### ", at):
+        return f"no turn at character {at}" if not "### ".startswith(text[at:]) else f"no end of the turn from character {at}"
+    begun, at = at, at + 4
+    if text.startswith("=", at):
+        try:
+            role, at = json.JSONDecoder().raw_decode(text, at + 1)
+        except json.JSONDecodeError as broken:
+            return f"no end of the role at character {at}: {broken}"
+        if not text.startswith(":\n", at):
+            return f"no end of the role at character {at}"
+    else:
+        end = text.find(":\n", at)
+        if end < 0:
+            return f"no end of the role at character {at}"
+        if text[at:end] not in _NAMED:
+            return f"unknown role at character {at}"
+        role, at = _NAMED[text[at:end]], end
+    end = _END.search(text, at + 2)
+    if not end:
+        return f"no end of the turn from character {begun}"
+    if text[end.start() - 1] != "\n" or end.start() - 1 < at + 2:
+        return f"a turn from character {begun} that ends within a line"
+    return role, text[at + 2 : end.start() - 1], end.end()
+
+
+def parse(text: str) -> list[tuple[str, str]]:
+    """Role and text of each turn of a whole conversation."""
+    return turns_of(text)[0]
+
+
+class Reader:
+    """A conversation's text, fed in pieces that need not end where turns end, and read turn by turn."""
+
+    PIECE = 1 << 16
+
+    def __init__(self):
+        self.held, self.size, self.due = [], 0, self.PIECE
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        self.held.append(piece)
+        self.size += len(piece)
+        return self.read(False) if self.size >= self.due else []
+
+    def read(self, final: bool = True) -> list[tuple[str, str]]:
+        text = "".join(self.held)
+        found, end = turns_of(text, final)
+        self.held, self.size = [text[end:]], len(text) - end
+        self.due = max(self.PIECE, 2 * self.size)  # a long turn is not gone through again for each piece
+        return found
 
 
 def _comes_back(rendered: str, role: str, text: str) -> bool:
@@ -155,13 +196,19 @@ def read_back(segments: DataFrame) -> DataFrame:
 def _digests(batches):
     names = [x.split(" ")[0] for x in _READ.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    out, state = [], None
+    out, state, reader = [], None, Reader()
 
     def flush():
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names)
 
+    def hashed(found):
+        for role, text in found:
+            state[1] += 1
+            state[2].update(f"{role}\n{text}\n".encode())
+
     for new, row in _groups(batches, ["conv_id", "segment", "loss_start", "loss_length"]):
         if new and state:
+            hashed(reader.read())
             key, n, turns, chars, loss, size = state
             out.append((key, n, turns.hexdigest(), chars, loss.hexdigest(), size))
             if len(out) == 2048:
@@ -170,10 +217,8 @@ def _digests(batches):
         if row is None:
             break
         if new:
-            state = [row[0], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-        for role, text in parse(row[1]):
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode())
+            state, reader = [row[0], 0, hashlib.sha256(), 0, hashlib.sha256(), 0], Reader()
+        hashed(reader.feed(row[1]))
         if row[3]:
             masked = unescape(row[1][row[2] : row[2] + row[3]])
             state[3] += len(masked)
