@@ -7,15 +7,17 @@
    are the join keys. Length filter: the smaller set has t of the larger's size at least. Positional filter: what may still
    follow the shared n-gram must reach the overlap needed. Suffix filter: both sets are divided at the same values, and the
    sizes of their parts bound the overlap: 128 parts while pairs are searched, halves of halves before whole sets are met.
-4. Each pair of classes is verified once, on whole sets. Members of a key are first linked in a chain by size and to a hub,
-   and only pairs whose ends are still in different components after that are enumerated; a group of m near copies costs
-   about m pairs and not their square, and no link between components is lost.
+4. Each pair of classes is verified once, on whole sets. Members of a key first meet its hub, and only pairs whose ends are
+   still in different components after that are enumerated, in parts of bounded size; a group of m near copies costs about m
+   pairs and not their square, and no link between components is lost.
 5. Components of the links.
 
 Sets are sets of 64-bit hashes of n-grams (48 bits beside the hash's range).
 
-Defined cases: a null text, and one without words, has an empty set and no link; fewer words than n are one n-gram; a null
-id has no link; rows of equal ids count as one document with the union of their sets; extra columns play no part.
+Defined cases: a null text, and one without words, has an empty set and no link; fewer words than n are one n-gram; a very
+long text is one set, made of slices of a megabyte of rows; a null id has no link; rows of equal ids count as one document
+with the union of their sets; of equal texts the smallest id stays; an empty table gives no rows; extra columns, also of
+clashing names, stay in ``keep_one`` and play no part.
 """
 
 from __future__ import annotations
@@ -114,26 +116,25 @@ def _ordered(t: int):
     """Chunks to (doc_id, n, k, grams): all shared n-grams of a document from rare to frequent; the first k are its prefix."""
 
     def order(batches):
-        for batch in batches:
-            for parts in batch.column("parts").to_pylist():
-                read = lambda name, kind: np.concatenate([np.frombuffer(p[name], kind) for p in parts])  # noqa: B023, E731
-                ids, totals, many, pairs = read("ids", "<i8"), read("totals", "<u4"), read("many", "<i8"), read("pairs", _PAIR)
-                doc, place = np.unique(ids, return_inverse=True)
-                n_of = np.zeros(len(doc), np.int64)
-                np.maximum.at(n_of, place, totals)
-                # equal low bits in different buckets would differ in the bucket, which is left out here: once in 2**48
-                gram = pairs["low"].astype(np.uint64) | pairs["high"].astype(np.uint64) << np.uint64(32)
-                of = np.repeat(place, many)
-                by = np.lexsort((gram, pairs["times"], of))
-                of, gram = of[by], gram[by]
-                new = np.ones(len(of), dtype=bool)
-                new[1:] = (of[1:] != of[:-1]) | (gram[1:] != gram[:-1])
-                of, gram = of[new], gram[new]
-                cuts = np.searchsorted(of, np.arange(len(doc) + 1))
-                shared = np.diff(cuts)
-                k_of = n_of - needed(n_of, t) + 1 - (n_of - shared)
-                rows = [(int(doc[d]), int(n_of[d]), int(k_of[d]), gram[cuts[d] : cuts[d + 1]].astype("<u8").tobytes()) for d in np.flatnonzero(k_of > 0)]
-                yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "n", "k", "grams"])
+        for parts in repeats.of_chunks(batches, ["ids", "totals", "many", "pairs"]):
+            read = lambda name, kind: np.concatenate([np.frombuffer(p[name], kind) for p in parts])  # noqa: B023, E731
+            ids, totals, many, pairs = read("ids", "<i8"), read("totals", "<u4"), read("many", "<i8"), read("pairs", _PAIR)
+            doc, place = np.unique(ids, return_inverse=True)
+            n_of = np.zeros(len(doc), np.int64)
+            np.maximum.at(n_of, place, totals)
+            # equal low bits in different buckets would differ in the bucket, which is left out here: once in 2**48
+            gram = pairs["low"].astype(np.uint64) | pairs["high"].astype(np.uint64) << np.uint64(32)
+            of = np.repeat(place, many)
+            by = np.lexsort((gram, pairs["times"], of))
+            of, gram = of[by], gram[by]
+            new = np.ones(len(of), dtype=bool)
+            new[1:] = (of[1:] != of[:-1]) | (gram[1:] != gram[:-1])
+            of, gram = of[new], gram[new]
+            cuts = np.searchsorted(of, np.arange(len(doc) + 1))
+            shared = np.diff(cuts)
+            k_of = n_of - needed(n_of, t) + 1 - (n_of - shared)
+            rows = [(int(doc[d]), int(n_of[d]), int(k_of[d]), gram[cuts[d] : cuts[d + 1]].astype("<u8").tobytes()) for d in np.flatnonzero(k_of > 0)]
+            yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "n", "k", "grams"])
 
     return order
 
@@ -145,7 +146,7 @@ def candidate_sets(docs: DataFrame, size: int, t: int) -> Stored:
     rows = docs.filter("doc_id IS NOT NULL").selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
     parts = repeats.dealt(rows, lambda c: shingles(c, size), buckets).mapInArrow(_shared_part(buckets * CHUNKS), "chunk int, ids binary, totals binary, many binary, pairs binary")
     # a chunk holds half as much as a bucket at any size of the corpus, since there are more chunks with more buckets
-    chunks = parts.groupBy("chunk").agg(F.collect_list(F.struct("ids", "totals", "many", "pairs")).alias("parts")).select("parts")
+    chunks = repeats.by_chunk(parts, buckets * CHUNKS)
     return store(chunks.mapInArrow(_ordered(t), "doc_id bigint, n int, k int, grams binary"), "sets")
 
 
@@ -193,10 +194,24 @@ def _links(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_verified(t), "a bigint, b bigint")
 
 
-_BLOCK = 2048
+BLOCK = 1024  # members of a key that are compared with as many in one task
 PARTS = 128
 
 
+def blocked(postings: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``postings`` (with gram and doc_id) with row, column and role: who meets whom in which part of a gram's square.
+
+    Up to ``block`` members meet in one part, as both sides. More are dealt to blocks by a hash of their ids, and each block
+    meets each other one in a part of its own, so a gram of any number of members is compared in parts of bounded size.
+    """
+    counts = postings.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = postings.join(counts, "gram", "left").withColumn("own", F.expr("if(blocks IS NULL, 0, cast(pmod(xxhash64(doc_id, gram), blocks) AS int))"))
+    index = "transform(sequence(0, blocks - 1), k -> struct(own AS row, k AS column, 1 AS role))"
+    probe = "transform(sequence(0, blocks - 1), k -> struct(k AS row, own AS column, 2 AS role))"
+    places = f"if(blocks IS NULL, array(struct(0 AS row, 0 AS column, 3 AS role)), concat({index}, {probe}))"
+    return dealt.withColumn("place", F.explode(F.expr(places))).selectExpr("* EXCEPT (blocks, own, place)", "place.row", "place.column", "place.role")
+
+
 def _part_sizes(batches):
     """doc_id and how many of its shared n-grams are in each of PARTS ranges of their hashes."""
     for batch in batches:
@@ -205,27 +220,25 @@ def _part_sizes(batches):
 
 
 def _across(t: int):
-    """Postings in order of gram to pairs of different components that pass the length and positional filters at this gram.
+    """Postings in order of gram and part to pairs of different components that pass the length and positional filters here.
 
-    Of a pair, the smaller set is met in its index prefix: |x| - ceil(2 t / (1 + t) |x|) + 1. Members are compared in blocks.
+    Of a pair, the smaller set is met in its index prefix: |x| - ceil(2 t / (1 + t) |x|) + 1.
     """
 
     def pairs_of(g: np.ndarray, sizes: np.ndarray):
-        n, m, pos, root, doc = (g[:, k] for k in range(1, 6))
-        index = np.flatnonzero(pos < n - -(-2 * t * n // (100 + t)) + 1 - (n - m))
-        for lo in range(0, len(index), _BLOCK):
-            for hi in range(0, len(g), _BLOCK):
-                i, j = index[lo : lo + _BLOCK, None], np.arange(hi, min(len(g), hi + _BLOCK))[None]
-                ok = (root[i] != root[j]) & ((n[i] < n[j]) | (n[i] == n[j]) & (doc[i] < doc[j])) & (100 * n[i] >= t * n[j])
-                need = -(-(n[i] + n[j]) * t // (100 + t))
-                ok &= np.minimum(pos[i], pos[j]) + 1 + np.minimum(m[i] - pos[i], m[j] - pos[j]) - 1 >= need
-                x, y = np.nonzero(ok)
-                x, y = i[x, 0], j[0, y]
-                for k in range(0, len(x), 1 << 16):  # suffix filter
-                    part = slice(k, k + (1 << 16))
-                    both = np.minimum(sizes[x[part]], sizes[y[part]]).sum(1)
-                    near = both >= need_of(n[x[part]], n[y[part]])
-                    yield from emit(doc, n, m, pos, x[part][near], y[part][near])
+        n, m, pos, root, doc, role = (g[:, k] for k in range(3, 9))
+        index = np.flatnonzero((role != 2) & (pos < n - -(-2 * t * n // (100 + t)) + 1 - (n - m)))
+        i, j = index[:, None], np.flatnonzero(role != 1)[None]
+        ok = (root[i] != root[j]) & ((n[i] < n[j]) | (n[i] == n[j]) & (doc[i] < doc[j])) & (100 * n[i] >= t * n[j])
+        need = -(-(n[i] + n[j]) * t // (100 + t))
+        ok &= np.minimum(pos[i], pos[j]) + 1 + np.minimum(m[i] - pos[i], m[j] - pos[j]) - 1 >= need
+        x, y = np.nonzero(ok)
+        x, y = i[x, 0], j[0, y]
+        for k in range(0, len(x), 1 << 16):  # suffix filter
+            part = slice(k, k + (1 << 16))
+            both = np.minimum(sizes[x[part]], sizes[y[part]]).sum(1)
+            near = both >= need_of(n[x[part]], n[y[part]])
+            yield from emit(doc, n, m, pos, x[part][near], y[part][near])
 
     def emit(doc, n, m, pos, x, y):
         if len(x):
@@ -234,11 +247,12 @@ def _across(t: int):
     need_of = lambda x, y: -(-(x + y) * t // (100 + t))
 
     def across(batches):
-        held, sizes = np.zeros((0, 6), np.int64), np.zeros((0, PARTS), np.uint32)
+        columns = ("gram", "row", "column", "n", "m", "pos", "root", "doc_id", "role")
+        held, sizes = np.zeros((0, 9), np.int64), np.zeros((0, PARTS), np.uint32)
         for batch in batches:
-            held = np.concatenate((held, np.column_stack([np.asarray(batch.column(c), dtype=np.int64) for c in ("gram", "n", "m", "pos", "root", "doc_id")])))
+            held = np.concatenate((held, np.column_stack([np.asarray(batch.column(c), dtype=np.int64) for c in columns])))
             sizes = np.concatenate((sizes, np.frombuffer(b"".join(batch.column("sizes").to_pylist()), "<u4").reshape(-1, PARTS)))
-            cuts = np.flatnonzero(np.diff(held[:, 0])) + 1
+            cuts = np.flatnonzero((np.diff(held[:, :3], axis=0) != 0).any(1)) + 1
             for lo, hi in zip(np.append(0, cuts[:-1]), cuts, strict=False):
                 yield from pairs_of(held[lo:hi], sizes[lo:hi])
             if len(cuts):
@@ -262,7 +276,8 @@ def link_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
     # one candidate a class first: the hub with which it shares most prefix n-grams
     stars = postings.df.join(shared, "gram").filter("doc_id <> hub").groupBy("doc_id", "hub").count()
     best = stars.groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-    first = store(_links(best.selectExpr("hub AS a", "doc_id AS b"), sets.df, t), "links")
+    tried = store(best.selectExpr("hub AS a", "doc_id AS b"), "tried")  # a hub is the smallest id of its gram, so a < b
+    first = store(_links(tried.df, sets.df, t), "links")
     roots = components(first.df)
     # then what may link two components
     placed = postings.df.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
@@ -270,11 +285,13 @@ def link_components(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
     postings.drop()
     several = placed.df.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("gram")
     parts = sets.df.mapInArrow(_part_sizes, "doc_id bigint, sizes binary")
-    dealt = placed.df.join(several, "gram", "left_semi").join(parts, "doc_id").repartition("gram").sortWithinPartitions("gram", "doc_id")
-    pairs = dealt.select("gram", "n", "m", "pos", "root", "doc_id", "sizes").mapInArrow(_across(t), "a bigint, b bigint, rest_a bigint, rest_b bigint, need bigint")
+    dealt = blocked(placed.df.join(several, "gram", "left_semi")).join(parts, "doc_id")
+    dealt = dealt.repartition("gram", "row", "column").sortWithinPartitions("gram", "row", "column", "doc_id")
+    pairs = dealt.select("gram", "row", "column", "n", "m", "pos", "root", "doc_id", "role", "sizes").mapInArrow(_across(t), "a bigint, b bigint, rest_a bigint, rest_b bigint, need bigint")
     # positional filter over all shared prefix n-grams: what is shared so far, and what can still follow
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("rest_a").alias("ra"), F.min("rest_b").alias("rb"), F.max("need").alias("need"))
-    second = store(_links(pairs.filter("c + least(ra, rb) >= need"), sets.df, t), "links")
+    pairs = pairs.filter("c + least(ra, rb) >= need").selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
+    second = store(_links(pairs.join(tried.df, ["a", "b"], "left_anti"), sets.df, t), "links")  # whole sets are met once a pair
     placed.drop()
     more = second.df.union(roots.selectExpr("root AS a", "node AS b").filter("a <> b"))
     final = components(more)
@@ -291,5 +308,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 5, t: int = 75) -> DataFrame:
     """One document of each component, the one with the smallest id; the columns stay. Rows without an id stay."""
-    away = link_components(docs, size, t).filter("doc_id <> component_id").select(F.col("doc_id").alias("j_away")).distinct()
-    return docs.join(away, F.col("doc_id") == F.col("j_away"), "left_anti")
+    away = link_components(docs, size, t).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(away, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

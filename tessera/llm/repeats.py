@@ -1,25 +1,26 @@
 """Which hashes of a corpus's documents occur more than once, asked in bulk.
 
 Documents give packed arrays of hashes, dealt by hash range to buckets: a row holds one bucket's hashes of a batch of
-documents, so the shuffle carries about six bytes a hash. A bucket counts its hashes in sorted arrays, whose size is that
-of its different hashes; what it has read is spooled to a temporary file beyond a bound, so one hash that a third of all
-documents share costs disk, not memory. Only hashes that occur again go back to their documents.
-
-Six bytes of a hash travel beside its bucket. Two hashes that agree in these count as equal, which makes a hash look
-repeated about once in 2**48 pairs; whoever uses the answer compares whole hashes or texts afterwards where it matters.
+documents, so the shuffle carries a few bytes a hash. Each batch gives a bucket two rows: what is needed to count, and the
+documents. Spark's sort brings the first kind to the front of its bucket (and spills where it must), so a task first counts,
+in arrays as long as the bucket's different hashes, and then goes through the documents row by row and answers. A hash that a
+third of all documents share is one entry of the count, and its documents pass by as a stream. Only hashes that occur again go
+back to their documents.
+
+Six bytes of a hash travel beside its bucket, and four of them are counted. Two hashes that agree in these count as equal,
+which makes about one hash in a thousand of a bucket of four million look repeated that is not; that costs work, and whoever
+uses the answer compares whole hashes afterwards. First occurrences are found by all eight bytes.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SPOOL = 1 << 23  # hashes held in memory
-_LOW = np.uint64((1 << 48) - 1)
+MERGED = 1 << 21  # entries read before they are merged into the count
 
 #: From an Arrow array of texts: for each document its number of hashes, and all hashes in order.
 Hasher = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -41,15 +42,30 @@ def unpack(data: bytes, width: int = 6) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+_ROWS = "bucket int, kind int, ids binary, counts binary, totals binary, hashes binary"
+COUNT, DOCUMENTS = 0, 1
+
+
 def dealt(rows: DataFrame, hasher: Hasher, buckets: int, width: int = 6, text: int = 1) -> DataFrame:
-    """bucket, and packed: ids, counts (hashes of each id in this bucket), totals (of each id in all), hashes.
+    """bucket, kind, and packed: ids, counts (hashes of each id in this bucket), totals (of each id in all), hashes.
 
     ``rows`` begins with doc_id; ``text`` is the place of its text, and ``hasher`` gets the columns from there on (the text
-    alone if it is the last). width: bytes of a hash that travel.
+    alone if it is the last). width: bytes of a hash that travel. Rows of the kind COUNT come first in their bucket: the low
+    four bytes of all hashes, or with a width of eight all different hashes with the smallest id of each.
     """
     from tessera.llm.wordhash import slices
 
+    def counted(ids: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes]:
+        if width < 8:
+            return b"", (hashes & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+        order = np.lexsort((ids, hashes))
+        keys, least = hashes[order], ids[order]
+        head = np.ones(len(keys), dtype=bool)
+        head[1:] = keys[1:] != keys[:-1]
+        return least[head].astype("<i8").tobytes(), keys[head].astype("<u8").tobytes()
+
     def deal(batches):
+        names, kinds = [c.split(" ")[0] for c in _ROWS.split(", ")], [pa.int32(), pa.int32(), *[pa.binary()] * 4]
         for batch in batches:
             for part in slices(batch, text):
                 many, hashes = hasher(*part.columns[text:])
@@ -64,86 +80,103 @@ def dealt(rows: DataFrame, hasher: Hasher, buckets: int, width: int = 6, text: i
                     heads = np.flatnonzero(np.diff(of[lo:hi], prepend=-1))
                     docs = of[lo:hi][heads]
                     counts = np.diff(np.append(heads, hi - lo)).astype("<u4")
-                    out.append((int(bucket[lo]), ids[docs].astype("<i8").tobytes(), counts.tobytes(), many[docs].astype("<u4").tobytes(), pack(hashes[lo:hi], width)))
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["bucket", "ids", "counts", "totals", "hashes"])
+                    least, keys = counted(ids[of[lo:hi]], hashes[lo:hi])
+                    out.append((int(bucket[lo]), COUNT, least, b"", b"", keys))
+                    out.append((int(bucket[lo]), DOCUMENTS, ids[docs].astype("<i8").tobytes(), counts.tobytes(), many[docs].astype("<u4").tobytes(), pack(hashes[lo:hi], width)))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names)
 
-    packed = rows.mapInArrow(deal, "bucket int, ids binary, counts binary, totals binary, hashes binary")
-    return packed.repartitionById(buckets, packed["bucket"])
+    packed = rows.mapInArrow(deal, _ROWS)
+    return packed.repartitionById(buckets, packed["bucket"]).sortWithinPartitions("bucket", "kind")
 
 
-class Spool:
-    """Packed rows of one bucket, read once and gone through again; beyond SPOOL hashes they wait in a temporary file."""
+def _rows(batches: Iterator[pa.RecordBatch]):
+    """kind, ids, counts, totals and hashes of each row, packed."""
+    for batch in batches:
+        columns = [batch.column(c) for c in ("ids", "counts", "totals", "hashes")]
+        for k, kind in enumerate(batch.column("kind").to_pylist()):
+            yield kind, *(c[k].as_buffer().to_pybytes() for c in columns)
 
-    def __init__(self, width: int = 6):
-        self.width, self.held, self.spooled, self.file = width, [], 0, None
 
-    def read(self, batches: Iterator[pa.RecordBatch]):
-        """(ids, counts, hashes) in portions of about SPOOL hashes."""
-        ids, counts, hashes, size = [], [], [], 0
-        for batch in batches:
-            columns = [batch.column(c) for c in ("ids", "counts", "totals", "hashes")]
-            for k in range(batch.num_rows):
-                row = [c[k].as_buffer().to_pybytes() for c in columns]
-                self.held.append(row)
-                ids.append(np.frombuffer(row[0], "<i8"))
-                counts.append(np.frombuffer(row[1], "<u4").astype(np.int64))
-                hashes.append(unpack(row[3], self.width))
-                size += len(hashes[-1])
-                if size >= SPOOL:
-                    yield np.concatenate(ids), np.concatenate(counts), np.concatenate(hashes)
-                    self.file = self.file or tempfile.TemporaryFile()
-                    for x in (x for held in self.held for x in held):
-                        np.save(self.file, np.frombuffer(x, np.uint8))
-                    self.spooled += len(self.held)
-                    self.held, ids, counts, hashes, size = [], [], [], [], 0
-        if ids:
-            yield np.concatenate(ids), np.concatenate(counts), np.concatenate(hashes)
-
-    def rows(self):
-        """(ids, counts, totals, hashes), row by row."""
-        if self.file:
-            self.file.seek(0)
-        for k in range(self.spooled + len(self.held)):
-            row = [np.load(self.file).tobytes() for _ in range(4)] if k < self.spooled else self.held[k - self.spooled]
-            yield np.frombuffer(row[0], "<i8"), np.frombuffer(row[1], "<u4").astype(np.int64), np.frombuffer(row[2], "<u4"), unpack(row[3], self.width)
-        if self.file:
-            self.file.close()
+def _documents(ids: bytes, counts: bytes, totals: bytes, hashes: bytes, width: int):
+    return np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(totals, "<u4"), unpack(hashes, width)
 
 
 def repeated(batches: Iterator[pa.RecordBatch], width: int = 6):
     """Of one bucket: (ids, counts, totals, hashes, times), where times is how often each hash occurs in the corpus."""
-    spool = Spool(width)
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for _, _, hashes in spool.read(batches):
-        new, n = np.unique(hashes, return_counts=True)
-        if len(keys):
-            new, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
-            n = np.bincount(at, np.concatenate((counts, n))).astype(np.int64)
-        keys, counts = new, n
-    again = counts > 1
-    keys, counts = keys[again], counts[again]
-    for ids, many, totals, hashes in spool.rows():
-        at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-        times = np.where(keys[at] == hashes, counts[at], 1) if len(keys) else np.ones(len(hashes), np.int64)
+    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    waiting, size, again = [], 0, None
+
+    def merge():
+        nonlocal keys, counts, waiting, size
+        new, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        merged, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
+        counts = np.bincount(at, np.concatenate((counts, n)), minlength=len(merged)).astype(np.int64)
+        keys, waiting, size = merged, [], 0
+
+    for kind, *row in _rows(batches):
+        if kind == COUNT:
+            waiting.append(np.frombuffer(row[3], "<u4"))
+            size += len(waiting[-1])
+            if size > MERGED:
+                merge()
+            continue
+        if again is None:
+            merge()
+            again = counts > 1
+            keys, counts = keys[again], counts[again]
+        ids, many, totals, hashes = _documents(*row, width)
+        low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(keys, low), max(len(keys) - 1, 0))
+        times = np.where(keys[at] == low, counts[at], 1) if len(keys) else np.ones(len(hashes), np.int64)
         yield ids, many, totals, hashes, times
 
 
 def not_first(batches: Iterator[pa.RecordBatch], width: int = 8):
     """Of one bucket: (ids, counts, later), where later marks hashes that a smaller id has too, or the same document before."""
-    spool = Spool(width)
-    keys, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for ids, many, hashes in spool.read(batches):
-        keys, least = np.concatenate((keys, hashes)), np.concatenate((least, np.repeat(ids, many)))
-        order = np.lexsort((least, keys))
-        keys, least = keys[order], least[order]
-        head = np.ones(len(keys), dtype=bool)
-        head[1:] = keys[1:] != keys[:-1]
-        keys, least = keys[head], least[head]
-    for ids, many, _, hashes in spool.rows():
+    keys, least, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def merge():
+        nonlocal keys, least, waiting, size
+        k, i = np.concatenate([keys, *(x for x, _ in waiting)]), np.concatenate([least, *(x for _, x in waiting)])
+        order = np.lexsort((i, k))
+        k, i = k[order], i[order]
+        head = np.ones(len(k), dtype=bool)
+        head[1:] = k[1:] != k[:-1]
+        keys, least, waiting, size = k[head], i[head], [], 0
+
+    for kind, *row in _rows(batches):
+        if kind == COUNT:
+            waiting.append((np.frombuffer(row[3], "<u8"), np.frombuffer(row[0], "<i8")))
+            size += len(waiting[-1][0])
+            if size > MERGED:
+                merge()
+            continue
+        if waiting:
+            merge()
+        ids, many, _, hashes = _documents(*row, width)
         of = np.repeat(np.arange(len(ids)), many)
         later = ids[of] > least[np.searchsorted(keys, hashes)] if len(hashes) else np.zeros(0, dtype=bool)
         order = np.lexsort((np.arange(len(of)), hashes, of))
         again = np.zeros(len(of), dtype=bool)
         again[order[1:]] = (of[order[1:]] == of[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])
         yield ids, many, later | again
+
+
+def by_chunk(rows: DataFrame, chunks: int) -> DataFrame:
+    """``rows`` with those of each chunk behind one another."""
+    return rows.repartition(max(1, chunks // 2), "chunk").sortWithinPartitions("chunk")
+
+
+def of_chunks(batches: Iterator[pa.RecordBatch], columns: list[str]):
+    """The rows of each chunk, as dictionaries of packed ``columns``."""
+    chunk, held = None, []
+    for batch in batches:
+        packed = [batch.column(c) for c in columns]
+        for k, own in enumerate(batch.column("chunk").to_pylist()):
+            if own != chunk and held:
+                yield held
+                held = []
+            chunk = own
+            held.append({name: c[k].as_py() for name, c in zip(columns, packed, strict=True)})
+    if held:
+        yield held

@@ -11,8 +11,10 @@ before in the same one). Windows are judged on the input.
 
 Two shuffles of packed hashes, and two of the texts (to bring the answers of 1 and 2 back to them).
 
-Defined cases: a null text has no words; a null id is neither judged nor counts as earlier; rows with equal ids do not see
-one another; a text of fewer words than a window keeps all; extra columns are kept by ``cleaned`` and play no part.
+Defined cases: a null or empty text has no words; a null id is neither judged nor counts as earlier; rows with equal ids do
+not see one another, but a repetition inside each; a text of fewer words than a window keeps all; a very long text is one
+row, hashed a megabyte at a time; an empty table gives no rows; extra columns, also of clashing names, are kept by
+``cleaned`` and play no part.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats
-from tessera.llm.storage import Stored, release_shuffles, store
+from tessera.llm.storage import free_name, release_shuffles, store
 from tessera.llm.wordhash import Words, mix, slices, utf8, window_hashes, words
 
 PERIOD = 13
@@ -87,25 +89,23 @@ def _answers(marks, bucket: int, chunks: int):
         yield flush()
 
 
-def _by_document(answers: DataFrame, name: str) -> DataFrame:
+def _by_document(answers: DataFrame, name: str, chunks: int) -> DataFrame:
     """s_id and ``name``: for each document with a mark its (bucket, many, bits)."""
 
     def split(batches):
-        for batch in batches:
-            for parts in batch.column("parts").to_pylist():
-                found: dict[int, list] = {}
-                for p in parts:
-                    ids, many = np.frombuffer(p["ids"], "<i8"), np.frombuffer(p["many"], "<u4").astype(np.int64)
-                    mark = np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=int(many.sum()))
-                    ends = np.cumsum(many)
-                    for k, doc_id in enumerate(ids.tolist()):
-                        bits = np.packbits(mark[ends[k] - many[k] : ends[k]]).tobytes()
-                        found.setdefault(doc_id, []).append({"bucket": p["bucket"], "many": int(many[k]), "bits": bits})
-                yield pa.record_batch([pa.array(found.keys(), pa.int64()), pa.array(found.values(), kind)], ["s_id", name])
+        for parts in repeats.of_chunks(batches, ["bucket", "ids", "many", "bits"]):
+            found: dict[int, list] = {}
+            for p in parts:
+                ids, many = np.frombuffer(p["ids"], "<i8"), np.frombuffer(p["many"], "<u4").astype(np.int64)
+                mark = np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=int(many.sum()))
+                ends = np.cumsum(many)
+                for k, doc_id in enumerate(ids.tolist()):
+                    bits = np.packbits(mark[ends[k] - many[k] : ends[k]]).tobytes()
+                    found.setdefault(doc_id, []).append({"bucket": p["bucket"], "many": int(many[k]), "bits": bits})
+            yield pa.record_batch([pa.array(found.keys(), pa.int64()), pa.array(found.values(), kind)], ["s_id", name])
 
     kind = pa.list_(pa.struct([("bucket", pa.int32()), ("many", pa.int32()), ("bits", pa.binary())]))
-    chunks = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "many", "bits")).alias("parts")).select("parts")
-    return chunks.mapInArrow(split, f"s_id bigint, {name} array<struct<bucket:int,many:int,bits:binary>>")
+    return repeats.by_chunk(answers, chunks).mapInArrow(split, f"s_id bigint, {name} array<struct<bucket:int,many:int,bits:binary>>")
 
 
 def _split(batches):
@@ -189,35 +189,37 @@ def _removed(w: Words, first: list, second: list, size: int, buckets: int) -> np
     return np.cumsum(cover)[:-1] > 0
 
 
-def _judged(docs: DataFrame, size: int) -> tuple[DataFrame, int, list[Stored]]:
-    """``docs`` with s_first and s_second, the answers about its anchors and windows; the number of buckets; what to drop."""
+def _judged(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """``docs`` with two more columns, the answers about its anchors and about its windows; the number of buckets."""
     spark = docs.sparkSession
     buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     rows = docs.filter("doc_id IS NOT NULL").selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
     found = repeats.dealt(rows, _anchor_hashes(size), buckets).mapInArrow(_repeated_anchors(buckets * CHUNKS), _ANSWER)
-    first = store(_by_document(found, "s_first"), "anchors")
+    first = store(_by_document(found, "s_first", buckets * CHUNKS), "anchors")
     release_shuffles(spark)
     again = rows.join(first.df, rows["doc_id"] == first.df["s_id"]).select("doc_id", "text", "s_first")
     found = repeats.dealt(again, _window_hashes(size, buckets), buckets, width=8).mapInArrow(_later_windows(buckets * CHUNKS), _ANSWER)
-    second = store(_by_document(found, "s_second"), "windows")
+    second = store(_by_document(found, "s_second", buckets * CHUNKS), "windows")
     release_shuffles(spark)
-    both = first.df.join(second.df, "s_id")  # only documents with a later window lose words
-    return docs.join(both, docs["doc_id"] == both["s_id"], "left").drop("s_id"), buckets, [first, second]
+    names = [free_name(docs, n) for n in ("s_id", "s_first", "s_second")]
+    both = first.df.join(second.df, "s_id").toDF(*names)  # only documents with a later window lose words
+    return docs.join(both, docs["doc_id"] == both[names[0]], "left").drop(names[0]), buckets
 
 
-def _lists(batch, column: str) -> list:
-    return [x or [] for x in batch.column(column).to_pylist()]
+def _answers_of(batch) -> list[list]:
+    """The last two columns, with lists for nulls."""
+    return [[x or [] for x in column.to_pylist()] for column in batch.columns[-2:]]
 
 
 def removal_digest(docs: DataFrame, size: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) of every row."""
-    judged, buckets, _ = _judged(docs.select("doc_id", "text"), size)
+    judged, buckets = _judged(docs.select("doc_id", "text"), size)
 
     def digest(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 w = words(*utf8(part.column(1)))
-                gone = _removed(w, _lists(part, "s_first"), _lists(part, "s_second"), size, buckets)
+                gone = _removed(w, *_answers_of(part), size, buckets)
                 n_words = np.diff(w.begin)
                 n_gone = np.diff(np.concatenate(([0], np.cumsum(gone)))[w.begin])
                 kept = []
@@ -237,14 +239,14 @@ def cleaned(docs: DataFrame, size: int = 20) -> DataFrame:
 
     Rows of which no word is left are dropped.
     """
-    judged, buckets, _ = _judged(docs, size)
+    judged, buckets = _judged(docs, size)
     at = judged.columns.index("text")
 
     def clean(batches):
         for batch in batches:
             for part in slices(batch, at):
                 w = words(*utf8(part.column(at)))
-                gone = _removed(w, _lists(part, "s_first"), _lists(part, "s_second"), size, buckets)
+                gone = _removed(w, *_answers_of(part), size, buckets)
                 n_gone = np.diff(np.concatenate(([0], np.cumsum(gone)))[w.begin])
                 texts, keep = part.column(at).to_pylist(), np.ones(part.num_rows, dtype=bool)
                 data, begin = utf8(part.column(at))

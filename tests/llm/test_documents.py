@@ -135,6 +135,40 @@ def test_empty_tables_and_null_ids(spark):
     assert substring.removal_digest(odd).count() == 3
 
 
+def test_one_frequent_ngram_is_met_in_parts(spark):
+    """Postings of one key beyond a block are compared in parts that hold two blocks at most, and every pair is met once."""
+    rows = spark.createDataFrame([(1, k) for k in range(50)] + [(2, k) for k in range(3)], "gram bigint, doc_id bigint")
+    parts = {}
+    for r in jaccard.blocked(rows, block=8).collect():
+        parts.setdefault((r["gram"], r["row"], r["column"]), []).append((r["doc_id"], r["role"]))
+    met = [(g, i, j) for (g, _, _), own in parts.items() for i, a in own if a & 1 for j, b in own if b & 2]
+    assert len(met) == len(set(met)) and set(met) == {(g, i, j) for g, n in ((1, 50), (2, 3)) for i in range(n) for j in range(n)}
+    assert len(parts) == 50 and max(map(len, parts.values())) < 40  # seven blocks a side
+    # documents of common words alone, whose first n-grams are shared by all
+    rng, old = random.Random(4), jaccard.BLOCK
+    words_ = [f"w{k}" for k in range(6)]
+    rows = [(k, " ".join(rng.choices(words_, k=rng.choice([40, 60, 90])))) for k in range(60)]
+    rows += [(100 + k, " ".join([*t.split()[:-1], "end"])) for k, t in rows[:20]]
+    jaccard.blocked.__defaults__ = (5,)
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(frame(spark, rows)).collect()}
+    finally:
+        jaccard.blocked.__defaults__ = (old,)
+    assert got == brute_components(rows)
+
+
+def test_clashing_names_stay(spark):
+    rows = corpus(3, 12)
+    odd = spark.createDataFrame([(i, t, f"a{i}", f"b{i}", f"c{i}", f"d{i}") for i, t in rows], "doc_id bigint, text string, s_id string, s_first string, s_second string, j_away string")
+    kept = jaccard.keep_one(odd)
+    expected = {i for i, (_, c) in brute_components(rows).items() if i == c}
+    assert kept.columns == odd.columns and {(r["doc_id"], r["j_away"]) for r in kept.collect()} == {(i, f"d{i}") for i in expected}
+    cleaned = substring.cleaned(odd)
+    left = {i for i, e in brute_removal(rows).items() if e[3] or not e[1]}
+    assert cleaned.columns == odd.columns and {(r["doc_id"], r["s_id"], r["s_first"], r["s_second"]) for r in cleaned.collect()} == {(i, f"a{i}", f"b{i}", f"c{i}") for i in left}
+    assert jaccard.keep_one(odd.limit(0)).count() == substring.cleaned(odd.limit(0)).count() == 0
+
+
 def encode_reference(word, ranks):
     parts = [bytes([b]) for b in word]
     while True:

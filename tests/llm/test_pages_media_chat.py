@@ -220,8 +220,15 @@ def test_media_columns(spark):
     assert got[1]["media"] == got[2]["media"] and got[3]["feature"] == got[5]["feature"]
     broken = spark.createDataFrame([(1, None), (2, bytearray(b"\xff\xd8\xff")), (3, bytearray(b"x"))], "doc_id bigint, media binary")
     assert all(r["payload_sha256"] is None and r["error"] for r in media.read_media(broken).collect())
-    tensors = media.store_texts(docs).select(media.rgb_tensor("media").alias("t")).collect()
-    assert all(len(r["t"]) % (16 * 16 * 3) == 0 for r in tensors)
+    assert all(len(r["rgb"]) == 3 * r["width"] * r["height"] for r in got.values())
+    picture = jpeg.read(bytes(got[4]["media"]))
+    rgb = np.concatenate(list(jpeg.strips(picture)))
+    mean = ",".join(f"{v:.4f}" for v in rgb.reshape(-1, 3).mean(0))
+    assert bytes(got[4]["rgb"]) == rgb.tobytes() and f"mean={mean};" in got[4]["feature"]
+    assert media.read_media(media.store_texts(docs.limit(0))).count() == 0
+    long = spark.createDataFrame([(None, "word é " * 150_000), (None, "word é " * 150_000)], "doc_id bigint, text string")
+    held = media.padded(("word é " * 150_000).encode())
+    assert {(r["payload_bytes"], r["payload_sha256"]) for r in media.read_media(media.store_texts(long)).collect()} == {(len(held), hashlib.sha256(held).hexdigest())}
 
 
 @settings(max_examples=200, deadline=None)
@@ -233,6 +240,32 @@ def test_turns_come_back(pieces, role):
     assert not length or chat.unescape(rendered[start : start + length]) == text
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "odd:\n"]), st.lists(st.sampled_from(["\\", "### ", "</turn>", "\n", "é" * 40]), max_size=6)), max_size=8), st.integers(1, 50), st.integers(1, 9))
+def test_conversations_are_read_in_any_pieces(turns, step, least):
+    turns = [(role, "".join(pieces)) for role, pieces in turns]
+    text, reader, found = "".join(chat.render(role, t)[0] for role, t in turns), chat.Reader(), []
+    reader.PIECE = reader.due = least
+    for k in range(0, len(text), step):
+        found += reader.feed(text[k : k + step])
+    assert found + reader.read() == turns == chat.parse(text)
+    if turns:
+        cut = chat.Reader()
+        cut.feed(text[:-3])
+        with pytest.raises(chat.GrammarError):
+            cut.read()
+
+
+def test_a_long_conversation_and_null_turns(spark):
+    turns = [(1, None, "user", "first"), (1, None, "assistant", "again"), *[(1, k, "assistant" if k % 2 else "user", f"t{k} </turn>\n" * 400) for k in range(300)], (1, 300, "assistant", "x" * 3_000_000)]
+    own = spark.createDataFrame([(*t, "r") for t in turns], "conv_id bigint, turn bigint, role string, text string, r string")
+    got = chat.read_back(chat.format_turns(own)).collect()
+    first = sorted(turns[:2], key=lambda t: chat.render(t[2], t[3])[0])
+    digest = hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in first + turns[2:]).encode()).hexdigest()
+    assert [(r["n_turns"], r["turns_sha256"]) for r in got] == [(303, digest)]
+    assert got[0]["loss_chars"] == sum(len(t) for _, _, r, t in turns if r == "assistant")
+
+
 def test_broken_grammar():
     for text in ("x", "### Nobody:\na\n</turn>\n", "### User:\nno end", "### =1", "### User:\n</turn>\n"):
         with pytest.raises(chat.GrammarError):
