@@ -15,8 +15,9 @@ from tessera.functions.bits import simhash
 from tessera.operators import metrics as M
 from tessera.operators import similarity as S
 from tessera.operators import splits as P
-from tessera.sources.manifest import problems
-from tessera.sources.shared import spread, store
+from tessera.plans import pictures
+from tessera.sources.manifest import numbered, problems, read_manifest, write_manifest
+from tessera.sources.shared import new_path, spread, store
 
 FRACTIONS = (0.7, 0.15, 0.15)
 SEED = 42
@@ -173,18 +174,48 @@ def align_proba(spark, sf_dir):
     return aligned.select("row_idx", F.posexplode("p").alias("c", "p")).select("row_idx", "c", F.round("p", 9).alias("p"))
 
 
+def _named(spark, sf_dir, names: list[str]) -> DataFrame:
+    """row_idx and name of every document: its id picks one of ``names``, and odd ids shout it."""
+    known = F.array(*map(F.lit, names))
+    picked = F.element_at(known, (F.col("row_idx") % len(names) + 1).cast("int"))
+    return documents(spark, sf_dir).select("row_idx", F.when(F.col("row_idx") % 2 == 1, F.upper(picked)).otherwise(picked).alias("name"))
+
+
 def canonical_label(spark, sf_dir):
-    return L.with_canonical(spark.createDataFrame([(s,) for s in SPELLINGS], "name string"), "name")
+    return L.with_canonical(_named(spark, sf_dir, SPELLINGS), "name")
 
 
 def crop_and_health(spark, sf_dir):
-    rows = spark.createDataFrame([(c,) for c in L.CANONICAL_CLASSES], "label string")
-    return rows.select("label", L.crop_of("label").alias("crop"), L.is_healthy("label").alias("healthy"))
+    rows = documents(spark, sf_dir).select("row_idx", F.element_at(F.array(*map(F.lit, L.CANONICAL_CLASSES)), (F.col("row_idx") % 38 + 1).cast("int")).alias("label"))
+    return rows.select("row_idx", "label", L.crop_of("label").alias("crop"), L.is_healthy("label").alias("healthy"))
 
 
 def group_id_from_name(spark, sf_dir):
-    rows = spark.createDataFrame([(f,) for f in FILES], "name string")
-    return rows.select("name", L.group_of_name("name").alias("group_id"))
+    return _named(spark, sf_dir, FILES).select("row_idx", "name", L.group_of_name("name").alias("group_id"))
+
+
+def manifest_file(spark, sf_dir):
+    """Documents written as a manifest file and read again, with odd cells."""
+    path = new_path(spark, "manifest").removeprefix("file://") + ".csv"
+    rows = documents(spark, sf_dir).selectExpr("row_idx", "path", "'Potato___healthy' AS label", "concat(' \"', source, '\", ', row_idx % 7, '\\\\') AS source", "group_id", "'' AS phash")
+    return read_manifest(spark, write_manifest(rows, path), check_files=False)
+
+
+def numbered_rows(spark, sf_dir):
+    """Places of all documents in the order of their paths."""
+    return numbered(documents(spark, sf_dir).drop("row_idx"), "path").select("path", "row_idx")
+
+
+def shared_groups(spark, sf_dir):
+    """Groups of three rows of one label that a split by rows tears apart."""
+    rows = documents(spark, sf_dir).withColumn("group_id", F.expr("concat(label, ':', row_idx div 3)"))
+    return P.shared_groups(P.random_image_split(rows, FRACTIONS, SEED).rows)
+
+
+def evaluate(spark, sf_dir):
+    """The headline of a whole report."""
+    report = M.evaluate("val", scored(spark, sf_dir), CLASSES, n_boot=0)
+    return spark.createDataFrame([(report.n, *(round(v, 6) for v in report.headline().values()))], "n bigint, " + ", ".join(f"{k} double" for k in report.headline()))
 
 
 def validate_rows(spark, sf_dir):
@@ -211,9 +242,13 @@ def fusion(spark, sf_dir):
 
 
 def run_export(spark, sf_dir):
+    """A run for each nation: its region is the seed, and only even ones have a classifier and a metric on test."""
     from tessera.plans.tracking import export_columns
 
-    runs = spark.createDataFrame([("r1", "a", {"seed": "1", "classifier": "rf"}, {"val_macro_f1": 0.5}), ("r2", "b", {}, {"test_ece": 0.25, "val_accuracy": 1.0})], "run_id string, name string, params map<string,string>, metrics map<string,double>")
+    runs = table(spark, sf_dir, "nation").selectExpr(
+        "concat('r', n_nationkey) AS run_id", "n_name AS name", "map_filter(map('seed', cast(n_regionkey AS string), 'classifier', if(n_nationkey % 2 = 0, 'rf', NULL)), (k, v) -> v IS NOT NULL) AS params",
+        "map_filter(map('val_macro_f1', n_nationkey / 8D, 'test_ece', if(n_nationkey % 2 = 0, 0.25D, NULL)), (k, v) -> v IS NOT NULL) AS metrics",
+    )
     return export_columns(runs).select("run_id", "name", "classifier", "seed", "val_macro_f1", "val_accuracy", "test_ece")
 
 
@@ -222,15 +257,19 @@ QUERIES = {
     for f in (
         near_dup_pairs, near_dup_pairs_d4, merge_groups, majority_label, mixed_groups, group_split, random_split, split_summary, missing_class_notes, leakage_random, leakage_group, cross_split_pairs,
         attach_augmented, class_counts, imbalance_ratio, class_filter, balanced_weights, confusion, accuracy, per_class_prf, macro_f1, balanced_accuracy, log_loss, ece, top3,
-        align_proba, canonical_label, crop_and_health, group_id_from_name, validate_rows, view_explosion, fusion, run_export,
+        align_proba, canonical_label, crop_and_health, group_id_from_name, validate_rows, view_explosion, fusion, run_export, manifest_file, numbered_rows, shared_groups, evaluate,
     )
-}
+} | pictures.QUERIES
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _named_sql(names: list[str]) -> str:
+    return f"SELECT row_idx, if(row_idx % 2 = 1, upper(n), n) AS name FROM (SELECT doc_id AS row_idx, [{', '.join(map(_quoted, names))}][(doc_id % {len(names)} + 1)::INT] AS n FROM documents)"
+
+
 def _values(*columns: list[str]) -> str:
     return ", ".join("(" + ", ".join(_quoted(x) for x in row) + ")" for row in zip(*columns, strict=True))
 
@@ -301,11 +340,15 @@ ORACLE_SQL = {
     "ece": f"WITH {_SCORED}, binned AS (SELECT CASE WHEN conf <= 0 THEN 0 ELSE len(list_filter(range(1, 16), lambda i: i / 15.0::DOUBLE < conf)) END AS bin, conf, if(y_idx = pred, 1.0::DOUBLE, 0.0) AS hit FROM placed) SELECT round(sum(gap), 6) AS ece FROM (SELECT count(*) / (SELECT count(*) FROM placed) * abs(avg(hit) - avg(conf)) AS gap FROM binned GROUP BY bin)",
     "top3": f"WITH {_SCORED} SELECT row_idx, (rn - 1)::INT AS place, c::VARCHAR AS label, round(p, 4) AS prob FROM (SELECT row_idx, c, p, row_number() OVER (PARTITION BY row_idx ORDER BY p DESC, c DESC) AS rn FROM (SELECT row_idx, unnest(range(10)) AS c, unnest(proba) AS p FROM scored)) WHERE rn <= 3",
     "align_proba": f"WITH {_SCORED} SELECT row_idx, c::INT AS c, round(if(c >= 2, proba[c - 1], 0.0), 9) AS p FROM scored, range(10) r(c)",
-    "canonical_label": f"WITH {_KNOWN} SELECT name, canonical AS label FROM (VALUES {_values(SPELLINGS)}) v(name) LEFT JOIN known ON k = {_KEY.format('name')}",
-    "crop_and_health": f"SELECT label, split_part(label, '___', 1) AS crop, suffix(label, '___healthy') AS healthy FROM (VALUES {_values(list(L.CANONICAL_CLASSES))}) v(label)",
-    "group_id_from_name": f"SELECT name, CASE WHEN contains({_STEM}, '___') THEN lower(split_part({_STEM}, '___', 1)) WHEN {_BARE} = '' THEN lower({_STEM}) ELSE {_BARE} END AS group_id FROM (VALUES {_values(FILES)}) v(name)",
+    "canonical_label": f"WITH {_KNOWN}, named AS ({_named_sql(SPELLINGS)}) SELECT row_idx, name, canonical AS label FROM named LEFT JOIN known ON k = {_KEY.format('name')}",
+    "crop_and_health": f"SELECT row_idx, label, split_part(label, '___', 1) AS crop, suffix(label, '___healthy') AS healthy FROM (SELECT doc_id AS row_idx, [{', '.join(map(_quoted, L.CANONICAL_CLASSES))}][(doc_id % 38 + 1)::INT] AS label FROM documents)",
+    "group_id_from_name": f"SELECT row_idx, name, CASE WHEN contains({_STEM}, '___') THEN lower(split_part({_STEM}, '___', 1)) WHEN {_BARE} = '' THEN lower({_STEM}) ELSE {_BARE} END AS group_id FROM ({_named_sql(FILES)})",
+    "manifest_file": f"WITH {_DOCS} SELECT path, 'Potato___healthy' AS label, ' \"' || source || '\", ' || (row_idx % 7) || '\\' AS source, group_id, '' AS phash, row_number() OVER (ORDER BY row_idx) - 1 AS row_idx FROM docs",
+    "numbered_rows": f"WITH {_DOCS} SELECT path, row_number() OVER (ORDER BY path) - 1 AS row_idx FROM docs",
+    "shared_groups": f"WITH {_DOCS}, {_RANDOM.format(rows='docs')} SELECT label || ':' || (row_idx // 3) AS group_id FROM dealt GROUP BY ALL HAVING count(DISTINCT split) > 1",
+    "evaluate": f"WITH {_SCORED}, clipped AS (SELECT y_idx, list_transform(proba, lambda p: greatest(1e-12, least(1.0, p))) AS p FROM placed), binned AS (SELECT CASE WHEN conf <= 0 THEN 0 ELSE len(list_filter(range(1, 16), lambda i: i / 15.0::DOUBLE < conf)) END AS bin, conf, if(y_idx = pred, 1.0::DOUBLE, 0.0) AS hit FROM placed) SELECT (SELECT count(*) FROM placed) AS n, (SELECT round(avg(if(y_idx = pred, 1.0, 0.0)), 6) FROM placed) AS accuracy, (SELECT round(avg(f1), 6) FROM prf) AS macro_f1, (SELECT round(avg(recall), 6) FROM prf WHERE support > 0) AS balanced_accuracy, (SELECT round(avg(-ln(p[y_idx + 1] / list_sum(p))), 6) FROM clipped) AS log_loss, (SELECT round(sum(gap), 6) FROM (SELECT count(*) / (SELECT count(*) FROM placed) * abs(avg(hit) - avg(conf)) AS gap FROM binned GROUP BY bin)) AS ece",
     "validate_rows": f"WITH {_DOCS}, {_KNOWN}, bad AS (SELECT row_idx, if(row_idx % 50 = 7, 'doc/1', path) AS path, if(row_idx % 40 = 3, label, if(row_idx % 40 = 4, 'potato healthy', 'Potato___healthy')) AS label, if(row_idx % 30 = 2, '', group_id) AS group_id, if(row_idx % 20 = 1, 'XYZ', '') AS phash FROM docs) SELECT row_idx, 'duplicate path' AS rule FROM (SELECT row_idx, row_number() OVER (PARTITION BY path ORDER BY row_idx) AS rn FROM bad) WHERE rn > 1 UNION ALL SELECT row_idx, CASE WHEN canonical IS NULL THEN 'unknown label' ELSE 'label is not canonical' END FROM bad LEFT JOIN known ON k = {_KEY.format('label')} WHERE canonical IS NULL OR canonical <> label UNION ALL SELECT row_idx, 'empty group_id' FROM bad WHERE group_id = '' UNION ALL SELECT row_idx, 'bad phash' FROM bad WHERE phash <> '' AND NOT regexp_full_match(phash, '[0-9a-f]{{16}}')",
     "view_explosion": "SELECT doc_id AS row_idx, v::INT AS view FROM documents, range(3) r(v)",
     "fusion": "SELECT vec_id, (i - 1)::INT AS place, list_concat(embedding[33:64], embedding[1:32])[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i)",
-    "run_export": "SELECT * FROM (VALUES ('r1', 'a', 'rf', '1', '0.5', '', ''), ('r2', 'b', '', '', '', '1.0', '0.25')) v(run_id, name, classifier, seed, val_macro_f1, val_accuracy, test_ece)",
-}
+    "run_export": "SELECT 'r' || n_nationkey AS run_id, n_name AS name, if(n_nationkey % 2 = 0, 'rf', '') AS classifier, n_regionkey::VARCHAR AS seed, (n_nationkey / 8.0::DOUBLE)::VARCHAR AS val_macro_f1, '' AS val_accuracy, if(n_nationkey % 2 = 0, '0.25', '') AS test_ece FROM nation",
+} | pictures.ORACLE_SQL
