@@ -202,7 +202,7 @@ def test_evaluation_against_numpy(spark):
     proba = rng.dirichlet([0.6] * 4, 70)
     proba[0] = [0.4, 0.4, 0.1, 0.1]
     scored = spark.createDataFrame([(k, classes[c], p.tolist()) for k, (c, p) in enumerate(zip(y, proba, strict=True))], "row_idx bigint, y string, proba array<double>")
-    report = M.evaluate("val", scored, classes, n_boot=50, seed=3)
+    report = M.evaluate("val", scored, classes, n_boot=50, seed=3, exact_bootstrap=True)
     for k, v in report_by_hand(y, proba, classes).items():
         assert abs(report.headline()[k] - v) < 1e-9, k
     pred, stream, scores = proba.argmax(1), np.random.default_rng(3), []
