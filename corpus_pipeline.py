@@ -1,6 +1,10 @@
 """A document pipeline of five stages, each written as Parquet and read again as the next one's documents.
 
-Every stage but the last returns the columns of ``documents``. Rows without an id pass the stages that compare documents.
+Every stage but the last returns the columns of ``documents``. Defined cases, which the operators' own cases follow: rows
+without an id pass the stages that compare documents; a null or empty text is scored like any other, has no n-grams, words
+or tokens, and stays unless its score is low; of equal texts the smallest id stays, and repeated rows with one id all stay; a
+very long text is one row in every stage; an empty table gives an empty one; of labels and benchmark, rows with nulls play no
+part and repeated rows count again or once, as the operators say; extra columns, also of clashing names, stay to the last stage.
 SQL cannot express the learned first stage, so the whole has no SQL; the tests hold each stage against a brute-force version.
 """
 
