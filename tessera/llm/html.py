@@ -7,8 +7,9 @@ tree. A spot of the template then knows its text on every page, and that decides
 
 * a spot with the same text on all pages that have it, three that are no copies at least, is template;
 * a list whose text is mostly links, over all pages, is a menu;
-* the smallest part of the tree that holds nine tenths of the text that varies is where content stands; headings of the
-  first level outside it stay, other text outside it goes.
+* the smallest part of the tree that holds nine tenths of the text that varies is where content stands; outside it stay
+  headings of the first level, and headings of any level that lead to it, beside one of the elements it stands in; other
+  text outside it goes.
 
 Beside that, elements that HTML or their names mark as menus, headers, footers, sidebars, notices, adverts, forms, scripts or
 comments are left out, and where a page marks its article (``article`` or ``main``), only that is read. Without these
@@ -535,14 +536,14 @@ def _induce(pages: list[Page], votes: int, marked_votes: int, copies: float, pas
         # a text that stops where another goes on may be cut off
         spot.constant = n >= least and all(t == text or text.startswith(t.rstrip()) for t in found)
     _measured(template.root, spots, voters)
-    region = _region(template.root, main)
-    inside = {id(s) for s in _below(region)}
+    path = _region(template.root, main)
+    inside = {id(s) for s in _below(path[-1])}
     for spot in spots:
         if spot.tag == "#text":
             out = spot.constant and {x.text for x in spot.seen.values()} or None
             for x in spot.seen.values():
                 x.template = bool(out) and (x.text == max(out, key=len) or len(out) == 1)
-    _outside(template.root, region, inside, pages)
+    _outside(path, inside)
 
 
 def _measured(root: Spot, spots: list[Spot], voters: set[int]) -> None:
@@ -559,16 +560,28 @@ def _measured(root: Spot, spots: list[Spot], voters: set[int]) -> None:
             spot.varying, spot.linked = sum(k.varying for k in spot.kids), sum(k.linked for k in spot.kids)
 
 
-def _region(root: Spot, main: float) -> Spot:
-    """The smallest part of the tree with so much of the varying text that stands in no link; a marked article is not cut."""
+def _region(root: Spot, main: float) -> list[Spot]:
+    """The way to the smallest part of the tree with so much of the varying text that stands in no link; a marked article is not cut."""
     own = lambda s: s.varying - s.linked
-    spot, total = root, own(root)
-    while spot.tag not in ("article", "main") and total > 0:
-        best = max((k for k in spot.kids if k.tag != "#text"), key=own, default=None)
+    path, total = [root], own(root)
+    while path[-1].tag not in ("article", "main") and total > 0:
+        best = max((k for k in path[-1].kids if k.tag != "#text"), key=own, default=None)
         if best is None or best.tag in INLINE or own(best) < main * total:
             break
-        spot = best
-    return spot
+        path.append(best)
+    return path
+
+
+def _leads(path: list[Spot]) -> set[int]:
+    """Headings of any level, not mostly links, that stand on the way to the region and before it: the title of what follows."""
+    out = set()
+    for spot, below in zip(path, path[1:]):
+        for kid in spot.kids:
+            if kid is below:
+                break
+            if kid.tag in _HEADINGS and 2 * kid.linked <= kid.varying:
+                out.add(id(kid))
+    return out
 
 
 def _below(spot: Spot) -> list[Spot]:
@@ -579,10 +592,10 @@ def _below(spot: Spot) -> list[Spot]:
     return order
 
 
-def _outside(root: Spot, region: Spot, inside: set[int], pages: list[Page]) -> None:
-    """Mark what stands outside the region, but for first headings, on the pages that have text in it; and lists of links."""
-    have = {k for k, node in region.seen.items() if node.chars}
-    todo = [(root, False)]
+def _outside(path: list[Spot], inside: set[int]) -> None:
+    """Mark what stands outside the region, but for its headings, on the pages that have text in it; and lists of links."""
+    have, leads = {k for k, node in path[-1].seen.items() if node.chars}, _leads(path)
+    todo = [(path[0], False)]
     while todo:
         spot, heading = todo.pop()
         if id(spot) not in inside and spot.tag == "#text" and not heading:
@@ -595,7 +608,7 @@ def _outside(root: Spot, region: Spot, inside: set[int], pages: list[Page]) -> N
                 for x in _slots(node):
                     x.template = True
             continue
-        todo += [(k, heading or spot.tag == "h1") for k in spot.kids]
+        todo += [(k, heading or k.tag == "h1" or id(k) in leads) for k in spot.kids]
 
 
 def _slots(node) -> list[Slot]:

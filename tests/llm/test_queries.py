@@ -1,0 +1,190 @@
+"""Every registered query over whole small tables with nulls, empties, ties, repeats and further columns, against brute force or SQL."""
+
+import hashlib
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+from tessera.llm import jpeg, quality, queries
+from tests.llm.test_documents import brute_components, brute_removal, corpus, labelled
+
+TABLES = ("documents", "labels", "pages", "conversations", "benchmark")
+ROLES = ("system", "user", "assistant", "tool")
+
+
+def site(host, k):
+    """A page without any telling name, and its article."""
+    own = [" ".join(f"{host}{k}p{j}w{i}" for i in range(25)) for j in range(1 + k % 4)]
+    links = "".join(f"<li><a href=/{k}/{j}>part {j * k}</a></li>" for j in range(4))
+    body = "".join(f"<p>{p}\n &amp;</p>" for p in own)
+    return f"<body><ul>{links}</ul><div><h2>About {k}</h2><div>{body}</div></div><p>All rights, call {k}</p></body>", f"About {k} " + " ".join(f"{p} &" for p in own)
+
+
+def conversations():
+    rng = random.Random(6)
+    said = ["", None, "plain", "### User: no", "</turn>", "\\</turn>\nmore", "\\\\### ", "é\n\n", "x" * 5000]
+    return [(c, t, rng.choice(ROLES), rng.choice(said)) for c in range(12) for t in range(rng.randrange(1, 7))]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Rows by table, and the folder that holds them."""
+    good, labels = labelled(3, 160)
+    documents = [(1000 + i, t) for i, t in good] + corpus(8, 24)
+    pages, at = [], 0
+    for host in ("one", "two"):
+        for k in range(10):
+            at += 1
+            pages.append((at, f"http://{host}/{k}", *site(host, k)))
+    pages += [(98, None, None, ""), (99, "http://one/", "", ""), (97, "http://three/", pages[0][2], pages[0][3]), (96, "http://three/x", None, "")]
+    rows = {
+        "documents": documents,
+        "labels": [(1000 + i, q, t) for i, q, t in labels] + [(1001, None, None), (None, 1, 1), (77_777, 0, 1)],
+        "pages": pages,
+        "conversations": conversations(),
+        "benchmark": [(1, "what is the weight of the green letter in the water"), (2, None), (None, "x y z")],
+    }
+    folder = str(tmp_path_factory.mktemp("tables"))
+    frames = {
+        "documents": spark.createDataFrame([(i, t, "en", "s", 1, 0.5) for i, t in documents], "doc_id bigint, text string, lang string, source string, n_chars bigint, score double"),
+        "labels": spark.createDataFrame(rows["labels"], "doc_id bigint, quality int, toxic int"),
+        "pages": spark.createDataFrame([(*p[:3], "x") for p in pages], "page_id bigint, url string, html string, text string"),
+        "conversations": spark.createDataFrame([(*c, 1) for c in rows["conversations"]], "conv_id bigint, turn bigint, role string, text string, n_turns int"),
+        "benchmark": spark.createDataFrame(rows["benchmark"], "item_id bigint, text string"),
+    }
+    for name, df in frames.items():
+        df.repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return rows, folder
+
+
+def run(spark, tables, name, columns=None):
+    df = entry.queries()[name](spark, tables[1])
+    return df.select(*(columns or df.columns)).collect()
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def test_op1_finds_the_articles(spark, tables):
+    got = run(spark, tables, "op1_html_extraction", ["page_id", "url", "text", "n_chars"])
+    assert len(got) == len(tables[0]["pages"])
+    known = {p[0]: (p[1], p[3]) for p in tables[0]["pages"] if p[0] != 97}
+    assert {r["page_id"]: (r["url"], r["text"]) for r in got if r["page_id"] != 97} == known
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_op2_stores_and_reads_back(spark, tables):
+    got = run(spark, tables, "op2_media_columns")
+    texts, by_text = dict(tables[0]["documents"]), {}
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        data = (texts[r["doc_id"]] or "").encode()
+        payload = data + bytes(64 * max(1, -(-len(data) // 64)) - len(data))
+        stored = jpeg.write(payload)
+        expected = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == expected
+        assert r["feature"] and by_text.setdefault(data, r["feature"]) == r["feature"]
+
+
+def test_op3_agrees_with_the_library(spark, tables):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    ranks = load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = set()
+    for i, t in tables[0]["documents"]:
+        ids = library.encode_ordinary(t or "")
+        expected.add((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    got = run(spark, tables, "op3_byte_bpe", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_op4_is_the_discriminant_of_its_statistics(spark, tables):
+    """Densities by determinants and solved systems, class by class; labels of held-out rows are not used."""
+    import pyarrow as pa
+
+    docs = tables[0]["documents"]
+    q = dict(zip([i for i, _ in docs], quality.statistics_of(pa.array([t for _, t in docs])), strict=True))
+    known = [(q[i], y) for i, y, _ in tables[0]["labels"] if i in q and y is not None and not held(i)]
+    cls = {y: np.array([x for x, label in known if label == y]) for y in (0, 1)}
+    cov = {y: np.cov(x.T, bias=True) for y, x in cls.items()}
+    pooled = np.maximum(np.diag(sum(len(cls[y]) * cov[y] for y in (0, 1)) / len(known)), 1e-4)
+
+    def density(x, y):
+        c = 0.7 * cov[y] + 0.3 * np.diag(pooled) + 1e-4 * np.eye(len(pooled))
+        away = x - cls[y].mean(0)
+        return -0.5 * away @ np.linalg.solve(c, away) - 0.5 * np.linalg.slogdet(c)[1] + np.log(len(cls[y]) / len(known))
+
+    got = run(spark, tables, "op4_quality_classifier")
+    assert sorted(r["doc_id"] for r in got) == sorted(q)
+    for r in got:
+        odds = np.clip(0.2 * (density(q[r["doc_id"]], 1) - density(q[r["doc_id"]], 0)), -500, 500)
+        assert abs(r["score"] - 1 / (1 + np.exp(-odds))) < 1e-6
+        assert r["held_out"] == held(r["doc_id"]) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_op5_and_op6_against_brute_force(spark, tables):
+    docs = tables[0]["documents"]
+    got = run(spark, tables, "op5_ngram_jaccard", ["doc_id", "n_shingles", "component_id"])
+    assert {r[0]: (r[1], r[2]) for r in got} == brute_components(docs) and len(got) == len(docs)
+    got = run(spark, tables, "op6_substring_dedup", ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    assert {r[0]: tuple(r[1:]) for r in got} == {i: tuple(e[:3]) for i, e in brute_removal(docs).items()} and len(got) == len(docs)
+
+
+def test_op9_learns_from_training_rows_alone(spark, tables, tmp_path):
+    rows, folder = tables
+    columns = ["doc_id", "held_out", "score", "predicted"]
+    got = run(spark, tables, "op9_toxicity", columns)
+    texts = dict(rows["documents"])
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    assert all(r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    truth = {i: t for i, _, t in rows["labels"] if i in texts and t is not None}
+    right = [r["predicted"] == truth[r["doc_id"]] for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert len(right) > 15 and sum(right) / len(right) > 0.95
+    assert len({r["score"] for r in got if not texts[r["doc_id"]]}) == 1
+    # the labels of held-out rows turned over, and ids, sources and languages of all documents changed: the same scores
+    turned = [(i, q, 1 - t if t is not None and i is not None and held(i) else t) for i, q, t in rows["labels"]]
+    spark.createDataFrame(turned, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "text", "'zz' AS lang", "'other' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    again = queries.op9_toxicity(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_op10_against_brute_force(spark, tables):
+    expected, by_id = {}, {-7: [("user", queries.CONTROL_TEXT), ("assistant", queries.CONTROL_TEXT)]}
+    for c, _, role, text in sorted(tables[0]["conversations"], key=lambda r: r[:2]):
+        by_id.setdefault(c, []).append((role, text or ""))
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for c, turns in by_id.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        expected[c] = (len(turns), digest("".join(f"{role}\n{t}\n" for role, t in turns)), len(loss), digest(loss))
+    got = run(spark, tables, "op10_chat_formatting", ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    assert {r[0]: tuple(r[1:5]) for r in got} == expected and len(got) == len(expected)
+    assert all(r["formatted_chars"] > sum(len(role) + len(t) for role, t in by_id[r["conv_id"]]) for r in got)
+
+
+@pytest.mark.parametrize("name", ["op5_ngram_jaccard", "op6_substring_dedup", "op7_warc", "op8_decontamination", "op10_chat_formatting"])
+def test_queries_agree_with_their_sql(spark, tables, name):
+    db = duckdb.connect()
+    for table in TABLES:
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tables[1]}/{table}.parquet/*.parquet'")
+    found = db.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    got = run(spark, tables, name)
+    assert sorted(got[0].asDict() if got else columns) == sorted(columns)
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=str) == sorted(found.fetchall(), key=str)
+
+
+def test_queries_of_empty_tables(spark, tables, tmp_path):
+    for table in TABLES:
+        spark.read.parquet(f"{tables[1]}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == (1 if name == "op10_chat_formatting" else 0), name
+    assert entry.queries()["pipeline"](spark, str(tmp_path)).count() == 0
