@@ -45,6 +45,23 @@ def store(df: DataFrame, name: str) -> Stored:
 
 
 
+class Scratch:
+    """Tables of one computation, which go together once its result is written: ``with Scratch() as scratch: ...``."""
+
+    def __init__(self):
+        self.held: list[Stored] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(store(df, name))
+        return self.held[-1].df
+
+    def __exit__(self, *failure) -> None:
+        for table in self.held:
+            table.drop()
+
 
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` over all cores if their scan has fewer partitions than that, as a table of one row group has; else as they are.
