@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html, jaccard, media, quality, substring, toxicity, warc
+from tessera.llm import bpe, chat, decontaminate, html, jaccard, media, merkle, quality, secrets, substring, toxicity, trie, warc
 from tessera.llm.storage import new_path, spread, store
 
 HELD_OUT = "crc32(cast(doc_id AS string)) % 5 = 0"
@@ -77,6 +77,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(more)))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents"))
+    return merkle.manifest(docs, "crc32(cast(doc_id AS string)) % 2 = 0", "replace(text, '\n', '')")
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = docs.select("doc_id", secrets.scanned("text").alias("s")).select("doc_id", "s.*")
+    return found.selectExpr("doc_id", "n_assign", "n_access", "n_hex", "sha2(base, 256) AS base_sha256", "spans")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_media_columns": op2_media_columns,
@@ -88,6 +103,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_secret_scans": op13_secret_scans,
 }
 
 _WORDS = "list_filter(string_split_regex(coalesce({}, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
@@ -128,6 +146,36 @@ _LEAKS = f"""WITH items AS (SELECT id, r, len(r) AS n, least(len(r), 10) AS size
         SELECT doc_id, item_id, max(n_windows) AS n_windows, max(item_windows)::INT AS item_windows, bool_or(all_same) AS exact FROM aligned
         WHERE some_same OR (n_windows >= least(3, item_windows) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda x: x.i))) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda x: x.d)))) GROUP BY doc_id, item_id"""
 
+#: CRC-32 of the decimal digits of {0}, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(cast({0} AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+        lambda s, c: list_reduce(list_concat([xor(s, c)], list_transform(range(8), lambda i: 0::UBIGINT)), lambda x, y: xor(x >> 1, if(x & 1 = 1, 3988292384::UBIGINT, 0::UBIGINT)))), 4294967295::UBIGINT)"""
+
+_TRIE = f"""WITH own AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT conv_id, t, (({_CRC.format('conv_id')}) % 9)::BIGINT AS h FROM own),
+        rebuilt AS (SELECT h.conv_id, if(h.conv_id % 5 = 0, h.t, list_concat(coalesce(b.t[1:h.h], []), h.t[h.h + 1:])) AS t FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+        places AS (SELECT conv_id, d, t[1:d] AS path, len(t) = d AS ends FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+        n AS (SELECT d AS depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256, if(d = 0, 0, strlen(path[d].text)) AS size FROM places GROUP BY d, path),
+        c AS (SELECT depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+        k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.depth = n.depth + 1 AND c.path = n.path)
+        SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256 FROM k
+        JOIN (SELECT a.depth, a.path, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.size)::BIGINT AS saved_tokens FROM k a JOIN k b ON b.path[1:a.depth] = a.path GROUP BY ALL) s ON s.depth = k.depth AND s.path = k.path
+        LEFT JOIN n p ON p.depth = k.depth - 1 AND p.path = k.path[1:k.depth - 1]"""
+
+_LEAF = "sha256(concat(" + ", ".join("coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')".format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + "))"
+_MERKLE = f"""WITH RECURSIVE docs AS (SELECT doc_id, source, leaf, if({_CRC.format('doc_id')} % 2 = 0, now, leaf) AS now, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+        FROM (SELECT *, {_LEAF.format('text')} AS leaf, {_LEAF.format("replace(text, chr(10), '')")} AS now FROM documents)),
+        low(l, source, pos, n, digest) AS (SELECT 0, source, pos, n, leaf FROM docs UNION ALL SELECT l + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY l, source, pos // 3, n),
+        tops AS (SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+        high(l, pos, n, digest) AS (SELECT 1000, pos, n, digest FROM tops UNION ALL SELECT l + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY l, pos // 3, n),
+        every AS (SELECT l, source, pos, n, digest FROM low WHERE n > 1 UNION ALL SELECT l, NULL, pos, n, digest FROM high WHERE n > 1),
+        way(doc, now, l, source, pos, n, top) AS (SELECT d, now, 0, source, pos, n, top FROM (SELECT doc_id AS d, docs.now, docs.source, docs.pos, docs.n, tops.pos AS top FROM docs JOIN tops ON docs.source IS NOT DISTINCT FROM tops.source)
+            UNION ALL SELECT doc, now, l, source, pos, n, top FROM (SELECT w.doc, CASE WHEN w.n > 1 THEN (SELECT sha256(string_agg(if(e.pos = w.pos, w.now, e.digest), '' ORDER BY e.pos)) FROM every e WHERE e.l = w.l AND (w.l >= 1000 OR e.source IS NOT DISTINCT FROM w.source) AND e.pos // 3 = w.pos // 3) ELSE w.now END AS now,
+                CASE WHEN w.n > 1 THEN w.l + 1 ELSE 1000 END AS l, w.source, CASE WHEN w.n > 1 THEN w.pos // 3 ELSE w.top END AS pos, CASE WHEN w.n > 1 THEN (w.n + 2) // 3 ELSE (SELECT count(*) FROM tops) END AS n, w.top FROM way w WHERE w.n > 1 OR w.l < 1000)),
+        proof AS (SELECT w.doc, sha256(coalesce(string_agg(e.digest, '' ORDER BY e.l, e.pos), '')) AS proof FROM way w LEFT JOIN every e ON w.n > 1 AND e.l = w.l AND (w.l >= 1000 OR e.source IS NOT DISTINCT FROM w.source) AND e.pos // 3 = w.pos // 3 AND e.pos <> w.pos GROUP BY w.doc)
+        SELECT d.doc_id, d.leaf, t.digest AS subroot, r.digest AS root, p.proof AS proof_sha256, w.now AS folded_root, w.now = r.digest AS verified FROM docs d JOIN tops t ON d.source IS NOT DISTINCT FROM t.source
+        JOIN proof p ON p.doc = d.doc_id JOIN way w ON w.doc = d.doc_id AND w.l >= 1000 AND w.n = 1, (SELECT digest FROM high WHERE n = 1) r"""
+
 #: For DuckDB, where SQL expresses the result; the learned, compressed and tokenised ones are tested in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
@@ -156,4 +204,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
         coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
         sum(chars)::BIGINT AS formatted_chars FROM s GROUP BY conv_id""",
+    "op11_conversation_trie": _TRIE,
+    "op12_merkle_manifest": _MERKLE,
 }

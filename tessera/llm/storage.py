@@ -6,9 +6,9 @@ import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.shared import Stored, new_path, shared_folder, spread, store
+from tessera.sources.shared import Scratch, Stored, new_path, shared_folder, spread, store
 
-__all__ = ["Stored", "free_name", "new_path", "release_shuffles", "shared_folder", "spread", "store"]
+__all__ = ["Scratch", "Stored", "free_name", "new_path", "release_shuffles", "shared_folder", "spread", "store"]
 
 
 def release_shuffles(spark: SparkSession) -> None:
