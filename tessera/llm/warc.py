@@ -15,8 +15,12 @@ chunked framing is decoded; whole records never shuffle.
 Defined cases: every row has a record. A null page is an empty payload; empty payloads of different pages are equal payloads.
 Among rows of equal payload the smallest id is the response, also of repeated rows, of which one is; rows without an id come
 last, and are responses only where no row has an id. A very long page is many segments, put together in one task. Of an empty
-table the archive is empty; extra columns, also of clashing names, play no part. A record that lacks a segment, has a wrong
-length or broken framing comes back with the reason in ``error`` and no payload.
+table the archive is empty; extra columns, also of clashing names, play no part. A record that is cut off, lacks a segment or
+a length, has a wrong length or broken framing comes back with the reason in ``error`` and no payload, as far as its header can
+be read with its page; reading goes on at the next line that begins a record, or ends with the archive. Bytes between records
+that belong to none are an error row of their own. Records of other types (warcinfo, request, metadata, resource, conversion)
+are no pages and are passed over, with their continuations. A header line without a blank behind its colon, or one that goes
+on in the next line, is read as the format allows.
 """
 
 from __future__ import annotations
@@ -183,39 +187,122 @@ class _Pieces:
         del self.held[:size]
         return out
 
-    def until(self, mark: bytes) -> bytes:
-        """What stands before the next ``mark``, which goes."""
+
+_BEGIN = re.compile(rb"WARC/\d\.\d+\r?\n")
+_NUMBER = re.compile(r"[0-9]{1,18}")
+
+
+def _header(raw: bytes) -> dict[str, str]:
+    """Fields of a header by lower-case name; a line that begins with white space goes on with the field before."""
+    head, last = {}, None
+    for line in raw.decode(errors="replace").splitlines()[1:]:
+        if line[:1] in (" ", "\t") and last:
+            head[last] = f"{head[last]} {line.strip()}".strip()
+        else:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            head[last] = value.strip()
+    return head
+
+
+def _number(head: dict[str, str], name: str, signed: bool = False) -> int | None:
+    value = head.get(name, "")
+    found = _NUMBER.fullmatch(value.removeprefix("-") if signed else value)
+    return int(value) if found else None
+
+
+class _Records:
+    """Header, block and what is wrong, of each record of an archive; iterating never raises for what the archive holds."""
+
+    STEP = 1 << 16
+
+    def __init__(self, pieces):
+        self.stream, self.broken = _Pieces(self._safe(pieces)), None
+
+    def _safe(self, pieces):
+        """The pieces up to where the compression breaks."""
+        try:
+            yield from pieces
+        except (ValueError, zlib.error) as broken:
+            self.broken = str(broken)
+
+    def _skip(self, begun: int) -> int:
+        """Drop what is held up to the next record's beginning, from ``begun`` on; how many bytes went."""
+        gone = 0
+        while True:
+            found = _BEGIN.search(self.stream.held, begun)
+            if found:
+                break
+            size = len(self.stream.held)
+            if not self.stream.fill(size + self.STEP) and len(self.stream.held) == size:
+                return gone + len(self.stream.take(size))
+            # the line may be cut by the end of what is held
+            begun = max(begun, size - 16)
+            if begun > self.STEP:
+                gone += len(self.stream.take(begun))
+                begun = 0
+        return gone + len(self.stream.take(found.start()))
+
+    def __iter__(self):
+        while self.stream.fill(1):
+            self.stream.fill(16)
+            if not _BEGIN.match(self.stream.held):
+                blank = bytes(self.stream.held[:4]).strip() == b""
+                gone = self._skip(0)
+                if not blank or gone > 4:
+                    yield {}, b"", self.broken or f"{gone} bytes that belong to no record"
+                continue
+            found = self._head()
+            if found is None:
+                yield _header(self.stream.take(len(self.stream.held))), b"", self.broken or "the archive ends inside a header"
+                return
+            head, size = found
+            length = _number(head, "content-length")
+            if length is None:
+                self._skip(size)
+                yield head, b"", f"no length: {head.get('content-length')!r}"
+            elif not self.stream.fill(size + length):
+                self._skip(size)
+                yield head, b"", self.broken or f"the archive ends inside a record of {length} bytes"
+            else:
+                self.stream.fill(size + length + 4)
+                end = bytes(self.stream.held[size + length : size + length + 4])
+                if end != b"\r\n\r\n" and (len(end) == 4 or end.strip()):
+                    self._skip(size)
+                    yield head, b"", f"the record {head.get('warc-record-id')} does not end where its length says"
+                    continue
+                self.stream.take(size)
+                block = self.stream.take(length)
+                wrong = None if end == b"\r\n\r\n" else self.broken or "the archive ends before the end of the record"
+                self.stream.take(len(end))
+                yield head, block, wrong
+        if self.broken:
+            yield {}, b"", self.broken
+
+    def _head(self) -> tuple[dict[str, str], int] | None:
+        """The fields and the length of the header that is held from its beginning."""
         begun = 0
-        while (end := self.held.find(mark, begun)) < 0:
-            begun = max(0, len(self.held) - len(mark) + 1)
-            if not self.fill(len(self.held) + 1):
-                raise ValueError("the archive ends inside a header")
-        return self.take(end + len(mark))[:end]
-
-
-def _framed(pieces):
-    """Headers and block of each record."""
-    stream = _Pieces(pieces)
-    while stream.fill(1):
-        lines = stream.until(b"\r\n\r\n").decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record where {lines[0][:40]!r} stands")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        block = stream.take(int(head["content-length"]))
-        if stream.take(4) != b"\r\n\r\n":
-            raise ValueError(f"the record {head.get('warc-record-id')} does not end where its length says")
-        yield head, block
+        while (end := self.stream.held.find(b"\r\n\r\n", begun)) < 0:
+            size = len(self.stream.held)
+            begun = max(0, size - 3)
+            if not self.stream.fill(size + 1):
+                return None
+        return _header(bytes(self.stream.held[:end])), end + 4
 
 
 def dechunk(block: bytes) -> bytes:
     """The payload of an HTTP message in chunked transfer coding."""
-    end = block.index(b"\r\n\r\n")
+    end = block.find(b"\r\n\r\n")
+    if end < 0:
+        raise ValueError("a message without the end of its header")
     if b"transfer-encoding: chunked" not in block[:end].lower():
         return block[end + 4 :]
     at, parts = end + 4, []
     while True:
         line = block.index(b"\r\n", at)
         size = int(block[at:line].split(b";")[0], 16)
+        if size < 0:
+            raise ValueError("broken chunk")
         if size == 0:
             return b"".join(parts)
         part = block[line + 2 : line + 2 + size]
@@ -225,28 +312,36 @@ def dechunk(block: bytes) -> bytes:
         at = line + 4 + size
 
 
-_PARTS = "origin string, number int, total bigint, kind string, page_id bigint, refers_to bigint, claimed string, n_claimed bigint, block binary"
+_PARTS = "origin string, number int, total bigint, kind string, page_id bigint, refers_to bigint, claimed string, n_claimed bigint, block binary, wrong string"
+PAGES = ("response", "revisit", "continuation")  # types of records that hold pages
 
 
 def _parse(batches):
     names = [x.split(" ")[0] for x in _PARTS.split(", ")]
-    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    number = lambda h, k: int(h[k]) if k in h else None
+    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    batch_of = lambda rows: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
     for batch in batches:
         for data in batch.column(0):
-            raw = data.as_buffer().to_pybytes()
             rows, size = [], 0
-            for h, block in _framed(_plain(raw)):
-                origin = h.get("warc-segment-origin-id", h["warc-record-id"])
+            for h, block, wrong in _Records(_plain(data.as_buffer().to_pybytes())):
+                kind = h.get("warc-type", "").lower() or None
+                segment, origin = _number(h, "warc-segment-number"), h.get("warc-segment-origin-id", h.get("warc-record-id"))
+                # a record of another type that is not divided can be passed over here, a divided one when its parts are known
+                if kind not in (*PAGES, None) and segment is None:
+                    continue
+                if kind == "continuation" and (segment is None or origin is None):
+                    wrong = wrong or "a continuation without its origin or number"
+                if wrong:  # it stands for itself and is no part of another one
+                    segment, block = None, None
                 digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
-                kind = "response" if h["warc-type"] == "continuation" else h["warc-type"]
-                rows.append((origin, number(h, "warc-segment-number"), number(h, "warc-segment-total-length"), kind, number(h, "x-page-id"), number(h, "x-refers-to-page-id"), digest, number(h, "x-payload-bytes"), block))
-                size += len(block)
+                segment = segment if segment is None or segment < 1 << 31 else -1
+                rows.append((origin, segment, _number(h, "warc-segment-total-length"), kind, _number(h, "x-page-id", True), _number(h, "x-refers-to-page-id", True), digest, _number(h, "x-payload-bytes"), block, wrong))
+                size += len(block or b"")
                 if size > 1 << 22:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield batch_of(rows)
                     rows, size = [], 0
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield batch_of(rows)
 
 
 def _reassembled(segments: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -268,7 +363,10 @@ def _finish(batches):
     names = [x.split(" ")[0] for x in _OUT.split(", ")]
     for batch in batches:
         rows = []
-        for kind, page_id, refers_to, claimed, n_claimed, segments in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for kind, page_id, refers_to, claimed, n_claimed, segments, wrong in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if wrong:
+                rows.append((page_id, kind if kind != "continuation" else "response", refers_to, None, None, None, wrong))
+                continue
             if kind == "revisit":
                 rows.append((page_id, kind, refers_to, n_claimed, claimed, None, None))
                 continue
@@ -286,10 +384,13 @@ def _finish(batches):
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row a page: page_id, record_type, refers_to, payload_bytes, payload_digest (base32), payload (null for revisits), error."""
     parts = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, _PARTS)
-    columns = ["kind", "page_id", "refers_to", "claimed", "n_claimed", "segments"]
+    columns = ["kind", "page_id", "refers_to", "claimed", "n_claimed", "segments", "wrong"]
     one = F.struct("number", "total", "block")
     whole = parts.filter("number IS NULL").withColumn("segments", F.array(one)).select(*columns)
     first = lambda c: F.first(c).alias(c)
-    joined = parts.filter("number IS NOT NULL").groupBy("origin").agg(first("kind"), first("page_id"), first("refers_to"), first("claimed"), first("n_claimed"), F.collect_list(one).alias("segments"))
+    # the type of a divided record is that of its first part
+    kind = F.expr("coalesce(max(kind) FILTER (WHERE kind <> 'continuation'), 'response')").alias("kind")
+    joined = parts.filter("number IS NOT NULL").groupBy("origin").agg(kind, first("page_id"), first("refers_to"), first("claimed"), first("n_claimed"), F.collect_list(one).alias("segments"), first("wrong"))
+    joined = joined.filter(F.col("kind").isin(*PAGES))
     # both sides share one schema, so that single records pass without a shuffle
     return whole.mapInArrow(_finish, _OUT).unionByName(joined.select(*columns).mapInArrow(_finish, _OUT))

@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import re
+import time
 import zlib
 
 import numpy as np
@@ -98,9 +100,69 @@ def test_warc_members(spark, tmp_path):
         (folder / "x.warc").write_bytes(data)
         got = {r["page_id"]: (r["payload_bytes"], r["error"]) for r in warc.read(spark, f"file://{folder}").collect()}
         assert got == {0: (1, None), 1: (5000, None), 2: (0, None), 3: (6_000_000, None), 4: (1, None)}
-    for data in (kinds["members"][:-9], plain[:-7]):
-        with pytest.raises(ValueError):
-            list(warc._framed(warc._plain(data)))
+    for k, data in enumerate((kinds["members"][:-9], plain[:-7], plain[: len(plain) // 2], kinds["one"][:-100])):
+        folder = tmp_path / f"cut{k}"
+        folder.mkdir()
+        (folder / "x.warc").write_bytes(data)
+        got = warc.read(spark, f"file://{folder}").collect()
+        assert [r for r in got if r["error"]] and {r["page_id"] for r in got if not r["error"]} <= {0, 1, 2, 3, 4}
+        assert {(r["page_id"], r["payload_bytes"]) for r in got if not r["error"]} <= {(0, 1), (1, 5000), (2, 0), (3, 6_000_000), (4, 1)}
+
+
+def _faulty(spark, folder, data):
+    """page_id to (payload, whether there is an error) of what ``read`` gives for an archive, and the rows without a page."""
+    folder.mkdir(exist_ok=True)
+    (folder / "x.warc").write_bytes(data)
+    got = warc.read(spark, f"file://{folder}").collect()
+    assert all((r["payload"] is None) == (r["error"] is not None or r["record_type"] == "revisit") for r in got)
+    return {r["page_id"]: (r["payload"], r["error"] is not None) for r in got if r["page_id"] is not None}, [r for r in got if r["page_id"] is None]
+
+
+def test_faulty_archives_give_error_rows(spark, tmp_path):
+    """Wrong, missing and oddly written lengths, cut records, bytes between records and missing parts: the other pages are all read."""
+    record = lambda k, body, **options: [f"{x}\r\n\r\n".encode() for x in warc._records(k, k, "u", body, None, None, options.get("segment", 1 << 20), 4096)]
+    a, b, c = (record(k, t)[0] for k, t in enumerate(("first page", "WARC/1.1\r\nno record\r\n\r\n", "third")))
+    whole = {0: (b"first page", False), 1: (b"WARC/1.1\r\nno record\r\n\r\n", False), 2: (b"third", False)}
+    assert _faulty(spark, tmp_path / "0", a + b + c) == (whole, [])
+    length = re.compile(rb"Content-Length: (\d+)")
+    for k, change in enumerate((lambda m: b"Content-Length:" + m[1], lambda m: b"content-length :\t" + m[1], lambda m: b"Content-Length:\r\n " + m[1])):
+        assert _faulty(spark, tmp_path / f"ok{k}", a + length.sub(change, b) + c) == (whole, [])
+    wrong = (lambda m: b"Content-Length: %d" % (int(m[1]) - 1), lambda m: b"Content-Length: %d" % (int(m[1]) + 7), lambda m: b"Content-Length: 99999999999", lambda m: b"Content-Length: four", lambda m: b"X-None: 1", lambda m: b"Content-Length: -4")
+    for k, change in enumerate(wrong):
+        found, rest = _faulty(spark, tmp_path / f"no{k}", b + length.sub(change, a) + c)
+        assert found == {0: (None, True), 1: whole[1], 2: whole[2]} and rest == []
+    found, rest = _faulty(spark, tmp_path / "between", a + b"rubbish between\r\n\r\n" + c + b"\r\n\r\n")
+    assert found == {0: whole[0], 2: whole[2]} and len(rest) == 1 and "belong to no record" in rest[0]["error"]
+    found, rest = _faulty(spark, tmp_path / "cut", a + c[:-6])
+    assert found == {0: whole[0], 2: (None, True)} and rest == []
+    found, rest = _faulty(spark, tmp_path / "header", a + c[:40])
+    assert found == {0: whole[0]} and len(rest) == 1 and rest[0]["error"]
+    assert _faulty(spark, tmp_path / "rubbish", b"x" * 300_000)[1][0]["error"] == "300000 bytes that belong to no record"
+    assert _faulty(spark, tmp_path / "empty", b"") == ({}, [])
+    parts = record(5, "long " * 300, segment=400)
+    for k, some in enumerate((parts[1:], parts[:-1], [*parts, parts[1]], parts[:1] + parts[2:])):
+        found, _ = _faulty(spark, tmp_path / f"parts{k}", b"".join(some) + a)
+        assert found == {5: (None, True), 0: whole[0]}
+
+
+def test_foreign_records_are_passed_over(spark, tmp_path):
+    """Archives begin with a warcinfo record and hold requests and metadata, also divided ones; they are no pages."""
+    page = b"".join(f"{x}\r\n\r\n".encode() for x in warc._records(7, 7, "u", "page", None, None, 1 << 20, 4096))
+    foreign = b""
+    for k, kind in enumerate(("warcinfo", "request", "metadata", "resource", "conversion")):
+        foreign += f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{k}>\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n".encode()
+    foreign += b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:8>\r\nWARC-Segment-Number: 1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    foreign += b"WARC/1.0\r\nWARC-Type: continuation\r\nWARC-Record-ID: <urn:x:9>\r\nWARC-Segment-Origin-ID: <urn:x:8>\r\nWARC-Segment-Number: 2\r\nWARC-Segment-Total-Length: 4\r\nContent-Length: 2\r\n\r\ncd\r\n\r\n"
+    assert _faulty(spark, tmp_path / "a", foreign + page + foreign) == ({7: (b"page", False)}, [])
+
+
+def test_long_runs_of_backslashes():
+    """Neither escaping nor reading goes through a run of backslashes again and again."""
+    for text in ("\\" * 1_000_000, "\\" * 1_000_000 + "</turn>", ("\\" * 1000 + "x") * 1000):
+        began = time.perf_counter()
+        rendered, start, size = chat.render("assistant", text)
+        assert chat.parse(rendered) == [("assistant", text)] and chat.unescape(rendered[start : start + size]) == text
+        assert time.perf_counter() - began < 1
 
 
 def test_warc_faults():
