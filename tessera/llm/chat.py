@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "Tool"}
 _NAMED = {v: k for k, v in ROLES.items()}
 _CONTROL = re.compile(r"(?<!\\)\\*(?=### |</turn>)")
-_RUN = re.compile(r"\\(\\*)(?=### |</turn>)")
+_RUN = re.compile(r"(?<!\\)\\(\\*)(?=### |</turn>)")  # from the first of a run, so that a long one is gone through once
 _END = re.compile(r"(?<!\\)</turn>\n")
 LOSS_ROLE = "assistant"
 
