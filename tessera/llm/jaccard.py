@@ -141,8 +141,7 @@ def _ordered(t: int):
 
 def candidate_sets(docs: DataFrame, size: int, t: int) -> Stored:
     """Documents that may have a partner: doc_id, n, k, grams."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = repeats.buckets_for(docs)
     rows = docs.filter("doc_id IS NOT NULL").selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
     parts = repeats.dealt(rows, lambda c: shingles(c, size), buckets).mapInArrow(_shared_part(buckets * CHUNKS), "chunk int, ids binary, totals binary, many binary, pairs binary")
     # a chunk holds half as much as a bucket at any size of the corpus, since there are more chunks with more buckets

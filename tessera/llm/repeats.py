@@ -20,12 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MERGED = 1 << 21  # entries read before they are merged into the count
+MERGED = 1 << 21  # entries read before they are merged into the count, or as many as it holds: each is merged a few times only
+PER_BUCKET = 1 << 27  # bytes of the scanned table that a bucket stands for at most
 
 #: From an Arrow array of texts: for each document its number of hashes, and all hashes in order.
 Hasher = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
+def buckets_for(rows: DataFrame) -> int:
+    """Buckets for a table: as many as there are shuffle partitions, and more where a bucket would stand for too much of it."""
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(plan.stats().sizeInBytes().toString()) // PER_BUCKET + 1)
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
@@ -101,6 +108,20 @@ def _documents(ids: bytes, counts: bytes, totals: bytes, hashes: bytes, width: i
     return np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(totals, "<u4"), unpack(hashes, width)
 
 
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal ones begin in sorted keys."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _joined(keys: np.ndarray, values: np.ndarray, more: np.ndarray, others: np.ndarray, how: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted tables of different keys as one; ``how`` puts the values of a key of both together."""
+    both, values = np.concatenate((keys, more)), np.concatenate((values, others))
+    order = np.argsort(both, kind="stable")  # two sorted runs, which are merged
+    both = both[order]
+    heads = _heads(both)
+    return both[heads], how.reduceat(values[order], heads) if len(heads) else values
+
+
 def repeated(batches: Iterator[pa.RecordBatch], width: int = 6):
     """Of one bucket: (ids, counts, totals, hashes, times), where times is how often each hash occurs in the corpus."""
     keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -108,16 +129,17 @@ def repeated(batches: Iterator[pa.RecordBatch], width: int = 6):
 
     def merge():
         nonlocal keys, counts, waiting, size
-        new, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        merged, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
-        counts = np.bincount(at, np.concatenate((counts, n)), minlength=len(merged)).astype(np.int64)
-        keys, waiting, size = merged, [], 0
+        if waiting:
+            new = np.sort(np.concatenate(waiting))
+            heads = _heads(new)
+            keys, counts = _joined(keys, counts, new[heads], np.diff(np.append(heads, len(new))), np.add)
+        waiting, size = [], 0
 
     for kind, *row in _rows(batches):
         if kind == COUNT:
             waiting.append(np.frombuffer(row[3], "<u4"))
             size += len(waiting[-1])
-            if size > MERGED:
+            if size > max(MERGED, len(keys)):
                 merge()
             continue
         if again is None:
@@ -137,18 +159,18 @@ def not_first(batches: Iterator[pa.RecordBatch], width: int = 8):
 
     def merge():
         nonlocal keys, least, waiting, size
-        k, i = np.concatenate([keys, *(x for x, _ in waiting)]), np.concatenate([least, *(x for _, x in waiting)])
-        order = np.lexsort((i, k))
+        k, i = (np.concatenate([x[side] for x in waiting]) for side in (0, 1))
+        order = np.argsort(k)
         k, i = k[order], i[order]
-        head = np.ones(len(k), dtype=bool)
-        head[1:] = k[1:] != k[:-1]
-        keys, least, waiting, size = k[head], i[head], [], 0
+        heads = _heads(k)
+        keys, least = _joined(keys, least, k[heads], np.minimum.reduceat(i, heads) if len(k) else i, np.minimum)
+        waiting, size = [], 0
 
     for kind, *row in _rows(batches):
         if kind == COUNT:
             waiting.append((np.frombuffer(row[3], "<u8"), np.frombuffer(row[0], "<i8")))
             size += len(waiting[-1][0])
-            if size > MERGED:
+            if size > max(MERGED, len(keys)):
                 merge()
             continue
         if waiting:

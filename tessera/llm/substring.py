@@ -192,7 +192,7 @@ def _removed(w: Words, first: list, second: list, size: int, buckets: int) -> np
 def _judged(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
     """``docs`` with two more columns, the answers about its anchors and about its windows; the number of buckets."""
     spark = docs.sparkSession
-    buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    buckets = max(4, repeats.buckets_for(docs) // 2)
     rows = docs.filter("doc_id IS NOT NULL").selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
     found = repeats.dealt(rows, _anchor_hashes(size), buckets).mapInArrow(_repeated_anchors(buckets * CHUNKS), _ANSWER)
     first = store(_by_document(found, "s_first", buckets * CHUNKS), "anchors")
