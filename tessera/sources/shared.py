@@ -41,24 +41,41 @@ def store(df: DataFrame, name: str) -> Stored:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return Stored(df.sparkSession, path)
+    kept = Stored(df.sparkSession, path)
+    if Scratch._open:
+        Scratch._open[-1].held.append(kept)
+    return kept
 
 
 
 class Scratch:
-    """Tables of one computation, which go together once its result is written: ``with Scratch() as scratch: ...``."""
+    """The tables that a computation writes on its way: all of them go when it leaves the block, but for its results.
+
+    ``with Scratch() as scratch: ...``; whatever calls ``store`` inside belongs to the innermost block.
+    """
+
+    _open: list[Scratch] = []
 
     def __init__(self):
         self.held: list[Stored] = []
 
     def __enter__(self) -> Scratch:
+        self._open.append(self)
         return self
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
-        self.held.append(store(df, name))
-        return self.held[-1].df
+        return store(df, name).df
+
+    def result(self, df: DataFrame, name: str) -> Stored:
+        """A table that outlives this block and belongs to the one around it, if there is one."""
+        kept = store(df, name)
+        self.held.remove(kept)
+        if len(self._open) > 1:
+            self._open[-2].held.append(kept)
+        return kept
 
     def __exit__(self, *failure) -> None:
+        self._open.remove(self)
         for table in self.held:
             table.drop()
 
