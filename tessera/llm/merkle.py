@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.ranks import ranked
-from tessera.llm.storage import Scratch, store
+from tessera.llm.storage import Scratch
 
 ARITY = 3
 LEVELS = 7  # of a block: 2187 leaves
@@ -190,4 +190,4 @@ def manifest(documents: DataFrame, tampered: str, now: str, levels: int = LEVELS
         counts = above.groupBy(F.col("grp").alias("name")).agg(F.max("block").alias("most"))
         sources = sources.join(counts, "name").selectExpr("name AS grp", "path AS s_path", "marks AS s_marks", "root AS s_root", "explode(sequence(0L, least(most, 15L))) AS salt")
         ways = above.withColumn("salt", F.expr("block % 16")).join(sources, ["grp", "salt"]).drop("salt", "root")
-        return store(packed.join(ways, ["grp", "block"]).mapInArrow(_proved, _OUT), "merkle").df
+        return scratch.result(packed.join(ways, ["grp", "block"]).mapInArrow(_proved, _OUT), "merkle").df

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.ranks import ranked
-from tessera.llm.storage import Scratch, store
+from tessera.llm.storage import Scratch
 
 FAMILY = 5  # ids of a family
 HEAD = 9  # a conversation takes fewer turns than this from its base
@@ -261,4 +261,4 @@ def trie(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
             "conv_id", "depth", "if(depth = 0, NULL, coalesce(parent_conv_id, conv_id)) AS parent_conv_id", "n_convs", "n_children",
             "if(n_convs = 1, 1L, coalesce(leaves, 0L) + coalesce(owned, 0L)) AS n_leaves", "coalesce(saved, 0L) AS saved_tokens", "coalesce(ends_sha256, sha2('', 256)) AS ends_sha256",
         )
-        return store(out, "conversation-trie").df
+        return scratch.result(out, "conversation-trie").df
