@@ -12,7 +12,10 @@ tree. A spot of the template then knows its text on every page, and that decides
   text outside it goes.
 
 Beside that, elements that HTML or their names mark as menus, headers, footers, sidebars, notices, adverts, forms, scripts or
-comments are left out, and where a page marks its article (``article`` or ``main``), only that is read. Without these
+comments are left out, and where a page marks its article (``article`` or ``main``), only that is read. Inside a marked
+article whose layout has a template, the template decides first: what is constant goes, and of what varies a name takes away
+only what is an advert, a list of comments, a menu or the like and nothing else (NEVER); an "alert", a "header" or another
+article that varies stays. Without these
 elements, all outermost ones with a like class or id are read if they hold most of the page's text that names do not
 exclude, else the whole page. Pages that agree in most of their varying text are copies, of which one votes, so a copied
 article is not taken for template.
@@ -52,6 +55,11 @@ _BLOCKS = frozenset("article aside body button div dl fieldset footer form heade
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle alert banner breadcrumb breadcrumbs captcha comment comments commentlist complementary consent contentinfo cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promotion promoted recommended related respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription toolbar toc topbar widget".split()
 )
+#: Words that, beside none but these and _PARTS, name what is no text of an article wherever it stands and however it varies.
+NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising adsbygoogle breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies disqus menu nav navbar navigation newsletter pager pagination promo promoted promotion recommended related respond share sharing sidebar sidenav social sponsor sponsored subscribe subscription".split()
+)
+_PARTS = frozenset("area bar block bottom box button buttons container form inner item items left link links list outer posts right section slot thread top unit widget wrapper".split())
 #: Words by which an ``article`` element itself is something else.
 NO_ARTICLE = frozenset("comment comments related recommended promo promoted promotion sponsored advert advertisement ad ads teaser".split())
 ARTICLE = frozenset("main article post entry story".split())
@@ -69,10 +77,10 @@ class Node:
     chars, linked and links: length of the texts below, of those in links, and how many links there are.
     """
 
-    __slots__ = ("tag", "words", "hidden", "children", "kids", "shape", "size", "chars", "linked", "links")
+    __slots__ = ("tag", "words", "never", "hidden", "children", "kids", "shape", "size", "chars", "linked", "links")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.words, self.hidden, self.children, self.kids = tag, (), False, [], []
+        self.tag, self.words, self.never, self.hidden, self.children, self.kids = tag, (), False, False, [], []
         self.shape, self.size, self.chars, self.linked, self.links = None, 1, 0, 0, 0
         if attributes and attributes.strip("/ "):
             found = []
@@ -81,7 +89,10 @@ class Node:
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                     self.hidden = True
                 elif name in ("class", "id", "role"):
-                    found.extend(x.lower() for x in _WORD.findall(value))
+                    for given in value.split():
+                        own = [x.lower() for x in _WORD.findall(given)]
+                        found.extend(own)
+                        self.never = self.never or any(x in NEVER for x in own) and all(x in NEVER or x in _PARTS for x in own)
             self.words = tuple(found)
 
 
@@ -179,9 +190,12 @@ def shaped(root: Node) -> None:
         node.shape = hash((node.tag, *(c.shape for c in node.kids)))
 
 
-def _excluded(node: Node, inside: bool) -> bool:
+def _excluded(node: Node, inside: bool, judged: bool = False) -> bool:
+    """Whether an element is left out. judged: a template has said what is constant there, so that names only tell what is never text."""
     if node.hidden or node.tag in DROPPED:
         return True
+    if judged and inside:
+        return node.never
     if node.tag in ("html", "body", "main"):
         return False
     if not inside and node.tag == "article":
@@ -237,6 +251,7 @@ def _link_list(node: Node) -> bool:
 class Page:
     def __init__(self, html: str):
         self.root = parse(html)
+        self.judged = False  # whether a template has been found for it
 
     def judge(self) -> None:
         """Mark the content among the slots that are no template, by marks of articles and by names."""
@@ -263,7 +278,7 @@ class Page:
                         slots.append(c)
                 elif heading_only:
                     stack.append((c, c.tag not in _HEADINGS))
-                elif not _excluded(c, marked):
+                elif not _excluded(c, marked, self.judged):
                     if marked or not _link_list(c):
                         stack.append((c, False))
                 elif marked and not c.hidden and (c.tag == "header" or "header" in c.words):
@@ -360,10 +375,23 @@ class Matching:
                 continue
             total = 1 + sum(u.size for u, _ in ends)
             if p and q:
-                total += int(_last_row(*self._classes(p, q))[-1])
+                total += self._best(p, q)
             self.sizes[x.shape, y.shape] = total
         return self.sizes[x.shape, y.shape]
 
+    def _best(self, p: list, q: list) -> int:
+        """The largest total gain of an order-keeping matching of two lists of children."""
+        if len(p) * len(q) > 256:
+            return int(_last_row(*self._classes(p, q))[-1])
+        sizes, line = self.sizes, [0] * (len(q) + 1)
+        for u in p:
+            left = above = 0
+            for k, v in enumerate(q, 1):
+                best = max(above + sizes[u.shape, v.shape], left, line[k])
+                above, line[k] = line[k], best
+                left = best
+        return line[-1]
+
     def _classes(self, p: list, q: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Classes of shape of each child, and the gain of each pair of classes."""
         first, second = ({s: k for k, s in enumerate(dict.fromkeys(c.shape for c in side))} for side in (p, q))
@@ -530,6 +558,9 @@ def _induce(pages: list[Page], votes: int, marked_votes: int, copies: float, pas
     if len(voters) < votes:
         return
     least = marked_votes if sum(page.marked for page in pages) * 2 > len(pages) else votes
+    if len(voters) >= least:
+        for page in pages:
+            page.judged = True
     for spot in slots:
         found = Counter(x.text for k, x in spot.seen.items() if k in voters)
         text, n = found.most_common(1)[0] if found else ("", 0)

@@ -446,3 +446,42 @@ def test_odd_pages(spark):
     got = sorted((tuple(r) for r in html.extract(own).collect()), key=str)
     expected = sorted(((k, u, t := "" if not h else "one story" if h is body else "é " * 399_999 + "é", len(t)) for k, u, h in rows), key=str)
     assert got == expected and html.extract(own.limit(0)).count() == 0
+
+
+def _in_article(fragment, pages=12):
+    """Texts of pages of one host whose marked articles hold a fragment beside text that varies."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    own = [html.Page(f"<body><nav><a href=/>Home</a><a href=/a>About</a></nav><article><h1>{line(4)}</h1><p>{line(40)}</p>{fragment(line, k)}<p>{line(30)}</p></article><div class=footer>Imprint {k}</div></body>") for k in range(pages)]
+    html.induce(own)
+    return [p.text() for p in own]
+
+
+@pytest.mark.parametrize("open_, close", [('<p class="alert">', "</p>"), ('<p class="ad-free">', "</p>"), ('<div class="header">', "</div>"), ('<div class="footer-note">', "</div>"), ("<article>", "</article>")])
+def test_names_inside_an_article_decide_only_without_a_template(open_, close):
+    """What varies stays, whatever it is called; what is constant goes."""
+    kept = _in_article(lambda line, k: f"{open_}KEPT{k} {line(8)}{close}")
+    assert all(f"KEPT{k} " in text for k, text in enumerate(kept)) and not any("Home" in t or "Imprint" in t for t in kept)
+    gone = _in_article(lambda line, k: f"{open_}Read our GONE terms{close}")
+    assert not any("GONE" in text for text in gone)
+
+
+@pytest.mark.parametrize("open_, close", [('<div class="ad">', "</div>"), ('<section id="comments-list">', "</section>"), ('<div class="related posts">', "</div>"), ("<aside>", "</aside>"), ('<ul class="share-buttons">', "</ul>"), ("<form>", "</form>")])
+def test_what_is_never_text_goes_though_it_varies(open_, close):
+    assert not any("GONE" in text for text in _in_article(lambda line, k: f"{open_}GONE{k} {line(8)}{close}"))
+
+
+def test_long_lists_of_unlike_children():
+    """Children of many shapes are aligned exactly, and small lists without arrays give the same total as large ones."""
+    page = lambda n, s: html.parse("<div>" + "".join(f"<div>{'<p>b</p>' * (1 + (k * 13 + s) % 9)}<x{k % 29}>y</x{k % 29}></div>" for k in range(n)) + "</div>")
+    a, b = page(150, 1), page(150, 5)
+    began = time.perf_counter()
+    pairs = html.align(a, b)
+    assert time.perf_counter() - began < 5 and len(pairs) > 300
+    p, q = a.kids[0].kids[:14], b.kids[0].kids[:14]
+    matching = html.Matching()
+    for u in p:
+        for v in q:
+            matching.size(u, v)
+    assert matching._best(p, q) == int(html._last_row(*matching._classes(p, q))[-1])
