@@ -15,15 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard, quality, substring
-from tessera.llm.storage import release_shuffles, store
+from tessera.llm.storage import Scratch, release_shuffles
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 at least."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    # statistics of all documents, since a join before them would shuffle the texts
-    found = store(quality.with_statistics(docs.select("doc_id", "text")).select("doc_id", "q"), "statistics")
-    return quality.keep_good(docs, quality.fit(quality.training_rows(found.df, labels)), 0.3)
+    return quality.keep_good(docs, quality.fit_sample(docs, labels), 0.3)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +61,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}").df
+        with Scratch() as scratch:  # what a stage writes on its way goes with it
+            kept = scratch.result(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = kept.df
         release_shuffles(spark)
+        if before:
+            before.drop()
+        before = kept
     return docs
