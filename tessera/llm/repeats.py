@@ -28,9 +28,11 @@ Hasher = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def buckets_for(rows: DataFrame) -> int:
-    """Buckets for a table: as many as there are shuffle partitions, and more where a bucket would stand for too much of it."""
-    plan = rows._jdf.queryExecution().optimizedPlan()
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(plan.stats().sizeInBytes().toString()) // PER_BUCKET + 1)
+    """Buckets for a table: as many as there are shuffle partitions, and more where a bucket would stand for too much of its files."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(n for n in sizes if n < 1 << 60)  # the others are no files and do not know their size
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // PER_BUCKET + 1)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
