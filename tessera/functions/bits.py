@@ -24,14 +24,10 @@ def hamming(a: str, b: str) -> Column:
     return F.expr(f"bit_count({a} ^ {b})")
 
 
-def bands(value: str, n: int) -> Column:
-    """The n bands of 64 // n bits from the lowest on, as structs of band and bits.
-
-    Values that differ in fewer than n bits agree in a band at least; bits beyond n * (64 // n) are in none.
-    """
-    width = 64 // n
-    mask = (1 << width) - 1 if width < 64 else -1
-    return F.expr(f"transform(sequence(0, {n - 1}), b -> struct(b AS band, shiftrightunsigned({value}, b * {width}) & {mask}L AS bits))")
+def block_masks(n: int) -> list[int]:
+    """Masks of n blocks that divide the 64 bits from the lowest on, as evenly as may be."""
+    cuts = [64 * k // n for k in range(n + 1)]
+    return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def simhash_of(words: list[bytes]) -> str:

@@ -7,34 +7,84 @@ path is, so whatever compares two of them goes by path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+from math import comb
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.bits import bands, hamming, to_long
+from tessera.functions.bits import block_masks, hamming, to_long
 from tessera.operators.groups import components
 
+MOST_KEYS = 4096  # of one hash
+
 
 def hashed(rows: DataFrame, *keep: str) -> DataFrame:
     """row_idx (or the columns to keep) and hash of the rows that have one."""
     return rows.filter("phash <> ''").select(*(keep or ("row_idx",)), to_long("phash").alias("hash"))
 
 
-def near_hashes(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
-    """l_hash, r_hash and distance of the pairs of different values within ``distance``: values that agree in a band are compared.
+def blocks_for(values: DataFrame, distance: int, sample: int = 1 << 16) -> int:
+    """Into how many blocks the 64 bits are cut: with the least work a hash, its keys and the others that share one together.
+
+    Of b blocks, values within ``distance`` agree in b - distance at least. One key for each choice of so many blocks makes
+    C(b, distance) keys of about 64 (b - distance) / b bits: more blocks are more keys, but longer ones, so buckets stay
+    small as hashes become many. How many share a key is counted, since fingerprints are far from even, on about ``sample``
+    of the hashes; their number alone scales what is counted. The choice decides about speed and never about the result.
+    """
+    several = [b for b in range(distance + 1, min(distance + 4, 64) + 1) if b == distance + 1 or comb(b, distance) <= MOST_KEYS]
+    n = values.count()
+    if len(several) == 1 or n < 2:
+        return several[0]
+    part = max(1, n // sample)
+    some = values.filter(F.expr(f"pmod(xxhash64(hash), {part}) = 0"))
+    met = some.select(F.explode(F.array(*(F.struct(F.lit(b).alias("blocks"), _keys(distance, b).alias("own")) for b in several))).alias("k"))
+    met = met.select("k.blocks", F.explode("k.own").alias("key"))
+    counts = met.groupBy("blocks", "key").count().groupBy("blocks").agg(F.expr("sum(count * (count - 1) / 2)").alias("pairs"), F.expr("sum(count)").alias("rows"))
+    found = {r["blocks"]: r["pairs"] * comb(r["blocks"], distance) / r["rows"] * part for r in counts.collect()}
+    return min(several, key=lambda b: comb(b, distance) + found.get(b, 0))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def index_keys(distance: int, blocks: int) -> list[tuple[int, list[int]]]:
+    """For each choice of blocks: their mask, and the masks of blocks before its last one that are not chosen.
+
+    The choices of a pair are those inside its equal blocks. The first one holds the first equal blocks, so a pair belongs to
+    the one choice in which all blocks that are passed over differ.
+    """
+    masks, out = block_masks(blocks), []
+    for chosen in combinations(range(blocks), blocks - distance):
+        passed = [masks[k] for k in range(chosen[-1]) if k not in chosen]
+        out.append((_signed(sum(masks[k] for k in chosen)), [_signed(m) for m in passed]))
+    return out
+
+
+def _keys(distance: int, blocks: int) -> Column:
+    """The keys of a column ``hash``, as structs of choice and bits."""
+    own = [F.struct(F.lit(k).alias("choice"), F.col("hash").bitwiseAND(F.lit(mask).cast("bigint")).alias("bits")) for k, (mask, _) in enumerate(index_keys(distance, blocks))]
+    return F.array(*own)
+
+
+def near_hashes(left: DataFrame, right: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
+    """l_hash, r_hash and distance of the pairs of different values within ``distance``, by a block-permutation index.
 
-    A pair is taken in the first band in which it agrees, so no distinct is needed. Raises ValueError for distances over 63,
-    at which there is nothing to compare: every pair would be near.
+    Values are compared if they agree in all blocks of a choice (``index_keys``), and a pair is taken in its first choice
+    only, so no distinct is needed. blocks: counted from the values (``blocks_for``) unless given. Raises ValueError for
+    distances over 63, at which there is nothing to compare: every pair would be near.
     """
-    n = distance + 1
-    if n > 64:
+    if distance > 63:
         raise ValueError("64-bit values are compared up to a distance of 63")
-    width = 64 // n
-    mask = (1 << width) - 1 if width < 64 else -1
-    cut = lambda df, side: df.select(F.col("hash").alias(f"{side}_hash"), F.explode(bands("hash", n)).alias("b")).select(f"{side}_hash", "b.*")
-    first = f"NOT exists(sequence(0, {n - 1}), i -> i < band AND (shiftrightunsigned(l_hash ^ r_hash, i * {width}) & {mask}L) = 0)"
-    met = cut(left, "l").join(cut(right, "r"), ["band", "bits"])
-    met = met.withColumn("distance", hamming("l_hash", "r_hash")).filter(f"distance <= {distance} AND {first}")
-    return met.select("l_hash", "r_hash", "distance")
+    if blocks is None:
+        blocks = blocks_for(left.select("hash") if left is right else left.select("hash").union(right.select("hash")), distance)
+    cut = lambda df, side: df.select(F.col("hash").alias(f"{side}_hash"), F.explode(_keys(distance, blocks)).alias("b")).select(f"{side}_hash", "b.*")
+    passed = [F.array(*(F.lit(m).cast("bigint") for m in others)) if others else F.array().cast("array<bigint>") for _, others in index_keys(distance, blocks)]
+    met = cut(left, "l").join(cut(right, "r"), ["choice", "bits"])
+    met = met.withColumn("distance", hamming("l_hash", "r_hash")).filter(F.col("distance") <= distance)
+    first = ~F.exists(F.element_at(F.array(*passed), F.col("choice") + 1), lambda m: F.col("l_hash").bitwiseXOR(F.col("r_hash")).bitwiseAND(m) == 0)
+    return met.filter(first).select("l_hash", "r_hash", "distance")
 
 
 def near_duplicate_pairs(rows: DataFrame, distance: int) -> DataFrame:

@@ -18,7 +18,7 @@ from tessera.operators import metrics as M
 from tessera.operators import similarity as S
 from tessera.operators import splits as P
 from tessera.operators.features import FeatureStore, Fusion, PixelProjection, build_extractor, handcrafted
-from tessera.operators.groups import components
+from tessera.operators.groups import components, contracted, forest
 from tessera.operators.models import TrainedModel, fit_classifier
 from tessera.plans import cli, experiment, tracking
 from tessera.sources import manifest as MF
@@ -58,6 +58,29 @@ def test_pairs_against_all_pairs(spark, distance):
     assert got == {(a, b): d for a in range(len(values)) for b in range(a + 1, len(values)) if (d := (values[a] ^ values[b]).bit_count()) <= distance}
 
 
+@pytest.mark.parametrize("distance,blocks", [(0, 1), (3, 4), (3, 5), (3, 6), (3, 7), (4, 8), (1, 64), (62, 63)])
+def test_index_of_any_number_of_blocks_finds_each_pair_once(spark, distance, blocks):
+    rng = random.Random(blocks)
+    seeds = [rng.getrandbits(64) for _ in range(6)]
+    values = sorted({s ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(6))) for s in seeds for _ in range(8)} | {0, 1, (1 << 64) - 1, 1 << 63})
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "hash bigint")
+    got = [(r["l_hash"] % (1 << 64), r["r_hash"] % (1 << 64), r["distance"]) for r in S.near_hashes(frame, frame, distance, blocks).collect() if r["l_hash"] != r["r_hash"]]
+    assert sorted(got) == sorted((a, b, d) for a in values for b in values if a != b and (d := (a ^ b).bit_count()) <= distance)
+
+
+def test_more_hashes_get_longer_keys(spark):
+    """The work a hash does not follow the number of hashes, as it does with bands of a fixed width."""
+    assert S.index_keys(1, 2) == [((1 << 32) - 1, []), (-(1 << 32), [(1 << 32) - 1])]
+    found = []
+    for n in (100, 40_000, 400_000):
+        values = spark.range(n).selectExpr("xxhash64(id) & 281474976710655L AS hash")  # 48 bits that vary
+        b = S.blocks_for(values, 3)
+        keys = S._keys(3, b)
+        met = values.select(F.explode(keys).alias("k")).groupBy("k").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+        found.append((b, met / n))
+    assert found[0][0] < found[-1][0] and all(met < 60 for _, met in found), found
+
+
 def test_a_distance_that_compares_nothing(spark):
     with pytest.raises(ValueError):
         S.near_duplicate_pairs(rows_of(spark, ["00000000000000ff"]), 64)
@@ -80,6 +103,30 @@ def test_components_of_a_chain_and_a_clique(spark):
     assert got == {k: 0 for k in range(21)} | {k: 30 for k in range(30, 38)}
 
 
+def test_forest_of_a_partition():
+    rng = random.Random(8)
+    for _ in range(30):
+        edges = [(rng.randrange(-20, 20), rng.randrange(-20, 20)) for _ in range(rng.randrange(1, 30))]
+        root = {x: x for e in edges for x in e}
+        for _ in root:
+            for x, y in edges:
+                root[x] = root[y] = min(root[x], root[y])
+        nodes, roots = forest(*(np.array([e[k] for e in edges]) for k in (0, 1)))
+        assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == {x: r for x, r in root.items() if x != r}
+
+
+def test_edges_are_contracted_before_they_are_shuffled(spark):
+    """A long chain takes a few rounds, since each partition's part of it is one star."""
+    chain = spark.range(20_000).repartition(4).selectExpr("id AS a", "id + 1 AS b")
+    told, few = [], []
+    got = components(chain, last=0, told=told)
+    assert got.selectExpr("count(*)", "max(root)", "count(DISTINCT node)").first() == (20_001, 0, 20_001) and len(told) <= 6
+    assert components(chain, told=few).selectExpr("count(*)", "max(root)").first() == (20_001, 0) and len(few) == 1
+    cliques = spark.createDataFrame([(40 * c + a, 40 * c + b) for c in range(5) for a in range(40) for b in range(40)], "a bigint, b bigint")
+    assert contracted(cliques.coalesce(1)).count() == 5 * 39
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_merge_keeps_the_first_rows_group(spark):
     rows = spark.createDataFrame([(0, "a", "x", "s", "g1", "00000000000000ff"), (1, "b", "x", "s", "g0", "00000000000000fe"), (2, "c", "x", "s", "g2", "ffffffff00000000"), (3, "d", "x", "s", "g0", "")], ROWS)
     got = {r["row_idx"]: r["group_id"] for r in S.merge_groups(rows, 3).collect()}
