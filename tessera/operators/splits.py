@@ -7,14 +7,18 @@ does not depend on partitions; ``exact_order`` takes Python's seeded shuffle ins
 
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.similarity import hashed, near_hashes
+from tessera.sources.shared import store
 
 SPLITS = ("train", "val", "test")
 
@@ -58,38 +62,124 @@ def group_labels(rows: DataFrame) -> DataFrame:
     return counted.groupBy("group_id").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("label"), F.sum("n").alias("images"), F.count("*").alias("labels"))
 
 
-def _dealt(fractions):
-    """Groups in order of label and key, to group_id and split: each to the split that lacks most, the first of equals."""
+FOLDED = 1 << 16  # groups of a chunk
 
-    def deal(batches):
-        label, have = None, [0, 0, 0]
+
+def fold(images: np.ndarray, total: int, start, fractions) -> tuple[bytes, list[int]]:
+    """The greedy rule: each group to the split that lacks most, the first of equals. Splits of the groups, and what each split has."""
+    wanted = [f * total for f in fractions]
+    have, out = list(start), bytearray()
+    for n in images.tolist():
+        a, b, c = wanted[0] - have[0], wanted[1] - have[1], wanted[2] - have[2]
+        k = 0 if a >= b and a >= c else 1 if b >= c else 2
+        have[k] += n
+        out.append(k)
+    return bytes(out), have
+
+
+def guessed(before: int, total: int, fractions) -> list[int]:
+    """What the splits have when ``before`` of ``total`` images are dealt, if groups were very small: the largest lack is levelled first."""
+    wanted = sorted((f * total for f in fractions), reverse=True)
+    level, left = wanted[0], before
+    for k in range(1, 4):
+        floor = wanted[k] if k < 3 else -math.inf
+        if left <= k * (level - floor):
+            level -= left / k
+            break
+        left -= k * (level - floor)
+        level = floor
+    have = [max(0, round(f * total - level)) for f in fractions]
+    most = have.index(max(have))
+    have[most] += before - sum(have)
+    return have
+
+
+def _packed(size: int):
+    """Groups in order of stratum and key, to rows of at most ``size`` groups of one stratum."""
+
+    def pack(batches):
+        part, stratum, ids, images, k = TaskContext.get().partitionId(), None, [], [], 0
+
+        def done():
+            columns = ([stratum], [part], [k], [sum(images)], [ids], [np.array(images, "<i8").tobytes()])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary()), strict=True)], ["stratum", "part", "slice", "n", "ids", "images"])
+
+        for batch in batches:
+            for own, group, n in zip(*(batch.column(c).to_pylist() for c in ("stratum", "group_id", "images")), strict=True):
+                if ids and (own != stratum or len(ids) >= size):
+                    yield done()
+                    ids, images, k = [], [], k + 1
+                stratum = own
+                ids.append(group)
+                images.append(n)
+        if ids:
+            yield done()
+
+    return pack
+
+
+def _ends(fractions):
+    """Chunks to what the splits have at their start (guessed where it is null) and at their end."""
+
+    def run(batches):
+        for batch in batches:
+            starts, ends = [], []
+            for r in batch.to_pylist():
+                starts.append(r["start"] or guessed(r["upto"] - r["n"], r["total"], fractions))
+                ends.append(fold(np.frombuffer(r["images"], "<i8"), r["total"], starts[-1], fractions)[1])
+            states = [pa.array(c, pa.list_(pa.int64())) for c in (starts, ends)]
+            yield pa.record_batch([batch.column("stratum"), batch.column("place"), *states], ["stratum", "place", "start", "ended"])
+
+    return run
+
+
+def _splits(fractions):
+    def run(batches):
         for batch in batches:
-            names, splits = batch.column("group_id"), []
-            for own, images, total in zip(*(batch.column(c).to_pylist() for c in ("label", "images", "total")), strict=True):
-                if own != label or not any(have):
-                    label, have = own, [0, 0, 0]
-                lack = [share * total - n for share, n in zip(fractions, have, strict=True)]
-                k = lack.index(max(lack))
-                have[k] += images
-                splits.append(SPLITS[k])
-            yield pa.record_batch([names, pa.array(splits, pa.string())], ["group_id", "split"])
+            for r in batch.to_pylist():
+                dealt, _ = fold(np.frombuffer(r["images"], "<i8"), r["total"], r["start"] or (0, 0, 0), fractions)
+                yield pa.record_batch([pa.array(r["ids"], pa.string()), pa.array([SPLITS[k] for k in dealt], pa.string())], ["group_id", "split"])
 
-    return deal
+    return run
 
 
-def assign_groups(groups: DataFrame, fractions, seed: int, exact_order: bool = False) -> DataFrame:
+def assign_groups(groups: DataFrame, fractions, seed: int, exact_order: bool = False, chunk: int = FOLDED, told: list | None = None) -> DataFrame:
     """group_id and split. ``groups`` has group_id, label and images; each label is a stratum, folded in its own order.
 
-    The greedy rule needs all earlier decisions of its stratum, so one task streams a stratum's groups (an id and a count
-    each, sorted with spilling) and holds three running counts.
+    The greedy rule needs all earlier decisions of its stratum, which would make a label one task. So the order is cut into
+    chunks of at most ``chunk`` groups, and all of them are folded at once, each from a guess of what the splits have by then;
+    where the chunk before ends otherwise, a chunk is folded again from there, until all starts and ends agree. The rule evens
+    out what it begins with, so that a wrong guess is soon forgotten; each round settles one more chunk at least. The result
+    is that of the fold from the first group to the last. told: takes how many chunks each round folds.
     """
     if exact_order:
         return _shuffled_assignment(groups, fractions, seed)
-    keyed = groups.select("group_id", "label", F.col("images").cast("bigint").alias("images"), F.expr(f"md5(concat('{int(seed)}:', group_id))").alias("key"))
-    totals = groups.groupBy(F.col("label").alias("t_label")).agg(F.sum("images").alias("total"))
-    strata = keyed.join(totals, F.expr("label <=> t_label"))
-    ordered = strata.repartition("label").sortWithinPartitions("label", "key", "group_id")
-    return ordered.select("group_id", "label", "images", "total").mapInArrow(_dealt(fractions), "group_id string, split string")
+    keyed = groups.select(F.expr("coalesce(concat('=', label), '')").alias("stratum"), "group_id", F.col("images").cast("bigint").alias("images"), F.expr(f"md5(concat('{int(seed)}:', group_id))").alias("key"))
+    keyed = store(keyed, "groups").df
+    n, order = keyed.count(), ["stratum", "key", "group_id"]
+    ranged = keyed.repartitionByRange(min(-(-n // chunk), 10_000), *order) if n > chunk else keyed.coalesce(1)
+    packed = ranged.sortWithinPartitions(*order).select("stratum", "group_id", "images").mapInArrow(_packed(chunk), "stratum string, part int, slice int, n bigint, ids array<string>, images binary")
+    packed = store(packed, "packed").df
+    inside = Window.partitionBy("stratum")  # of rows that are chunks
+    facts = packed.select("stratum", "part", "slice", F.row_number().over(inside.orderBy("part", "slice")).alias("place"), F.sum("n").over(inside.orderBy("part", "slice")).alias("upto"), F.sum("n").over(inside).alias("total"))
+    chunks = store(packed.join(facts, ["stratum", "part", "slice"]).drop("part", "slice"), "chunks").df
+    splits = "group_id string, split string"
+    if n == 0 or chunks.agg(F.max("place")).first()[0] == 1:
+        return chunks.withColumn("start", F.expr("cast(NULL AS array<bigint>)")).mapInArrow(_splits(fractions), splits)
+    state = "stratum string, place int, start array<bigint>, ended array<bigint>"
+    ends = store(chunks.withColumn("start", F.expr("cast(NULL AS array<bigint>)")).mapInArrow(_ends(fractions), state), "ends").df
+    behind = Window.partitionBy("stratum").orderBy("place")
+    while True:
+        due = ends.withColumn("due", F.coalesce(F.lag("ended").over(behind), F.array(*[F.lit(0).cast("bigint")] * 3)))
+        wrong = store(due.filter("due <> start").select("stratum", "place", F.col("due").alias("start")), "wrong").df
+        again = wrong.count()
+        if told is not None:
+            told.append(again)
+        if not again:
+            break
+        found = chunks.join(wrong, ["stratum", "place"]).mapInArrow(_ends(fractions), state)
+        ends = store(ends.join(wrong.drop("start"), ["stratum", "place"], "left_anti").union(found), "ends").df
+    return chunks.join(ends.select("stratum", "place", "start"), ["stratum", "place"]).mapInArrow(_splits(fractions), splits)
 
 
 def _shuffled_assignment(groups: DataFrame, fractions, seed: int) -> DataFrame:

@@ -81,6 +81,33 @@ def test_more_hashes_get_longer_keys(spark):
     assert found[0][0] < found[-1][0] and all(met < 60 for _, met in found), found
 
 
+@pytest.mark.parametrize("sizes,fractions", [("one", (0.7, 0.15, 0.15)), ("mixed", (0.7, 0.15, 0.15)), ("heavy", (0.4, 0.35, 0.25)), ("mixed", (1.0, 0.0, 0.0)), ("mixed", (0.0, 0.5, 0.5))])
+def test_parallel_fold(spark, sizes, fractions):
+    """One label with all groups, in many chunks: equal to the fold of one group after another, in few rounds."""
+    import hashlib
+
+    rng = random.Random(4)
+    size = {"one": lambda: 1, "mixed": lambda: rng.choice([1, 1, 1, 2, 3, 9]), "heavy": lambda: rng.choice([1, 50, 400])}[sizes]
+    groups = [{"group_id": f"g{k}", "label": "all", "images": size()} for k in range(3000)] + [{"group_id": "n", "label": None, "images": 2}, {"group_id": "e", "label": "", "images": 1}]
+    told = []
+    frame = spark.createDataFrame(groups, "group_id string, label string, images bigint")
+    got = {r["group_id"]: r["split"] for r in P.assign_groups(frame, fractions, 7, chunk=200, told=told).collect()}
+    assert got == greedy(groups, lambda g: hashlib.md5(f"7:{g['group_id']}".encode()).hexdigest(), fractions)
+    assert told[-1] == 0 and len(told) <= 16
+    if sizes == "one":
+        assert len(told) <= 3
+    assert got == {r["group_id"]: r["split"] for r in P.assign_groups(frame, fractions, 7).collect()}
+
+
+def test_guessed_state():
+    for total, fractions in ((1000, (0.7, 0.15, 0.15)), (77, (0.2, 0.3, 0.5)), (10, (1.0, 0.0, 0.0))):
+        for before in range(0, total + 1, 7):
+            have = P.guessed(before, total, fractions)
+            assert sum(have) == before
+            exact = P.fold(np.ones(before, np.int64), total, (0, 0, 0), fractions)[1]
+            assert all(abs(a - b) <= 2 for a, b in zip(have, exact, strict=True)), (before, have, exact)
+
+
 def test_a_distance_that_compares_nothing(spark):
     with pytest.raises(ValueError):
         S.near_duplicate_pairs(rows_of(spark, ["00000000000000ff"]), 64)
