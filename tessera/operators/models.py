@@ -1,4 +1,4 @@
-"""Classifiers on features, fitted by Spark ML on standardised vectors with class weights.
+"""Classifiers on features with class weights: Spark ML's on standardised vectors, and boosting of this library on binned ones.
 
 Training rows have label and features (an array). A model gives ``proba``, in the order of its classes.
 """
@@ -11,30 +11,29 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.boosting import Boosted, fit_boosted
 from tessera.operators.metrics import align_probabilities, sample_weights
 
 CLASSIFIERS = ("majority", "logreg", "rf", "hgb", "xgb")
 IMBALANCE_POLICIES = ("balanced", "none")
 
 
-def build_classifier(name: str, seed: int, total_weight: float, classes: int):
-    """A Spark ML estimator on ``scaled``, ``y`` and ``weight``; None for the class prior."""
+def build_classifier(name: str, seed: int, total_weight: float):
+    """A Spark ML estimator on ``scaled``, ``y`` and ``weight``; None for the class prior and for boosting."""
     own = {"featuresCol": "scaled", "labelCol": "y", "weightCol": "weight"}
-    if name == "majority":
+    if name in ("majority", "hgb"):
         return None
     if name == "logreg":
         return LogisticRegression(**own, maxIter=3000, regParam=1 / (0.5 * max(total_weight, 1)), elasticNetParam=0, standardization=False, family="multinomial")
     if name == "rf":
         return RandomForestClassifier(**own, numTrees=300, maxDepth=30, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True)
-    if name == "hgb":
-        trees = GBTClassifier(**own, maxIter=100, stepSize=0.1, maxDepth=5, maxBins=255, seed=seed)
-        return trees if classes == 2 else OneVsRest(classifier=trees, featuresCol="scaled", labelCol="y", weightCol="weight", parallelism=2)
     if name == "xgb":
         try:
             from xgboost.spark import SparkXGBClassifier
@@ -56,17 +55,16 @@ class TrainedModel:
     seed: int
     prior: list[float] = field(default_factory=list)
     info: dict = field(default_factory=dict)
+    boosted: Boosted | None = None
 
     def probabilities(self, features: DataFrame) -> DataFrame:
         """``features`` with proba, in the order of ``classes``."""
+        if self.boosted is not None:
+            return features.withColumn("proba", self.boosted.probabilities("features"))
         if self.pipeline is None:
             return features.withColumn("proba", F.array(*map(F.lit, self.prior)))
         out = self.pipeline.transform(features.withColumn("vector", array_to_vector("features")))
-        if "probability" in out.columns:
-            proba = vector_to_array("probability")
-        else:  # one against the rest gives scores alone
-            out = out.withColumn("m_odds", F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x))))
-            proba = F.expr("transform(m_odds, x -> x / greatest(aggregate(m_odds, 0D, (s, v) -> s + v), 1e-12D))")
+        proba = vector_to_array("probability")
         return out.withColumn("proba", proba).select(*features.columns, "proba")
 
     def aligned(self, features: DataFrame, classes: list[str]) -> DataFrame:
@@ -82,6 +80,8 @@ class TrainedModel:
             self.pipeline.write().overwrite().save((path / "stages").resolve().as_uri())
         facts = {k: getattr(self, k) for k in ("classes", "extractor", "image_size", "classifier", "seed", "prior", "info")}
         (path / "model.json").write_text(json.dumps({"kind": "trained model"} | facts, indent=2), encoding="utf-8")
+        if self.boosted is not None:
+            (path / "trees.json").write_text(json.dumps(self.boosted.to_dict()), encoding="utf-8")
         return path
 
     @staticmethod
@@ -93,7 +93,9 @@ class TrainedModel:
         if facts.pop("kind", "") != "trained model":
             raise TypeError(f"{path} is no stored model")
         stages = PipelineModel.load((path / "stages").resolve().as_uri()) if (path / "stages").is_dir() else None
-        return TrainedModel(stages, **facts)
+        trees = path / "trees.json"
+        boosted = Boosted.of(json.loads(trees.read_text(encoding="utf-8"))) if trees.is_file() else None
+        return TrainedModel(stages, **facts, boosted=boosted)
 
 
 def fit_classifier(name: str, features: DataFrame, seed: int, imbalance: str, extractor: str = "", image_size: int = 0) -> TrainedModel:
@@ -103,13 +105,21 @@ def fit_classifier(name: str, features: DataFrame, seed: int, imbalance: str, ex
     counts = {r["label"]: r for r in weighted.groupBy("label").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
     classes = sorted(counts)
     total = sum(r["w"] for r in counts.values())
-    estimator = build_classifier(name, seed, total, len(classes))
-    pipeline = None
-    if estimator is not None:
-        stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"), StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True)]
-        fitted = Pipeline(stages=stages).fit(weighted)
+    estimator = build_classifier(name, seed, total)
+    pipeline = boosted = None
+    n = sum(r["n"] for r in counts.values())
+    if name == "hgb":
+        places = F.create_map(*(F.lit(x) for k, c in enumerate(classes) for x in (c, k)))
+        boosted = fit_boosted(weighted.select(places[F.col("label")].alias("y"), "weight", "features"), len(classes))
+    elif estimator is not None:
+        # Spark divides by the deviation of a sample, n - 1; this one is of the whole population, n
+        d = weighted.select(F.size("features")).first()[0]
+        scaler = StandardScaler(inputCol="vector", outputCol="by_sample", withMean=True, withStd=True)
+        whole = ElementwiseProduct(scalingVec=Vectors.dense([(n / max(n - 1, 1)) ** 0.5] * d), inputCol="by_sample", outputCol="scaled")
+        indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep")
+        fitted = Pipeline(stages=[indexer, scaler, whole]).fit(weighted)
         prepared = fitted.transform(weighted).persist()
-        pipeline = PipelineModel([fitted.stages[1], estimator.fit(prepared)])
+        pipeline = PipelineModel([*fitted.stages[1:], estimator.fit(prepared)])
         prepared.unpersist()
-    info = {"fit_seconds": round(time.perf_counter() - began, 3), "n_train": sum(r["n"] for r in counts.values())}
-    return TrainedModel(pipeline, classes, extractor, image_size, name, seed, [counts[c]["w"] / total for c in classes], info)
+    info = {"fit_seconds": round(time.perf_counter() - began, 3), "n_train": n}
+    return TrainedModel(pipeline, classes, extractor, image_size, name, seed, [counts[c]["w"] / total for c in classes], info, boosted)

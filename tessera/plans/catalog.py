@@ -252,12 +252,22 @@ def run_export(spark, sf_dir):
     return export_columns(runs).select("run_id", "name", "classifier", "seed", "val_macro_f1", "val_accuracy", "test_ece")
 
 
+def boosting_first_splits(spark, sf_dir):
+    """The first split of each class's first tree, boosted on all embeddings in 16 bins."""
+    from tessera.operators.boosting import first_splits
+
+    rows = table(spark, sf_dir, "embeddings").selectExpr("label AS y", "1D AS weight", "transform(embedding, x -> cast(x AS double)) AS features")
+    found = first_splits(rows, 10, bins=16, least_rows=20)
+    return found.select("tree", "feature", "cut", F.round("edge", 6).alias("edge"), F.round("gain", 6).alias("gain"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         near_dup_pairs, near_dup_pairs_d4, merge_groups, majority_label, mixed_groups, group_split, random_split, split_summary, missing_class_notes, leakage_random, leakage_group, cross_split_pairs,
         attach_augmented, class_counts, imbalance_ratio, class_filter, balanced_weights, confusion, accuracy, per_class_prf, macro_f1, balanced_accuracy, log_loss, ece, top3,
         align_proba, canonical_label, crop_and_health, group_id_from_name, validate_rows, view_explosion, fusion, run_export, manifest_file, numbered_rows, shared_groups, evaluate,
+        boosting_first_splits,
     )
 } | pictures.QUERIES
 
@@ -347,6 +357,14 @@ ORACLE_SQL = {
     "numbered_rows": f"WITH {_DOCS} SELECT path, row_number() OVER (ORDER BY path) - 1 AS row_idx FROM docs",
     "shared_groups": f"WITH {_DOCS}, {_RANDOM.format(rows='docs')} SELECT label || ':' || (row_idx // 3) AS group_id FROM dealt GROUP BY ALL HAVING count(DISTINCT split) > 1",
     "evaluate": f"WITH {_SCORED}, clipped AS (SELECT y_idx, list_transform(proba, lambda p: greatest(1e-12, least(1.0, p))) AS p FROM placed), binned AS (SELECT CASE WHEN conf <= 0 THEN 0 ELSE len(list_filter(range(1, 16), lambda i: i / 15.0::DOUBLE < conf)) END AS bin, conf, if(y_idx = pred, 1.0::DOUBLE, 0.0) AS hit FROM placed) SELECT (SELECT count(*) FROM placed) AS n, (SELECT round(avg(if(y_idx = pred, 1.0, 0.0)), 6) FROM placed) AS accuracy, (SELECT round(avg(f1), 6) FROM prf) AS macro_f1, (SELECT round(avg(recall), 6) FROM prf WHERE support > 0) AS balanced_accuracy, (SELECT round(avg(-ln(p[y_idx + 1] / list_sum(p))), 6) FROM clipped) AS log_loss, (SELECT round(sum(gap), 6) FROM (SELECT count(*) / (SELECT count(*) FROM placed) * abs(avg(hit) - avg(conf)) AS gap FROM binned GROUP BY bin)) AS ece",
+    "boosting_first_splits": """WITH v AS (SELECT label AS y, (j - 1)::INT AS feature, embedding[j]::DOUBLE AS x FROM embeddings, range(1, 65) r(j)),
+        e AS (SELECT feature, unnest(list_distinct(quantile_disc(x, [k / 16 FOR k IN range(1, 16)]))) AS edge FROM v GROUP BY feature),
+        c AS (SELECT feature, edge, row_number() OVER (PARTITION BY feature ORDER BY edge) - 1 AS cut FROM e),
+        s AS (SELECT v.feature, k AS tree, c.cut, c.edge, count(*) FILTER (WHERE x <= edge) AS ln, count(*) AS n, p - (y = k)::INT AS g1, p * (1 - p) AS h1, sum(p - (y = k)::INT) FILTER (WHERE x <= edge) AS lg, sum(p - (y = k)::INT) AS g
+            FROM v JOIN c USING (feature), (SELECT label AS k, count(*) / sum(count(*)) OVER () AS p FROM embeddings GROUP BY label) GROUP BY ALL),
+        t AS (SELECT tree, feature, cut, edge, sum(ln) AS ln, sum(n) AS n, sum(lg) AS lg, sum(g) AS g, any_value(h1) AS h FROM s GROUP BY ALL),
+        u AS (SELECT *, lg * lg / (h * ln) + (g - lg) * (g - lg) / (h * (n - ln)) - g * g / (h * n) AS gain FROM t WHERE ln >= 20 AND n - ln >= 20)
+        SELECT tree, feature, cut::INT AS cut, round(edge, 6) AS edge, round(gain, 6) AS gain FROM u QUALIFY row_number() OVER (PARTITION BY tree ORDER BY round(gain, 9) DESC, feature, cut) = 1""",
     "validate_rows": f"WITH {_DOCS}, {_KNOWN}, bad AS (SELECT row_idx, if(row_idx % 50 = 7, 'doc/1', path) AS path, if(row_idx % 40 = 3, label, if(row_idx % 40 = 4, 'potato healthy', 'Potato___healthy')) AS label, if(row_idx % 30 = 2, '', group_id) AS group_id, if(row_idx % 20 = 1, 'XYZ', '') AS phash FROM docs) SELECT row_idx, 'duplicate path' AS rule FROM (SELECT row_idx, row_number() OVER (PARTITION BY path ORDER BY row_idx) AS rn FROM bad) WHERE rn > 1 UNION ALL SELECT row_idx, CASE WHEN canonical IS NULL THEN 'unknown label' ELSE 'label is not canonical' END FROM bad LEFT JOIN known ON k = {_KEY.format('label')} WHERE canonical IS NULL OR canonical <> label UNION ALL SELECT row_idx, 'empty group_id' FROM bad WHERE group_id = '' UNION ALL SELECT row_idx, 'bad phash' FROM bad WHERE phash <> '' AND NOT regexp_full_match(phash, '[0-9a-f]{{16}}')",
     "view_explosion": "SELECT doc_id AS row_idx, v::INT AS view FROM documents, range(3) r(v)",
     "fusion": "SELECT vec_id, (i - 1)::INT AS place, list_concat(embedding[33:64], embedding[1:32])[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i)",
