@@ -218,6 +218,12 @@ def evaluate(spark, sf_dir):
     return spark.createDataFrame([(report.n, *(round(v, 6) for v in report.headline().values()))], "n bigint, " + ", ".join(f"{k} double" for k in report.headline()))
 
 
+def bootstrap_interval(spark, sf_dir):
+    """The interval of macro-F1 by NumPy's index stream over all scored rows; SQL has no such stream."""
+    found = M.bootstrap_interval(scored(spark, sf_dir), CLASSES, 200, SEED, exact=True)
+    return spark.createDataFrame([tuple(round(x, 9) for x in found)], "low double, high double")
+
+
 def validate_rows(spark, sf_dir):
     """Problems of a manifest with planted faults: repeated paths, unknown labels, empty groups and bad hashes."""
     rows = documents(spark, sf_dir).selectExpr(
@@ -267,7 +273,7 @@ QUERIES = {
         near_dup_pairs, near_dup_pairs_d4, merge_groups, majority_label, mixed_groups, group_split, random_split, split_summary, missing_class_notes, leakage_random, leakage_group, cross_split_pairs,
         attach_augmented, class_counts, imbalance_ratio, class_filter, balanced_weights, confusion, accuracy, per_class_prf, macro_f1, balanced_accuracy, log_loss, ece, top3,
         align_proba, canonical_label, crop_and_health, group_id_from_name, validate_rows, view_explosion, fusion, run_export, manifest_file, numbered_rows, shared_groups, evaluate,
-        boosting_first_splits,
+        boosting_first_splits, bootstrap_interval,
     )
 } | pictures.QUERIES
 

@@ -33,6 +33,25 @@ def rows_of(spark, hashes, label="x", group=None):
     return spark.createDataFrame([(k, f"p{k:04}", label, "s", group or f"g{k}", h) for k, h in enumerate(hashes)], ROWS)
 
 
+@pytest.mark.parametrize("n,size", [(1, 4), (1000, 64), (1000, 1 << 20), (3001, 500)])
+def test_exact_bootstrap_is_numpys_stream(spark, n, size):
+    """Over one range or many, resamples dealt to tasks: the counts of drawing row by row."""
+    rng = np.random.default_rng(n)
+    classes = ["a", "b", "c"]
+    rows = [(int(i), classes[rng.integers(3)], [float(x) for x in rng.dirichlet([1, 1, 1])]) for i in rng.permutation(n)]
+    scored = spark.createDataFrame(rows, "row_idx bigint, y string, proba array<double>").repartition(5)
+    got = M.exact_draws(scored, classes, 40, 7, size)
+    cell = np.array([3 * classes.index(y) + int(np.argmax(p)) for _, y, p in sorted(rows)])
+    stream = np.random.default_rng(7)
+    assert (got == np.stack([np.bincount(cell[stream.integers(0, n, n)], minlength=9) for _ in range(40)])).all()
+
+
+def test_demo_is_imbalanced_on_purpose():
+    found = cli.demo_leaves(20)
+    assert set(found["lab"]) == set(found["field"]) == set(RECIPES) and set(found["field"].values()) == {6}
+    assert sorted(found["lab"].values()) == [20] * (len(RECIPES) - 1) + [60] and set(cli.demo_leaves(3)["field"].values()) == {4}
+
+
 def test_labels(spark):
     assert len(CANONICAL_CLASSES) == 38 and canonical_label("Pepper__bell___Bacterial_spot") == "Pepper,_bell___Bacterial_spot"
     with pytest.raises(UnknownClassError):
