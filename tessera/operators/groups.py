@@ -1,4 +1,4 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, and the first member of each group without a hot task for a hot group."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from tessera.sources.shared import store
 
 CONTRACTED = 1 << 20  # edges that a task contracts at a time
 LAST = 1 << 20  # edges that one task finishes
+SALTS = 16
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,3 +89,15 @@ def components(edges: DataFrame, rounds: int = 100, last: int = LAST, told: list
         if ended:
             return current.df.selectExpr("a AS node", "b AS root").union(current.df.selectExpr("b AS node", "b AS root").distinct())
     raise RuntimeError(f"no fixed point after {rounds} rounds")
+
+
+def with_first(rows: DataFrame, keys: list[str], member: str, name: str) -> DataFrame:
+    """``rows`` with the smallest ``member`` of the rows with equal ``keys``, as ``name``.
+
+    The smallest members come from a partial aggregation; only those of groups with several members are joined back, each
+    once a salt, so that the rows of a hot group are spread over SALTS tasks. ``rows`` is read twice. Keys are not null.
+    """
+    firsts = rows.groupBy(*keys).agg(F.min(member).alias(name), F.max(member).alias("g_last")).filter(f"{name} <> g_last").drop("g_last")
+    firsts = firsts.withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("g_salt", F.expr(f"cast(pmod(xxhash64({member}), {SALTS}) AS int)"))
+    return salted.join(firsts, [*keys, "g_salt"], "left").drop("g_salt").withColumn(name, F.coalesce(F.col(name), F.col(member)))

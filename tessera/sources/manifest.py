@@ -6,9 +6,7 @@ the scan (class folder, then file name). CSV files are replaced in one step.
 
 from __future__ import annotations
 
-import csv
 import os
-import tempfile
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -18,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.labels import compact_key, group_of_name, label_table, spellings, with_canonical
+from tessera.operators.groups import with_first
+from tessera.sources.csvfile import is_local, local, read_numbered, write_ordered
 from tessera.sources.images import SUFFIXES, read_images
 from tessera.sources.shared import store
 
@@ -40,12 +40,18 @@ class ManifestError(ValueError):
         super().__init__(f"{self.total} manifest problem(s): " + "; ".join(self.problems[:SHOWN]) + (f" (+{more} more)" if more > 0 else ""))
 
 
+TOLD = 10_000
+
+
 @dataclass
 class ScanReport:
+    """corrupt: paths of the first TOLD files that are no image; n_corrupt counts all of them."""
+
     rows: DataFrame
     unknown_folders: list[str]
     corrupt: list[str]
     grayscale: int
+    n_corrupt: int = 0
 
     def class_counts(self) -> dict[str, int]:
         return {r["label"]: r["n"] for r in self.rows.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()}
@@ -70,10 +76,13 @@ def scan_folder(spark: SparkSession, root: str | Path, source: str, compute_hash
     else:
         listed = listed.selectExpr("*", "'' AS phash", "false AS gray", "CAST(NULL AS string) AS error")
     listed = listed.persist()
-    told = listed.filter("error IS NOT NULL OR gray").select("row_idx", "path", "error").orderBy("row_idx").collect()
+    gray = listed.filter("error IS NULL AND gray").count()
+    bad = listed.filter("error IS NOT NULL")
+    told = [r["path"] for r in bad.orderBy("row_idx").limit(TOLD).select("path").collect()]
+    broken = len(told) if len(told) < TOLD else bad.count()
     rows = with_canonical(listed.filter("error IS NULL"), "folder")
     rows = rows.select("path", "label", F.lit(source).alias("source"), F.concat(F.lit(f"{source}:"), group_of_name("name")).alias("group_id"), "phash", "row_idx")
-    return ScanReport(rows, unknown, [r["path"] for r in told if r["error"] is not None], sum(r["error"] is None for r in told))
+    return ScanReport(rows, unknown, told, gray, broken)
 
 
 def _listed(spark: SparkSession, root: Path, folders: list[str]) -> DataFrame:
@@ -96,8 +105,8 @@ def problems(rows: DataFrame, check_files: bool = True) -> DataFrame:
     own = rows.withColumn("p_key", compact_key("label"))
     known = label_table(rows.sparkSession).withColumnsRenamed({"key": "p_key", "canonical": "p_label"})
     own = own.join(F.broadcast(known), "p_key", "left")
-    repeats = Window.partitionBy("path").orderBy("row_idx")
-    own = own.withColumn("p_again", F.row_number().over(repeats) > 1)
+    # a path that very many rows repeat is no window: its first row comes from a partial aggregation
+    own = with_first(own, ["path"], "row_idx", "p_first").withColumn("p_again", F.expr("row_idx > p_first"))
     tests = [
         ("path = ''", "path"),
         ("p_again", "path"),
@@ -148,34 +157,21 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 def write_manifest(rows: DataFrame, path: str | Path) -> Path:
     """The rows as one CSV file in order of row_idx (or of path). The file is complete or as it was before."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    ordered = rows.orderBy("row_idx" if "row_idx" in rows.columns else "path").select(*COLUMNS)
-    handle, temporary = tempfile.mkstemp(dir=path.parent, prefix=".manifest-", suffix=".csv")
-    try:
-        with os.fdopen(handle, "w", newline="", encoding="utf-8") as out:
-            writer = csv.writer(out)
-            writer.writerow(COLUMNS)
-            writer.writerows(ordered.toLocalIterator())
-        os.replace(temporary, path)
-    finally:
-        if os.path.exists(temporary):
-            os.remove(temporary)
-    return path
+    write_ordered(rows, COLUMNS, "row_idx" if "row_idx" in rows.columns else "path", path)
+    return Path(path) if is_local(path) else path
 
 
 def read_manifest(spark: SparkSession, path: str | Path, check_files: bool = True) -> DataFrame:
     """A validated manifest. Missing cells are '', further columns go."""
-    if not Path(path).is_file():
+    if is_local(path) and not local(path).is_file():
         raise FileNotFoundError(path)
-    found = spark.read.csv(Path(path).resolve().as_uri(), header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    missing = [c for c in COLUMNS if c not in found.columns]
+    names, found = read_numbered(spark, path)
+    missing = [c for c in COLUMNS if c not in names]
     if missing:
         raise ManifestError([f"{path}: missing column(s) {missing}"])
-    # one file is one partition here, so its rows are numbered without a gap
-    rows = found.select(*COLUMNS).na.fill("").withColumn("row_idx", F.monotonically_increasing_id())
+    rows = found.select(*(F.coalesce(F.col(f"c{names.index(c)}"), F.lit("")).alias(c) for c in COLUMNS), F.col("number").alias("row_idx"))
     validate(rows, check_files)
-    return rows.select(*COLUMNS, "row_idx")
+    return rows
 
 
 def write_splits(result, out_dir: str | Path) -> Path:

@@ -481,3 +481,63 @@ def test_registered_sql_runs(spark):
 
     assert set(ORACLE_SQL) == set(QUERIES) <= set(entry.queries())
     assert entry.entry(spark).columns == ["a", "b", "distance"]
+
+
+def test_csv_is_split_by_bytes(spark, tmp_path):
+    """Cells with line breaks, quotes and blank lines around them, in many splits: what one reader reads, in its order."""
+    import csv
+
+    from tessera.sources import csvfile
+
+    rng = random.Random(6)
+    odd = ["plain", 'a "quoted" one', "two\nlines", "three\r\nmore\n\nlines", "", ",", '"', "é€", " blank ", '"\n"', "end\r"]
+    path = tmp_path / "m.csv"
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        writer = csv.writer(out)
+        writer.writerow(["path", "la\nbel", "x"])
+        for k in range(3000):
+            writer.writerow([f"p{k}", rng.choice(odd), rng.choice(odd) * rng.randrange(4)])
+            if k % 50 == 0:
+                out.write("\r\n")
+    with open(path, newline="", encoding="utf-8") as own:
+        expected = [r for r in csv.reader(own) if r]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (700, 20_000, 1 << 27):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            names, rows = csvfile.read_numbered(spark, path)
+            got = [list(r)[1:] for r in rows.orderBy("number").collect()]
+            assert names == expected[0] and got == expected[1:]
+            assert [r["number"] for r in rows.select("number").orderBy("number").collect()] == list(range(3000))
+            if size == 20_000:
+                assert spark.read.option("lineSep", "\n").text(path.as_uri()).rdd.getNumPartitions() >= 4
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_csv_is_written_in_parts_and_replaced_at_once(spark, tmp_path, monkeypatch):
+    import csv
+    import io
+
+    from tessera.sources import csvfile
+
+    rows = spark.range(500).selectExpr("499 - id AS row_idx", "concat('p', id) AS path", "if(id % 7 = 0, 'a\"b\nc', 'x, y') AS label", "cast(NULL AS string) AS source", "'g' AS group_id", "'' AS phash").repartition(6)
+    out = io.StringIO()
+    writer = csv.writer(out)
+    writer.writerow(MF.COLUMNS)
+    writer.writerows([r[c] for c in MF.COLUMNS] for r in rows.orderBy("row_idx").collect())
+    path = MF.write_manifest(rows, tmp_path / "m.csv")
+    assert path.read_bytes() == out.getvalue().encode() and [p.name for p in tmp_path.iterdir()] == ["m.csv"]
+    with pytest.raises(Exception):
+        MF.write_manifest(rows.withColumn("label", F.expr("raise_error('stop')")), path)
+    assert path.read_bytes() == out.getvalue().encode() and [p.name for p in tmp_path.iterdir()] == ["m.csv"]
+    # the way that stores other than a local disk take gives the same bytes
+    parts = f"{tmp_path.as_uri()}/parts"
+    rows.repartitionByRange("row_idx").sortWithinPartitions("row_idx").select(*MF.COLUMNS).mapInArrow(csvfile._lines, "value string").write.option("lineSep", "\r\n").text(parts)
+    (tmp_path / "far.csv").write_text("old")
+    csvfile._joined_in_store(spark, parts, (csvfile._line(list(MF.COLUMNS)) + "\r\n").encode(), f"{tmp_path.as_uri()}/far.csv")
+    assert (tmp_path / "far.csv").read_bytes() == out.getvalue().encode() and not (tmp_path / "parts").exists()
+    MF.write_manifest(rows.limit(0), tmp_path / "none.csv")
+    assert (tmp_path / "none.csv").read_bytes() == out.getvalue().split("\r\n")[0].encode() + b"\r\n"
