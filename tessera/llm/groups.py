@@ -1,20 +1,5 @@
-"""The first member of each group, without a hot task for a hot group."""
+"""The first member of each group, as the whole library finds it."""
 
-from __future__ import annotations
+from tessera.operators.groups import with_first
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-SALTS = 16
-
-
-def with_first(rows: DataFrame, keys: list[str], member: str, name: str) -> DataFrame:
-    """``rows`` with the smallest ``member`` of the rows with equal ``keys``, as ``name``.
-
-    The smallest members come from a partial aggregation; only those of groups with several members are joined back, each
-    once a salt, so that the rows of a hot group are spread over SALTS tasks. ``rows`` is read twice. Keys are not null.
-    """
-    firsts = rows.groupBy(*keys).agg(F.min(member).alias(name), F.max(member).alias("g_last")).filter(f"{name} <> g_last").drop("g_last")
-    firsts = firsts.withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("g_salt", F.expr(f"cast(pmod(xxhash64({member}), {SALTS}) AS int)"))
-    return salted.join(firsts, [*keys, "g_salt"], "left").drop("g_salt").withColumn(name, F.coalesce(F.col(name), F.col(member)))
+__all__ = ["with_first"]
