@@ -541,3 +541,40 @@ def test_csv_is_written_in_parts_and_replaced_at_once(spark, tmp_path, monkeypat
     assert (tmp_path / "far.csv").read_bytes() == out.getvalue().encode() and not (tmp_path / "parts").exists()
     MF.write_manifest(rows.limit(0), tmp_path / "none.csv")
     assert (tmp_path / "none.csv").read_bytes() == out.getvalue().split("\r\n")[0].encode() + b"\r\n"
+
+
+def _mean_colour(path, size):
+    """A stand-in for decoding: the file's first byte."""
+    return np.full((size, size, 3), open(path, "rb").read(1)[0], np.uint8)
+
+
+def test_one_changed_file_costs_one_image(spark, tmp_path):
+    """Features are kept by image, in parts that are compacted, and a part that was not finished does not count."""
+    import os
+
+    n = 200
+    for k in range(n):
+        (tmp_path / f"{k:04}.png").write_bytes(bytes([k % 251]) * 3)
+    rows = spark.createDataFrame([(k, f"{tmp_path}/{k:04}.png", "x", f"g{k}") for k in range(n)], "row_idx bigint, path string, label string, group_id string")
+    store = FeatureStore(tmp_path / "features", loader=_mean_colour, most_parts=3)
+    get = lambda r, **o: {(x["row_idx"], x["view"]): (x["group_id"], x["features"]) for x in store.features(r, handcrafted(), "train", 8, **o).collect()}
+    first = get(rows)
+    assert len(first) == n and (store.hits, store.misses, store.extracted) == (0, 1, n)
+    assert get(rows) == first and (store.hits, store.extracted) == (1, n)
+    (tmp_path / "0007.png").write_bytes(bytes([250]) * 5)
+    second = get(rows)
+    assert store.extracted == n + 1 and {k for k in first if first[k] != second[k]} == {(7, 0)}
+    # a row more and one less, in another order: places are no part of a key without views
+    moved = rows.filter("row_idx <> 3").withColumn("row_idx", F.expr("1000 - row_idx"))
+    third = get(moved)
+    assert store.extracted == n + 1 and third[993, 0][1] == second[7, 0][1] and len(third) == n - 1
+    for k in range(4):
+        (tmp_path / "0009.png").write_bytes(bytes([100 + k]) * (6 + k))
+        get(rows)
+    assert store.extracted == n + 5
+    (folder,) = (tmp_path / "features").iterdir()
+    assert len(list(folder.glob("part-*"))) <= 3
+    (folder / "part-zz").mkdir()  # not finished
+    assert get(rows)[9, 0] != second[9, 0] and store.extracted == n + 5
+    assert len(get(rows, views=2)) == 3 * n and store.extracted == 2 * n + 5
+    assert get(rows.limit(0)) == {} and not os.path.exists(folder / ".part")
