@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.boosting import Boosted, fit_boosted
 from tessera.operators.metrics import align_probabilities, sample_weights
+from tessera.sources.csvfile import uri
 
 CLASSIFIERS = ("majority", "logreg", "rf", "hgb", "xgb")
 IMBALANCE_POLICIES = ("balanced", "none")
@@ -77,7 +78,7 @@ class TrainedModel:
         path = Path(path)
         path.mkdir(parents=True, exist_ok=True)
         if self.pipeline is not None:
-            self.pipeline.write().overwrite().save((path / "stages").resolve().as_uri())
+            self.pipeline.write().overwrite().save(uri(path / "stages"))
         facts = {k: getattr(self, k) for k in ("classes", "extractor", "image_size", "classifier", "seed", "prior", "info")}
         (path / "model.json").write_text(json.dumps({"kind": "trained model"} | facts, indent=2), encoding="utf-8")
         if self.boosted is not None:
@@ -92,7 +93,7 @@ class TrainedModel:
         facts = json.loads((path / "model.json").read_text(encoding="utf-8"))
         if facts.pop("kind", "") != "trained model":
             raise TypeError(f"{path} is no stored model")
-        stages = PipelineModel.load((path / "stages").resolve().as_uri()) if (path / "stages").is_dir() else None
+        stages = PipelineModel.load(uri(path / "stages")) if (path / "stages").is_dir() else None
         trees = path / "trees.json"
         boosted = Boosted.of(json.loads(trees.read_text(encoding="utf-8"))) if trees.is_file() else None
         return TrainedModel(stages, **facts, boosted=boosted)

@@ -47,7 +47,8 @@ def local(path: str | Path) -> Path:
 
 
 def uri(path: str | Path) -> str:
-    return local(path).resolve().as_uri() if is_local(path) else str(path)
+    """As Hadoop's paths are written, in which a percent sign stands for itself."""
+    return f"file://{local(path).resolve()}" if is_local(path) else str(path)
 
 
 def _joined_locally(parts: Path, header: bytes, path: Path) -> None:

@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,40 @@ def pixels_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray
     return np.repeat(raw, 3, axis=2) if channels == 1 else raw[..., 2::-1].copy()
 
 
+#: The same for Hadoop's globs, which know case.
+SUFFIX_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in SUFFIXES) + "}"
+
+
+def scanned(spark: SparkSession, folders: list[str], decode: bool = True) -> DataFrame:
+    """path, folder and name of the image files directly in ``folders`` (of any file system), and image where ``decode`` is set.
+
+    One scan lists, reads and decodes: Spark packs files into tasks by size, so a folder of very many files is many tasks and
+    nothing is joined. image is null for what is no image. As everywhere in Spark, files whose names begin with a dot or an
+    underscore are not seen.
+    """
+    if not folders:
+        return spark.createDataFrame([], "path string, folder string, name string, " + ("image struct<height:int,width:int,nChannels:int,data:binary>" if decode else "image string"))
+    reader = spark.read.format("image" if decode else "binaryFile").option("pathGlobFilter", SUFFIX_GLOB)
+    if decode:
+        found = reader.option("dropInvalid", False).load(folders).select(_plain_paths("image.origin").alias("path"), _pixels_or_null().alias("image"))
+    else:
+        found = reader.load(folders).select(_plain_paths("path").alias("path"), F.lit(None).cast("string").alias("image"))  # no content is read
+    return found.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "image")
+
+
+def _pixels_or_null():
+    return F.when(F.col("image.height") > 0, F.struct("image.height", "image.width", "image.nChannels", "image.data"))
+
+
+def subfolders(spark: SparkSession, root: str) -> list[str] | None:
+    """Names of the folders in a folder of any file system, in order; None if there is no such folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return None
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
+
+
 def loaded(files: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """``files`` (with path) and image: height, width, nChannels and data, or null for what is missing or no image.
 
@@ -43,8 +77,8 @@ def loaded(files: DataFrame, paths: list[str] | None = None) -> DataFrame:
         own = [f for f in paths if Path(f).is_file()]
     if not own:
         return files.withColumn("image", F.expr("cast(NULL AS struct<height:int,width:int,nChannels:int,data:binary>)"))
-    read = spark.read.format("image").option("dropInvalid", False).load([Path(f).as_uri() for f in own])
-    found = read.select(_plain_paths("image.origin").alias("i_path"), F.when(F.col("image.height") > 0, F.struct("image.height", "image.width", "image.nChannels", "image.data")).alias("image"))
+    read = spark.read.format("image").option("dropInvalid", False).load([f"file://{Path(f).resolve()}" for f in own])
+    found = read.select(_plain_paths("image.origin").alias("i_path"), _pixels_or_null().alias("image"))
     return files.join(found, files["path"] == found["i_path"], "left").drop("i_path")
 
 
@@ -59,8 +93,8 @@ def _plain_paths(uris: pa.Array) -> pa.Array:
     return pa.array([_plain_path(u) if u else u for u in uris.to_pylist()], pa.string())
 
 
-def read_images(files: DataFrame, compute_hash: bool = True) -> DataFrame:
-    """``files`` with phash, gray and error."""
+def judged(files: DataFrame, compute_hash: bool = True) -> DataFrame:
+    """``files`` (with image) with phash, gray and error instead of image."""
 
     def facts(batches):
         for batch in batches:
@@ -76,9 +110,9 @@ def read_images(files: DataFrame, compute_hash: bool = True) -> DataFrame:
             own = [batch.column(c) for c in names]
             yield pa.record_batch([*own, pa.array(phash, pa.string()), pa.array(gray, pa.bool_()), pa.array(error, pa.string())], [*names, "phash", "gray", "error"])
 
-    names = files.columns
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    return loaded(files).mapInArrow(facts, f"{kept}, phash string, gray boolean, error string")
+    names = [c for c in files.columns if c != "image"]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "image")
+    return files.mapInArrow(facts, f"{kept}, phash string, gray boolean, error string")
 
 
 def load_image(path: str, size: int | None = None) -> np.ndarray:

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from tessera.functions.labels import compact_key, group_of_name, label_table, spellings, with_canonical
 from tessera.operators.groups import with_first
-from tessera.sources.csvfile import is_local, local, read_numbered, write_ordered
-from tessera.sources.images import SUFFIXES, read_images
+from tessera.sources.csvfile import is_local, local, read_numbered, uri, write_ordered
+from tessera.sources.images import judged, scanned, subfolders
 from tessera.sources.shared import store
 
 COLUMNS = ("path", "label", "source", "group_id", "phash")
@@ -63,18 +63,16 @@ class ScanReport:
 
 def scan_folder(spark: SparkSession, root: str | Path, source: str, compute_hash: bool = True, check_images: bool = True) -> ScanReport:
     """Rows of all images below known class folders. Folders of unknown name and files that are no image are reported."""
-    root = Path(root)
-    if not root.is_dir():
+    folders = subfolders(spark, uri(root))  # as many as classes
+    if folders is None:
         raise ManifestError([f"there is no folder {root}"])
     known = spellings()
-    folders = sorted(p.name for p in root.iterdir() if p.is_dir())  # as many as classes
     key = lambda name: "".join(c for c in name.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
     unknown = [name for name in folders if key(name) not in known]
-    listed = numbered(_listed(spark, root.resolve(), [name for name in folders if key(name) in known]), "folder", "name")
-    if compute_hash or check_images:
-        listed = read_images(listed, compute_hash=compute_hash)
-    else:
-        listed = listed.selectExpr("*", "'' AS phash", "false AS gray", "CAST(NULL AS string) AS error")
+    decode = compute_hash or check_images
+    found = scanned(spark, [f"{uri(root)}/{name}" for name in folders if key(name) in known], decode)
+    found = judged(found, compute_hash) if decode else found.selectExpr("path", "folder", "name", "'' AS phash", "false AS gray", "CAST(NULL AS string) AS error")
+    listed = numbered(found, "folder", "name")
     listed = listed.persist()
     gray = listed.filter("error IS NULL AND gray").count()
     bad = listed.filter("error IS NOT NULL")
@@ -85,21 +83,6 @@ def scan_folder(spark: SparkSession, root: str | Path, source: str, compute_hash
     return ScanReport(rows, unknown, told, gray, broken)
 
 
-def _listed(spark: SparkSession, root: Path, folders: list[str]) -> DataFrame:
-    """path, folder and name of the image files of each folder, which tasks list, a folder at a time."""
-
-    def entries(batches):
-        for batch in batches:
-            for folder in batch.column("folder").to_pylist():
-                names = [e.name for e in os.scandir(root / folder) if os.path.splitext(e.name)[1].lower() in SUFFIXES]
-                for k in range(0, len(names), 10_000):
-                    own = names[k : k + 10_000]
-                    yield pa.record_batch([pa.array([f"{root}/{folder}/{n}" for n in own]), pa.array([folder] * len(own)), pa.array(own)], ["path", "folder", "name"])
-
-    rows = spark.createDataFrame([(f,) for f in folders], "folder string")
-    return rows.repartition(max(1, len(folders)), "folder").mapInArrow(entries, "path string, folder string, name string")
-
-
 def problems(rows: DataFrame, check_files: bool = True) -> DataFrame:
     """row_idx, rule, rank (place in RULES) and value of every fault of ``rows``."""
     own = rows.withColumn("p_key", compact_key("label"))

@@ -578,3 +578,32 @@ def test_one_changed_file_costs_one_image(spark, tmp_path):
     assert get(rows)[9, 0] != second[9, 0] and store.extracted == n + 5
     assert len(get(rows, views=2)) == 3 * n and store.extracted == 2 * n + 5
     assert get(rows.limit(0)) == {} and not os.path.exists(folder / ".part")
+
+
+def test_a_folder_is_scanned_by_many_tasks_without_a_join(spark, tmp_path):
+    """Listing, reading and decoding are one scan; a folder of many files is split, other files are not looked at."""
+    from tessera.sources.images import scanned
+
+    folder = tmp_path / "Corn_(maize)___healthy"
+    folder.mkdir()
+    for k in range(60):
+        (folder / f"leaf {k}%.{['png', 'PNG', 'Png'][k % 3]}").write_bytes(png(np.full((4, 4, 3), k, np.uint8)))
+    (folder / "notes.txt").write_text("no image")
+    (folder / "broken.jpg").write_bytes(b"no image")
+    (tmp_path / "Rose").mkdir()
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        found = scanned(spark, [f"file://{folder}"])
+        assert found.rdd.getNumPartitions() >= 6 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        report = MF.scan_folder(spark, tmp_path, "s")
+        rows = report.rows.orderBy("row_idx").collect()
+        assert [r["path"] for r in rows] == [f"{folder}/{n}" for n in sorted(p.name for p in folder.iterdir()) if n.lower().endswith("png")]
+        assert report.unknown_folders == ["Rose"] and report.corrupt == [f"{folder}/broken.jpg"] and report.n_corrupt == 1 and report.grayscale == 60
+        quick = MF.scan_folder(spark, tmp_path, "s", compute_hash=False, check_images=False)
+        assert quick.rows.count() == 61 and quick.rows.filter("phash <> ''").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
