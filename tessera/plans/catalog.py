@@ -258,6 +258,16 @@ def run_export(spark, sf_dir):
     return export_columns(runs).select("run_id", "name", "classifier", "seed", "val_macro_f1", "val_accuracy", "test_ece")
 
 
+def class_prior(spark, sf_dir):
+    """What the majority classifier says of every row: the classes' shares of the weight, under both policies."""
+    from tessera.operators.models import fit_classifier
+
+    rows = table(spark, sf_dir, "labels").selectExpr("cast(quality AS string) AS label", "array(1D) AS features")
+    fitted = {policy: fit_classifier("majority", rows, SEED, policy) for policy in ("none", "balanced")}
+    said = [m.probabilities(table(spark, sf_dir, "labels").select("doc_id")).select("doc_id", F.lit(policy).alias("policy"), F.posexplode("proba").alias("c", "p")) for policy, m in fitted.items()]
+    return said[0].union(said[1]).select("doc_id", "policy", "c", F.round("p", 9).alias("p"))
+
+
 def boosting_first_splits(spark, sf_dir):
     """The first split of each class's first tree, boosted on all embeddings in 16 bins."""
     from tessera.operators.boosting import first_splits
@@ -273,7 +283,7 @@ QUERIES = {
         near_dup_pairs, near_dup_pairs_d4, merge_groups, majority_label, mixed_groups, group_split, random_split, split_summary, missing_class_notes, leakage_random, leakage_group, cross_split_pairs,
         attach_augmented, class_counts, imbalance_ratio, class_filter, balanced_weights, confusion, accuracy, per_class_prf, macro_f1, balanced_accuracy, log_loss, ece, top3,
         align_proba, canonical_label, crop_and_health, group_id_from_name, validate_rows, view_explosion, fusion, run_export, manifest_file, numbered_rows, shared_groups, evaluate,
-        boosting_first_splits, bootstrap_interval,
+        boosting_first_splits, bootstrap_interval, class_prior,
     )
 } | pictures.QUERIES
 
@@ -363,6 +373,7 @@ ORACLE_SQL = {
     "numbered_rows": f"WITH {_DOCS} SELECT path, row_number() OVER (ORDER BY path) - 1 AS row_idx FROM docs",
     "shared_groups": f"WITH {_DOCS}, {_RANDOM.format(rows='docs')} SELECT label || ':' || (row_idx // 3) AS group_id FROM dealt GROUP BY ALL HAVING count(DISTINCT split) > 1",
     "evaluate": f"WITH {_SCORED}, clipped AS (SELECT y_idx, list_transform(proba, lambda p: greatest(1e-12, least(1.0, p))) AS p FROM placed), binned AS (SELECT CASE WHEN conf <= 0 THEN 0 ELSE len(list_filter(range(1, 16), lambda i: i / 15.0::DOUBLE < conf)) END AS bin, conf, if(y_idx = pred, 1.0::DOUBLE, 0.0) AS hit FROM placed) SELECT (SELECT count(*) FROM placed) AS n, (SELECT round(avg(if(y_idx = pred, 1.0, 0.0)), 6) FROM placed) AS accuracy, (SELECT round(avg(f1), 6) FROM prf) AS macro_f1, (SELECT round(avg(recall), 6) FROM prf WHERE support > 0) AS balanced_accuracy, (SELECT round(avg(-ln(p[y_idx + 1] / list_sum(p))), 6) FROM clipped) AS log_loss, (SELECT round(sum(gap), 6) FROM (SELECT count(*) / (SELECT count(*) FROM placed) * abs(avg(hit) - avg(conf)) AS gap FROM binned GROUP BY bin)) AS ece",
+    "class_prior": "SELECT doc_id, policy, c::INT AS c, round(if(policy = 'none', share, 1.0::DOUBLE / k), 9) AS p FROM labels, (SELECT row_number() OVER (ORDER BY quality::VARCHAR) - 1 AS c, n / sum(n) OVER () AS share, count(*) OVER () AS k FROM (SELECT quality, count(*) AS n FROM labels GROUP BY quality)), (VALUES ('none'), ('balanced')) v(policy)",
     "boosting_first_splits": """WITH v AS (SELECT label AS y, (j - 1)::INT AS feature, embedding[j]::DOUBLE AS x FROM embeddings, range(1, 65) r(j)),
         e AS (SELECT feature, unnest(list_distinct(quantile_disc(x, [k / 16 FOR k IN range(1, 16)]))) AS edge FROM v GROUP BY feature),
         c AS (SELECT feature, edge, row_number() OVER (PARTITION BY feature ORDER BY edge) - 1 AS cut FROM e),

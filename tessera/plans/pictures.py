@@ -81,7 +81,36 @@ def lbp_histogram(spark, sf_dir):
     return _table(spark, sf_dir, px.lbp_histogram, "code").select("img", "code", F.round("v", 9).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (pixel_luma, pixel_levels, pixel_hsv, pixel_facts, hsv_histogram, glcm_texture, lbp_histogram)}
+def pixel_views(spark, sf_dir):
+    """The eight symmetries of a picture's levels, one behind another."""
+    found = _table(spark, sf_dir, lambda i: np.concatenate([v.ravel() for v in px.symmetries(px.quantised(px.luma(i), LEVELS))]))
+    return found.selectExpr("img", f"cast(place div {ROWS * COLUMNS} AS int) AS view", f"cast(place % {ROWS * COLUMNS} AS int) AS place", "cast(v AS int) AS level")
+
+
+#: Heights and widths to which pictures are resized: smaller, larger, and one of each.
+SIZES = ((4, 5), (13, 20), (16, 3))
+
+
+def pixel_resize(spark, sf_dir):
+    """Red of pictures in other sizes."""
+    found = _table(spark, sf_dir, lambda i: np.concatenate([px.resize(i, *size)[..., 0].ravel() for size in SIZES]))
+    cuts = np.cumsum([0] + [h * w for h, w in SIZES])
+    of = " ".join(f"WHEN place < {hi} THEN {{}}" for hi in cuts[1:])
+    size, at = of.format(*range(len(SIZES))), of.format(*(f"place - {lo}" for lo in cuts[:-1]))
+    return found.selectExpr("img", f"CASE {size} END AS size", f"cast(CASE {at} END AS int) AS place", "cast(v AS int) AS red")
+
+
+def canonical_hash(spark, sf_dir):
+    """The hash that a picture shares with its turned and mirrored copies."""
+
+    @F.arrow_udf(T.StringType())
+    def hashed(pixels: pa.Array) -> pa.Array:
+        return pa.array([px.canonical_hash(np.array(p, np.uint8).reshape(ROWS, COLUMNS, 3)) for p in pixels.to_pylist()], pa.string())
+
+    return pictures(spark, sf_dir).select("img", hashed("pixels").alias("hash"))
+
+
+QUERIES = {f.__name__: f for f in (pixel_views, pixel_resize, canonical_hash, pixel_luma, pixel_levels, pixel_hsv, pixel_facts, hsv_histogram, glcm_texture, lbp_histogram)}
 
 _PIXELS = f"px AS (SELECT k AS img, y, x, {', '.join(f'({c})::INT AS {n}' for c, n in zip(CHANNELS, 'rgb', strict=True))} FROM (SELECT s_suppkey AS k FROM supplier), range({ROWS}) a(y), range({COLUMNS}) b(x))"
 _LUMA = f"{_PIXELS}, lum AS (SELECT *, {px.LUMA[0]}::DOUBLE * r + {px.LUMA[1]}::DOUBLE * g + {px.LUMA[2]}::DOUBLE * b AS l FROM px)"
@@ -101,7 +130,39 @@ _LBP = f"""{_LUMA}, up AS (SELECT c.img, c.y, c.x, {', '.join(f'max(if(n.y = c.y
 FROM lum c JOIN lum n ON n.img = c.img AND abs(n.y - c.y) <= 1 AND abs(n.x - c.x) <= 1 WHERE c.y BETWEEN 1 AND {ROWS - 2} AND c.x BETWEEN 1 AND {COLUMNS - 2} GROUP BY ALL),
 code AS (SELECT img, if({' + '.join(f'abs(u{i} - u{(i + 1) % 8})' for i in range(8))} <= 2, {' + '.join(f'u{i}' for i in range(8))}, 9) AS code FROM up)"""
 
+#: Row, column and width of a pixel at (y, x) after so many quarter turns.
+_TURNED = (("y", "x", COLUMNS), (f"{COLUMNS - 1} - x", "y", ROWS), (f"{ROWS - 1} - y", f"{COLUMNS - 1} - x", COLUMNS), ("x", f"{ROWS - 1} - y", ROWS))
+_VIEWS = " UNION ALL ".join(
+    f"SELECT img, {2 * k + flip} AS view, {y} AS vy, {f'{w - 1} - ({x})' if flip else x} AS vx, {w} AS w, {{value}} AS v FROM {{table}}" for k, (y, x, w) in enumerate(_TURNED) for flip in (0, 1)
+)
+
+
+def _weights(old: int, new: int) -> str:
+    """i, j and w: the shares of old places j in new places i, by a triangle that widens when it shrinks."""
+    step = old / new
+    reach = max(step, 1.0)
+    centre = f"((i + 0.5::DOUBLE) * {step!r}::DOUBLE)"
+    inside = f"j >= floor(greatest({centre} - {reach!r}::DOUBLE + 0.5, 0)) AND j < floor(least({centre} + {reach!r}::DOUBLE + 0.5, {old}))"
+    raw = f"SELECT i, j, greatest(0, 1 - abs(j + 0.5::DOUBLE - {centre}) / {reach!r}::DOUBLE) AS w FROM range({new}) a(i), range({old}) b(j) WHERE {inside}"
+    return f"(SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM ({raw}))"
+
+
+def _resized(table: str, keys: str, old: tuple[int, int], new: tuple[int, int]) -> str:
+    """``keys``, y, x and v of a table of bytes v at (y, x), resized across and then down."""
+    across = f"SELECT {keys}, y, i AS x, least(255, floor(sum(v * w) + 0.5)) AS v FROM {table} JOIN {_weights(old[1], new[1])} ON j = x GROUP BY ALL" if old[1] != new[1] else f"SELECT {keys}, y, x, v FROM {table}"
+    return f"SELECT {keys}, i AS y, x, least(255, floor(sum(v * w) + 0.5)) AS v FROM ({across}) JOIN {_weights(old[0], new[0])} ON j = y GROUP BY ALL" if old[0] != new[0] else across
+
+
+_RESIZED = " UNION ALL ".join(f"SELECT img, {k} AS size, (y * {w} + x)::INT AS place, v::INT AS red FROM ({_resized('red', 'img', (ROWS, COLUMNS), (h, w))})" for k, (h, w) in enumerate(SIZES))
+_CANONICAL = f"""{_LUMA}, views AS ({_VIEWS.format(value="floor(l)", table="lum")}),
+whole AS (SELECT img, view, vy AS y, vx AS x, v FROM views WHERE w = {COLUMNS}), turned AS (SELECT img, view, vy AS y, vx AS x, v FROM views WHERE w = {ROWS}),
+every AS (SELECT img, view, y, x, v FROM whole UNION ALL SELECT img, view, y, x, v FROM ({_resized('turned', 'img, view', (COLUMNS, ROWS), (ROWS, COLUMNS))})),
+bits AS (SELECT a.img, a.view, sum(if(b.v > a.v, 1::HUGEINT << (63 - a.y * 8 - a.x)::INT, 0::HUGEINT)) AS h FROM every a JOIN every b ON b.img = a.img AND b.view = a.view AND b.y = a.y AND b.x = a.x + 1 GROUP BY ALL)"""
+
 ORACLE_SQL = {
+    "pixel_views": f"WITH {_LEVEL} SELECT img, view::INT AS view, (vy * w + vx)::INT AS place, v AS level FROM ({_VIEWS.format(value='q', table='lev')})",
+    "pixel_resize": f"WITH {_PIXELS}, red AS (SELECT img, y, x, r AS v FROM px) {_RESIZED}",
+    "canonical_hash": f"WITH {_CANONICAL} SELECT img, min(lpad(format('{{:x}}', h::UBIGINT), 16, '0')) AS hash FROM bits GROUP BY img",
     "pixel_luma": f"WITH {_LUMA} SELECT img, (y * {COLUMNS} + x)::INT AS place, round(l, 6) AS luma FROM lum",
     "pixel_levels": f"WITH {_LEVEL} SELECT img, (y * {COLUMNS} + x)::INT AS place, q AS level FROM lev",
     "pixel_hsv": f"WITH {_HSV} SELECT img, y * {COLUMNS} + x AS place, unnest(['h', 's', 'v']) AS channel, unnest([round(h, 9), round(s, 9), round(v, 9)]) AS value FROM hue",
