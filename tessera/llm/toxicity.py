@@ -2,10 +2,11 @@
 
 A text's features are the presence of terms and of their first 4, 5 and 6 bytes, which catches inflected insults. From a
 bounded sample of labelled rows the features that occur much more often in toxic texts are chosen, beside those of all
-identity terms. Identity terms are of two kinds: a fixed list of words for groups of people, and the names that the sample's
-sentences hold: words with a capital inside a sentence, in ``support`` texts at least and in half of all that have the word.
-In every sampled sentence
-that has identity terms each is replaced by the next one of its kind, and the squared change of the sentence's log odds is
+identity terms. Identity terms are of two kinds: a fixed list of words for groups of people, and the names that stand for people
+in the sample: words with a capital behind a title ("Dr"), behind "people from", before "people" or "community", or behind an
+article and with the ending of a plural of origin or belief ("the ...ians"), so in ``support`` texts at least. A capital alone
+is no sign of identity: it is as often that of a licence or a product. A corpus that mentions nobody has no identity term, and
+the penalty then has nothing to act on (``Toxicity.swapped`` is 0). In every sampled sentence that has identity terms each is replaced by the next one of its kind, and the squared change of the sentence's log odds is
 added to the class-balanced logistic loss and a ridge. So a name cannot carry weight that another name does not carry, and a
 text is not toxic for whom it mentions. ``Toxicity.swapped`` tells how many sentences took part.
 
@@ -52,6 +53,13 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"),
     ("musulmanes", "cristianos", "judíos"),
 )
+# What stands beside a name of people, and the endings of plurals of origin and belief.
+TITLES = frozenset("mr mrs ms miss dr prof sir lady lord rabbi imam herr frau monsieur madame mme señor señora don doña".split())
+GROUPS = frozenset("people folks men women man woman girl boy person persons community communities immigrants refugees families gens personnes leute menschen gente personas".split())
+FROM = frozenset("from of de aus von".split())
+ARTICLES = frozenset("the these those all most many some les des ces die alle diese los las todos".split())
+NAMES = 5000  # most names, of a sample of bounded size
+ENDINGS = ("ans", "ists", "ites", "ese", "ois", "iens", "ains", "aner", "anos", "inos")
 PREFIXES = (4, 5, 6)
 
 
@@ -92,18 +100,37 @@ def _sentences(text: np.ndarray, w: Words) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(_ENDS[text], dtype=np.int64)))[w.first] + w.row
 
 
-def _names_inside(text: np.ndarray, w: Words) -> np.ndarray:
-    """Which terms have a capital, then a small letter, and do not begin their sentence."""
+def _capital(text: np.ndarray, w: Words) -> np.ndarray:
+    """Which terms have a capital, then a small letter."""
     second = text[np.minimum(w.first + 1, max(len(text) - 1, 0))]
     third = text[np.minimum(w.first + 2, max(len(text) - 1, 0))]
     small = lambda b: (b >= 0x61) & (b <= 0x7A) | (b >= 0x80)
     first = text[w.first]
     plain = (first >= 0x41) & (first <= 0x5A) & small(second) & (w.last - w.first >= 2)
     accented = (first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & small(third) & (w.last - w.first >= 3)
+    return plain | accented
+
+
+def _people(text: np.ndarray, w: Words):
+    """Row and text of the terms with a capital that their neighbours mark as names of people."""
     sentence = _sentences(text, w)
-    inside = np.zeros(len(w.row), dtype=bool)
-    inside[1:] = sentence[1:] == sentence[:-1]
-    return inside & (plain | accented)
+    term = lambda k: w.text[w.first[k] : w.last[k]].tobytes().decode(errors="replace")
+
+    def near(k: int, by: int, known: frozenset, apart: bool = False) -> bool:
+        """Whether a neighbour is one of these, in the same sentence, or, of ``apart``, in the same text."""
+        other = k + by
+        if not 0 <= other < len(w.row) or w.row[other] != w.row[k]:
+            return False
+        return (apart or sentence[other] == sentence[k]) and term(other) in known
+
+    for k in np.flatnonzero(_capital(text, w)).tolist():
+        if (
+            near(k, -1, TITLES, True)  # a title may end in a full stop
+            or near(k, 1, GROUPS)
+            or near(k, -1, FROM) and near(k, -2, GROUPS)
+            or near(k, -1, ARTICLES) and term(k).endswith(ENDINGS)
+        ):
+            yield int(w.row[k]), term(k)
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, Words]:
@@ -113,14 +140,12 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, Words]:
 
 
 def _name_counts(batches):
-    """(y, text) to (term, feature, n): in how many texts of the partition each name occurs."""
+    """(y, text) to (term, feature, n): in how many texts of the partition each name of people occurs."""
     found: Counter[str] = Counter()
     for batch in batches:
         for part in slices(batch, 1):
             text, w = _terms(part.column(1))
-            at = np.flatnonzero(_names_inside(text, w))
-            own = {(int(w.row[k]), w.text[w.first[k] : w.last[k]].tobytes().decode(errors="replace")) for k in at}
-            found.update(term for _, term in own)
+            found.update(term for _, term in set(_people(text, w)))
     hashes = pa.array(np.array([_hash_of(term) for term in found], np.uint64).view(np.int64))
     yield pa.record_batch([pa.array(found.keys(), pa.string()), hashes, pa.array(found.values(), pa.int64())], ["term", "feature", "n"])
 
@@ -158,7 +183,7 @@ def _design(features: np.ndarray, names: list[str]):
 
     def changes(text: np.ndarray, w: Words, swaps: dict, fixed: np.ndarray, found_names: np.ndarray):
         hashes, sentence = w.hashes(), _sentences(text, w)
-        mention = np.isin(hashes, fixed) | np.isin(hashes, found_names) & _names_inside(text, w)
+        mention = np.isin(hashes, fixed) | np.isin(hashes, found_names) & _capital(text, w)
         named = np.flatnonzero(mention)
         term, found = _term_hashes(w)
         order = np.argsort(term, kind="stable")
@@ -249,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = 40
     counts = sample.mapInArrow(_feature_counts, "feature bigint, toxic bigint, other bigint").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     counts = store(counts, "toxicity-features").df
     named = sample.mapInArrow(_name_counts, "term string, feature bigint, n bigint").groupBy("term", "feature").agg(F.sum("n").alias("n")).filter(f"n >= {support}")
-    names = [r["term"] for r in named.join(counts, "feature").filter("2 * n >= t + o").orderBy(F.desc("n"), "term").select("term").collect()]
+    names = [r["term"] for r in named.orderBy(F.desc("n"), "term").limit(NAMES).select("term").collect()]
     odds = f"((t + 0.5D) / {ones + 1}) / ((o + 0.5D) / {n - ones + 1})"
     good = counts.filter(f"t >= {max(support, math.ceil(share * ones))} AND {odds} >= {ratio}").select("feature").toPandas()["feature"].to_numpy(dtype=np.int64)
     features = np.union1d(good.view(np.uint64), np.concatenate([own for own, _ in identity_swaps(names).values()]))

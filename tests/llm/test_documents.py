@@ -305,6 +305,40 @@ def test_counterfactual_penalty_takes_weight_from_names(spark):
     assert gap[50.0] < 0.2 * gap[0.0]
 
 
+def test_names_are_of_people():
+    """A capital alone is no name of somebody; titles, groups and plurals of origin are."""
+    found = lambda t: {n for _, n in toxicity._people(*toxicity._terms(pa.array([t])))}
+    assert found("under the Apache License and the GNU General Public terms. Red Hat sells Linux") == set()
+    assert found("I met Dr. Smith and Mrs Jones there") == {"smith", "jones"}
+    assert found("people from Narnia came, women of Avalon too, and Ruritanian people") == {"narnia", "avalon", "ruritanian"}
+    assert found("all Syldavians and the Bordurians, the Houses") == {"syldavians", "bordurians"}
+    assert found("Smith") == found("") == set()
+
+
+def test_descent_reaches_the_least_loss():
+    """The sum of weighted logistic loss, ridge and squared changes is as low as a plain descent over whole matrices gets it."""
+    rng = np.random.default_rng(3)
+    n, k = 60, 7
+    x, y, times = rng.random((n, k)) < 0.4, rng.integers(0, 2, n), rng.integers(1, 4, n).astype(float)
+    s = rng.integers(-1, 2, (9, k))
+    swap_times = rng.integers(1, 3, 9).astype(float)
+    ridge, strength = 0.01, 1.0
+    weight = times * np.where(y == 1, 0.5 / times[y == 1].sum(), 0.5 / times[y == 0].sum())
+
+    def loss(w, b):
+        z = x @ w + b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * (w**2).sum() + strength * (swap_times / swap_times.sum() * (s @ w) ** 2).sum()
+
+    w, b = np.zeros(k), 0.0
+    for _ in range(20_000):
+        g = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - 0.2 * (x.T @ g + ridge * w + 2 * strength * s.T @ (swap_times / swap_times.sum() * (s @ w))), b - 0.2 * g.sum()
+    texts = [np.flatnonzero(row).astype("<i4") for row in x]
+    swaps = [np.concatenate((np.flatnonzero(row > 0) + 1, -(np.flatnonzero(row < 0) + 1))).astype("<i4") for row in s]
+    got_w, got_b = toxicity._descend(k, texts, y, times, swaps, swap_times, ridge, strength, 600)
+    assert loss(got_w, got_b) <= loss(w, b) + 1e-4 and np.abs(got_w - w).max() < 0.1
+
+
 def test_counterfactual_penalty_on_names_of_the_data(spark):
     """Names that no list has are found inside sentences; the penalty keeps scores of neutral sentences from moving with them."""
     rng, rows, labels = random.Random(2), [], []
@@ -317,11 +351,11 @@ def test_counterfactual_penalty_on_names_of_the_data(spark):
     docs, truth = frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     neutral = pa.array([f"The {who} wrote a letter to the {other}." for who in ("Zorbians", "Quellians") for other in ("Zorbians", "Quellians")])
     spread_, models = {}, {}
-    for weight in (0.0, 10.0):
+    for weight in (0.0, 1.0, 10.0):
         models[weight] = toxicity.fit(docs, truth, counterfactual=weight)
         spread_[weight] = float(np.ptp(models[weight].score_texts(neutral)))
     assert set(models[10.0].names) == {"zorbians", "quellians"} and models[10.0].swapped == sum(1 for i in range(600) if __import__("zlib").crc32(str(i).encode()) % 5)
-    assert spread_[10.0] < 0.25 * spread_[0.0]
+    assert spread_[10.0] < 0.25 * spread_[0.0] and spread_[1.0] < 0.5 * spread_[0.0]  # 1 is the strength by default
     assert models[10.0].score_texts(pa.array(["The Quellians said: moron"]))[0] > 0.5 > models[10.0].score_texts(neutral).max()
 
 
