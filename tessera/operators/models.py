@@ -1,4 +1,4 @@
-"""Classifiers on features with class weights: Spark ML's on standardised vectors, and boosting of this library on binned ones.
+"""Classifiers on features with class weights: Spark ML's on standardised vectors, boosting and forests of this library on binned ones.
 
 Training rows have label and features (an array). A model gives ``proba``, in the order of its classes.
 """
@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.boosting import Boosted, fit_boosted
+from tessera.operators.forest import Forest, fit_forest
 from tessera.operators.metrics import align_probabilities, sample_weights
 from tessera.sources.csvfile import uri
 
@@ -27,14 +28,12 @@ IMBALANCE_POLICIES = ("balanced", "none")
 
 
 def build_classifier(name: str, seed: int, total_weight: float):
-    """A Spark ML estimator on ``scaled``, ``y`` and ``weight``; None for the class prior and for boosting."""
+    """A Spark ML estimator on ``scaled``, ``y`` and ``weight``; None for the class prior, boosting and forests."""
     own = {"featuresCol": "scaled", "labelCol": "y", "weightCol": "weight"}
-    if name in ("majority", "hgb"):
+    if name in ("majority", "hgb", "rf"):
         return None
     if name == "logreg":
         return LogisticRegression(**own, maxIter=3000, regParam=1 / (0.5 * max(total_weight, 1)), elasticNetParam=0, standardization=False, family="multinomial")
-    if name == "rf":
-        return RandomForestClassifier(**own, numTrees=300, maxDepth=30, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True)
     if name == "xgb":
         try:
             from xgboost.spark import SparkXGBClassifier
@@ -57,11 +56,12 @@ class TrainedModel:
     prior: list[float] = field(default_factory=list)
     info: dict = field(default_factory=dict)
     boosted: Boosted | None = None
+    forest: Forest | None = None
 
     def probabilities(self, features: DataFrame) -> DataFrame:
         """``features`` with proba, in the order of ``classes``."""
-        if self.boosted is not None:
-            return features.withColumn("proba", self.boosted.probabilities("features"))
+        if own := self.boosted or self.forest:
+            return features.withColumn("proba", own.probabilities("features"))
         if self.pipeline is None:
             return features.withColumn("proba", F.array(*map(F.lit, self.prior)))
         out = self.pipeline.transform(features.withColumn("vector", array_to_vector("features")))
@@ -83,6 +83,8 @@ class TrainedModel:
         (path / "model.json").write_text(json.dumps({"kind": "trained model"} | facts, indent=2), encoding="utf-8")
         if self.boosted is not None:
             (path / "trees.json").write_text(json.dumps(self.boosted.to_dict()), encoding="utf-8")
+        if self.forest is not None:
+            self.forest.save(path / "forest.npz")
         return path
 
     @staticmethod
@@ -96,7 +98,8 @@ class TrainedModel:
         stages = PipelineModel.load(uri(path / "stages")) if (path / "stages").is_dir() else None
         trees = path / "trees.json"
         boosted = Boosted.of(json.loads(trees.read_text(encoding="utf-8"))) if trees.is_file() else None
-        return TrainedModel(stages, **facts, boosted=boosted)
+        forest = Forest.load(path / "forest.npz") if (path / "forest.npz").is_file() else None
+        return TrainedModel(stages, **facts, boosted=boosted, forest=forest)
 
 
 def fit_classifier(name: str, features: DataFrame, seed: int, imbalance: str, extractor: str = "", image_size: int = 0) -> TrainedModel:
@@ -107,11 +110,15 @@ def fit_classifier(name: str, features: DataFrame, seed: int, imbalance: str, ex
     classes = sorted(counts)
     total = sum(r["w"] for r in counts.values())
     estimator = build_classifier(name, seed, total)
-    pipeline = boosted = None
+    pipeline = boosted = forest = None
     n = sum(r["n"] for r in counts.values())
-    if name == "hgb":
+    if name in ("hgb", "rf"):
         places = F.create_map(*(F.lit(x) for k, c in enumerate(classes) for x in (c, k)))
-        boosted = fit_boosted(weighted.select(places[F.col("label")].alias("y"), "weight", "features"), len(classes))
+        placed = weighted.select(places[F.col("label")].alias("y"), "weight", "features")
+        if name == "hgb":
+            boosted = fit_boosted(placed, len(classes))
+        else:
+            forest = fit_forest(placed, len(classes), seed)
     elif estimator is not None:
         # Spark divides by the deviation of a sample, n - 1; this one is of the whole population, n
         d = weighted.select(F.size("features")).first()[0]
@@ -123,4 +130,4 @@ def fit_classifier(name: str, features: DataFrame, seed: int, imbalance: str, ex
         pipeline = PipelineModel([*fitted.stages[1:], estimator.fit(prepared)])
         prepared.unpersist()
     info = {"fit_seconds": round(time.perf_counter() - began, 3), "n_train": n}
-    return TrainedModel(pipeline, classes, extractor, image_size, name, seed, [counts[c]["w"] / total for c in classes], info, boosted)
+    return TrainedModel(pipeline, classes, extractor, image_size, name, seed, [counts[c]["w"] / total for c in classes], info, boosted, forest)
