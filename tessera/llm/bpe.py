@@ -7,8 +7,10 @@ again and again, the neighbours whose union has the lowest rank. Two forms of th
 does the same in an Arrow UDF with a table of words already seen; see the README for why the query uses it. Decoding is
 higher-order functions in either case: pieces are looked up in a literal array by id and concatenated.
 
-Defined cases: a null or empty text has no tokens; a word of any length is folded with a heap; special tokens' strings are
-ordinary text; an id outside the vocabulary decodes to null; repeated rows are encoded again; extra columns are kept.
+Defined cases: a null or empty text has no tokens; a word of any length is folded with a heap, and a very long text is one
+row, whose ids are held together; special tokens' strings are ordinary text; an id outside the vocabulary decodes to null; ids
+of documents play no part, so null and repeated ones are rows of their own; of pairs of equal rank, which are the same pair,
+the leftmost is merged first; an empty table gives no rows; extra columns are kept.
 """
 
 from __future__ import annotations

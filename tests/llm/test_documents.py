@@ -157,6 +157,39 @@ def test_one_frequent_ngram_is_met_in_parts(spark):
     assert got == brute_components(rows)
 
 
+def test_a_hot_ngram_and_a_very_long_text_end_to_end(spark):
+    """1,300 documents share an n-gram of their prefixes, more than a part has, and a passage; one text has 120,000 words."""
+    rng = random.Random(11)
+    line = "all of us share this line here"
+    rows = [(k, f"a{k} b{k} {line} c{k % 650} d{k % 650}" if k % 3 else f"{line} a{k % 300} b{k % 300} c{k % 300} d{k % 300} e{k % 300}") for k in range(1300)]
+    long = [f"w{rng.randrange(40_000)}" for _ in range(120_000)]
+    long[90_000:90_040] = long[100:140]
+    rows += [(5000, " ".join(long)), (5001, " ".join(long[:118_000])), (5002, " ".join(long[50_000:50_030]))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    by_gram = {}
+    for i, s in sets.items():
+        for g in s:
+            by_gram.setdefault(g, []).append(i)
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        shared = {}
+        for g in sets[i]:
+            for j in by_gram[g]:
+                if j > i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()} if a != b else root
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i in sets} and got[5001][1] == 5000
+    passage = " ".join(f"p{k}" for k in range(25))
+    docs = [(k, f"x{k} {passage} y{k}") for k in range(1300)] + rows[-3:]
+    found = {r["doc_id"]: r["n_removed"] for r in substring.removal_digest(frame(spark, docs)).collect()}
+    assert found[0] == 0 and all(found[k] == 25 for k in range(1, 1300))
+    assert found[5000] == 40 and found[5001] == 118_000 and found[5002] == 30
+
+
 def test_clashing_names_stay(spark):
     rows = corpus(3, 12)
     odd = spark.createDataFrame([(i, t, f"a{i}", f"b{i}", f"c{i}", f"d{i}") for i, t in rows], "doc_id bigint, text string, s_id string, s_first string, s_second string, j_away string")

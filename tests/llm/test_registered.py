@@ -21,8 +21,10 @@ def test_pipeline(spark, tmp_path):
     rows.append((5000, "water " * 3 + question + " green letter"))
     docs = frame(spark, rows)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1000 + i, q, t) for i, q, t in labels], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, question)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # nulls, repeated rows and labels of no document play no part, or count again
+    odd = [(None, 0, 1), (1000, None, None), (777_777, 0, 0), (1001, 2, 2)] + [(1000 + i, q, t) for i, q, t in labels[:5]]
+    spark.createDataFrame([(1000 + i, q, t) for i, q, t in labels] + odd, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, question), (1, question), (None, "water green letter stone water green letter"), (2, None), (3, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = [(r["doc_id"], r["text"]) for r in got.collect()]
@@ -40,3 +42,16 @@ def test_pipeline(spark, tmp_path):
         if name == "decontamination":
             assert {i for i, _ in before} - set(after) == {5000}
     assert {r["doc_id"] for r in got.collect()} == {i for i, _ in before} and got.filter("n_tokens < 0").count() == 0
+    # the last stage's digests are those of the library's ids and of the texts themselves
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    texts = dict(before)
+    for r in got.collect():
+        ids = library.encode_ordinary(texts[r["doc_id"]] or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
