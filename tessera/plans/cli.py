@@ -136,6 +136,7 @@ def demo(args, settings) -> None:
     _say(summary)
 
 
+# The commands, their options and defaults.
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="tessera", description="Leakage-safe preparation and evaluation of labelled collections.")
     commands = parser.add_subparsers(dest="command", required=True)
