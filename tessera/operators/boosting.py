@@ -25,6 +25,7 @@ from tessera.sources.shared import Scratch, spread, store
 
 ROUNDS, RATE, LEAVES, LEAST_ROWS, BINS = 100, 0.1, 31, 20, 255
 LEAST_HESSIAN = 1e-3
+WRITTEN = 8  # rounds after which scores are written
 LOCAL = 1 << 22  # values, of one byte each, of a node that one task finishes
 SPREAD = 50_000  # rows from which on a small file is spread over all cores
 
@@ -90,20 +91,24 @@ def gradients(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np
 _HISTOGRAM = "tree int, node int, feature int, sums binary"  # bins that have rows (a byte each), then their gradients, hessians and counts (8 bytes each)
 
 
-def _read(batch, d: int, k: int):
-    """y, weight, bins and scores of a batch of packed rows."""
+def _read(batch, d: int, k: int, due: list[list[Tree]]):
+    """y, weight, bins and scores of a batch of packed rows; the trees of rounds that are ``due`` are added to the scores."""
     flat = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind)
-    return np.asarray(batch.column("y"), dtype=np.int64), np.asarray(batch.column("weight"), dtype=float), flat("bins", np.uint8).reshape(-1, d), flat("scores", "<f8").reshape(-1, k)
+    bins, scores = flat("bins", np.uint8).reshape(-1, d), flat("scores", "<f8").reshape(-1, k).copy()
+    for trees in due:
+        for c, tree in enumerate(trees):
+            scores[:, c] += np.array(tree.value)[tree.leaf_of(bins)]
+    return np.asarray(batch.column("y"), dtype=np.int64), np.asarray(batch.column("weight"), dtype=float), bins, scores
 
 
-def _histograms(trees: list[Tree], asked: list[list[int]], d: int):
+def _histograms(trees: list[Tree], asked: list[list[int]], d: int, due: list[list[Tree]]):
     """Sums over a partition's rows by tree, node, feature and bin, for the nodes ``asked`` of each tree."""
     k = len(trees)
 
     def run(batches):
         sums = [np.zeros((3, len(nodes) * d * 256)) for nodes in asked]
         for batch in batches:
-            y, weight, bins, scores = _read(batch, d, k)
+            y, weight, bins, scores = _read(batch, d, k, due)
             g, h = gradients(scores, y, weight)
             for c, nodes in enumerate(asked):
                 if not nodes:
@@ -204,12 +209,12 @@ def best_splits(histogram: DataFrame, least_rows: int = LEAST_ROWS, least_hessia
 _ROWS = "tree int, node int, g binary, h binary, bins binary"
 
 
-def _members(trees: list[Tree], asked: list[list[int]], d: int):
+def _members(trees: list[Tree], asked: list[list[int]], d: int, due: list[list[Tree]]):
     """The rows of the nodes ``asked`` of each tree, packed: a row a node and batch."""
 
     def run(batches):
         for batch in batches:
-            y, weight, bins, scores = _read(batch, d, len(trees))
+            y, weight, bins, scores = _read(batch, d, len(trees), due)
             g, h = gradients(scores, y, weight)
             out = []
             for c, nodes in enumerate(asked):
@@ -307,7 +312,7 @@ def _grown(known: dict[str, dict], rate: float, leaves: int) -> tuple[Tree, dict
     return tree, asked
 
 
-def _round(rows: DataFrame, n: int, k: int, d: int, rate: float, leaves: int, least_rows: int, local: int) -> list[Tree]:
+def _round(rows: DataFrame, n: int, k: int, d: int, rate: float, leaves: int, least_rows: int, local: int, due: list[list[Tree]]) -> list[Tree]:
     """One tree a class."""
     known: list[dict[str, dict]] = [{} for _ in range(k)]
     size = lambda c, path: known[c][path[:-1]][f"{path[-1]}_n"] if path else n
@@ -320,9 +325,9 @@ def _round(rows: DataFrame, n: int, k: int, d: int, rate: float, leaves: int, le
         many = [[node for node in asked if node not in own] for own, (_, asked) in zip(few, grown, strict=True)]
         found = []
         if any(many):
-            found += [r.asDict() | {"path": ""} for r in best_splits(rows.mapInArrow(_histograms(trees, many, d), _HISTOGRAM), least_rows).collect()]  # a row a node
+            found += [r.asDict() | {"path": ""} for r in best_splits(rows.mapInArrow(_histograms(trees, many, d, due), _HISTOGRAM), least_rows).collect()]  # a row a node
         if any(few):
-            members = rows.mapInArrow(_members(trees, few, d), _ROWS).repartition("tree", "node").sortWithinPartitions("tree", "node")
+            members = rows.mapInArrow(_members(trees, few, d, due), _ROWS).repartition("tree", "node").sortWithinPartitions("tree", "node")
             found += [r.asDict() for r in members.mapInArrow(_finished(d, leaves, least_rows), _FOUND).collect()]  # two rows a leaf
         for r in found:
             known[r["tree"]][grown[r["tree"]][1][r["node"]] + r["path"]] = r
@@ -380,12 +385,11 @@ def packed_rows(rows: DataFrame, edges: list[list[float]], first: list[float]) -
     return own.mapInArrow(pack, "y int, weight double, bins binary, scores binary")
 
 
-def _updated(trees: list[Tree], d: int):
+def _updated(due: list[list[Tree]], d: int, k: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                _, _, bins, scores = _read(batch, d, len(trees))
-                scores = scores + np.stack([np.array(t.value)[t.leaf_of(bins)] for t in trees], axis=1)
+                scores = _read(batch, d, k, due)[3]
                 yield pa.record_batch([batch.column("y"), batch.column("weight"), batch.column("bins"), pa.array([s.astype("<f8").tobytes() for s in scores], pa.binary())], ["y", "weight", "bins", "scores"])
 
     return run
@@ -398,11 +402,12 @@ def first_scores(rows: DataFrame, k: int) -> list[float]:
     return [float(np.log(max(have.get(c, 0.0) / total, 1e-12))) if total else 0.0 for c in range(k)]
 
 
-def fit_boosted(rows: DataFrame, k: int, rounds: int = ROUNDS, rate: float = RATE, leaves: int = LEAVES, least_rows: int = LEAST_ROWS, bins: int = BINS, local: int = LOCAL) -> Boosted:
+def fit_boosted(rows: DataFrame, k: int, rounds: int = ROUNDS, rate: float = RATE, leaves: int = LEAVES, least_rows: int = LEAST_ROWS, bins: int = BINS, local: int = LOCAL, every: int = WRITTEN) -> Boosted:
     """Fit on rows with y (0 to k - 1), weight and features (arrays of one length).
 
     local: a node of so many values (rows times features) at most is brought to one task, which finds all splits below it.
-    Each round's scores are written beside the binned rows, so a round reads them once and no round depends on the plans before.
+    Scores are written beside the binned rows after each ``every`` rounds, and tasks add the trees of the rounds since, so that
+    no round depends on the plans before or walks all trees.
     """
     d = rows.select(F.size("features")).first()
     if d is None:
@@ -414,12 +419,13 @@ def fit_boosted(rows: DataFrame, k: int, rounds: int = ROUNDS, rate: float = RAT
         n = now.df.count()
         if n > SPREAD:
             now = store(spread(now.df), "boosting")
+        written = 0
         for _ in range(rounds):
-            trees = _round(now.df, n, k, d, rate, leaves, least_rows, local)
-            model.rounds.append(trees)
-            after = store(now.df.mapInArrow(_updated(trees, d), "y int, weight double, bins binary, scores binary"), "boosting")
-            now.drop()
-            now = after
+            model.rounds.append(_round(now.df, n, k, d, rate, leaves, least_rows, local, model.rounds[written:]))
+            if len(model.rounds) - written == every:
+                after = store(now.df.mapInArrow(_updated(model.rounds[written:], d, k), "y int, weight double, bins binary, scores binary"), "boosting")
+                now.drop()
+                now, written = after, len(model.rounds)
     return model
 
 
@@ -428,6 +434,6 @@ def first_splits(rows: DataFrame, k: int, bins: int = BINS, least_rows: int = LE
     d = rows.select(F.size("features")).first()[0]
     edges, first = bin_edges(rows, d, bins), first_scores(rows, k)
     packed = store(packed_rows(rows, edges, first), "boosting").df
-    found = best_splits(packed.mapInArrow(_histograms([Tree() for _ in range(k)], [[0]] * k, d), _HISTOGRAM), least_rows)
+    found = best_splits(packed.mapInArrow(_histograms([Tree() for _ in range(k)], [[0]] * k, d, []), _HISTOGRAM), least_rows)
     table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in e) + ")" for e in edges) + ")")
     return found.select("tree", "feature", "cut", table[F.col("feature")][F.col("cut")].alias("edge"), "gain")

@@ -52,15 +52,15 @@ def brute_round(bins, y, weight, scores, leaves, least_rows, rate):
     return out
 
 
-@pytest.mark.parametrize("local", [0, 1 << 20, 1200])
-def test_rounds_against_brute_force(spark, local):
+@pytest.mark.parametrize("local,every", [(0, 8), (1 << 20, 1), (1200, 2)])
+def test_rounds_against_brute_force(spark, local, every):
     """Whether nodes are split over the cluster, in one task, or some in each way: the same scores."""
     x, y, weight = blobs()
-    model = B.fit_boosted(frame(spark, x, y, weight).repartition(3), 3, rounds=2, leaves=7, least_rows=15, bins=20, local=local)
+    model = B.fit_boosted(frame(spark, x, y, weight).repartition(3), 3, rounds=3, leaves=7, least_rows=15, bins=20, local=local, every=every)
     bins = B.binned(x, model.edges)
     scores = np.tile(np.array(model.first), (len(y), 1))
     assert np.allclose(model.first, np.log([weight[y == c].sum() / weight.sum() for c in range(3)]))
-    for _ in range(2):
+    for _ in range(3):
         scores = brute_round(bins, y, weight, scores, 7, 15, B.RATE)
     assert np.allclose(model.scores(x), scores)
     assert all(sum(f < 0 for f in t.feature) <= 7 for trees in model.rounds for t in trees)
