@@ -19,6 +19,15 @@ from tessera.operators.groups import components
 MOST_KEYS = 4096  # of one hash
 
 
+def shuffled(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the rows, never by a broadcast.
+
+    Spark guesses a table's size from compressed files and does not count what an explode adds, so that it would gather such
+    a table on the driver as if it were small.
+    """
+    return left.hint("merge").join(right, on, how)
+
+
 def hashed(rows: DataFrame, *keep: str) -> DataFrame:
     """row_idx (or the columns to keep) and hash of the rows that have one."""
     return rows.filter("phash <> ''").select(*(keep or ("row_idx",)), to_long("phash").alias("hash"))
@@ -81,7 +90,7 @@ def near_hashes(left: DataFrame, right: DataFrame, distance: int, blocks: int |
         blocks = blocks_for(left.select("hash") if left is right else left.select("hash").union(right.select("hash")), distance)
     cut = lambda df, side: df.select(F.col("hash").alias(f"{side}_hash"), F.explode(_keys(distance, blocks)).alias("b")).select(f"{side}_hash", "b.*")
     passed = [F.array(*(F.lit(m).cast("bigint") for m in others)) if others else F.array().cast("array<bigint>") for _, others in index_keys(distance, blocks)]
-    met = cut(left, "l").join(cut(right, "r"), ["choice", "bits"])
+    met = shuffled(cut(left, "l"), cut(right, "r"), ["choice", "bits"])
     met = met.withColumn("distance", hamming("l_hash", "r_hash")).filter(F.col("distance") <= distance)
     first = ~F.exists(F.element_at(F.array(*passed), F.col("choice") + 1), lambda m: F.col("l_hash").bitwiseXOR(F.col("r_hash")).bitwiseAND(m) == 0)
     return met.filter(first).select("l_hash", "r_hash", "distance")
@@ -95,8 +104,8 @@ def near_duplicate_pairs(rows: DataFrame, distance: int) -> DataFrame:
     if near is None:
         return own.sparkSession.createDataFrame([], "a bigint, b bigint, distance int")
     left, right = own.selectExpr("row_idx AS i", "hash AS l_hash"), own.selectExpr("row_idx AS j", "hash AS r_hash")
-    same = left.join(right.withColumnRenamed("r_hash", "l_hash"), "l_hash").filter("i < j").selectExpr("i AS a", "j AS b", "0 AS distance")
-    other = near.join(left, "l_hash").join(right, "r_hash").selectExpr("least(i, j) AS a", "greatest(i, j) AS b", "distance")
+    same = shuffled(left, right.withColumnRenamed("r_hash", "l_hash"), "l_hash").filter("i < j").selectExpr("i AS a", "j AS b", "0 AS distance")
+    other = shuffled(shuffled(near, left, "l_hash"), right, "r_hash").selectExpr("least(i, j) AS a", "greatest(i, j) AS b", "distance")
     return same.unionByName(other)
 
 

@@ -4,6 +4,7 @@ import colorsys
 import importlib.util
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -173,6 +174,23 @@ def test_edges_are_contracted_before_they_are_shuffled(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def joined_by_broadcast(query) -> set[str]:
+    """Columns by which a query, once it has run, joined a broadcast table."""
+    query.collect()
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    return {c for keys in re.findall(r"BroadcastHashJoin \[(.*?)\]", plan) for c in re.findall(r"(\w+)#", keys)}
+
+
+def hashed_rows(spark, n=300):
+    """Rows of which some share a hash and some a group, in a file, whose size Spark knows to be small."""
+    return spark.range(n).selectExpr("id AS row_idx", "concat('p', id) AS path", "'x' AS label", "'s' AS source", f"concat('g', id % {n // 2}) AS group_id", f"lower(lpad(hex(xxhash64(id % {2 * n // 3})), 16, '0')) AS phash")
+
+
+def test_pairs_broadcast_nothing(spark):
+    """Rows and their keys go to the driver for a broadcast, where they take all of its memory."""
+    assert joined_by_broadcast(S.near_duplicate_pairs(hashed_rows(spark), 3)) == set()
+
+
 def test_merge_keeps_the_first_rows_group(spark):
     rows = spark.createDataFrame([(0, "a", "x", "s", "g1", "00000000000000ff"), (1, "b", "x", "s", "g0", "00000000000000fe"), (2, "c", "x", "s", "g2", "ffffffff00000000"), (3, "d", "x", "s", "g0", "")], ROWS)
     got = {r["row_idx"]: r["group_id"] for r in S.merge_groups(rows, 3).collect()}
