@@ -112,7 +112,7 @@ def near_duplicate_pairs(rows: DataFrame, distance: int) -> DataFrame:
 def _stars(rows: DataFrame, keys: str) -> DataFrame:
     """Each row with the first row of its key: as many edges as rows, also in a large group."""
     first = rows.groupBy(keys).agg(F.min("row_idx").alias("b"))
-    return rows.join(first, keys).filter("row_idx <> b").selectExpr("row_idx AS a", "b")
+    return shuffled(rows, first, keys).filter("row_idx <> b").selectExpr("row_idx AS a", "b")
 
 
 def group_edges(rows: DataFrame, distance: int) -> DataFrame:
@@ -123,7 +123,8 @@ def group_edges(rows: DataFrame, distance: int) -> DataFrame:
     own = hashed(rows)
     firsts = own.groupBy("hash").agg(F.min("row_idx").alias("first"))
     near = near_hashes(firsts, firsts, distance).filter("l_hash < r_hash")
-    near = near.join(firsts.selectExpr("hash AS l_hash", "first AS a"), "l_hash").join(firsts.selectExpr("hash AS r_hash", "first AS b"), "r_hash")
+    near = shuffled(near, firsts.selectExpr("hash AS l_hash", "first AS a"), "l_hash")
+    near = shuffled(near, firsts.selectExpr("hash AS r_hash", "first AS b"), "r_hash")
     return edges.unionByName(_stars(own, "hash")).unionByName(near.select("a", "b"))
 
 
@@ -131,6 +132,6 @@ def merge_groups(rows: DataFrame, distance: int = 4) -> DataFrame:
     """``rows`` whose group_id also joins near-duplicates: a merged group keeps the id of its first row."""
     roots = components(group_edges(rows, distance)).withColumnRenamed("node", "row_idx")
     ids = rows.selectExpr("row_idx AS root", "group_id AS m_group")
-    moved = roots.filter("row_idx <> root").join(ids, "root").select("row_idx", "m_group")
-    out = rows.join(moved, "row_idx", "left").withColumn("group_id", F.coalesce("m_group", "group_id")).drop("m_group")
+    moved = shuffled(roots.filter("row_idx <> root"), ids, "root").select("row_idx", "m_group")
+    out = shuffled(rows, moved, "row_idx", "left").withColumn("group_id", F.coalesce("m_group", "group_id")).drop("m_group")
     return out.select(rows.columns)

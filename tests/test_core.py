@@ -198,6 +198,12 @@ def test_merge_keeps_the_first_rows_group(spark):
     assert {r["group_id"] for r in S.merge_groups(rows, -1).collect()} == {"g0", "g1", "g2"}
 
 
+def test_merge_broadcasts_nothing(spark):
+    rows = hashed_rows(spark)
+    assert joined_by_broadcast(S.group_edges(rows, 3)) == set()
+    assert joined_by_broadcast(S.merge_groups(rows, 3)) == set()
+
+
 def split_rows(spark, n=90, seed=3):
     rng = random.Random(seed)
     out = []
