@@ -18,12 +18,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import Scratch, spread, store
 
 ROUNDS, RATE, LEAVES, LEAST_ROWS, BINS = 100, 0.1, 31, 20, 255
+PIECES = 256  # of a feature's values, for exact ranks
 LEAST_HESSIAN = 1e-3
 WRITTEN = 8  # rounds after which scores are written
 LOCAL = 1 << 22  # values, of one byte each, of a node that one task finishes
@@ -37,6 +38,52 @@ def bin_edges(rows: DataFrame, d: int, bins: int = BINS) -> list[list[float]]:
     return [sorted({float(v) for v in found[j]}) if found[j] is not None else [] for j in range(d)]
 
 
+def _counted(d: int, near: list[list[float]]):
+    """Rows with features to how often each feature has each value, and in which piece the value is."""
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column("features").flatten()
+            have = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, d)
+            values = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+            own = [np.unique(values[have[:, j], j], return_counts=True) for j in range(d)]
+            feature = np.repeat(np.arange(d), [len(x) for x, _ in own])
+            piece = np.concatenate([np.searchsorted(np.array(near[j]), x, side="left") for j, (x, _) in enumerate(own)])
+            columns = (feature.astype(np.int32), piece.astype(np.int32), np.concatenate([x for x, _ in own]), np.concatenate([n for _, n in own]).astype(np.int64))
+            yield pa.record_batch([pa.array(c) for c in columns], ["feature", "piece", "x", "n"])
+
+    return run
+
+
+def exact_edges(rows: DataFrame, d: int, bins: int = BINS, pieces: int = PIECES) -> list[list[float]]:
+    """As ``bin_edges``, but at exact ranks, as SQL's quantile_disc.
+
+    Approximate edges cut the values of a feature into pieces. How many values the pieces have tells which of them hold the
+    ranks; these alone are ordered, each by itself.
+    """
+    near = bin_edges(rows, d, pieces)
+    with Scratch():
+        found = rows.select(F.col("features").cast("array<double>").alias("features")).mapInArrow(_counted(d, near), "feature int, piece int, x double, n bigint")
+        found = store(found.groupBy("feature", "piece", "x").agg(F.sum("n").alias("n")), "values").df
+        sizes: dict[int, list[tuple[int, int]]] = {}
+        for r in found.groupBy("feature", "piece").agg(F.sum("n").alias("n")).orderBy("feature", "piece").collect():  # d * pieces at most
+            sizes.setdefault(r["feature"], []).append((r["piece"], r["n"]))
+        wanted = []
+        for j, own in sizes.items():
+            total, before, at = sum(n for _, n in own), 0, 0
+            for rank in (-(-k * total // bins) for k in range(1, bins)):
+                while rank > before + own[at][1]:
+                    before, at = before + own[at][1], at + 1
+                wanted.append((j, own[at][0], rank - before))
+        asked = F.broadcast(rows.sparkSession.createDataFrame(wanted, "feature int, piece int, rank bigint"))
+        some = found.join(asked.select("feature", "piece").distinct(), ["feature", "piece"], "left_semi")
+        some = some.withColumn("upto", F.sum("n").over(Window.partitionBy("feature", "piece").orderBy("x")))
+        out: list[list[float]] = [[] for _ in range(d)]
+        for r in some.join(asked, ["feature", "piece"]).filter("rank > upto - n AND rank <= upto").select("feature", "x").distinct().collect():
+            out[r["feature"]].append(r["x"])
+    return [sorted(x) for x in out]
+
+
 def binned(values: np.ndarray, edges: list[list[float]]) -> np.ndarray:
     """The bin of each value (rows x features): how many edges are below it."""
     out = np.zeros((len(values), len(edges)), np.uint8)
@@ -432,7 +479,7 @@ def fit_boosted(rows: DataFrame, k: int, rounds: int = ROUNDS, rate: float = RAT
 def first_splits(rows: DataFrame, k: int, bins: int = BINS, least_rows: int = LEAST_ROWS) -> DataFrame:
     """tree (the class), feature, cut, edge and gain of the first split of each class's first tree."""
     d = rows.select(F.size("features")).first()[0]
-    edges, first = bin_edges(rows, d, bins), first_scores(rows, k)
+    edges, first = exact_edges(rows, d, bins), first_scores(rows, k)
     packed = store(packed_rows(rows, edges, first), "boosting").df
     found = best_splits(packed.mapInArrow(_histograms([Tree() for _ in range(k)], [[0]] * k, d, []), _HISTOGRAM), least_rows)
     table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in e) + ")" for e in edges) + ")")

@@ -115,3 +115,16 @@ def test_scaling_is_by_the_whole_population(spark):
         data = stage.transform(data)
     got = np.array([r[0] for r in data.select(vector_to_array("scaled")).collect()])
     assert np.allclose(got, (x - x.mean(0)) / x.std(0))
+
+
+def test_edges_at_exact_ranks(spark):
+    """Beyond 10,000 rows approximate ranks miss; repeated, missing and few values too."""
+    n, bins = 30_011, 16
+    rows = spark.range(n).repartition(3).selectExpr("array(cast(xxhash64(id) AS double), if(id % 7 = 0, NULL, cast(id % 5 AS double)), CAST(NULL AS double)) AS features")
+    columns = zip(*(r["features"] for r in rows.collect()), strict=True)
+    by_hand = []
+    for column in columns:
+        own = sorted(x for x in column if x is not None)
+        by_hand.append(sorted({own[-(-k * len(own) // bins) - 1] for k in range(1, bins)}) if own else [])
+    assert B.exact_edges(rows, 3, bins, pieces=20) == by_hand
+    assert B.bin_edges(rows, 3, bins)[0] != by_hand[0]
