@@ -270,6 +270,11 @@ def test_leak_counts_broadcast_no_rows(spark):
     assert joined_by_broadcast(P.leakage(rows, 3)) <= {"r_head"}  # 4096 ranges at most
 
 
+def test_crossing_pairs_broadcast_no_rows(spark):
+    rows = P.random_image_split(hashed_rows(spark)).rows
+    assert joined_by_broadcast(P.cross_split_pairs(rows, 3)) <= {"r_head"}
+
+
 def test_leaks_through_files_and_attached_rows(spark, tmp_path):
     """Tables that each number their rows from 0: a leak between them is found, and none is invented."""
     one = lambda path, h, group: spark.createDataFrame([(0, path, "Potato___healthy", "s", group, h)], ROWS)
