@@ -275,6 +275,13 @@ def test_crossing_pairs_broadcast_no_rows(spark):
     assert joined_by_broadcast(P.cross_split_pairs(rows, 3)) <= {"r_head"}
 
 
+@pytest.mark.parametrize("chunk", [10, P.FOLDED])
+def test_assigned_groups_are_not_broadcast(spark, chunk):
+    rows = hashed_rows(spark)
+    split = rows.join(P.assign_groups(P.group_labels(rows), (0.7, 0.15, 0.15), 1, chunk=chunk), "group_id")
+    assert "group_id" not in joined_by_broadcast(split) and split.count() == 300
+
+
 def test_leaks_through_files_and_attached_rows(spark, tmp_path):
     """Tables that each number their rows from 0: a leak between them is found, and none is invented."""
     one = lambda path, h, group: spark.createDataFrame([(0, path, "Potato___healthy", "s", group, h)], ROWS)
