@@ -111,7 +111,7 @@ def attach_augmented(spark, sf_dir):
     split = rows.join(P.assign_groups(P.group_labels(rows), FRACTIONS, SEED), "group_id")
     copies = rows.selectExpr("row_idx", "concat('aug/', path) AS path", "label", "source", "concat('aug-', group_id) AS group_id", "phash")
     away = P.augmented_to_drop(split, copies, 3)
-    return copies.join(away, "path", "left_anti").select("row_idx", "path")
+    return S.shuffled(copies, away, "path", "left_anti").select("row_idx", "path")
 
 
 def class_counts(spark, sf_dir):

@@ -312,6 +312,14 @@ def test_augmented_copies(spark):
     assert P.attach_augmented(result, copies, 3, match_on="leaf_id").dropped_augmented == 3
 
 
+def test_augmented_copies_are_not_broadcast(spark):
+    rows = hashed_rows(spark)
+    result = P.group_split(rows, seed=2)
+    copies = rows.withColumn("path", F.concat(F.lit("aug/"), "path"))
+    assert joined_by_broadcast(P.augmented_to_drop(result.rows, copies, 3)) == set()
+    assert joined_by_broadcast(P.attach_augmented(result, copies, 3).rows) == set()
+
+
 def report_by_hand(y, proba, classes):
     pred, k = proba.argmax(1), len(classes)
     f1, recall = [], []
