@@ -186,9 +186,13 @@ def hashed_rows(spark, n=300):
     return spark.range(n).selectExpr("id AS row_idx", "concat('p', id) AS path", "'x' AS label", "'s' AS source", f"concat('g', id % {n // 2}) AS group_id", f"lower(lpad(hex(xxhash64(id % {2 * n // 3})), 16, '0')) AS phash")
 
 
-def test_pairs_broadcast_nothing(spark):
+@pytest.mark.parametrize("distance,blocks", [(3, 4), (3, 7), (4, 5), (4, 8)])
+def test_pairs_broadcast_nothing(spark, distance, blocks):
     """Rows and their keys go to the driver for a broadcast, where they take all of its memory."""
-    assert joined_by_broadcast(S.near_duplicate_pairs(hashed_rows(spark), 3)) == set()
+    rows = hashed_rows(spark)
+    values = S.hashed(rows).select("hash").distinct()
+    assert joined_by_broadcast(S.near_hashes(values, values, distance, blocks)) == set()
+    assert joined_by_broadcast(S.near_duplicate_pairs(rows, distance)) == set()
 
 
 def test_merge_keeps_the_first_rows_group(spark):
