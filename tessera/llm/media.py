@@ -1,7 +1,8 @@
 """Media columns: texts as progressive JPEGs, and progressive JPEGs as RGB tensors and features.
 
 A picture is read by accumulating its scans into coefficient arrays, transforming them back and bringing the chroma planes to
-full resolution; ``rgb`` holds all samples, row by row, and features are computed from that column alone.
+full resolution; ``rgb`` holds all samples, row by row, and features are computed from these samples alone, before they leave
+the worker. Pictures and tensors leave it in pieces of a few megabytes, however many rows Spark puts into a batch.
 
 Defined cases: a null text counts as empty, and an empty text is 64 zero bytes; equal texts give equal pictures; a very long
 text is one picture, whose tensor takes twice its bytes and is one cell; a null or broken picture has null results and its
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +33,37 @@ _DECODED = T.StructType(
         T.StructField("width", T.LongType()),
         T.StructField("height", T.LongType()),
         T.StructField("rgb", T.BinaryType()),
+        T.StructField("feature", T.StringType()),
         T.StructField("error", T.StringType()),
     ]
 )
 _KINDS = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
 _ARROW = pa.struct([pa.field(f.name, _KINDS[f.dataType]) for f in _DECODED.fields])
 _STRIP = 1 << 20  # samples that are looked at together
+_PIECE = 1 << 22  # bytes of results that leave a worker together
 
 
 def padded(text: bytes) -> bytes:
     return text + bytes(max(64, -(-len(text) // 64) * 64) - len(text))
 
 
+def _pieces(results: Iterable, size: Callable, kind: pa.DataType) -> Iterator[pa.Array]:
+    """The results as arrays of ``_PIECE`` bytes, but for their last results, so that nobody holds more of them at once."""
+    held, total = [], 0
+    for x in results:
+        held.append(x)
+        total += size(x)
+        if total >= _PIECE:
+            yield pa.array(held, kind)
+            held, total = [], 0
+    if held:
+        yield pa.array(held, kind)
+
+
 @F.arrow_udf(T.BinaryType())
-def encoded(text: pa.Array) -> pa.Array:
-    return pa.array([jpeg.write(padded((x.as_py() or "").encode())) for x in text], pa.binary())
+def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    pictures = (jpeg.write(padded((x.as_py() or "").encode())) for batch in texts for x in batch)
+    yield from _pieces(pictures, len, pa.binary())
 
 
 def _features(width: int, height: int, rgb: np.ndarray) -> str:
@@ -61,19 +79,13 @@ def _features(width: int, height: int, rgb: np.ndarray) -> str:
     return f"{width}x{height};mean={line(sums)};black={line(black)};full={line(full)}"
 
 
-@F.arrow_udf(T.StringType())
-def feature_of(width: pa.Array, height: pa.Array, rgb: pa.Array) -> pa.Array:
-    """The features of RGB tensors; null where there is none."""
-    held = zip(width.to_pylist(), height.to_pylist(), rgb, strict=True)
-    return pa.array([_features(w, h, np.frombuffer(x.as_buffer(), np.uint8)) if x.is_valid else None for w, h, x in held], pa.string())
-
-
 def _decode(data: bytes | None) -> dict:
     if data is None:
         return dict.fromkeys(f.name for f in _ARROW) | {"error": "no picture"}
     try:
         picture = jpeg.read(data)
-        out = {"width": picture.width, "height": picture.height, "rgb": b"".join(x.tobytes() for x in jpeg.strips(picture))}
+        rgb = b"".join(x.tobytes() for x in jpeg.strips(picture))
+        out = {"width": picture.width, "height": picture.height, "rgb": rgb, "feature": _features(picture.width, picture.height, np.frombuffer(rgb, np.uint8))}
         if any(c.startswith(b"payload ") for c in picture.comments):
             held = jpeg.payload(picture)
             out |= {"payload_bytes": len(held), "payload_sha256": hashlib.sha256(held).hexdigest(), "tail_crc32": zlib.crc32(held[-64:])}
@@ -83,8 +95,8 @@ def _decode(data: bytes | None) -> dict:
 
 
 @F.arrow_udf(_DECODED)
-def decoded(media: pa.Array) -> pa.Array:
-    return pa.array([_decode(x.as_py()) for x in media], _ARROW)
+def decoded(media: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _pieces((_decode(x.as_py()) for batch in media for x in batch), lambda x: len(x.get("rgb") or b""), _ARROW)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -94,8 +106,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def read_media(media: DataFrame) -> DataFrame:
     """``media`` with what its pictures hold, their tensors (width, height and rgb) and how these look (feature)."""
-    columns = [c for c in media.columns if c not in (*_DECODED.names, "feature")]
+    columns = [c for c in media.columns if c not in _DECODED.names]
     name = free_name(media, "m_decoded")
     out = media.select(*(F.col(f"`{c}`") for c in columns), decoded("media").alias(name))
-    out = out.select(*(F.col(f"`{c}`") for c in columns), *(F.col(name)[n].alias(n) for n in _DECODED.names))
-    return out.withColumn("feature", feature_of("width", "height", "rgb"))
+    return out.select(*(F.col(f"`{c}`") for c in columns), *(F.col(name)[n].alias(n) for n in _DECODED.names))

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -293,6 +294,17 @@ def test_media_columns(spark):
     assert {(r["payload_bytes"], r["payload_sha256"]) for r in media.read_media(media.store_texts(long)).collect()} == {(len(held), hashlib.sha256(held).hexdigest())}
 
 
+def test_pictures_and_tensors_leave_in_pieces():
+    """A batch of long texts in one array of tensors takes a worker's memory, and Spark's."""
+    texts = [f"{k} " + "word " * 40_000 for k in range(20)]
+    pictures = list(media.encoded.func(iter([pa.array(texts[:15]), pa.array(texts[15:])])))
+    tensors = list(media.decoded.func(iter([pa.concat_arrays(pictures)])))
+    one = max(len(x["rgb"]) for piece in tensors for x in piece.to_pylist())
+    assert one < media._PIECE and all(piece.nbytes < media._PIECE + one + 65_536 for piece in pictures + tensors)
+    assert len(tensors) > 1 and [x["payload_bytes"] for piece in tensors for x in piece.to_pylist()] == [len(media.padded(t.encode())) for t in texts]
+    assert list(media.decoded.func(iter([]))) == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["\\", "### ", "</turn>", "\n", "Assistant:", "é", "x"]), max_size=9), st.sampled_from(["user", "assistant", "", "odd\n### User:\n"]))
 def test_turns_come_back(pieces, role):
